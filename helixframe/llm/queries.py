@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_decontaminate
+from .quality_rules import op7_repetition
 from .simhash import op5_simhash
 
 QUERIES = {
+    "op6_decontaminate": op6_decontaminate,
+    "op7_repetition": op7_repetition,
     "op5_simhash": op5_simhash,
 }
 ORACLES: dict[str, str] = {}
