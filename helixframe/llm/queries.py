@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
+from .quality_classifier import op10_quality
 from .quality_rules import op7_repetition
 from .simhash import op5_simhash
+from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op10_quality": op10_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_repetition": op7_repetition,
     "op5_simhash": op5_simhash,
