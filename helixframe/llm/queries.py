@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
+from .packing import op8_packing
 from .quality_classifier import op10_quality
 from .quality_rules import op7_repetition
 from .simhash import op5_simhash
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op8_packing": op8_packing,
     "op3_toxicity": op3_toxicity,
     "op10_quality": op10_quality,
     "op6_decontaminate": op6_decontaminate,
