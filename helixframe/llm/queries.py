@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
+from .license_scan import op1_license_scan
 from .packing import op8_packing
 from .quality_classifier import op10_quality
 from .quality_rules import op7_repetition
@@ -10,6 +11,7 @@ from .simhash import op5_simhash
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op8_packing": op8_packing,
     "op3_toxicity": op3_toxicity,
     "op10_quality": op10_quality,
