@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP2_SQL, op2_chat
 from .decontaminate import op6_decontaminate
 from .license_scan import op1_license_scan
 from .packing import op8_packing
@@ -11,6 +12,7 @@ from .simhash import op5_simhash
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op2_chat": op2_chat,
     "op1_license_scan": op1_license_scan,
     "op8_packing": op8_packing,
     "op3_toxicity": op3_toxicity,
@@ -19,4 +21,6 @@ QUERIES = {
     "op7_repetition": op7_repetition,
     "op5_simhash": op5_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat": OP2_SQL,
+}
