@@ -10,8 +10,10 @@ from .quality_classifier import op10_quality
 from .quality_rules import op7_repetition
 from .simhash import op5_simhash
 from .toxicity import op3_toxicity
+from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op4_warc": op4_warc,
     "op2_chat": op2_chat,
     "op1_license_scan": op1_license_scan,
     "op8_packing": op8_packing,
@@ -23,4 +25,5 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_chat": OP2_SQL,
+    "op4_warc": OP4_SQL,
 }
