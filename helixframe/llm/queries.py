@@ -10,9 +10,11 @@ from .quality_classifier import op10_quality
 from .quality_rules import op7_repetition
 from .simhash import op5_simhash
 from .toxicity import op3_toxicity
+from .url_filter import op9_url_filter
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op9_url_filter": op9_url_filter,
     "op4_warc": op4_warc,
     "op2_chat": op2_chat,
     "op1_license_scan": op1_license_scan,
