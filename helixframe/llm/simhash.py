@@ -158,7 +158,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(id_col, fp long, component_id): component_id is the least id reachable over links, the row's own included.
+    """(id_col, fp long, component_id, group): component_id is the least id reachable over links, the row's own included; group is a fingerprint that names the component.
 
     Null or wordless texts have fingerprint zero, linked like any other; fewer than three words make one
     shingle. Repeated ids and rows give a row each; a null id is never a component's name unless no other is there. An empty table gives no rows;
@@ -169,8 +169,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(distinct.select("fp"), hot))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = _with(named, names, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    by_fp = _with(named.withColumn("group", F.col("root")), names, "root").select("fp", "component_id", "group")
+    return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "group")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """One row of each component, that of the least id, with its own columns; texts are shuffled once, or not at all where Spark finds the ids small.
+
+    Rows that share the kept id too are told apart by nothing, and one of them stays. Of components without any id, the row of the
+    least fingerprint stays.
+    """
+    marked = stored(near_duplicates(docs, id_col, text_col, hot), "components")
+    ids = marked.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("__n"))
+    once, more = ids.filter("__n = 1").drop("__n"), ids.filter("__n > 1").drop("__n")
+    out = docs.join(once, id_col, "left_semi")
+    if not more.isEmpty():
+        out = out.union(docs.join(more, id_col, "left_semi").dropDuplicates([id_col]))
+    nameless = marked.filter("component_id IS NULL").groupBy("group").agg(F.min("fp").alias("fp"))
+    if not nameless.isEmpty():
+        own = docs.filter(F.col(id_col).isNull())
+        keyed = with_fingerprint(own.withColumn("__row", F.struct(*own.columns)), "__row", text_col, 3)
+        out = out.union(keyed.join(nameless, "fp", "left_semi").dropDuplicates(["fp"]).select("id.*"))
+    return out
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
