@@ -1,0 +1 @@
+"""A PySpark-native analytics engine for genomic cohort data."""
