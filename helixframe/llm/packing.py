@@ -11,7 +11,10 @@ length, so no length is ever gathered in one task.
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,44 +36,44 @@ ROUNDS = 200
 class Encoder:
     """Token ids as little-endian 32-bit bytes, from a cache of words.
 
-    No token of the byte-level vocabulary's split pattern spans a single space between two other
-    characters from the left, nor a newline between two such, so a text may be cut there, and parts are encoded once each.
-    Strings of special tokens are ordinary text.
+    Where the tokenizer splits texts by the byte-level pattern, no token spans a single space between two other characters from the
+    left, nor a newline between two such, nor the place between letters and marks behind them, so a text may be cut
+    there, and each part is encoded once. Runs of letters go to the tokenizer's model directly, in its byte alphabet.
+    Other tokenizers encode whole texts. Strings of special tokens are ordinary text. The cache has two generations; the older is dropped when the newer is full.
     """
 
     MOST, LONG = 400_000, 48
     _twice = re.compile(r"\s\s")
-    _word = re.compile(r" ?\S+")
     _cut = re.compile(r"(?<=\S) (?=\S)")
+    _marked = re.compile(r"( ?[^\W\d_]+)([.,;:!?*%#$&|]+)")
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.known: dict[str, bytes] = {}
+        told = json.loads(self.tokenizer.to_str())
+        split = told["pre_tokenizer"] or {}
+        self.cuts = told["normalizer"] is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and told["model"]["type"] == "BPE"
+        # The byte alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: 256 + k for k, b in enumerate(other)}
+        self.space, self.tokens = chr(self.alphabet[32]), self.tokenizer.model.tokenize
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def words(self, parts: list[str]) -> list[bytes]:
-        """As plain, for parts without white space but one space in front: many are encoded as the lines of one text, and cut at the newline's id."""
-        out = []
-        for k in range(0, len(parts), 2048):
-            some = parts[k : k + 2048]
-            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
-            breaks = np.flatnonzero(ids == self.newline)
-            if len(breaks) != len(some) - 1:
-                raise AssertionError("a newline between two words must be a token of its own")
-            raw, a = ids.tobytes(), 0
-            for b in [*(breaks * 4).tolist(), len(raw)]:
-                out.append(raw[a:b])
-                a = b + 4
-        return out
+    def letters(self, word: str) -> bytes:
+        """Of a run of letters, with a space in front or not."""
+        if word.isascii():
+            word = self.space + word[1:] if word[0] == " " else word
+        else:
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        return struct.pack(f"<{len(ids := self.tokens(word))}I", *[t.id for t in ids])
 
     def parts(self, text: str) -> list[str]:
         if self._twice.search(text):
@@ -78,23 +81,56 @@ class Encoder:
             return [first, *[" " + x for x in rest]]
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
+    def learn(self, parts: set[str]) -> None:
+        """Put the ids of parts into the newer generation."""
+        new, old = self.new, self.old
+        rest = []
+        for p in parts.difference(new):
+            if (ids := old.get(p)) is not None:
+                new[p] = ids
+            elif (p[1:] if p[:1] == " " else p).isalpha():
+                new[p] = self.letters(p)
+            else:
+                rest.append(p)
+        whole = []
+        for p in rest:
+            if m := self._marked.fullmatch(p):
+                ids = b""
+                for x in m.groups():
+                    got = new.get(x)
+                    if got is None:
+                        got = new[x] = old.get(x) or (self.letters(x) if (x[1:] if x[0] == " " else x).isalpha() else self.plain([x])[0])
+                    ids += got
+                new[p] = ids
+            else:
+                whole.append(p)
+        new.update(zip(whole, self.plain(whole)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return self.plain(texts)
         cut = [self.parts(t) if "\0" not in t else [t] for t in texts]
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        new = {p for parts in cut for p in parts}.difference(self.known)
-        words = [p for p in new if self._word.fullmatch(p)]
-        other = list(new.difference(words))
-        known = self.known
-        known.update(zip(words, self.words(words)))
-        known.update(zip(other, self.plain(other)))
-        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
-        for p in new:
+        if len(self.new) > self.MOST:
+            self.new, self.old = {}, self.new
+        parts = {p for own in cut for p in own}
+        self.learn(parts)
+        out = [b"".join(map(self.new.__getitem__, own)) for own in cut]
+        for p in parts:
             if len(p) > self.LONG:
-                del known[p]
+                del self.new[p]
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The process's own, so that the tasks that it runs one after another share the cache."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SEQUENCE, end: int = END, with_ids: bool = False) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32, part, nth[, ids]): each document's ids and the end id, longer ones cut.
 
@@ -105,7 +141,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        coder, part = encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64).tolist()
         for batch in batches:
             rows, lo = batch.num_rows, 0
@@ -117,7 +153,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                     held += len(some[-1])
                     hi += 1
                 which, number, start, length, crc, nth, ids = [], [], [], [], [], [], []
-                for k, raw in enumerate(encoder.encode(some), lo):
+                for k, raw in enumerate(coder.encode(some), lo):
                     raw += last
                     n = len(raw) >> 2
                     a, number_of = 0, 0

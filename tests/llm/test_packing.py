@@ -18,7 +18,7 @@ def ids(text):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.sampled_from(list("ab'sdRe1, .\n\t\r !é日  \x1c\x85\x0b\0<|>\U0001f600") + ["<|endoftext|>", "don't", "  "]), max_size=60).map("".join))
+@given(st.lists(st.sampled_from(list("ab'sdRe1, .\n\t\r !é日  \x1c\x85\x0b\0<|>\U0001f600²ʼ") + ["e\u0301", "wörd,", "!!", "<|endoftext|>", "don't", "  "]), max_size=60).map("".join))
 def test_cut_texts_give_the_same_ids(text):
     assert np.frombuffer(E.encode([text])[0], "<u4").tolist() == ids(text)
 
@@ -48,6 +48,12 @@ def test_plan_places_every_piece_once(seed):
             assert end <= 2048
 
 
+def test_other_tokenizers_encode_whole_texts():
+    coder = P.Encoder(tokenizer_path("word_bpe_49k.json"))
+    texts = ["One two,  three", "", "a\nb"]
+    assert not coder.cuts and coder.encode(texts) == coder.plain(texts)
+
+
 def test_whole_operator(spark):
     rng = random.Random(4)
     texts = [None, "", "one", "a " * 3000, "x" * 4095, "two  spaces\n\nlines"] + [" ".join(rng.choice(["foo", "bar,", "é"]) for _ in range(rng.randrange(900))) for _ in range(60)]
