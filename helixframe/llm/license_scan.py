@@ -160,16 +160,20 @@ GATE = r"(?i)licen[cs]e|gnu|gpl|spdx|apache|\bcc|bsd|\bmit\b|mozilla|\bmpl|eclip
 
 def _found(text: Column, pattern: Column) -> Column:
     """Start and end of every match in order: what stands between the matches gives their places."""
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    parts = F.array(F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
 
-    def step(s: Column, i: Column) -> Column:
-        a = s["at"] + F.length(F.get(gaps, i))
-        b = a + F.length(F.get(hits, i))
-        return F.struct(b.alias("at"), F.concat(s["out"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("out"))
+    def places(p: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            a = s["at"] + F.length(F.get(p["gaps"], i))
+            b = a + F.length(F.get(p["hits"], i))
+            return F.struct(b.alias("at"), F.concat(s["out"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("out"))
 
-    return F.aggregate(F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>")), zero, step, lambda s: s["out"])
+        steps = F.when(F.size(p["hits"]) > 0, F.sequence(F.lit(0), F.size(p["hits"]) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, zero, step, lambda s: s["out"])
+
+    # As a lambda's argument, both lists are made once and not for every match.
+    return F.get(F.transform(parts, places), F.lit(0))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
