@@ -78,27 +78,31 @@ def fisher_one(a: int, b: int, c: int, d: int, most: int = 10_000) -> float:
     return float(min(1.0, p[x >= a].sum() if a * n > rows * columns else p[x <= a].sum()))
 
 
-def _each(f):
-    @F.pandas_udf("double")
-    def run(*columns: pd.Series) -> pd.Series:
-        return pd.Series([math.nan if any(pd.isna(v) for v in row) else f(*row) for row in zip(*columns)], dtype=float)
+def _vectorised(f):
+    """A column function whose pandas function is made when it is called, so that executors can import this module."""
+
+    def build(*columns) -> Column:
+        @F.pandas_udf("double")
+        def run(*values: pd.Series) -> pd.Series:
+            return pd.Series(f(*[v.to_numpy() for v in values]))
 
-    return run
+        return run(*columns)
 
+    return build
 
-@F.pandas_udf("double")
-def normal_cdf(x: pd.Series) -> pd.Series:
-    return pd.Series(normal_cdf_array(x.to_numpy()))
 
+def _each(f):
+    def rows(*columns: np.ndarray) -> np.ndarray:
+        return np.array([math.nan if any(pd.isna(v) for v in row) else f(*row) for row in zip(*columns)], float)
 
-@F.pandas_udf("double")
-def poisson_pmf(k: pd.Series, mean: pd.Series) -> pd.Series:
-    return pd.Series(poisson_pmf_array(k.to_numpy(), mean.to_numpy()))
+    return _vectorised(rows)
 
 
-poisson_cdf = _each(lambda k, mean: poisson_cdf_one(k, mean))
+normal_cdf = _vectorised(normal_cdf_array)
+poisson_pmf = _vectorised(poisson_pmf_array)
+poisson_cdf = _each(poisson_cdf_one)
 binomial_cdf = _each(lambda k, n, p: binomial_cdf_one(k, int(n), p))
-poisson_noise = _each(lambda observed, probability: poisson_noise_one(observed, probability))
+poisson_noise = _each(poisson_noise_one)
 fisher_exact = _each(lambda a, b, c, d: fisher_one(int(a), int(b), int(c), int(d)))
 
 

@@ -105,9 +105,9 @@ def mwu_rank_sum(spark, sf_dir):
     return out.withColumn("z", F.round("z", 6))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_extendedprice, round(l_extendedprice / 1e5 * count(*) OVER (PARTITION BY l_suppkey) / row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber), 5) AS q FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice, round(l_extendedprice / 99991.0::DOUBLE * count(*) OVER (PARTITION BY l_suppkey) / row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber), 5) AS q FROM lineitem""")
 def fdr(spark, sf_dir):
-    rows = items(spark, sf_dir).withColumn("p", F.col("l_extendedprice") / 1e5)
+    rows = items(spark, sf_dir).withColumn("p", F.col("l_extendedprice") / 99991.0)
     return C.false_discovery(rows, "p", ["l_suppkey"], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_extendedprice", F.round("q", 5).alias("q"))
 
 

@@ -71,7 +71,7 @@ def amino_acids(spark, sf_dir):
     return sequences(spark, sf_dir).select("doc_id", p.alias("p")).select("doc_id", F.md5("p").alias("protein"), F.length("p").cast("long").alias("n"))
 
 
-@query("""WITH b AS (SELECT item_id, substring(text, 1, 12) AS x FROM benchmark) SELECT a.item_id AS a, b.item_id AS b FROM b a JOIN b ON a.item_id < b.item_id AND substring(a.x, 1, 2) = substring(b.x, 1, 2) WHERE CASE WHEN length(a.x) = length(b.x) THEN hamming(a.x, b.x) <= 9 ELSE false END""")
+@query("""WITH b AS (SELECT item_id, substring(text, 1, 12) AS x FROM benchmark) SELECT a.item_id AS a, b.item_id AS b FROM b a JOIN b ON a.item_id < b.item_id AND substring(a.x, 1, 2) = substring(b.x, 1, 2) WHERE CASE WHEN length(a.x) = length(b.x) THEN len(list_filter(generate_series(1, length(a.x)), lambda i: substring(a.x, i, 1) <> substring(b.x, i, 1))) <= 9 ELSE false END""")
 def hamming_pairs(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("a"), F.substring("text", 1, 12).alias("x"), F.substring("text", 1, 2).alias("k"))
     other = b.select(F.col("a").alias("b"), F.col("x").alias("y"), "k")
