@@ -20,7 +20,7 @@ def pair_links(breakends: DataFrame, by: list[str], position: str, orientation:
     DB where they face away from each other (-1 after +1 in order of position), unless the next pair is a nearer bridge; facing ones are TI, or an overlapping
     DB under ``least`` bases.
     """
-    order = Window.partitionBy(*by).orderBy(position, owner)
+    order = Window.partitionBy(*by).orderBy(position, owner, orientation)
     nxt = lambda c, n=1: F.lead(c, n).over(order)
     away = lambda a, b: (a == 1) & (b == -1)
     rows = breakends.withColumns({"__p1": nxt(position), "__o1": nxt(orientation), "__w1": nxt(owner), "__p2": nxt(position, 2), "__o2": nxt(orientation, 2), "__w2": nxt(owner, 2)})
@@ -35,7 +35,7 @@ def pair_links(breakends: DataFrame, by: list[str], position: str, orientation:
 
 def foldbacks(breakends: DataFrame, by: list[str], position: str, orientation: str, owner: str) -> DataFrame:
     """(by, owner, start, end): consecutive breakends of one variant with the same orientation."""
-    order = Window.partitionBy(*by).orderBy(position, owner)
+    order = Window.partitionBy(*by).orderBy(position, owner, orientation)
     rows = breakends.withColumns({"__p": F.lead(position).over(order), "__o": F.lead(orientation).over(order), "__w": F.lead(owner).over(order)})
     return rows.filter((F.col("__w") == F.col(owner)) & (F.col("__o") == F.col(orientation))).select(*by, owner, F.col(position).alias("start"), F.col("__p").alias("end"))
 

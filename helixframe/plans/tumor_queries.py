@@ -123,14 +123,14 @@ def breakends(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), days("o_orderdate").alias("p"), F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(-1).alias("o"), (F.col("o_orderkey") % 4).alias("w"))
 
 
-@query(f"""WITH {BREAKENDS}, n AS (SELECT *, lead(p) OVER q AS p1, lead(o) OVER q AS o1, lead(w) OVER q AS w1, lead(p, 2) OVER q AS p2, lead(o, 2) OVER q AS o2, lead(w, 2) OVER q AS w2 FROM b WINDOW q AS (PARTITION BY k ORDER BY p, w)),
+@query(f"""WITH {BREAKENDS}, n AS (SELECT *, lead(p) OVER q AS p1, lead(o) OVER q AS o1, lead(w) OVER q AS w1, lead(p, 2) OVER q AS p2, lead(o, 2) OVER q AS o2, lead(w, 2) OVER q AS w2 FROM b WINDOW q AS (PARTITION BY k ORDER BY p, w, o)),
 x AS (SELECT k, w AS first, w1 AS second, p1 - p AS distance, CASE WHEN o = 1 AND o1 = -1 AND NOT coalesce(o1 = 1 AND o2 = -1 AND w1 <> w2 AND p2 - p1 < p1 - p, false) THEN 'DB' WHEN o = -1 AND o1 = 1 AND p1 - p < 30 THEN 'DB_OVERLAP' WHEN o = -1 AND o1 = 1 THEN 'TI' END AS kind FROM n WHERE w <> w1)
 SELECT k, first, second, kind, distance::BIGINT AS distance FROM x WHERE kind IS NOT NULL""")
 def templated_insertions(spark, sf_dir):
     return S.pair_links(breakends(spark, sf_dir), ["k"], "p", "o", "w")
 
 
-@query(f"WITH {BREAKENDS}, n AS (SELECT *, lead(p) OVER q AS p1, lead(o) OVER q AS o1, lead(w) OVER q AS w1 FROM b WINDOW q AS (PARTITION BY k ORDER BY p, w)) SELECT k, w, p::BIGINT AS start, p1::BIGINT AS \"end\" FROM n WHERE w = w1 AND o = o1")
+@query(f"WITH {BREAKENDS}, n AS (SELECT *, lead(p) OVER q AS p1, lead(o) OVER q AS o1, lead(w) OVER q AS w1 FROM b WINDOW q AS (PARTITION BY k ORDER BY p, w, o)) SELECT k, w, p::BIGINT AS start, p1::BIGINT AS \"end\" FROM n WHERE w = w1 AND o = o1")
 def foldbacks(spark, sf_dir):
     return S.foldbacks(breakends(spark, sf_dir), ["k"], "p", "o", "w")
 
