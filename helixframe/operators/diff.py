@@ -49,38 +49,55 @@ def compared(old: DataFrame, new: DataFrame, keys: list[str], fields: list[Field
     return out if matches else out.filter("mismatch != 'MATCH'")
 
 
-#: Keys and compared fields of each category; limits are (absolute, relative).
-CATEGORIES: dict[str, tuple[list[str], list[Field]]] = {
-    "purity": (["sampleId"], [Field("purity", 0.02), Field("ploidy", 0.1), Field("contamination", 0.005), Field("msIndelsPerMb", 0.1, 0.05), Field("tmbPerMb", 0.1, 0.05), Field("qcStatus"), Field("gender"), Field("fitMethod")]),
-    "somatic_variant": (["sampleId", "chromosome", "position", "ref", "alt", "type"], [Field("qual", 20, 0.2), Field("tier"), Field("filter"), Field("gene"), Field("canonicalEffect"), Field("hotspot"), Field("biallelic"), Field("subclonalLikelihood", 0.6)]),
-    "germline_variant": (["sampleId", "chromosome", "position", "ref", "alt", "type"], [Field("qual", 20, 0.2), Field("tier"), Field("filter"), Field("gene"), Field("reported")]),
-    "germline_amp_del": (["sampleId", "gene"], [Field("germlineStatus"), Field("tumorStatus"), Field("germlineCopyNumber", 0.2, 0.1), Field("tumorCopyNumber", 0.2, 0.1), Field("reported")]),
-    "driver": (["sampleId", "gene", "driver"], [Field("likelihoodMethod"), Field("driverLikelihood", 0.1), Field("minCopyNumber", 0.2, 0.15), Field("maxCopyNumber", 0.2, 0.15)]),
-    "fusion": (["sampleId", "name"], [Field("reported"), Field("reportedType"), Field("phased"), Field("likelihood"), Field("fusedExonUp"), Field("fusedExonDown"), Field("chainLength"), Field("chainLinks")]),
-    "disruption": (["sampleId", "gene", "breakend"], [Field("reported"), Field("regionType"), Field("codingType"), Field("nextSpliceExonRank"), Field("undisruptedCopyNumber", 0.2, 0.15)]),
-    "germline_sv": (["sampleId", "chromosomeStart", "positionStart", "chromosomeEnd", "positionEnd", "type"], [Field("filter"), Field("qual", 20, 0.2), Field("reported")]),
-    "cuppa": (["sampleId", "dataType", "classifier"], [Field("topCancerType"), Field("probability", 0.1)]),
-    "cuppa_image": (["sampleId", "imageType"], [Field("path")]),
-    "chord": (["sampleId"], [Field("brca1", 0.1), Field("brca2", 0.1), Field("hrd", 0.1), Field("hrStatus"), Field("hrdType")]),
-    "vchord": (["sampleId"], [Field("breast", 0.1), Field("ovarian", 0.1), Field("pancreatic", 0.1), Field("prostate", 0.1), Field("other", 0.1)]),
-    "lilac": (["sampleId", "gene"], [Field("alleles"), Field("status"), Field("totalFragments", None, 0.01), Field("fittedFragments", None, 0.01)]),
-    "peach": (["sampleId", "gene", "haplotype"], [Field("alleleCount"), Field("function"), Field("drugs")]),
-    "virus": (["sampleId", "virus"], [Field("integrations", None, 0.2), Field("meanCoverage", None, 0.15), Field("driverLikelihood"), Field("reported")]),
-    "flagstat": (["sampleId"], [Field("mappedProportion", 0.01)]),
-    "bam_metrics": (["sampleId"], [Field("duplicatePercentage", 0.05), Field("medianCoverage", None, 0.05), Field("coverage10", 0.03), Field("coverage30", 0.03)]),
-    "snp_genotype": (["sampleId", "chromosome", "position"], [Field("genotype"), Field("vcfSampleId")]),
-    "cdr3_sequence": (["sampleId", "cdr3Seq"], [Field("filter"), Field("locus")]),
-    "cdr3_locus": (["sampleId", "locus"], [Field("passSequences", None, 0.05)]),
-    "telomere": (["sampleId", "type"], [Field("telomereLength", 1.0, 0.05)]),
-    "signature": (["sampleId", "signature"], [Field("percent", 0.1)]),
-    "rna_summary": (["sampleId"], [Field("qcStatus"), Field("totalFragments", None, 0.05), Field("duplicateFragments", None, 0.05), Field("splicedPercentage", 0.05)]),
-    "gene_expression": (["sampleId", "geneName"], [Field("splicedFragments", 5, 0.05), Field("unsplicedFragments", 5, 0.05), Field("tpm", 0.5, 0.05)]),
-    "transcript_expression": (["sampleId", "transcript"], [Field("tpm", 0.5, 0.05)]),
-    "splice_junction": (["sampleId", "chromosome", "junctionStart", "junctionEnd"], [Field("type"), Field("fragments", 5, 0.05), Field("regionStart"), Field("regionEnd")]),
-    "rna_fusion": (["sampleId", "name", "chromosomeUp", "positionUp", "chromosomeDown", "positionDown"], [Field("splitFrags", 5, 0.05), Field("realignedFrags", 5, 0.05), Field("discordantFrags", 5, 0.05)]),
-    "copy_number": (["sampleId", "chromosome", "start", "end"], [Field("copyNumber", 0.5, 0.15), Field("majorAlleleCopyNumber", 0.5, 0.15), Field("method")]),
-    "gene_copy_number": (["sampleId", "gene"], [Field("minCopyNumber", 0.5, 0.15), Field("maxCopyNumber", 0.5, 0.15)]),
-}
+#: For each category its keys, then its fields; a field without limits must be equal, else limits are absolute, relative (%) or both.
+SPECIFICATION = """
+purity | SampleId | qcStatus; gender; germlineAberration; fitMethod; msStatus; tmbStatus; tmlStatus; purity 0.04; ploidy 0.1; contamination 0.005; tmbPerMb 0.1 5%; msIndelsPerMb 0.1 5%; tml 1 5%; copyNumberSegments 5 20%; unsupportedCopyNumberSegments 5 20%; svTmb 5 5%
+somatic_variant | SampleId, Chromosome, Position, Ref, Alt, VariantType | reported; filter; gene; canonicalEffect; canonicalCodingEffect; canonicalHgvsCodingImpact; canonicalHgvsProteinImpact; otherTranscriptEffects; tier; hotspot; biallelic; qual 50 20%; subclonalLikelihood 0.6; hasLPS; variantCopyNumber 0.3 30%; tumorSupportingReadCount 1 20%; tumorTotalReadCount 1 20%; purityAdjustedVaf 0.2
+germline_variant | SampleId, Chromosome, Position, Ref, Alt, VariantType | reported; filter; gene; canonicalEffect; canonicalCodingEffect; canonicalHgvsCodingImpact; canonicalHgvsProteinImpact; otherTranscriptEffects; tier; hotspot; biallelic; qual 20 20%; variantCopyNumber 0.3 15%; tumorSupportingReadCount 1 20%; tumorTotalReadCount 1 20%; purityAdjustedVaf 0.2
+germline_amp_del | SampleId, Gene | reported; germlineStatus; tumorStatus; germlineCopyNumber 0.2 10%; tumorCopyNumber 0.2 10%; chromosome; chromosomeBand
+driver | SampleId, GeneId, TranscriptId, DriverType | likelihoodMethod; driverLikelihood 0.1; minCopyNumber 0.3 15%; maxCopyNumber 0.3 15%; chromosome; chromosomeBand
+fusion | SampleId, FusionName | reported; reportedType; phased; likelihood; fusedExonUp; fusedTranscriptUp; fusedExonDown; fusedTranscriptDown; chainLinks; chainTerminated; domainsKept; domainsLost; junctionCopyNumber 0.5 20%
+disruption | SampleId, Gene, Chromosome, Position, Orientation, TranscriptId | reported; regionType; codingType; nextSpliceExonRank
+germline_sv | SampleId, Gene, Chromosome, Position, Orientation, TranscriptId | reported; regionType; codingType; nextSpliceExonRank
+tissue_of_origin | SampleId, ClassifierName, DataType | topCancerType; probability 0.1
+hr_deficiency | SampleId | BRCA1 0.1; BRCA2 0.1; status; type; hrdScore 0.1
+hla | SampleId | status; alleles; somaticMissense 0.4 10%; somaticNonsenseOrFrameshift 0.4 10%; somaticSplice 0.4 10%; somaticInframeIndel 0.4 10%; somaticSynonymous 0.4 10%; refTotalFragments 10 1%; tumorTotalFragments 10 1%; tumorCopyNumber 0.5 15%; totalFragments 10 1%; fittedFragments 10 1%; discardedAlignmentFragments 10 1%; discardedIndels 10 1%; hlaYAllele
+pharmacogene | SampleId, Gene, HaplotypeName | alleleCount; function; drugs; prescriptionUrls
+virus | SampleId, Name | reported; integrations 20%; meanCoverage 15%; driverLikelihood
+flagstat | SampleId | mappedProportion 0.01
+tumor_bam_metrics | SampleId | duplicatePercentage 0.05; percentage30X 0.03; percentage60X 0.03
+germline_bam_metrics | SampleId | duplicatePercentage 0.05; percentage10X 0.03; percentage20X 0.03
+snp_genotype | SampleId, Chromosome, Position, Ref | alt; genotype
+cdr3_sequence | SampleId, Cdr3AA, Cdr3Seq | Filter; Locus
+cdr3_locus | SampleId, Locus | passSequences 5%
+telomere | SampleId, Type | telomereLength 5%
+hr_deficiency_image | SampleId | breastCancerHrdScore 0.1; ovarianCancerHrdScore 0.1; pancreaticCancerScore 0.1; prostateCancerScore 0.1; otherCancerScore 0.1
+signature | SampleId, Signature | percent 0.05
+rna_summary | SampleId | QcStatus; TotalFragments 10 1%; DuplicateFragments 10 1%; SplicedFragmentPerc 0.01 5%; UnsplicedFragmentPerc 0.01 5%; AltFragmentPerc 0.01 5%; ChimericFragmentPerc 0.01 5%; SplicedGeneCount 10 1%; ReadLength; FragLength5th 5%; FragLength50th 5%; FragLength95th 5%; EnrichedGenePercent 0.01; MedianGCRatio 0.01; ForwardStrandPercent 0.01
+gene_expression | SampleId, GeneName | SplicedFragments 10 5%; UnsplicedFragments 10 5%; AdjTPM 5%
+transcript_expression | SampleId, TranscriptName | GeneName; AdjTPM 5%
+splice_junction | SampleId, GeneName, Chromosome, JunctionStart, JunctionEnd | Type; FragCount 5 5%; RegionStart; RegionEnd
+rna_fusion | SampleId, FusionName, ChromosomeUp, PositionUp, ChromosomeDown, PositionDown | KnownFusionType; JuncTypeUp; JuncTypeDown; SplitFrags 5 5%; RealignedFrags 5 5%; DiscordantFrags 5 5%
+copy_number | SampleId, Chromosome, StartPosition, EndPosition | copyNumber 0.5 15%; majorAlleleCopyNumber 0.5 15%; method
+gene_copy_number | SampleId, Gene | minCopyNumber 0.5 15%; maxCopyNumber 0.5 15%
+"""
+
+
+def _categories(text: str) -> dict[str, tuple[list[str], list[Field]]]:
+    out = {}
+    for line in text.strip().splitlines():
+        name, keys, fields = (x.strip() for x in line.split("|"))
+        parsed = []
+        for f in fields.split(";"):
+            column, *limits = f.split()
+            absolute = [float(x) for x in limits if not x.endswith("%")]
+            relative = [float(x[:-1]) / 100 for x in limits if x.endswith("%")]
+            parsed.append(Field(column, *(absolute or [None]), *(relative or [None])))
+        out[name] = ([k.strip() for k in keys.split(",")], parsed)
+    return out
+
+
+CATEGORIES = _categories(SPECIFICATION)
 
 
 def compare_category(category: str, old: DataFrame, new: DataFrame, matches: bool = False) -> DataFrame:
