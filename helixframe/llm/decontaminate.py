@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import blocks, stored, table, utf8
+from .common import blocks, in_batches, stored, table, utf8
 
 WINDOW = 10
 DEPTH = 16
 ITEM_WORDS = 2_000_000
+SHARD_BYTES = 2 << 20
 
 
 @dataclass
@@ -216,7 +217,7 @@ def _pass(docs: DataFrame, keep: list[str], id_col: str, text_col: str, bench, w
         for batch in batches:
             data, at = utf8(batch.column(len(names)))
             n_words, n_hit, found, longest, spot, of, spans = [], [], [], [], [], [], []
-            for lo, hi, raw, where in blocks(data, at, 4 << 20):
+            for lo, hi, raw, where in blocks(data, at, SHARD_BYTES):
                 low = W.LOWER[raw]
                 got = W.split(low, where, W.ALNUM)
                 hashes = W.span_hashes(low, got.starts, got.ends)
@@ -266,7 +267,7 @@ def _pass(docs: DataFrame, keep: list[str], id_col: str, text_col: str, bench, w
                 tail = [pa.array(spans, kind), listed, *tail]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], flat(n_words), *tail], [*names, *RESULT] if last else [*names, "n_words", "spans", "items", *RESULT[-3:]])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return in_batches(docs).select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import blocks, utf8
+from .common import blocks, in_batches, stored, utf8
 
 BITS = 20
 #: (row, index) of features, not necessarily distinct, from the bytes of a block of rows.
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, featurise: Featurise, fo
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").filter(~held_out(F.col("id"), folds, fold))
     known = known.withColumn("k", F.xxhash64(F.col("id").cast("string")))
     chosen = known.filter("y = 0").orderBy("k", "id").limit(most[0]).union(known.filter("y = 1").orderBy("k", "id").limit(most[1]))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("k", "id", "y", "text")
+    texts = in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("k", "id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, featurise: Featurise, fo
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["k", "id", "y", "x"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    found = texts.mapInArrow(run, f"k long, id {kind}, y int, x binary").collect()
+    # Written first and read by partition: the driver's JVM never holds all of it.
+    found = list(stored(texts.mapInArrow(run, f"k long, id {kind}, y int, x binary"), "features").toLocalIterator())
     found.sort(key=lambda r: (r.k, r.id, r.x))
     return train([np.frombuffer(r.x, np.int32) for r in found], np.array([r.y for r in found]), rates)
 
@@ -129,4 +130,4 @@ def scored(docs: DataFrame, model: Model, featurise: Featurise, text_col: str =
             out = [scores(model, dense, hi - lo, *featurise(raw, where)) for lo, hi, raw, where in blocks(data, at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(out) if out else np.zeros(0))], [*keep, score])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return in_batches(docs).select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)

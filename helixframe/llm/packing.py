@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, tokenizer_path
+from .common import in_batches, stored, table, tokenizer_path
 
 SEQUENCE = 2048
 END = 0
@@ -42,7 +42,7 @@ class Encoder:
     Other tokenizers encode whole texts. Strings of special tokens are ordinary text. The cache has two generations; the older is dropped when the newer is full.
     """
 
-    MOST, LONG = 400_000, 48
+    MOST, LONG = 150_000, 48
     _twice = re.compile(r"\s\s")
     _cut = re.compile(r"(?<=\S) (?=\S)")
     _marked = re.compile(r"( ?[^\W\d_]+)([.,;:!?*%#$&|]+)")
@@ -179,7 +179,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def patterns(counts: np.ndarray, size: int, most: int = PATTERNS) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import blocks, table, utf8
+from .common import blocks, in_batches, table, utf8
 
 #: Largest share of characters in words that may lie inside duplicated windows, by words in a window.
 GRAM_SHARES = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
@@ -118,7 +118,7 @@ def repetition(docs: DataFrame, text_col: str = "text", shares: dict[int, float]
             columns = [*batch.columns[: len(keep)], *[pa.array(m[c], pa.int64()) for c in COUNTS], pa.array(failed), pa.array(~failed & ~over), pa.array(share), pa.array(lines)]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *results])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return in_batches(docs).select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def op7_repetition(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> ftrl.Model:
-    return ftrl.fit(docs, labels, "toxic", features, FOLDS, HELD_OUT, most=(12000, 6000), rates=RATES, **options)
+    return ftrl.fit(docs, labels, "toxic", features, FOLDS, HELD_OUT, most=(10000, 5000), rates=RATES, **options)
 
 
 def toxicity(docs: DataFrame, model: ftrl.Model, text_col: str = "text", score: str = "score") -> DataFrame:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import in_batches, shared_dir, stored, table
 
 LEAST = 1000
 #: Magic numbers of the dictionary's frame, of any skippable frame (lowest of 16), and of a Zstandard frame.
@@ -118,7 +118,7 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, roll: int
             done.append((path, n, size))
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
-    return stored(records.mapInArrow(run, "path string, records long, bytes long"), "manifest")
+    return stored(in_batches(records).mapInArrow(run, "path string, records long, bytes long"), "manifest")
 
 
 def frames(stream) -> Iterator[bytes | str]:
