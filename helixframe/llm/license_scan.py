@@ -1,8 +1,8 @@
 """License scans with ordered signature rules, in DataFrame functions only.
 
 A text is brought to one form: runs of separators become one space, A-Z are lower-cased, and a space stands at either end, so
-rules are written over words. Every rule has a keyword that its matches must contain; a rule runs only on texts
-with its keyword, and keywords are looked for only in texts that one cheap pattern lets through. Matches are ordered by
+rules are written over words. Every rule has a keyword; it runs only on texts
+with its keyword, and keywords are looked for only in texts that have one of a few words that cover them all. Matches are ordered by
 start, longest first. A match inside another of at least its priority is suppressed, but for base rules, which always stay.
 
 All steps are expressions over one row, so the plan is a scan and a projection, without shuffle.
@@ -10,6 +10,9 @@ All steps are expressions over one row, so the plan is a scan and a projection,
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,8 +157,14 @@ def rules() -> list[tuple[str, int, bool, str, str]]:
     return out
 
 
-#: Some word of every rule's keyword, in the texts as they are; what has none of them has no match.
-GATE = r"(?i)licen[cs]e|gnu|gpl|spdx|apache|\bcc|bsd|\bmit\b|mozilla|\bmpl|eclipse|cddl|eupl|odbl|cdla|rail\b|openrail|\bofl|cecill|\bms\W|gfdl|sspl|wtfpl|polyform|mulan|creative|opensource|opendatacommons|boost|scripts|unlicense|perl\b|historical|w3c|nasa|independent|proprietary|rights|domain|freeware|shareware|permission|software|redistribution|neither|advertising|unencumbered|want|altered|waived|openssl|developed|postgresql|used|beer|open\W|latex|zope|common|community"
+def gate_words(keywords: list[str]) -> list[str]:
+    """Few words of which every keyword has one: again and again, the word that most of the remaining keywords have."""
+    left, out = sorted(set(keywords)), []
+    while left:
+        words = sorted({w for k in left for w in k.split()}, key=lambda w: (-sum(w in k.split() for k in left), -len(w), w))
+        out.append(words[0])
+        left = [k for k in left if words[0] not in k.split()]
+    return out
 
 
 def _found(text: Column, pattern: Column) -> Column:
@@ -189,7 +198,10 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     results = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     form = F.concat(F.lit(" "), F.translate(F.trim(F.regexp_replace(text, SEPARATOR, " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" "))
-    out = docs.drop(*results).withColumn("__form", F.when(text.rlike(GATE), form))
+    # A column of its own: lower-casing is done once, and not for every word of the gate. It may lower more than A-Z, which only lets more through.
+    low = docs.drop(*results).withColumn("__low", F.lower(text))
+    gate = reduce(or_, [F.contains("__low", F.lit(w)) for w in gate_words([r[3] for r in every])])
+    out = low.withColumn("__form", F.when(gate, form)).drop("__low")
     by_keyword: dict[str, list[int]] = {}
     for i, (_, _, _, keyword, _) in enumerate(every):
         by_keyword.setdefault(keyword, []).append(i)
