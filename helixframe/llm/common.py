@@ -17,11 +17,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 BLOCK_BYTES = 512 << 10
 BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,7 +50,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def in_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """``df``, after limiting the session's Arrow batches to ``rows`` rows if it allows more: whole texts are long, and a batch is held by the JVM and by Python."""
+    """``df``, after limiting the session's Arrow batches to ``rows`` rows if it allows more: whole texts are long, and a batch is held by the JVM and by Python.
+
+    The package is shipped too, as what follows runs in Python workers.
+    """
+    ship(df.sparkSession)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
         df.sparkSession.conf.set(key, str(rows))
