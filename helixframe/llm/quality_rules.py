@@ -18,9 +18,9 @@ from . import words as W
 from .common import blocks, in_batches, table, utf8
 
 #: Largest share of characters in words that may lie inside duplicated windows, by words in a window.
-GRAM_SHARES = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
-#: Largest shares of lines, and of characters in words, that may repeat an earlier line.
-LINE_SHARE, LINE_CHARS = 0.30, 0.30
+GRAM_SHARES = {5: 0.35, 6: 0.34, 7: 0.33, 8: 0.32, 9: 0.31, 10: 0.30}
+#: Largest shares of lines (one repeated line in a short text is no fault), and of characters in words, that may repeat an earlier line.
+LINE_SHARE, LINE_CHARS = 0.50, 0.30
 SYMBOLS = b"#*$%&|<>"
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
