@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import discarded, stored
 from . import intervals as I
 
 
@@ -28,7 +28,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         large = _least_joined(both, least).filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("u != v").distinct()
         small = large.groupBy("v").agg(F.min("u").alias("m"))
         tied = _least_joined(large, small).select(F.col("u").alias("v"), F.col("m").alias("u"))
-        state = stored(tied.union(small.select("v", F.col("m").alias("u"))).filter("u != v").distinct(), "edges")
+        state, old = stored(tied.union(small.select("v", F.col("m").alias("u"))).filter("u != v").distinct(), "edges"), state
+        discarded(old)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return state.select(F.col("v").alias("node"), F.col("u").alias("root"))
