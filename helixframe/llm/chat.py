@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discarded, stored, table
 
 OPEN, CLOSE = "### ", "</turn>\n"
 #: Control strings and what stands for them, in the order of escaping.
@@ -53,7 +53,8 @@ def paths(edges: DataFrame) -> DataFrame:
         above = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("path").alias("p"), F.col("score").alias("s"))
         longer = state.filter("up IS NOT NULL").join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
         longer = longer.select("tree", "node", F.col("u").alias("up"), F.concat("p", "path").alias("path"), (F.col("s") + F.col("score")).alias("score"))
-        state = stored(state.filter("up IS NULL").union(longer), "paths")
+        state, old = stored(state.filter("up IS NULL").union(longer), "paths"), state
+        discarded(old)
     parents = edges.filter("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("n")).distinct()
     leaves = state.filter("up IS NULL").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     return leaves.select("tree", F.col("node").alias("leaf"), "path", (F.col("score") / F.size("path")).alias("score"))

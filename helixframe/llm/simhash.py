@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import blocks, in_batches, stored, utf8
+from .common import blocks, discarded, in_batches, stored, utf8
 
 HOT = 256
 BITS = 2
@@ -149,7 +149,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = _with(both, least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("u != v").distinct()
         small = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = _with(large, small, "v")
-        edges = stored(joined.select(F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("v", F.col("m").alias("u"))).filter("u != v").distinct(), "edges")
+        edges, old = stored(joined.select(F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("v", F.col("m").alias("u"))).filter("u != v").distinct(), "edges"), edges
+        discarded(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
@@ -182,9 +183,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = stored(near_duplicates(docs, id_col, text_col, hot), "components")
     ids = marked.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("__n"))
     once, more = ids.filter("__n = 1").drop("__n"), ids.filter("__n > 1").drop("__n")
-    out = docs.join(once, id_col, "left_semi")
+    out = docs.join(once, id_col, "left_semi").select(*docs.columns)
     if not more.isEmpty():
-        out = out.union(docs.join(more, id_col, "left_semi").dropDuplicates([id_col]))
+        out = out.union(docs.join(more, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns))
     nameless = marked.filter("component_id IS NULL").groupBy("group").agg(F.min("fp").alias("fp"))
     if not nameless.isEmpty():
         own = docs.filter(F.col(id_col).isNull())

@@ -69,7 +69,7 @@ def test_empty_table(spark):
 
 def test_one_row_of_each_component_stays(spark):
     rows = [(i, t, i % 3) for i, t in enumerate(TEXTS * 2)] + [(3, TEXTS[3], 0), (None, "only without an id, and twice here", 1), (None, "only without an id, and twice here", 2), (None, "One", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, group int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, group int").select("text", "group", "doc_id")
     got = sorted((r.doc_id is None, r.doc_id, r.text) for r in S.deduplicated(docs).collect())
     roots = brute_components([(i, brute_fp(t)) for i, t in enumerate(TEXTS * 2)])
     assert [r[1] for r in got if not r[0]] == sorted(set(roots.values()))
