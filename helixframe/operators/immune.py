@@ -82,9 +82,9 @@ def called_haplotypes(events: DataFrame, known: dict[str, dict[str, dict[str, in
     return events.groupBy("sample", "gene").applyInPandas(run, f"sample {kind}, gene string, haplotype string, count long")
 
 
-def collapsed_sequences(reads: DataFrame, locus: str, sequence: str, edits: int = 1) -> DataFrame:
-    """(locus, sequence, support): sequences that another of more support holds, or equals up to ``edits`` substitutions, add to it. Reads are counted by sequence first."""
-    counted = reads.groupBy(locus, sequence).agg(F.count("*").alias("n"))
+def collapsed_sequences(reads: DataFrame, locus: str, sequence: str, edits: int = 1, least: int = 1) -> DataFrame:
+    """(locus, sequence, support): sequences that another of more support holds, or equals up to ``edits`` substitutions, add to it. Reads are counted by sequence first, and sequences of under ``least`` reads are noise."""
+    counted = reads.groupBy(locus, sequence).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     kind = counted.schema[locus].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -30,12 +30,12 @@ def percentile_vector(spark, sf_dir):
     return v.select("l_suppkey", "n", p(0).alias("p0"), p(25).alias("p25"), p(50).alias("p50"), p(99).alias("p99"), F.round(F.aggregate("percentiles", F.lit(0.0), lambda s, x: s + x), 2).alias("total"))
 
 
-@query(f"""WITH {VECTORS}, x AS (SELECT p_partkey, p_partkey % 10 AS s, p_retailprice * 40 AS value FROM part),
+@query(f"""WITH {VECTORS}, x AS (SELECT p_partkey, p_partkey % 100 AS s, p_retailprice * 40 AS value FROM part),
 j AS (SELECT p_partkey, value, p, len(list_filter(p, lambda q: q < value)) AS b, len(list_filter(p, lambda q: q <= value)) AS u FROM x JOIN v ON v.l_suppkey = x.s)
 SELECT p_partkey, round(CASE WHEN u = 0 THEN 0 WHEN b = 101 THEN 1 WHEN u > b THEN (b + u - 1) / 2.0 / 100 ELSE (u - 1 + (value - p[u]) / (p[u + 1] - p[u])) / 100 END, 6) AS rank FROM j""")
 def percentile_rank(spark, sf_dir):
-    v = C.percentile_vectors(items(spark, sf_dir).filter("l_suppkey < 10"), ["l_suppkey"], "l_extendedprice")
-    x = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 10).alias("l_suppkey"), (F.col("p_retailprice") * 40).alias("value"))
+    v = C.percentile_vectors(items(spark, sf_dir), ["l_suppkey"], "l_extendedprice")
+    x = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 100).alias("l_suppkey"), (F.col("p_retailprice") * 40).alias("value"))
     return x.join(v, "l_suppkey").select("p_partkey", F.round(C.percentile_rank(F.col("percentiles"), F.col("value")), 6).alias("rank"))
 
 
@@ -74,13 +74,13 @@ def unpivot_matrix(spark, sf_dir):
     return C.long(m, "l_suppkey", "kind", "value").withColumn("value", F.round("value", 4))
 
 
-GENO = "g AS (SELECT l_suppkey % 40 AS s, l_partkey AS site, max(l_linenumber) % 2 AS g FROM lineitem WHERE l_partkey < 100 GROUP BY ALL)"
+GENO = "g AS (SELECT l_suppkey % 40 AS s, l_partkey AS site, max(l_linenumber) % 2 AS g FROM lineitem GROUP BY ALL)"
 
 
-@query(f"WITH {GENO} SELECT a.s AS a, b.s AS b, count(*) AS sites, count(*) FILTER (a.g = b.g) AS matches FROM g a JOIN g b ON a.site = b.site AND a.s < b.s GROUP BY ALL HAVING count(*) >= 10 AND count(*) FILTER (a.g = b.g) >= 0.6 * count(*)")
+@query(f"WITH {GENO} SELECT a.s AS a, b.s AS b, count(*) AS sites, count(*) FILTER (a.g = b.g) AS matches FROM g a JOIN g b ON a.site = b.site AND a.s < b.s GROUP BY ALL HAVING count(*) >= 10 AND count(*) FILTER (a.g = b.g) >= 0.5 * count(*)")
 def match_pairs(spark, sf_dir):
-    g = items(spark, sf_dir).filter("l_partkey < 100").groupBy((F.col("l_suppkey") % 40).alias("s"), F.col("l_partkey").alias("site")).agg((F.max("l_linenumber") % 2).alias("g"))
-    return C.matched_pairs(g, "s", "site", "g", 10, 0.6)
+    g = items(spark, sf_dir).groupBy((F.col("l_suppkey") % 40).alias("s"), F.col("l_partkey").alias("site")).agg((F.max("l_linenumber") % 2).alias("g"))
+    return C.matched_pairs(g, "s", "site", "g", 10, 0.5)
 
 
 @query("""SELECT l_suppkey, round(slope, 8) AS slope, round((y - slope * x) / w, 4) AS intercept FROM (SELECT *, (xy - x * y / w) / (xx - x * x / w) AS slope FROM (SELECT l_suppkey, sum(l_tax + 1) AS w, sum((l_tax + 1) * l_quantity) AS x, sum((l_tax + 1) * l_extendedprice) AS y,

@@ -85,20 +85,21 @@ def tinc_grid(spark, sf_dir):
     return R.tinc(v, "dp", "ad", "af", [i / 10 for i in range(11)]).withColumn("score", F.round("score", 4))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id AS k, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id % 700 AS o FROM events WHERE event_id < 2000),
-g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY k ORDER BY t) > 9000 THEN 1 ELSE 0 END AS f FROM e), i AS (SELECT *, sum(f) OVER (PARTITION BY k ORDER BY t) AS i FROM g),
+@query("""WITH RECURSIVE e AS (SELECT user_id AS k, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id // 6 AS o FROM events),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY k ORDER BY t) > 900 THEN 1 ELSE 0 END AS f FROM e), i AS (SELECT *, sum(f) OVER (PARTITION BY k ORDER BY t) AS i FROM g),
 p AS (SELECT DISTINCT a.o AS a, b.o AS b FROM i a JOIN i b ON a.k = b.k AND a.i = b.i), c(o, r) AS (SELECT DISTINCT o, o FROM e UNION SELECT p.b, c.r FROM c JOIN p ON p.a = c.o)
 SELECT o, min(r) AS cluster FROM c GROUP BY 1""")
 def proximity_clusters(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id < 2000").select(F.col("user_id").alias("k"), seconds().alias("t"), (F.col("event_id") % 700).alias("o"))
-    return G.clustered(e, ["k"], "t", "o", 9000)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), seconds().alias("t"), F.floor(F.col("event_id") / 6).alias("o"))
+    return G.clustered(e, ["k"], "t", "o", 900)
 
 
-@query("""WITH RECURSIVE p AS (SELECT c_custkey AS a, (c_custkey * 37 + 11) % 1500 AS b FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 1500), s AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+@query("""WITH RECURSIVE p AS (SELECT c_custkey AS a, greatest(c_custkey - 1, c_custkey - c_custkey % 6) AS b FROM customer), s AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 c(o, r) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT s.b, c.r FROM c JOIN s ON s.a = c.o) SELECT o AS c_custkey, min(r) AS patient FROM c WHERE o IN (SELECT c_custkey FROM customer) GROUP BY 1""")
 def patient_components(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey")
-    pairs = c.filter("c_custkey % 3 = 0 AND c_custkey < 1500").select(F.col("c_custkey").alias("a"), ((F.col("c_custkey") * 37 + 11) % 1500).alias("b"))
+    k = F.col("c_custkey")
+    pairs = c.select(k.alias("a"), F.greatest(k - 1, k - k % 6).alias("b"))
     return G.patients(c, pairs, "c_custkey", "a", "b")
 
 

@@ -33,14 +33,14 @@ def kmer_count(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), b AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
-g AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM w WHERE len(w) >= 5), q AS (SELECT DISTINCT item_id, array_to_string(w[1:5], ' ') AS g FROM b)
+g AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM w WHERE len(w) >= 5), q AS (SELECT DISTINCT item_id, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM b WHERE len(w) >= 5)
 SELECT item_id, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM q JOIN g USING (g) GROUP BY 1""")
 def kmer_locate(spark, sf_dir):
-    """Where a query's first five words stand: shingles are joined on equality."""
+    """Where runs of five words of an item stand: shingles are joined on equality."""
     five = lambda w: F.transform(F.when(F.size(w) >= 5, F.sequence(F.lit(1), F.size(w) - 4)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(w, i, F.lit(5)), " "))
     words = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))  # split once, not for every shingle
     docs = words.select("doc_id", F.explode(five(F.col("w"))).alias("g"))
-    wanted = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("g")).distinct()
+    wanted = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("w")).select("item_id", F.explode(five(F.col("w"))).alias("g")).distinct()
     return docs.join(wanted, "g").groupBy("item_id").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("docs"))
 
 
@@ -71,11 +71,15 @@ def amino_acids(spark, sf_dir):
     return sequences(spark, sf_dir).select("doc_id", p.alias("p")).select("doc_id", F.md5("p").alias("protein"), F.length("p").cast("long").alias("n"))
 
 
-@query("""WITH b AS (SELECT item_id, substring(text, 1, 12) AS x FROM benchmark) SELECT a.item_id AS a, b.item_id AS b FROM b a JOIN b ON a.item_id < b.item_id AND substring(a.x, 1, 2) = substring(b.x, 1, 2) WHERE CASE WHEN length(a.x) = length(b.x) THEN len(list_filter(generate_series(1, length(a.x)), lambda i: substring(a.x, i, 1) <> substring(b.x, i, 1))) <= 9 ELSE false END""")
+@query("""WITH b AS (SELECT DISTINCT p_type || ' ' || p_brand AS x FROM part) SELECT a.x AS a, b.x AS b FROM b a JOIN b ON a.x < b.x AND length(a.x) = length(b.x) WHERE len(list_filter(generate_series(1, length(a.x)), lambda i: substring(a.x, i, 1) <> substring(b.x, i, 1))) <= 2""")
 def hamming_pairs(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("a"), F.substring("text", 1, 12).alias("x"), F.substring("text", 1, 2).alias("k"))
-    other = b.select(F.col("a").alias("b"), F.col("x").alias("y"), "k")
-    return b.join(other, "k").filter((F.col("a") < F.col("b")) & Q.hamming_within(F.col("x"), F.col("y"), 9)).select("a", "b")
+    """Distinct names within two substitutions: of three thirds one is equal then, so names meet by thirds."""
+    b = table(spark, sf_dir, "part").select(F.concat("p_type", F.lit(" "), F.col("p_brand")).alias("x")).distinct()
+    n = F.length("x")
+    third = F.array(*[F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring("x", F.floor(n * i / 3).cast("int") + 1, (F.floor(n * (i + 1) / 3) - F.floor(n * i / 3)).cast("int")).alias("t")) for i in range(3)])
+    keyed = b.select("x", F.explode(third).alias("k"))
+    pairs = keyed.select(F.col("x").alias("a"), "k").join(keyed.select(F.col("x").alias("b"), "k"), "k").filter("a < b").select("a", "b").distinct()
+    return pairs.filter(Q.hamming_within(F.col("a"), F.col("b"), 2))
 
 
 @query("""SELECT l_orderkey, l_linenumber, m + 2 * i + s AS read_length, m + d AS reference_length, s AS clip, CASE WHEN 30 < s OR (30 >= s + m // 2 AND 30 < s + m // 2 + 2 * i) OR 30 >= s + m + 2 * i THEN NULL WHEN 30 < s + m // 2 THEN 1000 + 30 - s ELSE 1000 + 30 - s - 2 * i + d END AS position

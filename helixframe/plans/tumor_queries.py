@@ -94,11 +94,11 @@ def gender_calls(spark, sf_dir):
     return g.select("sample", "gender", P.aberrations(F.col("gender"), F.col("x"), F.col("y"), F.col("a"), {"21": F.col("t")}).alias("aberrations"))
 
 
-@query("""WITH r AS (SELECT l_suppkey AS s, l_returnflag AS c, (l_quantity * 150000)::BIGINT AS n FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 100 = 1),
+@query("""WITH r AS (SELECT l_orderkey AS s, l_returnflag AS c, (l_quantity * 150000)::BIGINT AS n FROM lineitem),
 b AS (SELECT s, sum(n) / 2.88e9 AS p FROM r WHERE n > 3000000 GROUP BY 1), a AS (SELECT s, count(DISTINCT c) AS k, min(c) AS upd, sum(n) AS t FROM r WHERE n >= 3000000 GROUP BY 1)
 SELECT s AS sample, round(coalesce(p, 0), 8) AS proportion, CASE WHEN k = 1 AND t >= 10000000 THEN upd END AS upd FROM (SELECT DISTINCT s FROM r) LEFT JOIN b USING (s) LEFT JOIN a USING (s)""")
 def consanguinity(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_partkey % 100 = 1").select(F.col("l_suppkey").alias("sample"), F.col("l_returnflag").alias("chromosome"), (F.col("l_quantity") * 150000).cast("long").alias("length"))
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample"), F.col("l_returnflag").alias("chromosome"), (F.col("l_quantity") * 150000).cast("long").alias("length"))
     return C.consanguinity(r, "sample", "chromosome", "length").withColumn("proportion", F.round("proportion", 8))
 
 
@@ -245,8 +245,7 @@ def pgx_haplotypes(spark, sf_dir):
 def receptor_collapse(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     w = d.select("lang", F.explode(F.filter(F.split("text", " "), lambda x: F.length(x).between(6, 8))).alias("s"))
-    common = w.groupBy("lang", "s").agg(F.count("*").alias("n")).filter("n >= 12")
-    return H.collapsed_sequences(w.join(common.select("lang", "s"), ["lang", "s"], "left_semi"), "lang", "s")
+    return H.collapsed_sequences(w, "lang", "s", least=12)
 
 
 @query("""WITH p AS (SELECT item_id, upper(regexp_replace(text, '[^a-z]', '', 'g')) AS s FROM benchmark) SELECT item_id, (i)::INT AS position, substring(s, i, k) AS peptide FROM p, unnest([8, 9]) AS u(k), unnest(generate_series(1, length(s) - k + 1)) AS v(i) WHERE length(s) >= k""")
@@ -277,9 +276,9 @@ def telomere_length(spark, sf_dir):
     return e.select("user_id", "reads", F.round(P.telomere_length(F.col("reads"), F.lit(0.1), F.lit(150), F.lit(30.0), F.lit(0.95)), 6).alias("length"))
 
 
-@query("""SELECT l_suppkey, round(sum(l_quantity) / sum(l_extendedprice / 1000), 8) AS af, round(least(1.0, 2 * avg(l_discount) / (1 + 2 * avg(l_discount) - 2 * avg(l_discount))), 8) AS fraction FROM lineitem WHERE l_discount < 0.09 GROUP BY 1""")
+@query("""SELECT l_suppkey, round(sum(l_quantity) / sum(l_extendedprice / 1000), 8) AS af, round(least(1.0, 2 * avg(l_discount) / (1 + 2 * avg(l_discount) - 2 * avg(l_discount))), 8) AS fraction FROM lineitem GROUP BY 1""")
 def tumor_fraction(spark, sf_dir):
-    s = table(spark, sf_dir, "lineitem").filter("l_discount < 0.09").groupBy("l_suppkey").agg((F.sum("l_quantity") / F.sum(F.col("l_extendedprice") / 1000)).alias("af"), F.avg("l_discount").alias("f"))
+    s = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg((F.sum("l_quantity") / F.sum(F.col("l_extendedprice") / 1000)).alias("af"), F.avg("l_discount").alias("f"))
     return s.select("l_suppkey", F.round("af", 8).alias("af"), F.round(P.tumor_fraction(F.col("f"), F.lit(1.0), F.lit(2.0)), 8).alias("fraction"))
 
 
@@ -294,4 +293,4 @@ def rna_genotype_check(spark, sf_dir):
 def microhomology(spark, sf_dir):
     s = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^acgt]", ""))
     d = table(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
-    return d.select("doc_id", F.when(F.length("s") >= 40, Q.homology(F.col("s"), F.substring("s", 21, 1000), 6)).otherwise(0).alias("homology"))
+    return d.select("doc_id", F.when(F.length("s") >= 40, Q.homology(F.col("s"), F.substring("s", F.lit(21), F.length("s")), 6)).otherwise(0).alias("homology"))

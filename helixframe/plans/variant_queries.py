@@ -36,11 +36,11 @@ def threshold_diff(spark, sf_dir):
     return items(spark, sf_dir).select("l_orderkey", "l_linenumber", D.differs(F.col("l_quantity"), F.lit(25.0), 10).alias("far"), D.differs(F.col("l_discount"), F.col("l_tax"), 0.02, 0.5).alias("both"))
 
 
-PON = "p AS (SELECT l_partkey, l_linenumber, count(DISTINCT l_suppkey) AS samples, max(l_quantity) AS max_reads, sum(l_quantity) AS total_reads FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY ALL HAVING count(DISTINCT l_suppkey) >= 2)"
+PON = "p AS (SELECT l_partkey, l_linenumber, count(DISTINCT l_suppkey) AS samples, max(l_quantity) AS max_reads, sum(l_quantity) AS total_reads FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL HAVING count(DISTINCT l_suppkey) >= 2)"
 
 
 def panel(spark, sf_dir):
-    return V.pon(items(spark, sf_dir).filter("l_orderkey % 2 = 0"), ["l_partkey", "l_linenumber"], "l_suppkey", "l_quantity", 2)
+    return V.pon(items(spark, sf_dir).filter("l_returnflag != 'R'"), ["l_partkey", "l_linenumber"], "l_suppkey", "l_quantity", 2)
 
 
 @query(f"WITH {PON} SELECT * FROM p")
@@ -48,17 +48,17 @@ def pon_build(spark, sf_dir):
     return panel(spark, sf_dir)
 
 
-@query(f"WITH {PON} SELECT l_partkey, l_linenumber, sum(samples)::BIGINT AS samples, max(max_reads) AS max_reads, sum(total_reads) AS total_reads FROM (SELECT * FROM p UNION ALL SELECT l_partkey, l_linenumber, 1, max(l_quantity), sum(l_quantity) FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY ALL) GROUP BY ALL")
+@query(f"WITH {PON} SELECT l_partkey, l_linenumber, sum(samples)::BIGINT AS samples, max(max_reads) AS max_reads, sum(total_reads) AS total_reads FROM (SELECT * FROM p UNION ALL SELECT l_partkey, l_linenumber, 1, max(l_quantity), sum(l_quantity) FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) GROUP BY ALL")
 def pon_combine(spark, sf_dir):
-    other = V.pon(items(spark, sf_dir).filter("l_orderkey % 2 = 1"), ["l_partkey", "l_linenumber"], "l_suppkey", "l_quantity").withColumn("samples", F.lit(1).cast("long"))
+    other = V.pon(items(spark, sf_dir).filter("l_returnflag = 'R'"), ["l_partkey", "l_linenumber"], "l_suppkey", "l_quantity").withColumn("samples", F.lit(1).cast("long"))
     return V.pon_combined([panel(spark, sf_dir), other], ["l_partkey", "l_linenumber"])
 
 
 @query(f"""WITH {PON}, t(tier, s, r) AS (VALUES ('A', 2, 30.0), ('N', 3, 40.0), ('UNKNOWN', 4, 45.0))
-SELECT l_orderkey, l.l_linenumber, samples, coalesce(samples >= s AND max_reads >= r, false) AS pon FROM lineitem l LEFT JOIN p ON l.l_partkey = p.l_partkey AND l.l_linenumber = p.l_linenumber JOIN t ON t.tier = CASE WHEN l_returnflag IN ('A', 'N') THEN l_returnflag ELSE 'UNKNOWN' END WHERE l_orderkey % 2 = 1""")
+SELECT l_orderkey, l.l_linenumber, samples, coalesce(samples >= s AND max_reads >= r, false) AS pon FROM lineitem l LEFT JOIN p ON l.l_partkey = p.l_partkey AND l.l_linenumber = p.l_linenumber JOIN t ON t.tier = CASE WHEN l_returnflag IN ('A', 'N') THEN l_returnflag ELSE 'UNKNOWN' END""")
 def pon_filter(spark, sf_dir):
     tiers = spark.createDataFrame([("A", 2, 30.0), ("N", 3, 40.0), ("UNKNOWN", 4, 45.0)], "tier string, min_samples int, min_reads double")
-    rows = items(spark, sf_dir).filter("l_orderkey % 2 = 1").withColumn("tier", F.col("l_returnflag"))
+    rows = items(spark, sf_dir).withColumn("tier", F.col("l_returnflag"))
     return V.pon_filtered(rows, panel(spark, sf_dir), ["l_partkey", "l_linenumber"], tiers).select("l_orderkey", "l_linenumber", "samples", "pon")
 
 
@@ -148,9 +148,9 @@ def set_except(spark, sf_dir):
     return a.exceptAll(b)
 
 
-@query("SELECT l_partkey FROM lineitem WHERE l_partkey % 4 = 0 AND l_linenumber <= 6 GROUP BY 1 HAVING count(DISTINCT l_linenumber) = 6")
+@query("SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) = 7")
 def intersect_all_samples(spark, sf_dir):
-    return items(spark, sf_dir).filter("l_partkey % 4 = 0 AND l_linenumber <= 6").groupBy("l_partkey").agg(F.count_distinct("l_linenumber").alias("n")).filter("n = 6").drop("n")
+    return items(spark, sf_dir).groupBy("l_partkey").agg(F.count_distinct("l_linenumber").alias("n")).filter("n = 7").drop("n")
 
 
 @query("""SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v FROM (SELECT l_partkey AS k, max(l_quantity) AS v FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) a FULL JOIN (SELECT l_partkey AS k, max(l_quantity) AS v FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) b ON a.k = b.k""")
