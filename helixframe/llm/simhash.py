@@ -19,7 +19,7 @@ Components of the links: repeated star contraction with sums and joins only, eve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,8 @@ BITS = 2
 SEGMENT = (1 << 32) - 1
 
 
-def fingerprints(data: np.ndarray, at: np.ndarray, k: int = 3, seed: int = 42) -> np.ndarray:
-    """Fingerprint of each row of ``data``; rows without words get zero."""
-    out = np.zeros(len(at) - 1, np.uint64)
+def shingle_hashes(data: np.ndarray, at: np.ndarray, k: int, seed: int = 42) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows lo to hi, the hashes of their shingles of k words, repeats included, and where each row's begin; fewer words make one shingle."""
     for lo, hi, raw, where in blocks(data, at):
         low = W.LOWER[raw]
         found = W.split(low, where, W.SOLID)
@@ -62,7 +61,14 @@ def fingerprints(data: np.ndarray, at: np.ndarray, k: int = 3, seed: int = 42) -
         a, b, row = a[order], b[order], row[order]
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(text[x:y], seed) for x, y in zip(a.tolist(), b.tolist())], np.uint64)
-        edge = np.searchsorted(row, np.arange(hi - lo + 1))
+        yield lo, hi, hashes, np.searchsorted(row, np.arange(hi - lo + 1))
+
+
+def fingerprints(data: np.ndarray, at: np.ndarray, k: int = 3, seed: int = 42) -> np.ndarray:
+    """Fingerprint of each row of ``data``; rows without words get zero."""
+    out = np.zeros(len(at) - 1, np.uint64)
+    for lo, hi, hashes, edge in shingle_hashes(data, at, k, seed):
+        row = np.repeat(np.arange(hi - lo), np.diff(edge))
         set_bits = np.zeros((hi - lo, 64), np.int64)
         some = np.flatnonzero(np.diff(edge))
         for c in range(0, len(some), 512):
@@ -167,20 +173,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = stored(with_fingerprint(docs, id_col, text_col), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), hot))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = _with(named.withColumn("group", F.col("root")), names, "root").select("fp", "component_id", "group")
+    return named(marked, distinct, links(distinct.select("fp"), hot), id_col)
+
+
+def named(marked: DataFrame, distinct: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, fp, component_id, group) of marked (id, fp), its distinct (fp, least id) and the edges (a, b) between fps."""
+    roots = components(edges)
+    by_root = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    names = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = _with(by_root.withColumn("group", F.col("root")), names, "root").select("fp", "component_id", "group")
     return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "group")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """One row of each component, that of the least id, with its own columns; texts are shuffled once, or not at all where Spark finds the ids small.
+    """One row of each component, as ``one_of_each`` takes it."""
+    return one_of_each(docs, near_duplicates(docs, id_col, text_col, hot), lambda d, i: with_fingerprint(d, i, text_col), id_col)
+
+
+def one_of_each(docs: DataFrame, marked: DataFrame, keyed: Callable[[DataFrame, str], DataFrame], id_col: str = "doc_id") -> DataFrame:
+    """One row of each component of ``marked``, that of the least id, with its own columns; texts are shuffled once, or not at all where Spark finds the ids small.
 
-    Rows that share the kept id too are told apart by nothing, and one of them stays. Of components without any id, the row of the
-    least fingerprint stays.
+    ``keyed`` gives (id, fp) of docs and a column to carry as id. Rows that share the kept id too are told apart by nothing, and one of
+    them stays. Of components without any id, the row of the least fingerprint stays.
     """
-    marked = stored(near_duplicates(docs, id_col, text_col, hot), "components")
+    marked = stored(marked, "components")
     ids = marked.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("__n"))
     once, more = ids.filter("__n = 1").drop("__n"), ids.filter("__n > 1").drop("__n")
     out = docs.join(once, id_col, "left_semi").select(*docs.columns)
@@ -189,8 +205,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nameless = marked.filter("component_id IS NULL").groupBy("group").agg(F.min("fp").alias("fp"))
     if not nameless.isEmpty():
         own = docs.filter(F.col(id_col).isNull())
-        keyed = with_fingerprint(own.withColumn("__row", F.struct(*own.columns)), "__row", text_col, 3)
-        out = out.union(keyed.join(nameless, "fp", "left_semi").dropDuplicates(["fp"]).select("id.*"))
+        out = out.union(keyed(own.withColumn("__row", F.struct(*own.columns)), "__row").join(nameless, "fp", "left_semi").dropDuplicates(["fp"]).select("id.*"))
     return out
 
 
