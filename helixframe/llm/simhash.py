@@ -193,19 +193,22 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def one_of_each(docs: DataFrame, marked: DataFrame, keyed: Callable[[DataFrame, str], DataFrame], id_col: str = "doc_id") -> DataFrame:
     """One row of each component of ``marked``, that of the least id, with its own columns; texts are shuffled once, or not at all where Spark finds the ids small.
 
-    ``keyed`` gives (id, fp) of docs and a column to carry as id. Rows that share the kept id too are told apart by nothing, and one of
-    them stays. Of components without any id, the row of the least fingerprint stays.
+    ``keyed`` gives (id, fp) of docs and a column to carry as id. The row is chosen by id and fingerprint, as one id may stand on unlike
+    texts; rows that share both are told apart by nothing, and one of them stays. Of components without any id, the row of the least
+    fingerprint stays.
     """
     marked = stored(marked, "components")
-    ids = marked.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("__n"))
-    once, more = ids.filter("__n = 1").drop("__n"), ids.filter("__n > 1").drop("__n")
-    out = docs.join(once, id_col, "left_semi").select(*docs.columns)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("__id"), F.col("fp").alias("__fp"))).alias("k")
+    kept = stored(marked.groupBy("group").agg(first).select("k.__id", "k.__fp"), "kept")
+    often = marked.groupBy(F.col(id_col).alias("__own")).agg(F.count("*").alias("__n")).filter("__n > 1 OR __own IS NULL").select("__own")
+    shared = F.col("__id").eqNullSafe(F.col("__own"))
+    out = docs.join(kept.join(often, shared, "left_anti").select(F.col("__id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
+    more = kept.join(often, shared, "left_semi")
     if not more.isEmpty():
-        out = out.union(docs.join(more, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns))
-    nameless = marked.filter("component_id IS NULL").groupBy("group").agg(F.min("fp").alias("fp"))
-    if not nameless.isEmpty():
-        own = docs.filter(F.col(id_col).isNull())
-        out = out.union(keyed(own.withColumn("__row", F.struct(*own.columns)), "__row").join(nameless, "fp", "left_semi").dropDuplicates(["fp"]).select("id.*"))
+        own = docs.join(more.select("__id").distinct(), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+        rows = keyed(own.withColumn("__row", F.struct(*own.columns)), "__row")
+        # A fingerprint is in one component, which keeps one row.
+        out = out.union(rows.join(more, (F.col("fp") == F.col("__fp")) & F.col(f"id.{id_col}").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["fp"]).select("id.*"))
     return out
 
 
