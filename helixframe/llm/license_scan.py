@@ -1,7 +1,7 @@
 """License scans with ordered signature rules, in DataFrame functions only.
 
 A text is brought to one form: runs of separators become one space, A-Z are lower-cased, and a space stands at either end, so
-rules are written over words. Every rule has a keyword; it runs only on texts
+rules are written over words. Every rule has a keyword, which every string of its pattern contains; it runs only on texts
 with its keyword, and keywords are looked for only in texts that have one of a few words that cover them all. Matches are ordered by
 start, longest first. A match inside another of at least its priority is suppressed, but for base rules, which always stay.
 
@@ -71,9 +71,9 @@ SIGNATURES: list[tuple[int, str, str, str]] = [
     (0, "postgresql", "postgresql", r"postgresql is released under the postgresql license"),
     (0, "json", "used for good", r"the software shall be used for good not evil"),
     (0, "beerware", "buy me a beer", r"you can buy me a beer in return"),
-    (0, "ms-pl", "microsoft public", r"this license governs use of the accompanying software"),
+    (0, "ms-pl", "accompanying software", r"this license governs use of the accompanying software"),
     (0, "artistic-2.0", "artistic license", r"artistic license 2 0 copyright"),
-    (0, "vim", "vim license", r"vim is charityware"),
+    (0, "vim", "charityware", r"vim is charityware"),
     # Names with versions
     (1, "gpl-3.0", "gpl", r"(?:gnu )?gpl{v} ?3(?: 0)?(?! \d)"), (1, "gpl-2.0", "gpl", r"(?:gnu )?gpl{v} ?2(?: 0)?(?! \d)"), (1, "gpl-1.0", "gpl", r"(?:gnu )?gpl{v} ?1(?: 0)?(?! \d)"),
     (1, "gpl-3.0", "general public license", r"gnu general public license{v} 3(?: 0)?"), (1, "gpl-2.0", "general public license", r"gnu general public license{v} 2(?: 0)?"),
@@ -121,17 +121,17 @@ SIGNATURES: list[tuple[int, str, str, str]] = [
     (2, "cc-by-nc-nd", "creativecommons", r"creativecommons org licenses by nc nd(?: [1-4] [05])?"), (2, "cc0-1.0", "creativecommons", r"creativecommons org publicdomain zero(?: 1 0)?"), (2, "public-domain", "creativecommons", r"creativecommons org publicdomain mark(?: 1 0)?"), (2, "odbl-1.0", "opendatacommons", r"opendatacommons org licenses odbl"),
     (2, "odc-by-1.0", "opendatacommons", r"opendatacommons org licenses by"), (2, "pddl-1.0", "opendatacommons", r"opendatacommons org licenses pddl"),
     # Bare names
-    (2, "gpl", "gpl", r"gpl"), (2, "gpl", "gpled", r"gpled"), (2, "gpl", "general public", r"gnu public license"), (2, "lgpl", "lgpl", r"lgpl"), (2, "lgpl", "lesser general public", r"gnu lesser general public license"), (2, "lgpl", "library general public", r"gnu library general public license"), (2, "agpl", "agpl", r"agpl"),
+    (2, "gpl", "gpl", r"gpl"), (2, "gpl", "gpled", r"gpled"), (2, "gpl", "gnu public", r"gnu public license"), (2, "lgpl", "lgpl", r"lgpl"), (2, "lgpl", "lesser general public", r"gnu lesser general public license"), (2, "lgpl", "library general public", r"gnu library general public license"), (2, "agpl", "agpl", r"agpl"),
     (2, "agpl", "affero", r"(?:gnu )?affero general public license"), (2, "gfdl", "free documentation", r"gnu free documentation license"), (2, "gfdl", "gfdl", r"gfdl"), (2, "apache", "apache", r"apache software license"), (2, "mit", "mit", r"(?:under|the) mit licen[cs]ed?"), (2, "mit", "mit", r"mit licensed"), (2, "mit", "expat", r"expat license"), (2, "x11", "x11", r"x11 license"),
     (2, "isc", "isc", r"isc license"), (2, "bsd", "bsd", r"bsd (?:style )?licen[cs]ed?"), (2, "zlib", "zlib", r"zlib(?: libpng)? license"), (2, "libpng", "libpng", r"libpng license"), (2, "mpl", "mozilla", r"mozilla public license"), (2, "epl", "eclipse", r"eclipse public license"), (2, "cddl", "cddl", r"cddl"), (2, "cddl", "common development and distribution", r"common development and distribution license"),
     (2, "eupl", "european union public", r"european union public licen[cs]e"), (2, "osl", "open software license", r"open software license"), (2, "afl", "academic free", r"academic free license"), (2, "artistic", "artistic", r"artistic license"), (2, "bsl-1.0", "boost", r"boost (?:software )?license"), (2, "busl", "business source", r"business source license"), (2, "sspl", "sspl", r"sspl"), (2, "sspl", "server side public", r"server side public license"),
-    (2, "creative-commons", "creative commons", r"creative commons(?: licen[cs]e)?"), (2, "cc-by", "creative commons", r"creative commons attribution(?: licen[cs]e)?"), (2, "unlicense", "unlicense", r"(?:the )?unlicense"), (2, "ofl", "open font", r"open font license"), (2, "openrail", "rail", r"(?:responsible ai|rail) license"), (2, "llama", "llama", r"llama community license"), (2, "python-2.0", "psf", r"psf license"), (2, "ruby", "ruby", r"ruby license"), (2, "php", "php license", r"php license"),
+    (2, "creative-commons", "creative commons", r"creative commons(?: licen[cs]e)?"), (2, "cc-by", "creative commons", r"creative commons attribution(?: licen[cs]e)?"), (2, "unlicense", "unlicense", r"(?:the )?unlicense"), (2, "ofl", "open font", r"open font license"), (2, "openrail", "responsible ai", r"responsible ai license"), (2, "openrail", "rail", r"rail license"), (2, "llama", "llama", r"llama community license"), (2, "python-2.0", "psf", r"psf license"), (2, "ruby", "ruby", r"ruby license"), (2, "php", "php license", r"php license"),
     (2, "perl", "perl", r"same terms as perl(?: itself)?"), (2, "postgresql", "postgresql", r"postgresql license"), (2, "openssl", "openssl", r"openssl license"), (2, "curl", "curl", r"curl license"), (2, "ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)? license"), (2, "hpnd", "historical permission", r"historical permission notice and disclaimer"), (2, "w3c", "w3c", r"w3c(?: software)?(?: notice and)? license"), (2, "unicode", "unicode", r"unicode license"),
     (2, "sleepycat", "sleepycat", r"sleepycat license"), (2, "qpl", "q public", r"q public license"), (2, "ipl", "ibm public", r"ibm public license"), (2, "cpl", "common public", r"common public license"), (2, "cpal", "common public attribution", r"common public attribution license"), (2, "rpl", "reciprocal public", r"reciprocal public license"), (2, "nasa", "nasa", r"nasa open source agreement"), (2, "ecl-2.0", "educational community", r"educational community license"),
-    (2, "ogl-uk-3.0", "open government", r"open government licen[cs]e"), (2, "beerware", "beerware", r"beer ?ware license"), (2, "jsr", "java research", r"java research license"), (2, "sun-bcl", "binary code license", r"binary code license(?: agreement)?"), (2, "vim", "vim license", r"vim license"), (2, "tcl", "tcl", r"tcl tk license"), (2, "naist", "naist", r"naist license"), (2, "freetype", "freetype", r"freetype (?:project )?license"), (2, "ijg", "independent jpeg", r"independent jpeg group"),
+    (2, "ogl-uk-3.0", "open government", r"open government licen[cs]e"), (2, "beerware", "ware license", r"beer ?ware license"), (2, "jsr", "java research", r"java research license"), (2, "sun-bcl", "binary code license", r"binary code license(?: agreement)?"), (2, "vim", "vim license", r"vim license"), (2, "tcl", "tcl", r"tcl tk license"), (2, "naist", "naist", r"naist license"), (2, "freetype", "freetype", r"freetype (?:project )?license"), (2, "ijg", "independent jpeg", r"independent jpeg group"),
     # Generic
     (3, "proprietary", "proprietary", r"proprietary (?:and confidential|license|software)"), (3, "all-rights-reserved", "all rights reserved", r"all rights reserved"), (3, "commercial", "commercial license", r"commercial license"), (3, "eula", "end user license", r"end user license agreement"), (3, "public-domain", "public domain", r"(?:in|into) the public domain"),
-    (3, "no-license", "unlicensed", r"unlicensed"), (3, "freeware", "freeware", r"freeware"), (3, "shareware", "shareware", r"shareware"), (3, "see-license", "see license", r"see (?:the )?licen[cs]e(?: file| txt| md)?"), (3, "open-source", "open source license", r"open source license"),
+    (3, "no-license", "unlicensed", r"unlicensed"), (3, "freeware", "freeware", r"freeware"), (3, "shareware", "shareware", r"shareware"), (3, "see-license", "see licen", r"see licen[cs]e(?: file| txt| md)?"), (3, "see-license", "see the licen", r"see the licen[cs]e(?: file| txt| md)?"), (3, "open-source", "open source license", r"open source license"),
 ]
 
 #: Identifiers that a tag may name, with their versions' words.
