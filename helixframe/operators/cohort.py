@@ -107,14 +107,14 @@ def shared_weights(compatible: DataFrame, fragment: str, alleles: str) -> DataFr
     return each.groupBy("allele").agg(F.count_if(F.col("k") == 1).alias("unique"), F.sum(F.when(F.col("k") > 1, 1 / F.col("k")).otherwise(0.0)).alias("shared"), F.sum(1 / F.col("k")).alias("total"))
 
 
-def tpm(rows: DataFrame, by: list[str], gene: str, fragments: str, length: str, enriched: list[str] | None = None, cap: float = 0.01, steps: int = 10) -> DataFrame:
+def tpm(rows: DataFrame, by: list[str], gene: str, fragments: str, length: str, enriched: list[str] | Column | None = None, cap: float = 0.01, steps: int = 10) -> DataFrame:
     """The rows with ``tpm``: fragments per kb over the sample's adjusted total in millions.
 
-    The total leaves out enriched genes and caps any gene at ``cap`` of it, by up to ``steps`` rounds over sums per sample.
+    The total leaves out enriched genes, given as names or as a condition, and caps any gene at ``cap`` of it, by up to ``steps`` rounds over sums per sample.
     """
     per_kb = F.col(fragments) * 1000 / F.col(length)
     rated = rows.withColumn("__rate", per_kb)
-    used = rated.filter(~F.col(gene).isin(enriched or []))
+    used = rated.filter(~(enriched if isinstance(enriched, Column) else F.col(gene).isin(enriched or [])))
     total = used.groupBy(*by).agg(F.sum("__rate").alias("__total"))
     for _ in range(steps):
         total = used.join(total, by).groupBy(*by).agg(F.sum(F.least("__rate", cap * F.col("__total"))).alias("__total"))
