@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def ranked_complexes(complexes: DataFrame, sample: str, score: str, coverage: str, name: str, spread: float = 0.01, cull: float = 0.25) -> DataFrame:
     """Complexes of each sample with a score of at least the top less ``spread`` of the top's coverage, two at least, ranked; first those that lack too much coverage are culled."""
@@ -82,23 +84,37 @@ def called_haplotypes(events: DataFrame, known: dict[str, dict[str, dict[str, in
     return events.groupBy("sample", "gene").applyInPandas(run, f"sample {kind}, gene string, haplotype string, count long")
 
 
-def collapsed_sequences(reads: DataFrame, locus: str, sequence: str, edits: int = 1, least: int = 1) -> DataFrame:
-    """(locus, sequence, support): sequences that another of more support holds, or equals up to ``edits`` substitutions, add to it. Reads are counted by sequence first, and sequences of under ``least`` reads are noise."""
-    counted = reads.groupBy(locus, sequence).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    kind = counted.schema[locus].dataType.simpleString()
+def collapsed_sequences(reads: DataFrame, locus: str, sequence: str, rounds: int = 1000) -> DataFrame:
+    """(locus, sequence, support): each sequence, in the order of more reads, greater length and text, adds to the first kept one that holds it or equals it but for one substitution; without any it is kept.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for s, n in sorted(zip(rows[sequence], rows["n"]), key=lambda x: (-x[1], -len(x[0]), x[0])):
-            for k in kept:
-                if s in k[0] or (len(s) == len(k[0]) and sum(a != b for a, b in zip(s, k[0])) <= edits):
-                    k[1] += int(n)
-                    break
-            else:
-                kept.append([s, int(n)])
-        return pd.DataFrame({locus: rows[locus].iloc[0], sequence: [k[0] for k in kept], "support": [k[1] for k in kept]})
-
-    return counted.groupBy(locus).applyInPandas(run, f"{locus} {kind}, {sequence} string, support long")
+    Sequences meet by their pieces and by what is left of them without one letter, so no task compares all of a locus. Which are kept is settled by
+    rounds of joins over those pairs: a sequence without an earlier undecided or kept partner is kept, and the partners after it are not.
+    """
+    text = F.col("s")
+    counted = stored(reads.groupBy(F.struct(F.col(locus).alias("own")).alias("l"), F.col(sequence).alias("s")).agg(F.count("*").alias("n")).filter("s IS NOT NULL"), "sequences")
+    place = F.struct((-F.col("n")).alias("n"), (-F.length("s")).alias("z"), "s").alias("at")
+    every = counted.select("l", "s", place)
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length(text) - i + 1), lambda n: F.substring(text, i, n))))
+    holds = every.select("l", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), pieces))).alias("p"), F.col("at").alias("to")).join(every.select("l", F.col("s").alias("p"), "at"), ["l", "p"]).select("l", "at", "to")
+    gaps = every.select("l", "at", F.posexplode(F.transform(starts, lambda i: F.struct(F.substring(text, F.lit(1), i - 1).alias("a"), F.substring(text, i + 1, F.length(text)).alias("b")))).alias("i", "g"))
+    alike = gaps.join(gaps.withColumnRenamed("at", "to"), ["l", "i", "g"]).select("l", "at", "to")
+    pairs = stored(holds.union(alike).filter("to < at").distinct(), "pairs")
+    kept, edges, open_ = None, pairs, every.select("l", "at")
+    for _ in range(rounds):
+        first = stored(open_.join(edges, ["l", "at"], "left_anti"), "kept")
+        kept = first if kept is None else kept.union(first)
+        if edges.isEmpty():
+            break
+        gone = stored(edges.join(first.withColumnRenamed("at", "to"), ["l", "to"], "left_semi").select("l", "at").distinct(), "gone")
+        open_ = stored(open_.join(first, ["l", "at"], "left_anti").join(gone, ["l", "at"], "left_anti"), "open")
+        edges = stored(edges.join(gone, ["l", "at"], "left_anti").join(gone.withColumnRenamed("at", "to"), ["l", "to"], "left_anti").select("l", "at", "to"), "pairs")
+    else:
+        raise RuntimeError(f"sequences did not settle in {rounds} rounds")
+    own = kept.select("l", "at", F.col("at").alias("to"))
+    joined = pairs.join(kept.withColumnRenamed("at", "to"), ["l", "to"]).join(kept, ["l", "at"], "left_anti").groupBy("l", "at").agg(F.min("to").alias("to"))
+    out = own.unionByName(joined).groupBy("l", "to").agg(F.sum(-F.col("at.n")).alias("support"))
+    return out.select(F.col("l.own").alias(locus), F.col("to.s").alias(sequence), "support")
 
 
 def peptides(proteins: DataFrame, ident: str, protein: str, lengths: list[int]) -> DataFrame:

@@ -244,8 +244,8 @@ def pgx_haplotypes(spark, sf_dir):
 @query()
 def receptor_collapse(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    w = d.select("lang", F.explode(F.filter(F.split("text", " "), lambda x: F.length(x).between(6, 8))).alias("s"))
-    return H.collapsed_sequences(w, "lang", "s", least=12)
+    w = d.select("lang", F.explode(F.filter(F.split("text", " "), lambda x: x != "")).alias("s"))
+    return H.collapsed_sequences(w, "lang", "s")
 
 
 @query("""WITH p AS (SELECT item_id, upper(regexp_replace(text, '[^a-z]', '', 'g')) AS s FROM benchmark) SELECT item_id, (i)::INT AS position, substring(s, i, k) AS peptide FROM p, unnest([8, 9]) AS u(k), unnest(generate_series(1, length(s) - k + 1)) AS v(i) WHERE length(s) >= k""")
