@@ -13,6 +13,11 @@ _erf = np.vectorize(math.erf, otypes=[float])
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
+def lgamma_array(x: np.ndarray) -> np.ndarray:
+    """Named in this module, so that functions shipped to workers refer to it and don't carry the vectorised object, which can't be pickled once used."""
+    return _lgamma(np.asarray(x, float))
+
+
 def normal_cdf_array(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + _erf(np.asarray(x, float) / math.sqrt(2)))
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import _lgamma, poisson_pmf_array
+from ..functions.stats import lgamma_array, poisson_pmf_array
 
 
 def purity_grid(spark: SparkSession, low: float = 0.08, high: float = 1.0, step: float = 0.01, ploidies: list[tuple[float, float, float]] | None = None) -> DataFrame:
@@ -45,7 +45,7 @@ def near_best(scores: DataFrame, relative: float = 0.1, absolute: float = 0.0005
 
 
 def fit_choice(scores: DataFrame, diploid: float, spread_limit: float = 0.15, least_diploid: float = 0.95) -> str:
-    """NORMAL, HIGHLY_DIPLOID or NO_TUMOR style choice, from the near-best range of purity."""
+    """NO_TUMOR without any score, SOMATIC where the tumor is almost all diploid and near-best purities spread widely, else NORMAL."""
     r = near_best(scores).agg(F.min("purity").alias("a"), F.max("purity").alias("b")).first()
     if r.a is None:
         return "NO_TUMOR"
@@ -87,7 +87,7 @@ def tinc(variants: DataFrame, depth: str, support: str, frequency: str, levels:
     @F.pandas_udf("double")
     def binomial(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
         a, b, c = k.to_numpy(float), n.to_numpy(float), np.clip(p.to_numpy(float), 1e-12, 1 - 1e-12)
-        return pd.Series(np.where(a > b, 0.0, np.exp(_lgamma(b + 1) - _lgamma(a + 1) - _lgamma(np.maximum(b - a, 0) + 1) + a * np.log(c) + (b - a) * np.log1p(-c))))
+        return pd.Series(np.where(a > b, 0.0, np.exp(lgamma_array(b + 1) - lgamma_array(a + 1) - lgamma_array(np.maximum(b - a, 0) + 1) + a * np.log(c) + (b - a) * np.log1p(-c))))
 
     model = shape.join(F.broadcast(grid), F.lit(True)).groupBy("level", "k").agg(F.sum(F.col("n") * binomial("k", "dp", F.col("level") * F.col("af"))).alias("m"))
     seen = variants.filter(F.col(support) <= most).groupBy(F.col(support).cast("int").alias("k")).agg(F.count("*").alias("o"))

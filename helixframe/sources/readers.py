@@ -80,14 +80,15 @@ def variants(spark: SparkSession, path: str) -> DataFrame:
 def alignments(spark: SparkSession, path: str, regions: DataFrame | None = None, least_quality: int = 0, duplicates: bool = True, supplementary: bool = True) -> DataFrame:
     """Records of SAM text: name, flags, chromosome, position, mapping quality, cigar, mate, bases, qualities, tags map; end follows from the cigar.
 
-    regions: a small table (chromosome, start, end) that reads must overlap, one row each; it is broadcast after a check of its size.
+    regions: a table (chromosome, start, end) that reads must overlap; they are merged, and a read that meets several comes once. The range join is by bins, so
+    the table may be of any size.
     """
     from ..functions.sequences import cigar_length
 
     lines = spark.read.text(path).filter(~F.col("value").startswith("@") & (F.col("value") != ""))
-    p = F.split("value", "\t")
-    at = lambda i: F.get(p, F.lit(i))
-    tags = F.map_from_entries(F.transform(F.slice(p, 12, 10_000), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, F.lit(6), F.length(t)).alias("v"))))
+    lines = lines.select(F.split("value", "\t").alias("p"))
+    at = lambda i: F.get("p", F.lit(i))
+    tags = F.map_from_entries(F.transform(F.slice("p", F.lit(12), F.greatest(F.lit(0), F.size("p") - 11)), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, F.lit(6), F.length(t)).alias("v"))))
     reads = lines.select(
         at(0).alias("name"), at(1).try_cast("int").alias("flags"), at(2).alias("chromosome"), at(3).try_cast("long").alias("position"), at(4).try_cast("int").alias("mapq"), at(5).alias("cigar"),
         F.when(at(6) == "=", at(2)).otherwise(at(6)).alias("mate_chromosome"), at(7).try_cast("long").alias("mate_position"), at(8).try_cast("long").alias("insert_size"), at(9).alias("bases"), at(10).alias("qualities"), tags.alias("tags"),
@@ -114,10 +115,8 @@ def sequences(spark: SparkSession, path: str, chunk: int = 1000) -> DataFrame:
     raw = spark.read.option("lineSep", ">").text(path).filter("value != ''")
     head = F.substring_index("value", "\n", 1)
     bases = F.regexp_replace(F.substring("value", F.length(head) + 2, F.length("value")), "\\s", "")
-    whole = raw.select(F.split(head, "\\s").getItem(0).alias("contig"), bases.alias("b"))
-    count = F.ceil(F.length("b") / chunk).cast("int")
-    cut = whole.filter("b != ''").select("contig", "b", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk"))
-    return cut.select("contig", "chunk", F.substring("b", F.col("chunk") * chunk + 1, F.lit(chunk)).alias("bases"))
+    # All chunks come from one pass over the contig; a substring for each would count characters from its start again and again.
+    return raw.select(F.split(head, "\\s").getItem(0).alias("contig"), F.posexplode(F.regexp_extract_all(bases, F.lit(f".{{1,{chunk}}}"), F.lit(0))).alias("chunk", "bases"))
 
 
 def base_string(chunks: DataFrame, regions: DataFrame, chunk: int = 1000) -> DataFrame:
@@ -133,11 +132,22 @@ def base_string(chunks: DataFrame, regions: DataFrame, chunk: int = 1000) -> Dat
 def reads_of(spark: SparkSession, path: str, umi_length: int = 0) -> DataFrame:
     """(name, bases, qualities) of FASTQ files; ``umi_length`` bases move from the front of the read into its name.
 
-    Records are told by the separator of a newline and the name's sign; a quality line that begins with that sign is put back by its length.
+    Records are told by the separator of a newline and the name's sign. A quality line that begins with that sign is cut off its record: such a piece
+    has no newline, and its record has no quality line. The piece is the next one of the same split, or the first of the split that follows in the file, and
+    is joined back by that place; whole records are not shuffled. A record whose quality line is missing altogether has null qualities.
     """
-    raw = spark.read.option("lineSep", "\n@").text(path)
+    raw = spark.read.option("lineSep", "\n@").text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", "_metadata.file_block_length", F.monotonically_increasing_id().alias("at"))
     lines = F.split(F.regexp_replace("value", "^@", ""), "\n")
-    row = raw.select(F.get(lines, F.lit(0)).alias("name"), F.get(lines, F.lit(1)).alias("bases"), F.get(lines, F.lit(3)).alias("qualities")).filter("bases IS NOT NULL")
+    raw = raw.withColumn("l", lines)
+    read = lambda q: [F.get("l", F.lit(0)).alias("name"), F.get("l", F.lit(1)).alias("bases"), q.alias("qualities")]
+    cut = (F.size("l") < 4) & F.get("l", F.lit(2)).startswith("+")
+    whole = raw.filter((F.size("l") > 1) & ~F.coalesce(cut, F.lit(False))).select(*read(F.get("l", F.lit(3))))
+    broken, rest = raw.filter(cut), raw.filter(F.size("l") == 1)
+    near = rest.select((F.col("at") - 1).alias("__at"), F.col("value").alias("near"))
+    # The first piece of a split: nothing of the split stands before it.
+    begin = rest.filter(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) == 0).select(F.col("file_path").alias("__f"), F.col("file_block_start").alias("__s"), F.col("value").alias("far"))
+    joined = broken.join(near, F.col("at") == F.col("__at"), "left").join(begin, (F.col("file_path") == F.col("__f")) & (F.col("file_block_start") + F.col("file_block_length") == F.col("__s")), "left")
+    row = whole.union(joined.select(*read(F.concat(F.lit("@"), F.coalesce("near", "far")))))
     if not umi_length:
         return row
     cut: dict[str, Column] = {c: F.substring(c, F.lit(umi_length + 1), F.length(c)) for c in ("bases", "qualities")}
@@ -145,14 +155,15 @@ def reads_of(spark: SparkSession, path: str, umi_length: int = 0) -> DataFrame:
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
-    """(chromosome, source, feature, start, end, strand, attributes map) of GTF files."""
+    """(chromosome, source, feature, start, end, strand, attributes map, every map) of GTF files: attributes has each key's first value, every has all of them, in order."""
     lines = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.col("value") != ""))
     p = F.split("value", "\t")
     at = lambda i: F.get(p, F.lit(i))
     keys, values = (F.regexp_extract_all(at(8), F.lit(r'(\w+) "([^"]*)"'), F.lit(i)) for i in (1, 2))
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
     firsts = F.map_from_entries(F.filter(pairs, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
-    return lines.select(at(0).alias("chromosome"), at(1).alias("source"), at(2).alias("feature"), at(3).try_cast("long").alias("start"), at(4).try_cast("long").alias("end"), at(6).alias("strand"), firsts.alias("attributes"))
+    every = F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("k"), F.transform(F.filter(pairs, lambda e: e["k"] == k), lambda e: e["v"]).alias("v"))))
+    return lines.select(at(0).alias("chromosome"), at(1).alias("source"), at(2).alias("feature"), at(3).try_cast("long").alias("start"), at(4).try_cast("long").alias("end"), at(6).alias("strand"), firsts.alias("attributes"), every.alias("every"))
 
 
 def flagstat(spark: SparkSession, path: str) -> DataFrame:
