@@ -174,10 +174,20 @@ def flagstat(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gene_cache(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Genes, exons and protein features of a transcript cache (CSV files with headers)."""
+    """Genes and exons of a transcript cache (CSV files with headers); protein_features, splice_acceptors and amino_acids where their files are there."""
     genes = delimited(spark, f"{folder}/ensembl_gene_data.csv", "GeneId string, GeneName string, Chromosome string, Strand int, GeneStart long, GeneEnd long, KaryotypeBand string, Synonyms string", ",")
     exons = delimited(spark, f"{folder}/ensembl_trans_exon_data.csv", "GeneId string, CanonicalTranscriptId string, Strand int, TransId int, TransName string, BioType string, TransStart long, TransEnd long, ExonRank int, ExonStart long, ExonEnd long, ExonPhase int, ExonEndPhase int, CodingStart long, CodingEnd long", ",")
-    return {"genes": genes, "exons": exons}
+    out = {"genes": genes, "exons": exons}
+    more = {
+        "protein_features": ("ensembl_protein_features.csv", "TranscriptId int, TranslationId int, ProteinFeatureId string, SeqStart int, SeqEnd int, HitDescription string"),
+        "splice_acceptors": ("ensembl_trans_splice_data.csv", "GeneId string, TransId int, TransName string, TransStartPos long, PreSpliceAcceptorPosition long, Distance int"),
+        "amino_acids": ("ensembl_trans_amino_acids.csv", "GeneId string, GeneName string, TransName string, Canonical boolean, AminoAcids string"),
+    }
+    for name, (file, schema) in more.items():
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{file}")
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            out[name] = delimited(spark, f"{folder}/{file}", schema, ",")
+    return out
 
 
 def normalised_frequencies(rows: DataFrame, locus: str, population: str, frequency: str) -> DataFrame:

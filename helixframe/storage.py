@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .shipping import ship
 
+#: The open scopes of ``scratch``, innermost last: what each has to delete.
+_scopes: list[list[str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
@@ -23,22 +28,48 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
 
 
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, which the innermost ``scratch`` scope deletes at its end; without one it stays."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discarded(df: DataFrame) -> None:
     """Delete the files of a ``stored`` table that nothing reads any more."""
-    spark = df.sparkSession
     if path := getattr(df, "stored_at", None):
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        removed(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what operators wrote into the shared folder within it. Results must be written (or read) inside: they are lazy.
+
+    ``with scratch(spark): near_duplicates(docs).write.parquet(out)`` leaves only ``out``. Scopes nest; each has its own paths.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            removed(spark, path)
