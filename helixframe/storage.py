@@ -33,17 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, which the innermost ``scratch`` scope deletes at its end; without one it stays."""
+def scratch_path(spark: SparkSession, what: str, outlives: bool = False) -> str:
+    """A new path in the shared folder, which the innermost ``scratch`` scope deletes at its end, or, if it outlives that, the next outer one; without one it stays."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if len(_scopes) > outlives:
+        _scopes[-1 - outlives].append(path)
     return path
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, outlives: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again."""
-    path = scratch_path(df.sparkSession, what)
+    path = scratch_path(df.sparkSession, what, outlives)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
