@@ -1,4 +1,4 @@
-"""What the operators share: reading tables, the shared scratch folder, and Arrow columns as numpy bytes.
+"""What the operators share: the library's tables and shared folder, bounded Arrow batches, and Arrow columns as numpy bytes.
 
 Texts reach numpy as the UTF-8 buffer of an Arrow column, in blocks of whole rows of at most
 ``BLOCK_BYTES`` (one longer row is a block of its own), so memory follows the block and never
@@ -8,69 +8,47 @@ the partition.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from ..shipping import ship
+from ..storage import discarded, scratch, scratch_path, stored, table
+
+__all__ = ["blocks", "discarded", "fresh", "in_batches", "opened", "scratch", "scratch_path", "stored", "table", "tokenizer_path", "utf8"]
 
 BLOCK_BYTES = 512 << 10
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one, in local mode only."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discarded(df: DataFrame) -> None:
-    """Delete the files of a ``stored`` table that nothing reads any more."""
-    spark = df.sparkSession
-    if path := getattr(df, "stored_at", None):
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def in_batches(df: DataFrame, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
+    """``df``, after limiting the session's Arrow batches to ``rows`` rows and about ``size`` bytes if it allows more: whole texts are long, and a batch is held by the JVM and by Python.
 
-
-def in_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """``df``, after limiting the session's Arrow batches to ``rows`` rows if it allows more: whole texts are long, and a batch is held by the JVM and by Python.
-
-    The package is shipped too, as what follows runs in Python workers.
+    One longer row is a batch of its own. The package is shipped too, as what follows runs in Python workers.
     """
     ship(df.sparkSession)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, str(rows))
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        if not 0 < int(conf.get(f"spark.sql.execution.arrow.{key}").rstrip("bB")) <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each row begins, with the end as last entry; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -101,3 +79,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return os.fspath(public_tokenizers.path(name))
+
+
+def opened(path: str):
+    """The file system of a URI or path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import blocks, in_batches, table, utf8
+from .common import blocks, fresh, in_batches, table, utf8
 
 #: Largest share of characters in words that may lie inside duplicated windows, by words in a window.
 GRAM_SHARES = {5: 0.35, 6: 0.34, 7: 0.33, 8: 0.32, 9: 0.31, 10: 0.30}
@@ -90,8 +90,9 @@ def repetition(docs: DataFrame, text_col: str = "text", shares: dict[int, float]
     """The rows of docs with COUNTS, base_failed, kept, and dup_gram_share (the largest share over the lengths) and dup_line_share.
 
     base_failed: under 20 words, or over 30 % of the words in repeated windows of 8. kept: neither that, nor a share over its limit.
-    Words are runs without white space (U+0020, U+0009 to U+000D); a null or empty text has none and fails. Repeated rows
-    each get a row, an empty table gives none; columns of docs that have the result's names are replaced.
+    Words are runs without white space (U+0020, U+0009 to U+000D); a null or empty text has none and fails. Windows and lines are compared within
+    one text by 64-bit hashes; of equal lines the first is no duplicate. Repeated rows each get a row with equal results, an empty table gives none; columns of docs
+    that have the result's names are replaced. Memory holds one block of texts, or one longer text with about 100 bytes for each of its words.
     """
     limits = GRAM_SHARES if shares is None else shares
     results = [*COUNTS, "base_failed", "kept", "dup_gram_share", "dup_line_share"]
@@ -118,7 +119,7 @@ def repetition(docs: DataFrame, text_col: str = "text", shares: dict[int, float]
             columns = [*batch.columns[: len(keep)], *[pa.array(m[c], pa.int64()) for c in COUNTS], pa.array(failed), pa.array(~failed & ~over), pa.array(share), pa.array(lines)]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *results])
 
-    return in_batches(docs).select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return in_batches(docs).select(*keep, F.col(text_col).cast("string").alias(fresh(docs, "__text")[0])).mapInArrow(run, schema)
 
 
 def op7_repetition(spark, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ _VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uin
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+TILE = 1 << 19
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -45,12 +46,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span start:end."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * powers(_BASE, len(data)), out=total[1:])
-    sums = (total[ends] - total[starts]) * powers(_UNBASE, len(data) + 1)[starts]
+    """A hash of the bytes of each span start:end; spans stand in order and don't overlap.
+
+    Spans are taken in tiles of at most ``TILE`` bytes, so tables and sums follow the tile and not the text; a longer span is summed up in pieces.
+    """
+    sums = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = int(np.searchsorted(ends, lo + TILE, "right"))
+        if j > i:
+            piece = data[lo : ends[j - 1]]
+            total = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(_VALUE[piece] * powers(_BASE, len(piece)), out=total[1:])
+            a = starts[i:j] - lo
+            sums[i:j] = (total[ends[i:j] - lo] - total[a]) * powers(_UNBASE, len(piece) + 1)[a]
+        else:
+            j, own = i + 1, 0
+            for at in range(lo, int(ends[i]), TILE):
+                piece = data[at : min(at + TILE, int(ends[i]))]
+                own += int((_VALUE[piece] * powers(_BASE, len(piece))).sum(dtype=np.uint64)) * pow(_BASE, at - lo, 1 << 64)
+            sums[i] = np.uint64(own % (1 << 64))
+        i = j
     return mix(sums + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
