@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, shared_dir, stored, table
+from .common import in_batches, opened, scratch_path, stored, table
 
 LEAST = 1000
 #: Magic numbers of the dictionary's frame, of any skippable frame (lowest of 16), and of a Zstandard frame.
@@ -52,9 +52,13 @@ def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", tex
 
 
 def dictionary_of(pages: DataFrame, text_col: str = "html", samples: int = SAMPLES) -> bytes:
-    """Trained on the beginnings of at most ``samples`` rows, those with the least hash; only sizes depend on it."""
-    own = pages.select(F.substring(F.col(text_col).cast("string"), 1, SAMPLE_BYTES).alias("s")).filter("s IS NOT NULL")
-    texts = [r.s.encode() for r in own.orderBy(F.xxhash64("s"), "s").limit(samples).collect()]
+    """Trained on the beginnings of at most ``samples`` rows, those with the least hash, equal ones once; only sizes depend on it.
+
+    The hashes alone are ranked first, so that a task sends 8 bytes a candidate to the driver; the texts below the last hash follow.
+    """
+    own = pages.select(F.substring(F.col(text_col).cast("string"), 1, SAMPLE_BYTES).alias("s")).filter("s IS NOT NULL").withColumn("h", F.xxhash64("s"))
+    least = [r.h for r in own.select("h").orderBy("h").limit(samples).collect()]
+    texts = [r.s.encode() for r in own.filter(F.col("h") <= least[-1]).select("h", "s").distinct().orderBy("h", "s").limit(samples).collect()] if least else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
     except zstandard.ZstdError:  # too few or too small
@@ -77,13 +81,6 @@ def record(page: int | None, url: str | None, payload: bytes | None, size: int,
     return "\r\n".join([*lines, "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def opened(path: str):
-    """The file system of a URI or path, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def write_archives(records: DataFrame, folder: str, dictionary: bytes, roll: int = ROLL) -> DataFrame:
     """Write rows of ``decided`` and return the manifest (path, records, bytes). Archives close when they pass ``roll`` bytes."""
     held = records.sparkSession.sparkContext.broadcast(dictionary)
@@ -254,7 +251,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Tru
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "warc")
     manifest = write_archives(decided(pages), folder, dictionary_of(pages))
     found = read_archives(spark, manifest, payloads=False)
     head = F.col("headers")
