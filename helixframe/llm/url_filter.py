@@ -2,16 +2,14 @@
 
 Rules name a host (with its subdomains) and the beginning of a path; the longest that fits decides. Where none fits, a multinomial naive Bayes model
 does. Its tokens are the path's words and the words that host names are run together from, which a Viterbi search
-splits off by unigram costs. Unigrams are counted over all pages' texts; the model keeps the ``VOCABULARY`` most frequent, which bounds the broadcast.
+splits off by unigram costs. Unigrams are counted over all pages' texts, and those that are substrings of a host meet it by joins; none are left out.
 Bayes counts come from all pages that a rule decides, added up by hashed token (``BUCKETS``) and verdict before
-they reach the driver. Judging is a map over pages, without shuffle.
+they reach the driver; the odds, one number a bucket, are broadcast.
 """
 
 from __future__ import annotations
 
 import math
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, in_batches, stored, table
 
 #: Verdict, host, path.
 RULES = [
@@ -29,10 +27,8 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-VOCABULARY = 50_000
 BUCKETS = 1 << 16
 LONGEST = 24
-REMEMBERED = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,27 +56,18 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULES)
 
 
 class Segmenter:
-    """Splits concatenated names into the likeliest words: a word costs the negative logarithm of its share."""
+    """Splits a run of letters into the likeliest words: a word costs the negative logarithm of its share of ``total``."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
-        self.cost = {w: math.log(total / n) for w, n in counts.items() if n > 0}
+    def __init__(self, total: int):
+        self.total = total or 1
         # An unknown word costs more than the rarest known one, and more with each letter.
-        self.unknown = [math.log(total) + 2 + 2.5 * n for n in range(LONGEST + 1)]
-        self.known: dict[str, list[str]] = {}
-
-    def split(self, name: str) -> list[str]:
-        got = self.known.get(name)
-        if got is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            got = self.known[name] = [w for part in re.findall("[a-z]+|[0-9]+|[^a-z0-9_-]+", name) for w in (self.viterbi(part) if "a" <= part[0] <= "z" else [part])]
-        return got
-
-    def viterbi(self, text: str) -> list[str]:
+        self.unknown = [math.log(self.total) + 2 + 2.5 * n for n in range(LONGEST + 1)]
+
+    def viterbi(self, text: str, counts: dict[str, int]) -> list[str]:
+        """counts: how often each substring that is a word occurs. Of equally likely splits, the one with the longest last word."""
         n = len(text)
         best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
-        cost, unknown = self.cost, self.unknown
+        cost, unknown = {w: math.log(self.total / c) for w, c in counts.items()}, self.unknown
         for j in range(1, n + 1):
             for i in range(max(0, j - LONGEST), j):
                 c = best[i] + cost.get(text[i:j], unknown[j - i])
@@ -93,73 +80,101 @@ class Segmenter:
         return out[::-1]
 
 
-def tokens(segmenter: Segmenter, host: str, path: str) -> list[int]:
-    """Buckets of the host's and the path's words."""
-    out = ["h" + w for name in host.split(".") if name for w in segmenter.split(name)]
-    out += ["p" + w for w in re.findall("[^/._=&+%~,;:!-]+", path.lower())]
-    return [zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in out]
+def unigrams(pages: DataFrame, text_col: str = "html") -> DataFrame:
+    """(w, n): how often each word of two or more letters a-z stands in the texts, A-Z lower-cased."""
+    words = F.regexp_extract_all(F.translate(F.col(text_col).cast("string"), UPPER, LOWER), F.lit("[a-z]{2,}"), F.lit(0))
+    return pages.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
 
+def _pieces(text: Column) -> Column:
+    """Runs of letters, of digits, and of other characters but hyphens and underscores."""
+    return F.regexp_extract_all(text, F.lit("[a-z]+|[0-9]+|[^a-z0-9_.-]+"), F.lit(0))
 
-def unigrams(pages: DataFrame, text_col: str = "html", most: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the most frequent words of letters a-z (two or more), over all rows, A-Z lower-cased; ties by word."""
-    words = pages.select(F.explode(F.regexp_extract_all(F.translate(F.col(text_col).cast("string"), UPPER, LOWER), F.lit("[a-z]{2,%d}" % LONGEST), F.lit(0))).alias("w"))
-    return {r.w: r.n for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()}
 
+def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, words): each distinct host's labels split into words, in order; from (host) and the unigrams (w, n).
 
-def _tokenised(urls: DataFrame, segmenter: Segmenter) -> DataFrame:
-    """(bucket, verdict, n), added up within each batch, from (host, path, verdict)."""
-    held = urls.sparkSession.sparkContext.broadcast(segmenter)
+    Every substring of up to ``LONGEST`` letters of a distinct run of letters is joined with the counts, so that all words count, however rare, and no vocabulary is held anywhere; a
+    task holds one run's own words. The joins are on substrings and on runs, and texts are not in them.
+    """
+    counts = stored(counts, "unigrams")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    at = stored(hosts.select("host", F.posexplode(_pieces(F.col("host"))).alias("at", "run")), "runs")
+    runs = at.select("run").filter(F.col("run").rlike("^[a-z]")).distinct()
+    # Slices of the letters, which are split once: a substring would count its way from the run's start.
+    lengths = lambda i: F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(LONGEST), F.length("run") - i + 1)))
+    every = lambda letters: F.flatten(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.transform(lengths(i), lambda k: F.array_join(F.slice(letters, i, k), ""))))
+    subs = F.get(F.transform(F.array(F.split("run", "")), every), F.lit(0))
+    known = runs.select("run", F.explode(F.array_distinct(subs)).alias("w")).join(counts, "w").groupBy("run").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    segmenter = Segmenter(total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count = np.zeros((2, BUCKETS), np.int64)
-            for h, p, v in zip(*(c.to_pylist() for c in batch.columns)):
-                for b in tokens(held.value, h, p):
-                    count[int(v == "block"), b] += 1
-            v, b = np.nonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(v, pa.int32()), pa.array(count[v, b], pa.int64())], ["bucket", "verdict", "n"])
+            found = [segmenter.viterbi(text, {x["w"]: x["n"] for x in own or []}) for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["run", "words"])
+
+    split = stored(in_batches(runs.join(known, "run", "left")).select("run", "known").mapInArrow(run, "run string, words array<string>"), "splits")
+    joined = at.join(split, "run", "left").select("host", "at", F.coalesce("words", F.array("run")).alias("words"))
+    found = joined.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
+    return stored(hosts.join(found, "host", "left").select("host", F.coalesce("words", F.array().cast("array<string>")).alias("words")), "hosts")
+
 
-    return urls.mapInArrow(run, "bucket int, verdict int, n long")
+def _buckets(words: Column, kind: str) -> Column:
+    return F.transform(words, lambda w: (F.crc32(F.concat(F.lit(kind), w).cast("binary")) % BUCKETS).cast("int"))
 
 
-def bayes(urls: DataFrame, segmenter: Segmenter) -> tuple[np.ndarray, float]:
-    """Log odds of block against allow for each bucket, and the prior's, from (host, path, verdict) with add-one smoothing."""
+def path_words(path: Column) -> Column:
+    return F.filter(F.split(F.lower(path), "[/._=&+%~,;:!-]+"), lambda w: w != "")
+
+
+def bayes(known: DataFrame, hosts: DataFrame) -> tuple[np.ndarray, float]:
+    """Log odds of block against allow for each bucket, and the prior's, from (host, path, verdict) with add-one smoothing.
+
+    Host tokens are counted by host and verdict first, so a host of many pages is one row where words are joined.
+    """
+    of_hosts = known.groupBy("host", "verdict").agg(F.count("*").alias("n"))
+    named = of_hosts.join(hosts, "host").select("verdict", F.explode(_buckets(F.col("words"), "h")).alias("bucket"), "n")
+    named = named.union(known.select("verdict", F.explode(_buckets(path_words(F.col("path")), "p")).alias("bucket"), F.lit(1).cast("long").alias("n")))
     count = np.zeros((2, BUCKETS))
-    for r in _tokenised(urls, segmenter).groupBy("bucket", "verdict").agg(F.sum("n").alias("n")).collect():  # 2 * BUCKETS rows at most
-        count[r.verdict, r.bucket] = r.n
-    rows = {r.verdict: r["count"] for r in urls.groupBy("verdict").count().collect()}
+    for r in named.groupBy("bucket", "verdict").agg(F.sum("n").alias("n")).collect():  # 2 * BUCKETS rows at most
+        count[int(r.verdict == "block"), r.bucket] = r.n
+    rows = {r.verdict: r.n for r in of_hosts.groupBy("verdict").agg(F.sum("n").alias("n")).collect()}
     share = np.log(count + 1) - np.log(count.sum(1, keepdims=True) + BUCKETS)
     return (share[1] - share[0]).astype(np.float32), math.log((rows.get("block", 0) + 1) / (rows.get("allow", 0) + 1))
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col: str = "url", text_col: str = "html") -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col: str = "url", text_col: str = "html", texts: DataFrame | None = None) -> DataFrame:
     """The rows of pages with host, path, rule (null: none fits), score (log odds of block by naive Bayes) and verdict.
 
-    Without a fitting rule, block needs a score above zero. Null urls have an empty host and path, and so the prior's score; null
-    texts add no words. Repeated rows get a row each, an empty table none; columns of pages with the result's names are replaced.
+    Unigrams come from ``text_col`` of ``texts`` (default: of pages itself). Without a fitting rule, block needs a score above zero. Null urls have an empty host and path, and so
+    the prior's score; null texts add no words; words of more than ``LONGEST`` letters are not looked for in hosts. Of equally long rules the first holds.
+    Repeated rows get a row each, an empty table none; columns of pages with the result's names are replaced.
     """
-    host, path = host_of(F.col(url_col).cast("string")), path_of(F.col(url_col).cast("string"))
     results = ["host", "path", "rule", "score", "verdict"]
     keep = [c for c in pages.columns if c not in results]
-    urls = pages.select(*keep, host.alias("__host"), path.alias("__path"))
-    name, verdict = ruled(F.col("__host"), F.col("__path"), rules)
-    urls = urls.withColumns({"__rule": name, "__verdict": verdict})
-    segmenter = Segmenter(unigrams(pages, text_col))
-    known = urls.filter("__verdict IS NOT NULL").select(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__verdict").alias("verdict"))
-    held = pages.sparkSession.sparkContext.broadcast((segmenter, *bayes(known, segmenter)))
+    host_, path_, rule_, verdict_, words_, tokens_ = fresh(pages, "__host", "__path", "__rule", "__verdict", "__words", "__tokens")
+    urls = in_batches(pages).select(*keep, host_of(F.col(url_col).cast("string")).alias(host_), path_of(F.col(url_col).cast("string")).alias(path_))
+    name, verdict = ruled(F.col(host_), F.col(path_), rules)
+    urls = urls.withColumns({rule_: name, verdict_: verdict})
+    hosts = host_words(urls.select(F.col(host_).alias("host")).distinct(), unigrams(pages if texts is None else texts, text_col))
+    known = urls.filter(F.col(verdict_).isNotNull()).select(F.col(host_).alias("host"), F.col(path_).alias("path"), F.col(verdict_).alias("verdict"))
+    held = pages.sparkSession.sparkContext.broadcast(bayes(known, hosts))
+    tokens = F.concat(_buckets(F.col(words_), "h"), _buckets(path_words(F.col(path_)), "p"))
+    # Hosts are a stored table: Spark broadcasts it where its size allows, else a host of many pages can be split.
+    met = urls.join(hosts.select(F.col("host").alias(host_), F.col("words").alias(words_)), host_).select(*keep, host_, path_, rule_, verdict_, tokens.alias(tokens_))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, odds, prior = held.value
+        odds, prior = held.value
         for batch in batches:
-            hosts, paths, names, verdicts = (c.to_pylist() for c in batch.columns[len(keep) :])
-            scores = [prior + float(odds[tokens(segmenter, h, p)].sum()) if h or p else prior for h, p in zip(hosts, paths)]
+            verdicts, lists = batch.column(len(keep) + 3).to_pylist(), batch.column(len(keep) + 4).to_pylist()
+            scores = [prior + float(odds[own].sum()) if own else prior for own in lists]
             final = [v or ("block" if s > 0 else "allow") for v, s in zip(verdicts, scores)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + 3], pa.array(scores, pa.float64()), pa.array(final, pa.string())], [*keep, *results])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema] + ["host string, path string, rule string, score double, verdict string"])
-    return urls.select(*keep, "__host", "__path", "__rule", "__verdict").mapInArrow(run, schema)
+    return met.mapInArrow(run, schema)
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return judged(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+    pages = table(spark, sf_dir, "pages")
+    return judged(pages.select("page_id", "url"), texts=pages.select("html")).select("page_id", "host", "path", "rule", "verdict", "score")
