@@ -2,7 +2,7 @@
 
 A text is brought to one form: runs of separators become one space, A-Z are lower-cased, and a space stands at either end, so
 rules are written over words. Every rule has a keyword, which every string of its pattern contains; it runs only on texts
-with its keyword, and keywords are looked for only in texts that have one of a few words that cover them all. Matches are ordered by
+with its keyword, and keywords are looked for only in texts that have the one of a few words that covers them. Matches are ordered by
 start, longest first. A match inside another of at least its priority is suppressed, but for base rules, which always stay.
 
 All steps are expressions over one row, so the plan is a scan and a projection, without shuffle.
@@ -10,13 +10,10 @@ All steps are expressions over one row, so the plan is a scan and a projection,
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -167,22 +164,88 @@ def gate_words(keywords: list[str]) -> list[str]:
     return out
 
 
+#: Matches of a text are taken in runs of so many: within a run lists are appended to, across runs only sums are carried.
+RUN = 32
+
+
+def _once(value: Column, f) -> Column:
+    """f(value) with the value made once: as a lambda's argument it isn't computed again for every use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _runs(n: Column) -> Column:
+    """0 to the number of the last run of n entries; none for n = 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / RUN).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _run(values: Column, k: Column) -> Column:
+    return F.slice(values, k * RUN + 1, F.lit(RUN))
+
+
+def _spaces(x: Column) -> Column:
+    return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+
+
 def _found(text: Column, pattern: Column) -> Column:
-    """Start and end of every match in order: what stands between the matches gives their places."""
-    parts = F.array(F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+    """(a, b, first, end) of every match in order, in characters and in words: what stands between the matches gives their places.
 
-    def places(p: Column) -> Column:
-        def step(s: Column, i: Column) -> Column:
-            a = s["at"] + F.length(F.get(p["gaps"], i))
-            b = a + F.length(F.get(p["hits"], i))
-            return F.struct(b.alias("at"), F.concat(s["out"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("out"))
+    Linear in the text but for appending a sum for each run of matches.
+    """
+    sizes = lambda x: F.struct(F.length(x).alias("c"), _spaces(x).alias("w"))
+    hits = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), sizes)
+    parts = F.struct(hits.alias("hits"), F.transform(F.split(text, pattern, -1), sizes).alias("gaps"))
+
+    def step(s: Column, x: Column) -> Column:
+        c, w = s["c"] + x["gaps"]["c"], s["w"] + x["gaps"]["w"]
+        one = F.struct(c.alias("a"), (c + x["hits"]["c"]).alias("b"), w.alias("first"), (w + x["hits"]["w"]).alias("end"))
+        return F.struct((c + x["hits"]["c"]).alias("c"), (w + x["hits"]["w"]).alias("w"), F.concat(s["out"], F.array(one)).alias("out"))
+
+    def both(p: Column) -> Column:
+        return F.zip_with(F.slice(p["gaps"], F.lit(1), F.size(p["hits"])), p["hits"], lambda g, h: F.struct(g.alias("gaps"), h.alias("hits")))
+
+    def places(pairs: Column) -> Column:
+        kind = "array<struct<a:int,b:int,first:int,end:int>>"
+        runs = _runs(F.size(pairs))
+        # What stands before each run.
+        zero = F.array(F.struct(F.lit(0).alias("c"), F.lit(0).alias("w")))
+        total = lambda x, f: F.aggregate(x, F.lit(0), lambda s, y: s + y["gaps"][f] + y["hits"][f])
+        before = F.aggregate(runs, zero, lambda s, k: F.concat(s, F.array(F.struct((F.element_at(s, F.lit(-1))["c"] + total(_run(pairs, k), "c")).alias("c"), (F.element_at(s, F.lit(-1))["w"] + total(_run(pairs, k), "w")).alias("w")))))
+
+        def placed(b: Column) -> Column:
+            own = lambda k: F.aggregate(_run(pairs, k), F.struct(F.get(b, k)["c"].alias("c"), F.get(b, k)["w"].alias("w"), F.array().cast(kind).alias("out")), step, lambda s: s["out"])
+            return F.flatten(F.transform(runs, own))
 
-        steps = F.when(F.size(p["hits"]) > 0, F.sequence(F.lit(0), F.size(p["hits"]) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, zero, step, lambda s: s["out"])
+        return _once(before, placed)
 
-    # As a lambda's argument, both lists are made once and not for every match.
-    return F.get(F.transform(parts, places), F.lit(0))
+    return _once(parts, lambda p: _once(both(p), places))
+
+
+def _kept(matches: Column, base: Column) -> Column:
+    """The matches, ordered by start and longest first, without those inside another of at least their priority; base rules stay.
+
+    A match that ends no later than an earlier one of at least its priority is inside it, so the largest ends so far, by priority, decide.
+    """
+    kinds = len(WEIGHTS)
+    every = F.array(*[F.lit(p) for p in range(kinds)])
+
+    def step(s: Column, m: Column) -> Column:
+        inside = F.array_max(F.slice(s["ends"], F.lit(1), m["p"] + 1)) >= -m["z"]
+        stays = ~inside | F.get(base, m["i"])
+        ends = F.transform(s["ends"], lambda e, k: F.when(k == m["p"], F.greatest(e, -m["z"])).otherwise(e))
+        return F.struct(ends.alias("ends"), F.when(stays, F.concat(s["out"], F.array(m))).otherwise(s["out"]).alias("out"))
+
+    def staying(all_: Column) -> Column:
+        runs = _runs(F.size(all_))
+        furthest = lambda k: F.transform(every, lambda p: F.coalesce(F.array_max(F.transform(F.filter(_run(all_, k), lambda m: m["p"] == p), lambda m: -m["z"])), F.lit(-1)))
+        zero = F.array(F.array(*[F.lit(-1)] * kinds))
+        before = F.aggregate(runs, zero, lambda s, k: F.concat(s, F.array(F.zip_with(F.element_at(s, F.lit(-1)), furthest(k), lambda x, y: F.greatest(x, y)))))
+        own = lambda b, k: F.aggregate(_run(all_, k), F.struct(F.get(b, k).alias("ends"), F.array().cast(MATCH).alias("out")), step, lambda s: s["out"])
+        return _once(before, lambda b: F.flatten(F.transform(runs, lambda k: own(b, k))))
+
+    return _once(matches, staying)
+
+
+MATCH = "array<struct<a:int,z:int,p:int,i:int,first:int,end:int>>"
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -192,65 +255,58 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     and last_word are their smallest and largest start in words (null without any). labels are those of the matches
     that stay, base_labels those of base rules alone, both distinct, sorted, comma-joined. score is the largest weight of a match that stays,
     by its priority (0 without any). detections: (label, priority, base, first and last word + 1) of each match that stays, by place.
-    Null texts are empty; repeated rows get a row each; an empty table gives none; columns with the result's names are replaced.
+    Matches of one place and length are ordered by priority, then by the order of the rules; the first suppresses the others of its priority or a lesser one.
+    Null texts are empty; repeated rows get a row each; an empty table gives none; columns with the result's names are replaced. A text is scanned whole, in
+    time linear in its length but for about a thousandth of the square of its number of matches.
     """
     every = rules()
     results = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
+    form_, kept_ = fresh(docs, "__form", "__kept")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     form = F.concat(F.lit(" "), F.translate(F.trim(F.regexp_replace(text, SEPARATOR, " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" "))
-    # A column of its own: lower-casing is done once, and not for every word of the gate. It may lower more than A-Z, which only lets more through.
-    low = docs.drop(*results).withColumn("__low", F.lower(text))
-    gate = reduce(or_, [F.contains("__low", F.lit(w)) for w in gate_words([r[3] for r in every])])
-    out = low.withColumn("__form", F.when(gate, form)).drop("__low")
+    out = docs.drop(*results).withColumn(form_, form)
+    gates = gate_words([r[3] for r in every])
     by_keyword: dict[str, list[int]] = {}
     for i, (_, _, _, keyword, _) in enumerate(every):
         by_keyword.setdefault(keyword, []).append(i)
-    words = F.col("__form")
+    words = F.col(form_)
 
     def literal(values: list[str]) -> Column:
         return F.array(*[F.lit(v) for v in values])
 
     label, priority = literal([r[0] for r in every]), F.array(*[F.lit(r[1]) for r in every])
     pattern, base = literal([f" (?:{r[4]})(?= )" for r in every]), F.array(*[F.lit(r[2]) for r in every])
-    gates = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(i) for i in v]).alias("rules")) for k, v in by_keyword.items()])
-    open_rules = F.flatten(F.transform(F.filter(gates, lambda g: F.contains(words, g["k"])), lambda g: g["rules"]))
-    matches = F.flatten(F.transform(open_rules, lambda i: F.transform(_found(words, F.get(pattern, i)), lambda m: F.struct(m["a"].alias("a"), (-m["b"]).alias("z"), F.get(priority, i).alias("p"), i.alias("i")))))
-    out = out.withColumn("__all", F.when(words.isNotNull(), F.array_sort(matches)))
-
-    # Ends so far by priority; a match that ends no later than one of at least its priority is inside it.
-    kinds = len(WEIGHTS)
-    zero = F.struct(F.array(*[F.lit(-1)] * kinds).alias("ends"), F.array().cast("array<struct<a:int,z:int,p:int,i:int>>").alias("out"))
-
-    def step(s: Column, m: Column) -> Column:
-        inside = F.array_max(F.slice(s["ends"], F.lit(1), m["p"] + 1)) >= -m["z"]
-        stays = ~inside | F.get(base, m["i"])
-        ends = F.transform(s["ends"], lambda e, k: F.when(k == m["p"], F.greatest(e, -m["z"])).otherwise(e))
-        return F.struct(ends.alias("ends"), F.when(stays, F.concat(s["out"], F.array(m))).otherwise(s["out"]).alias("out"))
-
-    kept = F.aggregate("__all", zero, step, lambda s: s["out"])
-    out = out.withColumn("__kept", kept)
-    ours = F.filter("__kept", lambda m: F.get(base, m["i"]))  # base rules
-
-    def word_at(place: Column) -> Column:
-        before = F.substring(words, F.lit(1), place)
-        return (F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))).cast("long")
+    # Keywords are looked for by their gate word, so that most of a text's tests are of gate words alone.
+    by_word: dict[str, list[str]] = {}
+    for keyword in by_keyword:
+        by_word.setdefault(next(w for w in gates if w in keyword.split()), []).append(keyword)
+    one = lambda k: F.struct(F.lit(k).alias("k"), F.array(*[F.lit(i) for i in by_keyword[k]]).alias("rules"))
+    groups = F.array(*[F.struct(F.lit(w).alias("w"), F.array(*[one(k) for k in some]).alias("keywords")) for w, some in by_word.items()])
+    there = F.flatten(F.transform(F.filter(groups, lambda g: F.contains(words, g["w"])), lambda g: g["keywords"]))
+    open_rules = F.flatten(F.transform(F.filter(there, lambda g: F.contains(words, g["k"])), lambda g: g["rules"]))
+    match = lambda m, i: F.struct(m["a"].alias("a"), (-m["b"]).alias("z"), F.get(priority, i).alias("p"), i.alias("i"), m["first"].alias("first"), m["end"].alias("end"))
+    matches = F.array_sort(F.flatten(F.transform(open_rules, lambda i: F.transform(_found(words, F.get(pattern, i)), lambda m: match(m, i)))))
+    out = out.withColumn(kept_, _kept(matches, base))
+    kept = F.col(kept_)
+    ours = F.filter(kept, lambda m: F.get(base, m["i"]))  # base rules
 
     def joined(some: Column) -> Column:
-        return F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(some, lambda m: F.get(label, m["i"])))), ","), F.lit(""))
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(some, lambda m: F.get(label, m["i"])))), ",")
 
-    detections = F.transform("__kept", lambda m: F.struct(F.get(label, m["i"]).alias("label"), m["p"].alias("priority"), F.get(base, m["i"]).alias("base"), word_at(m["a"]).alias("first"), word_at(-m["z"]).alias("end")))
+    detections = F.transform(kept, lambda m: F.struct(F.get(label, m["i"]).alias("label"), m["p"].alias("priority"), F.get(base, m["i"]).alias("base"), m["first"].cast("long").alias("first"), m["end"].cast("long").alias("end")))
     weight = F.array(*[F.lit(w) for w in WEIGHTS])
+    starts = F.transform(ours, lambda m: m["first"].cast("long"))
     out = out.withColumns({
         "n_words": F.regexp_count(text, F.lit(WORD)).cast("long"),
-        "n_base": F.coalesce(F.when(F.col("__kept").isNotNull(), F.size(ours)), F.lit(0)).cast("long"),
-        "first_word": F.when(F.size(ours) > 0, word_at(F.array_min(F.transform(ours, lambda m: m["a"])))),
-        "last_word": F.when(F.size(ours) > 0, word_at(F.array_max(F.transform(ours, lambda m: m["a"])))),
+        "n_base": F.size(ours).cast("long"),
+        "first_word": F.array_min(starts),
+        "last_word": F.array_max(starts),
         "base_labels": joined(ours),
-        "labels": joined(F.col("__kept")),
-        "score": F.coalesce(F.array_max(F.transform("__kept", lambda m: F.get(weight, m["p"]))), F.lit(0.0)),
-        "detections": F.coalesce(detections, F.array().cast("array<struct<label:string,priority:int,base:boolean,first:bigint,end:bigint>>")),
+        "labels": joined(kept),
+        "score": F.coalesce(F.array_max(F.transform(kept, lambda m: F.get(weight, m["p"]))), F.lit(0.0)),
+        "detections": detections,
     })
-    return out.drop("__form", "__all", "__kept")
+    return out.drop(form_, kept_)
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
