@@ -1,9 +1,9 @@
 """Chat formatting of reply trees, in DataFrame functions only.
 
-Root-to-leaf paths come from iterative self-joins over ids: every node holds the piece of its path down from some ancestor, and each round
-joins the ancestor's own piece in front, so the covered depth doubles and a thread of n replies takes log2(n) rounds.
-Rounds are written to the shared folder. Branches are ranked by their mean score, and only messages on chosen paths are then joined by id,
-formatted and put together.
+Root-to-leaf paths come from iterative self-joins over ids: every node knows some ancestor and the length and score of the piece below it, and each round
+joins the ancestor's own piece in front, so the covered depth doubles and a thread of n replies takes log2(n) rounds of n rows.
+Rounds are written to the shared folder. Branches are ranked by their mean score; the chosen leaves' paths are then walked by the same jumps, longest first, and
+only messages on them are joined by id, formatted and put together.
 
 Template: a turn is ``### role:`` and a newline, the text, and ``</turn>`` and a newline. Inside texts, a backslash becomes ``\\b``, ``###`` becomes ``\\h``
 and ``</turn>`` becomes ``\\e`` (a newline in a role: ``\\n``), so no text can hold a control string, and the replacements in reverse order give it back.
@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discarded, stored, table
+from .common import stored, table
 
 OPEN, CLOSE = "### ", "</turn>\n"
 #: Control strings and what stands for them, in the order of escaping.
@@ -36,57 +36,86 @@ def unescaped(text: Column, pairs: list[tuple[str, str]] = ESCAPES) -> Column:
     return text
 
 
-def paths(edges: DataFrame) -> DataFrame:
-    """(tree, leaf, path, score): for each leaf of (tree, node, parent, score), its path from the root and the mean score along it.
+def _jumps(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, node, length, sum) of every node that reaches a root: nodes and scores from the root on; and the jumps (tree, node, up): table k has the 2**k-th ancestor of each node that has one.
 
-    A parent that is null or not there makes a root. Nodes on or below a cycle reach no root and give no path. A null score counts as zero.
-    Nodes must be distinct within a tree.
+    A round joins only the nodes that have not reached their root, so a long thread costs others nothing.
     """
-    edges = stored(edges.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "edges")
+    columns = ["tree", "node", "up", "length", "sum"]
     there = edges.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     known = edges.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left")
-    state = stored(known.select("tree", "node", F.col("n").alias("up"), F.array("node").alias("path"), "score"), "paths")
+    state = stored(known.select("tree", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("length"), F.col("score").alias("sum")), "jumps")
+    rooted, climbing, jumps = state.filter("up IS NULL"), state.filter("up IS NOT NULL"), []
     most = edges.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
     for _ in range(math.ceil(math.log2(most)) + 1):
-        if state.filter("up IS NOT NULL").isEmpty():
+        if climbing.isEmpty():
             break
-        above = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("path").alias("p"), F.col("score").alias("s"))
-        longer = state.filter("up IS NOT NULL").join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
-        longer = longer.select("tree", "node", F.col("u").alias("up"), F.concat("p", "path").alias("path"), (F.col("s") + F.col("score")).alias("score"))
-        state, old = stored(state.filter("up IS NULL").union(longer), "paths"), state
-        discarded(old)
+        jumps.append(climbing.select("tree", "node", "up"))
+        above = rooted.union(climbing).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("length").alias("l"), F.col("sum").alias("s"))
+        further = climbing.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
+        further = stored(further.select("tree", "node", F.col("u").alias("up"), (F.col("length") + F.col("l")).alias("length"), (F.col("sum") + F.col("s")).alias("sum")), "jumps")
+        rooted, climbing = rooted.union(further.filter("up IS NULL")).select(*columns), further.filter("up IS NOT NULL")
+    return rooted.select("tree", "node", "length", "sum"), jumps
+
+
+def branches_of(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, leaf, length, score) of every leaf of (tree, node, parent, score), and the jumps to walk up from it.
+
+    score is the mean over the path from the root. A parent that is null or not there makes a root. Nodes on or below a cycle reach no root and give no
+    path. A null score counts as zero. Nodes must be distinct within a tree. Rows stay as many as nodes in every round: no path is carried along.
+    """
+    edges = stored(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "edges")
+    reached, jumps = _jumps(edges)
     parents = edges.filter("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("n")).distinct()
-    leaves = state.filter("up IS NULL").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
-    return leaves.select("tree", F.col("node").alias("leaf"), "path", (F.col("score") / F.size("path")).alias("score"))
+    leaves = reached.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
+    return leaves.select("tree", F.col("node").alias("leaf"), "length", (F.col("sum") / F.col("length")).alias("score")), jumps
 
 
 def chosen(found: DataFrame, branches: int = 1) -> DataFrame:
-    """The paths of best score in each tree, ties by leaf, with their rank from 1."""
+    """The leaves of best score in each tree, ties by leaf, with their rank from 1."""
     order = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= branches)
 
 
+def walked(picked: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(tree, rank, score, pos, node): every node on the picked leaves' paths, pos from 0 at the root.
+
+    From the longest jump to the shortest: each node found so far adds the one that the jump reaches, so that only nodes on picked paths are ever made.
+    """
+    found = picked.select("tree", "rank", "score", (F.col("length") - 1).alias("pos"), F.col("leaf").alias("node"))
+    for k in range(len(jumps) - 1, -1, -1):
+        jump = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        above = found.join(jump, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "rank", "score", (F.col("pos") - 2**k).alias("pos"), F.col("up").alias("node"))
+        found = stored(found.union(above), "walked")
+    return found
+
+
+def paths(messages: DataFrame) -> DataFrame:
+    """(tree, leaf, path, score): for each leaf, its whole path from the root; as long as all paths together, so for small trees."""
+    leaves, jumps = branches_of(messages)
+    every = walked(leaves.withColumn("rank", F.col("leaf")), jumps)
+    return every.groupBy("tree", F.col("rank").alias("leaf")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("path"), F.first("score").alias("score"))
+
+
 def conversations_of(messages: DataFrame, branches: int = 1, trained: str = "assistant") -> DataFrame:
     """(tree, rank, score, n_turns, formatted, loss): the chosen paths of (tree, node, parent, role, text, score) as one conversation each.
 
     loss lists [start, end) of the text of each turn whose role is ``trained``, in characters (code points) of formatted. Null roles and texts are
-    empty. An empty table gives no rows; other columns are ignored.
+    empty. Paths of equal score are ranked by leaf. An empty table gives no rows; other columns are ignored. A conversation is one row, so a task holds it whole.
     """
-    picked = chosen(paths(messages.select("tree", "node", "parent", "score")), branches)
-    wanted = picked.select(F.col("tree").alias("t"), "rank", F.col("score").alias("branch_score"), F.posexplode("path").alias("pos", "n"))
+    leaves, jumps = branches_of(messages)
+    wanted = walked(chosen(leaves, branches), jumps).select(F.col("tree").alias("t"), "rank", F.col("score").alias("branch_score"), "pos", F.col("node").alias("n"))
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turn = messages.select("tree", "node", (role == trained).alias("mask"), F.concat(F.lit(OPEN), escaped(role, ROLE_ESCAPES), F.lit(":\n")).alias("head"), escaped(text).alias("body"))
     turns = wanted.join(turn, F.col("t").eqNullSafe(F.col("tree")) & (F.col("n") == F.col("node")))
-    grouped = turns.groupBy("tree", "rank").agg(F.first("branch_score").alias("score"), F.array_sort(F.collect_list(F.struct("pos", "mask", "head", "body"))).alias("turns"))
+    # Where each body starts and ends comes from sums over the turns before it, which hold no texts.
+    before = Window.partitionBy("t", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("head") + F.length("body") + len(CLOSE)
+    start = (F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head")).cast("int")
+    turns = turns.withColumn("a", start).withColumn("span", F.when(F.col("mask"), F.struct(F.col("a").alias("a"), (F.col("a") + F.length("body")).alias("b"))))
+    grouped = turns.groupBy(F.col("t").alias("tree"), "rank").agg(F.first("branch_score").alias("score"), F.array_sort(F.collect_list(F.struct("pos", "head", "body"))).alias("turns"), F.array_sort(F.collect_list("span")).alias("loss"), F.count("*").alias("n_turns"))
     formatted = F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE))), "")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        a = s["at"] + F.length(x["head"])
-        b = a + F.length(x["body"])
-        return F.struct((b + len(CLOSE)).alias("at"), F.when(x["mask"], F.concat(s["out"], F.array(F.struct(a.alias("a"), b.alias("b"))))).otherwise(s["out"]).alias("out"))
-
-    return grouped.select("tree", "rank", "score", F.size("turns").cast("long").alias("n_turns"), formatted.alias("formatted"), F.aggregate("turns", zero, step, lambda s: s["out"]).alias("loss"))
+    return grouped.select("tree", "rank", "score", "n_turns", formatted.alias("formatted"), "loss")
 
 
 def read_back(formatted: Column) -> Column:
@@ -107,10 +136,10 @@ def under_loss(formatted: Column, loss: Column) -> Column:
 
 
 def threads(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as reply trees without branches: each answers the one before. Equal turns stand in the order of a hash of role and text."""
-    rows = conversations.select("conv_id", "turn", "role", "text", F.xxhash64("role", "text").alias("h"))
-    node = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "h")) - 1
-    nodes = rows.withColumn("node", node)
+    """Rows (conv_id, turn, role, text) as reply trees without branches: each answers the one before. Rows of one turn stand in the order of role and text, null as empty; a null turn comes last."""
+    order = [F.asc_nulls_last("turn"), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))]
+    node = F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)) - 1
+    nodes = conversations.select("conv_id", "turn", "role", "text").withColumn("node", node)
     return nodes.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 0, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
