@@ -7,29 +7,32 @@ A suffix that reaches the window's length has verbatim copies at the range's pla
 followed word by word to their full lengths.
 
 Shards hold whole texts, so all that concerns a document is found in one task: there is no shuffle, and
-no shared state but the benchmark, which is broadcast in blocks of at most ``ITEM_WORDS`` words (one pass over the
-documents for each block).
+no shared state but the benchmark, which lies in the shared folder in blocks of at most ``ITEM_WORDS`` words. A shard's suffix array is made
+once and meets one block after another.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import blocks, in_batches, stored, table, utf8
+from .common import blocks, fresh, in_batches, opened, scratch_path, table, utf8
 
 WINDOW = 10
 DEPTH = 16
 ITEM_WORDS = 2_000_000
 SHARD_BYTES = 2 << 20
+#: Occurrences of benchmark suffixes that a task expands at a time.
+PAIRS = 1 << 20
 
 
 @dataclass
@@ -39,6 +42,7 @@ class Items:
     hashes: np.ndarray
     first: np.ndarray
     names: list[str]
+    order: np.ndarray  # of each item its rank by id
 
 
 def items(rows: list[tuple[str, str]]) -> Items:
@@ -49,7 +53,10 @@ def items(rows: list[tuple[str, str]]) -> Items:
     found = W.split(low, at, W.ALNUM)
     hashes = W.span_hashes(low, found.starts, found.ends)
     some = np.flatnonzero(found.counts())
-    return Items(hashes, np.append(found.first[some], len(hashes)), [rows[i][0] for i in some])
+    names = [rows[i][0] for i in some]
+    order = np.zeros(len(names), np.int64)
+    order[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+    return Items(hashes, np.append(found.first[some], len(hashes)), names, order)
 
 
 def suffix_array(hashes: np.ndarray, row: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -87,38 +94,58 @@ def _bounds(key_at, lo: np.ndarray, hi: np.ndarray, want: np.ndarray, right: boo
         hi[live[~up]] = mid[~up]
 
 
-def search(hashes: np.ndarray, row: np.ndarray, bench: Items, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Verbatim copies of benchmark windows: item, its position in the item, training position, matched length.
+@dataclass
+class Hits:
+    """Where the windows of a block stand in a shard: per position of the shard's suffix array, and per benchmark suffix."""
 
-    One entry for each item suffix with at least a window left and each training position whose window equals its first words.
-    The matched length goes on as far as both texts agree.
-    """
-    nothing = (np.zeros(0, np.int64),) * 4
-    n = len(hashes)
+    order: np.ndarray  # the suffix array
+    item: np.ndarray  # of each suffix that was found
+    at: np.ndarray  # its word in the block
+    need: np.ndarray  # its window's length
+    lo: np.ndarray  # its range of the suffix array
+    hi: np.ndarray
+
+
+@dataclass
+class Shard:
+    """A block of training texts: word hashes, rows, and what its suffix array and binary searches need; made once for all benchmark blocks."""
+
+    hashes: np.ndarray
+    row: np.ndarray
+    order: np.ndarray
+    last: np.ndarray  # where the row of each word ends
+    values: np.ndarray
+    rank: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, row: np.ndarray, window: int) -> Shard:
+        values, rank = np.unique(hashes, return_inverse=True)
+        return cls(hashes, row, suffix_array(hashes, row, max(DEPTH, window)), np.searchsorted(row, row, "right"), values, rank)
+
+
+def search(shard: Shard, bench: Items, window: int = WINDOW) -> Hits:
+    """The benchmark suffixes whose first window stands in the shard, each with its range of the suffix array."""
+    order, rank, last, values = shard.order, shard.rank, shard.last, shard.values
+    n = len(order)
+    none = np.zeros(0, np.int64)
     if not n or not len(bench.names):
-        return nothing
+        return Hits(order, none, none, none, none, none)
     lengths = np.diff(bench.first)
     item = np.repeat(np.arange(len(lengths)), lengths)
     at = np.arange(bench.first[0], bench.first[-1])
-    left = bench.first[item + 1] - at
     need = np.minimum(window, lengths[item])
-    go = left >= need
-    item, at, left, need = item[go], at[go], left[go], need[go]
+    go = bench.first[item + 1] - at >= need
+    item, at, need = item[go], at[go], need[go]
 
-    order = suffix_array(hashes, row, max(DEPTH, window))
-    last = np.searchsorted(row, row, "right")  # where the row of each word ends
     # The order of words is that of their hashes; a suffix that has ended comes first, as -1 in this signed order.
-    _, rank = np.unique(hashes, return_inverse=True)
-    values = np.unique(hashes)
     where = np.searchsorted(values, bench.hashes)
     coded = np.where((where < len(values)) & (values[np.minimum(where, len(values) - 1)] == bench.hashes), where, -2)
 
     lo, hi = np.zeros(len(at), np.int64), np.full(len(at), n, np.int64)
     live = np.arange(len(at))
-    top = int(need.max(initial=0))
     first_rank = rank[order]
     reached: list[np.ndarray] = []
-    for d in range(top):
+    for d in range(int(need.max(initial=0))):
         want = coded[at[live] + d]
         live, want = live[want >= 0], want[want >= 0]
         if not len(live):
@@ -138,21 +165,73 @@ def search(hashes: np.ndarray, row: np.ndarray, bench: Items, window: int = WIND
         done = need[live] == d + 1
         reached.append(live[done])
         live = live[~done]
-    hit = np.concatenate(reached) if reached else np.zeros(0, np.int64)
-    if not len(hit):
-        return nothing
-    many = hi[hit] - lo[hit]
-    which = np.repeat(hit, many)
-    place = order[np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-    size = need[which].copy()
-    on = np.arange(len(which))
-    while len(on):
-        p, q = place[on] + size[on], at[which[on]] + size[on]
-        ok = (p < last[place[on]]) & (size[on] < left[which[on]])
-        on, p, q = on[ok], p[ok], q[ok]
-        on = on[hashes[p] == bench.hashes[q]]
-        size[on] += 1
-    return item[which], at[which] - bench.first[item[which]], place, size
+    hit = np.sort(np.concatenate(reached)) if reached else none
+    return Hits(order, item[hit], at[hit], need[hit], lo[hit], hi[hit])
+
+
+def covered(hits: Hits, n: int) -> np.ndarray:
+    """Whether each of the shard's n words is inside an occurrence of a window; by ranges, not by occurrence of each item."""
+    cover = np.zeros(n + 1, np.int64)
+    for k in np.unique(hits.need).tolist():
+        some = hits.need == k
+        within = np.zeros(len(hits.order) + 1, np.int64)
+        np.add.at(within, hits.lo[some], 1)
+        np.add.at(within, hits.hi[some], -1)
+        place = hits.order[np.cumsum(within[:-1]) > 0]
+        np.add.at(cover, place, 1)
+        np.add.at(cover, place + k, -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
+def _expanded(hits: Hits, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which, place): every found suffix with the places of its range, about ``most`` at a time."""
+    many = hits.hi - hits.lo
+    total = np.concatenate([[0], np.cumsum(many)])
+    i = 0
+    while i < len(many):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + most, "right")) - 1)
+        for a in range(0, int(many[i]) if j == i + 1 else 1, most):  # one suffix with many places in pieces
+            if j == i + 1:
+                place = hits.order[hits.lo[i] + a : min(hits.hi[i], hits.lo[i] + a + most)]
+                yield np.full(len(place), i), place
+            else:
+                which = np.repeat(np.arange(i, j), many[i:j])
+                yield which, hits.order[np.repeat(hits.lo[i:j], many[i:j]) + np.arange(len(which)) - np.repeat(total[i:j] - total[i], many[i:j])]
+        i = j
+
+
+def found_in(shard: Shard, bench: Items, hits: Hits, rows: int, most: int = PAIRS) -> tuple[list[set[int]], list[tuple[int, int, str] | None]]:
+    """Of each row its items, by number, and (-length, place, item) of its longest verbatim match, the first of them and then the least item.
+
+    A match whose word before agrees too is a part of the longer one that begins there, so only the others are followed to their end.
+    """
+    items_of: list[set[int]] = [set() for _ in range(rows)]
+    best: list[tuple[int, int, str] | None] = [None] * rows
+    hashes, row, last = shard.hashes, shard.row, shard.last
+    for which, place in _expanded(hits, most):
+        own = row[place]
+        for r, i in np.unique(np.stack([own, hits.item[which]]), axis=1).T.tolist():
+            items_of[r].add(i)
+        at, item = hits.at[which], hits.item[which]
+        begin = (place == 0) | (at == bench.first[item])
+        begin[place > 0] |= row[place[place > 0] - 1] != own[place > 0]
+        begin |= hashes[np.maximum(place - 1, 0)] != bench.hashes[np.maximum(at - 1, 0)]
+        head = np.flatnonzero(begin)
+        own, place, at, item, size = own[head], place[head], at[head], item[head], hits.need[which[head]].copy()
+        left = bench.first[item + 1] - at
+        on = np.arange(len(head))
+        while len(on):
+            ok = (place[on] + size[on] < last[place[on]]) & (size[on] < left[on])
+            on = on[ok]
+            on = on[hashes[place[on] + size[on]] == bench.hashes[at[on] + size[on]]]
+            size[on] += 1
+        by = np.lexsort((bench.order[item], place, -size, own))
+        for h in by[np.unique(own[by], return_index=True)[1]].tolist():
+            r = int(own[h])
+            got = (-int(size[h]), int(place[h]), bench.names[item[h]])
+            if best[r] is None or got < best[r]:
+                best[r] = got
+    return items_of, best
 
 
 def _blocks_of(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, str]]]:
@@ -170,104 +249,84 @@ def _blocks_of(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> I
         yield rows
 
 
+def _written(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str, most: int) -> list[str]:
+    """Paths of the benchmark's blocks in the shared folder, from which every task reads them one after another."""
+    folder, paths = scratch_path(spark, "benchmark"), []
+    for k, rows in enumerate(_blocks_of(benchmark, id_col, text_col, most)):
+        paths.append(f"{folder}/{k}.bin")
+        store, place = opened(paths[-1])
+        store.create_dir(place.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(place, compression=None) as out:
+            out.write(pickle.dumps(items(rows)))
+    return paths
+
+
+_held: dict[str, Items] = {}
+
+
+def _block(path: str) -> Items:
+    """A benchmark block; the process keeps the last one that it read."""
+    if path not in _held:
+        store, place = opened(path)
+        with store.open_input_stream(place, compression=None) as f:
+            got = pickle.loads(f.read())
+        _held.clear()
+        _held[path] = got
+    return _held[path]
+
+
+RESULT = ["n_words", "n_hit", "items", "n_items", "items_sha256", "contaminated", "longest_match", "longest_at", "longest_item"]
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, item_words: int = ITEM_WORDS) -> DataFrame:
     """(row columns of docs, n_words, n_hit, items, n_items, items_sha256, contaminated, longest_match, longest_at, longest_item).
 
     Words are runs of digits, letters and bytes from 0x80 on, A-Z lower-cased. A window is ``window`` consecutive words of an
     item, or a whole shorter item; items without words have none. n_hit counts the words inside any copy of a window;
     longest_match is the longest verbatim match that has a window's length at least (else 0), at word longest_at
-    of longest_item. Null texts have no words. Repeated rows each get a row; repeated item ids count once; an empty benchmark hits
-    nothing. Columns of docs with these names are replaced.
+    of longest_item; of equally long ones the first, and there the least item. Null texts have no words. Repeated rows each get a row; repeated item ids count
+    once, a null id as the empty text; an empty benchmark hits nothing. Columns of docs with these names are replaced. A text is held whole by its
+    task. Results don't depend on ``item_words``, the most words of the benchmark that a task holds at a time.
     """
     keep = [c for c in docs.columns if c not in RESULT]
-    spark = docs.sparkSession
-    many = _blocks_of(benchmark, item_col, item_text, item_words)
-    first = next(many, [])
-    rest = next(many, None)
-    if rest is None:  # the usual case: the whole benchmark is one block
-        return _pass(docs, keep, id_col, text_col, spark.sparkContext.broadcast(items(first)), window, True)
-    # Several blocks: spans of each are kept by row, then brought together by row.
-    numbered = stored(docs.select(*keep).withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
-    spans = _pass(numbered, ["__row"], id_col, text_col, spark.sparkContext.broadcast(items(first)), window, False)
-    while rest is not None:
-        spans = spans.union(_pass(numbered, ["__row"], id_col, text_col, spark.sparkContext.broadcast(items(rest)), window, False))
-        rest = next(many, None)
-    merged = spans.groupBy("__row").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max(F.struct("longest_match", "longest_at", "longest_item")).alias("m"),
-    )
-    covered = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("e")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["b"] - F.greatest(x["a"], s["e"]))).alias("n"), F.greatest(s["e"], x["b"]).alias("e")), lambda s: s["n"])
-    full = merged.select("__row", "n_words", covered.alias("n_hit"), "items", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (covered > 0).alias("contaminated"), "m.*")
-    return numbered.join(full, "__row").drop("__row")
-
-
-RESULT = ["n_words", "n_hit", "items", "n_items", "items_sha256", "contaminated", "longest_match", "longest_at", "longest_item"]
-
-
-def _pass(docs: DataFrame, keep: list[str], id_col: str, text_col: str, bench, window: int, last: bool) -> DataFrame:
-    """One block of items against all documents; last: results for output, else spans to be merged."""
+    paths = _written(docs.sparkSession, benchmark, item_col, item_text, item_words)
     out = docs.select(*keep).schema
     names = [f.name for f in out]
-    extra = "n_words long, n_hit long, items array<string>, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_at long, longest_item string" if last else "n_words long, spans array<struct<a:long,b:long>>, items array<string>, longest_match long, longest_at long, longest_item string"
+    extra = "n_words long, n_hit long, items array<string>, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_at long, longest_item string"
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out] + [extra])
-    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+    def shard_rows(lo: int, hi: int, raw: np.ndarray, where: np.ndarray) -> Iterator[tuple]:
+        low = W.LOWER[raw]
+        got = W.split(low, where, W.ALNUM)
+        shard = Shard.of(W.span_hashes(low, got.starts, got.ends), got.row, window)
+        inside = np.zeros(len(shard.hashes), bool)
+        names_of: list[set[str]] = [set() for _ in range(hi - lo)]
+        best: list[tuple[int, int, str] | None] = [None] * (hi - lo)
+        for path in paths if len(shard.hashes) else ():
+            bench = _block(path)
+            hits = search(shard, bench, window)
+            if not len(hits.at):
+                continue
+            inside |= covered(hits, len(inside))
+            numbers, longest = found_in(shard, bench, hits, hi - lo)
+            for r in range(hi - lo):
+                names_of[r].update(bench.names[i] for i in numbers[r])
+                if longest[r] is not None and (best[r] is None or longest[r] < best[r]):
+                    best[r] = longest[r]
+        total = np.concatenate([[0], np.cumsum(inside)])
+        n_hit = total[got.first[1:]] - total[got.first[:-1]]
+        for r in range(hi - lo):
+            found, top = sorted(names_of[r]), best[r]
+            yield int(got.first[r + 1] - got.first[r]), int(n_hit[r]), found, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), bool(n_hit[r]), -top[0] if top else 0, top[1] - int(got.first[r]) if top else 0, top[2] if top else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bench.value
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
             data, at = utf8(batch.column(len(names)))
-            n_words, n_hit, found, longest, spot, of, spans = [], [], [], [], [], [], []
-            for lo, hi, raw, where in blocks(data, at, SHARD_BYTES):
-                low = W.LOWER[raw]
-                got = W.split(low, where, W.ALNUM)
-                hashes = W.span_hashes(low, got.starts, got.ends)
-                item, _, place, size = search(hashes, got.row, known, window)
-                need = np.minimum(window, np.diff(known.first)[item]) if len(item) else np.zeros(0, np.int64)
-                cover = np.zeros(len(hashes) + 1, np.int64)
-                np.add.at(cover, place, 1)
-                np.add.at(cover, place + need, -1)
-                inside = np.cumsum(cover)[:-1] > 0
-                total = np.concatenate([[0], np.cumsum(inside)])
-                n_words.append(np.diff(got.first))
-                n_hit.append(total[got.first[1:]] - total[got.first[:-1]])
-                rows = got.row[place] if len(place) else place
-                sets = [[] for _ in range(hi - lo)]
-                pairs = np.unique(np.stack([rows, item]), axis=1) if len(rows) else np.zeros((2, 0), np.int64)
-                for r, i in pairs.T.tolist():
-                    sets[r].append(known.names[i])
-                found += [sorted(set(x)) for x in sets]
-                best = np.zeros((hi - lo, 2), np.int64)
-                name: list[str | None] = [None] * (hi - lo)
-                by = np.lexsort((place, -size, rows)) if len(rows) else rows
-                heads = by[np.unique(rows[by], return_index=True)[1]] if len(rows) else rows
-                for h in heads.tolist():
-                    best[rows[h]] = size[h], place[h] - got.first[rows[h]]
-                    name[rows[h]] = known.names[item[h]]
-                longest.append(best[:, 0])
-                spot.append(best[:, 1])
-                of += name
-                if not last:
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
-                    runs: list[list[dict]] = [[] for _ in range(hi - lo)]
-                    for a, b in edge.reshape(-1, 2).tolist():
-                        while a < b:  # a run may go on into the next row
-                            r = int(got.row[a])
-                            e = min(b, int(got.first[r + 1]))
-                            runs[r].append({"a": a - int(got.first[r]), "b": e - int(got.first[r])})
-                            a = e
-                    spans += runs
-            flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-            listed = pa.array(found, pa.list_(pa.string()))
-            tail = [flat(longest), flat(spot), pa.array(of, pa.string())]
-            if last:
-                digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]
-                hits = np.concatenate(n_hit) if n_hit else np.zeros(0, np.int64)
-                tail = [pa.array(hits, pa.int64()), listed, pa.array([len(x) for x in found], pa.int64()), pa.array(digest, pa.string()), pa.array(hits > 0), *tail]
-            else:
-                tail = [pa.array(spans, kind), listed, *tail]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], flat(n_words), *tail], [*names, *RESULT] if last else [*names, "n_words", "spans", "items", *RESULT[-3:]])
+            rows = [r for block in blocks(data, at, SHARD_BYTES) for r in shard_rows(*block)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], [*names, *RESULT])
 
-    return in_batches(docs).select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return in_batches(docs).select(*keep, F.col(text_col).cast("string").alias(fresh(docs, "__text")[0])).mapInArrow(run, schema)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
