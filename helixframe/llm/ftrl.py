@@ -2,9 +2,9 @@
 
 Each coordinate has its own rate and an L1 threshold, so most weights stay zero and the model is a short list of
 indices and values, which is broadcast. A feature is present in a text or not; a score is the sparse dot product over the
-present ones. Training reads a bounded sample of labelled rows: of each class the rows with the least hash of their id,
+present ones. Training reads a bounded sample of labelled rows: of each class the ids with the least hash,
 ``most`` at most. Only their hashed features reach the driver, at most ``2**BITS`` four-byte indices a row and in practice
-a few kB. Scoring is a map over all rows, without shuffle.
+a few kB. Scoring is a map over all rows, without shuffle. A text is held whole by its task, with about 60 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import blocks, in_batches, stored, utf8
+from .common import blocks, discarded, fresh, in_batches, stored, utf8
 
 BITS = 20
 #: (row, index) of features, not necessarily distinct, from the bytes of a block of rows.
@@ -90,12 +90,27 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+def _least(known: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows of (id, y, k) with the least k, ties by id. Counts by the upper bits of k tell first where they end, so that tasks don't each send ``most`` rows to the driver."""
+    top = F.shiftright("k", 64 - 12)
+    seen, last = 0, None
+    for r in known.groupBy(top.alias("top")).count().orderBy("top").collect():  # 4096 rows at most
+        seen, last = seen + r["count"], r.top
+        if seen >= most:
+            break
+    return known if last is None else known.filter(top <= last).orderBy("k", "id").limit(most)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, featurise: Featurise, folds: int, fold: int, most: tuple[int, int] = (8000, 4000), rates: Rates = Rates(), id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on labelled rows outside the held-out fold: at most ``most[y]`` of label y. Rows with a null id or label are left out."""
+    """Train on labelled ids outside the held-out fold: at most ``most[y]`` of label y.
+
+    Rows with a null id or label are left out, and equal rows of labels count once; an id with both labels counts for each. Of several documents with one id the least text counts.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").filter(~held_out(F.col("id"), folds, fold))
-    known = known.withColumn("k", F.xxhash64(F.col("id").cast("string")))
-    chosen = known.filter("y = 0").orderBy("k", "id").limit(most[0]).union(known.filter("y = 1").orderBy("k", "id").limit(most[1]))
-    texts = in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("k", "id", "y", "text")
+    known = stored(known.distinct().withColumn("k", F.xxhash64(F.col("id").cast("string"))), "labels")
+    chosen = _least(known.filter("y = 0"), most[0]).union(_least(known.filter("y = 1"), most[1]))
+    texts = in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("k", "id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,13 +126,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, featurise: Featurise, fo
 
     kind = texts.schema["id"].dataType.simpleString()
     # Written first and read by partition: the driver's JVM never holds all of it.
-    found = list(stored(texts.mapInArrow(run, f"k long, id {kind}, y int, x binary"), "features").toLocalIterator())
-    found.sort(key=lambda r: (r.k, r.id, r.x))
+    table = stored(texts.mapInArrow(run, f"k long, id {kind}, y int, x binary"), "features")
+    found = sorted(table.toLocalIterator(), key=lambda r: (r.k, r.id, r.y))
+    discarded(table)
+    discarded(known)
     return train([np.frombuffer(r.x, np.int32) for r in found], np.array([r.y for r in found]), rates)
 
 
 def scored(docs: DataFrame, model: Model, featurise: Featurise, text_col: str = "text", score: str = "score") -> DataFrame:
-    """The rows of docs with a column ``score`` in 0 to 1; null texts count as empty. A column of that name is replaced."""
+    """The rows of docs with a column ``score`` in 0 to 1; null and empty texts get the bias's score. A column of that name is replaced.
+
+    Equal texts get equal scores, repeated rows a row each, an empty table none. Memory holds one batch of texts, or one longer text.
+    """
     keep = [c for c in docs.columns if c != score]
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"`{score}` double"])
@@ -130,4 +150,4 @@ def scored(docs: DataFrame, model: Model, featurise: Featurise, text_col: str =
             out = [scores(model, dense, hi - lo, *featurise(raw, where)) for lo, hi, raw, where in blocks(data, at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(out) if out else np.zeros(0))], [*keep, score])
 
-    return in_batches(docs).select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return in_batches(docs).select(*keep, F.col(text_col).cast("string").alias(fresh(docs, "__text")[0])).mapInArrow(run, schema)
