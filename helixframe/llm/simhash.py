@@ -14,7 +14,7 @@ enumerated as well. Members that agree in the key meet at a common rest at dista
 in the key must agree in the rest up to one bit. Rows stay proportional to the
 fingerprints, no link is lost, and both levels verify complete distances.
 
-Components of the links: repeated star contraction with sums and joins only, every round written to the shared folder.
+Components of the links are those of the library's graph operators: star contraction, every round written to the shared folder.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from . import words as W
-from .common import blocks, discarded, in_batches, stored, utf8
+from .common import blocks, in_batches, stored, utf8
 
 HOT = 256
 BITS = 2
@@ -136,39 +137,16 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return pairs.filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).distinct()
 
 
-def _with(many: DataFrame, one: DataFrame, on: str) -> DataFrame:
-    """Join what was aggregated by ``on``, over a key of its own: both sides are dealt anew, so that a hub's rows can be split."""
-    key = F.bitwise_not(F.col(on))
-    return many.withColumn("__key", key).join(one.withColumn("__key", key).drop(on), "__key").drop("__key")
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): root is the least node connected to node; for nodes on an edge of (a, b).
-
-    Each round joins a node's larger neighbours, then its smaller ones, to its least neighbour, until no edge changes.
-    """
-    edges = stored(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u != v").distinct(), "edges")
-    before = None
-    for _ in range(rounds):
-        both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("m", "v"))
-        large = _with(both, least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("u != v").distinct()
-        small = large.groupBy("v").agg(F.min("u").alias("m"))
-        joined = _with(large, small, "v")
-        edges, old = stored(joined.select(F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("v", F.col("m").alias("u"))).filter("u != v").distinct(), "edges"), edges
-        discarded(old)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
-        before = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): root is the least node connected to node; for nodes on an edge of (a, b)."""
+    return graph.components(edges, "a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id_col, fp long, component_id, group): component_id is the least id reachable over links, the row's own included; group is a fingerprint that names the component.
 
     Null or wordless texts have fingerprint zero, linked like any other; fewer than three words make one
-    shingle. Repeated ids and rows give a row each; a null id is never a component's name unless no other is there. An empty table gives no rows;
+    shingle. A text is held whole by its task. Repeated ids and rows give a row each; a null id is never a component's name unless no other is there. An empty table gives no rows;
     other columns are ignored.
     """
     marked = stored(with_fingerprint(docs, id_col, text_col), "fingerprints")
@@ -181,7 +159,9 @@ def named(marked: DataFrame, distinct: DataFrame, edges: DataFrame, id_col: str)
     roots = components(edges)
     by_root = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = _with(by_root.withColumn("group", F.col("root")), names, "root").select("fp", "component_id", "group")
+    # Over another spelling of the key: a large component's rows are then an exchange of their own, which adaptive execution can split.
+    other = F.bitwise_not("root")
+    by_fp = by_root.withColumn("__k", other).join(names.select(other.alias("__k"), "component_id"), "__k").select("fp", "component_id", F.col("root").alias("group"))
     return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "group")
 
 
