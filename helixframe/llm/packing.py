@@ -183,7 +183,10 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
 
 def patterns(counts: np.ndarray, size: int, most: int = PATTERNS) -> np.ndarray:
-    """Two or three lengths that have pieces and fill a sequence, a row each (zero: no third); those whose rarest length is most common first."""
+    """Two or three lengths that have pieces and fill a sequence, a row each (zero: no third).
+
+    Of each longest length about as many, ``most`` in all: those whose rarest length is most common.
+    """
     have = np.flatnonzero(counts)
     out = []
     a = have[2 * have >= size]
@@ -198,11 +201,18 @@ def patterns(counts: np.ndarray, size: int, most: int = PATTERNS) -> np.ndarray:
         out.append(np.stack([np.full(ok.sum(), x), y[ok], z[ok]], 1))
     found = np.concatenate(out)
     rare = np.where(found > 0, counts[found], counts.max(initial=0)).min(1)
-    return found[np.argsort(-rare, kind="stable")[:most]]
+    by = np.lexsort((-rare, found[:, 0]))
+    found = found[by]
+    begin = np.searchsorted(found[:, 0], found[:, 0])  # where the patterns of the same longest length begin
+    return found[np.arange(len(found)) - begin < max(1, most // max(1, len(np.unique(found[:, 0]))))]
 
 
-def fit(found: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - counts|, by multiplicative updates."""
+def fit(found: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, settled: float = 1e-4) -> np.ndarray:
+    """Repeat counts x >= 0 that minimise |A x - counts|, by multiplicative updates.
+
+    They never raise the residual. The rounds end where no count changes by more than ``settled`` of the largest, or after ``rounds`` of them: what the fit leaves is packed
+    best-fit, so an early end costs fitted sequences and no piece.
+    """
     n = len(counts)
     want = counts.astype(float)
     want[0] = 0
@@ -212,7 +222,10 @@ def fit(found: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarr
     for _ in range(rounds):
         made = np.bincount(found.ravel(), np.repeat(x, 3) * used.ravel(), n)
         down = np.where(used, made[found], 0).sum(1)
-        x *= up / np.maximum(down, 1e-12)
+        old = x
+        x = x * up / np.maximum(down, 1e-12)
+        if np.abs(x - old).max(initial=0) <= settled * x.max(initial=0):
+            break
     return x
 
 
@@ -225,34 +238,66 @@ class Plan:
     count: np.ndarray
     offset: np.ndarray
     sequences: int
+    fitted: int = 0  # pieces in patterns of two or three lengths that the fit chose
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k = np.searchsorted(self.key, length << 40 | rank, "right") - 1
         return self.base[k] + rank - (self.key[k] & ((1 << 40) - 1)), self.offset[k]
 
 
+#: The fits that are tried: (times that it is repeated on what is left, whether a count's fraction is carried on to the next pattern, most lengths in a pattern).
+FITS = [(3, True, 3), (1, True, 3), (1, False, 3), (1, False, 2)]
+
+
 def plan(counts: np.ndarray, size: int = SEQUENCE) -> Plan:
-    """From the number of pieces of each length 0 to ``size``."""
+    """From the number of pieces of each length 0 to ``size``: of the ``FITS``, the one with the fewest sequences, ties by the order of the list."""
+    best = None
+    least = -(-int((counts.astype(np.int64) * np.arange(size + 1)).sum()) // size)
+    for fits, carried, most in FITS:
+        got = _plan(counts, size, fits, carried, most)
+        if best is None or got.sequences < best.sequences:
+            best = got
+        if best.sequences == least:  # no packing can have fewer
+            break
+    return best
+
+
+def _rounded(found: np.ndarray, x: np.ndarray, left: np.ndarray, carried: bool, last: bool) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and how often each is used, within what is left of each length, which is reduced by it.
+
+    Carried: what a count loses goes on to the next pattern of the same longest length, so that many small counts are not all rounded to nothing; only the last time is a half rounded up.
+    """
+    runs = []
+    carry, longest = 0.0, 0
+    for k in (np.lexsort((-x, -found[:, 0])) if carried else np.argsort(-x, kind="stable")).tolist():
+        own = [int(v) for v in found[k] if v]
+        carry, longest = (carry if carried and own[0] == longest else 0.0) + float(x[k]), own[0]
+        times = int(carry + (0.5 if last else 0.0))
+        if not times and not carried:
+            break
+        for v in set(own) if times else ():
+            times = min(times, int(left[v]) // own.count(v))
+        if times:
+            carry -= times
+            runs.append((tuple(own), times))
+            for v in own:
+                left[v] -= times
+    return runs
+
+
+def _plan(counts: np.ndarray, size: int, fits: int, carried: bool, most: int) -> Plan:
     left = counts.astype(np.int64).copy()
     left[0] = 0
     runs: list[tuple[tuple[int, ...], int]] = []  # lengths in a sequence, and how many such sequences
     if left[size]:
         runs.append(((size,), int(left[size])))
         left[size] = 0
-    found = patterns(left, size)
-    if len(found):
-        x = fit(found, left)
-        for k in np.argsort(-x, kind="stable").tolist():
-            times = int(x[k] + 0.5)
-            if not times:
-                break
-            own = [int(v) for v in found[k] if v]
-            for v in set(own):
-                times = min(times, int(left[v]) // own.count(v))
-            if times:
-                runs.append((tuple(own), times))
-                for v in own:
-                    left[v] -= times
+    for k in range(fits):
+        found = patterns(left, size)
+        found = found[(found > 0).sum(1) <= most]
+        if len(found):
+            runs += _rounded(found, fit(found, left), left, carried, k == fits - 1)
+    fitted = sum(len(own) * times for own, times in runs if len(own) > 1)
     # Best fit, longest first: open sequences by the room they have, in runs of equal ones.
     room: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(size + 1)]
     free = 0  # bit r: some sequence has room r
@@ -294,14 +339,15 @@ def plan(counts: np.ndarray, size: int = SEQUENCE) -> Plan:
             at += v
         total += times
     order = np.argsort(np.array(key, np.int64), kind="stable")
-    return Plan(*[np.array(x, np.int64)[order] for x in (key, base, count, offset)], total)
+    return Plan(*[np.array(x, np.int64)[order] for x in (key, base, count, offset)], total, fitted)
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SEQUENCE, end: int = END, with_ids: bool = False) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset[, ids]): a row for each piece, each in one sequence, gapless from 0.
 
     with_ids adds the token ids, so that a sequence is its pieces' ids by offset. Null texts are empty; repeated rows are packed each; an
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored. Which of equally long pieces takes which place follows the order of partitions and rows. A text is encoded whole by
+    its task, but for cuts where no token can span.
     """
     spark = docs.sparkSession
     cut = stored(pieces(docs, id_col, text_col, tokenizer, size, end, with_ids), "pieces")
