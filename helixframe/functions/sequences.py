@@ -25,8 +25,8 @@ def gc_content(s: Column) -> Column:
 def translated(s: Column) -> Column:
     """Amino acids of whole codons from the first base on; X for a codon with other letters."""
     table = F.create_map(*[F.lit(x) for kv in CODONS.items() for x in kv])
-    whole = F.floor(F.length(s) / 3).cast("int")
-    codons = F.transform(F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(s, i * 3 - 2, F.lit(3)))
+    # One pass; a substring for each codon would count its way from the start.
+    codons = F.regexp_extract_all(s, F.lit("(?s).{3}"), F.lit(0))
     return F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
 
 
@@ -37,9 +37,8 @@ def hamming_within(a: Column, b: Column, most: int) -> Column:
 
 
 def kmers(s: Column, k: int) -> Column:
-    """All substrings of length k, in order."""
-    n = F.length(s) - k + 1
-    return F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(s, i, F.lit(k)))
+    """All substrings of length k, in order: what lies ahead of each place, in one pass."""
+    return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def cigar_length(cigar: Column, operations: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import buckets as B
+
 WINDOW = 1000
 #: Fixed values of the GC range: the lower bound is exclusive, the upper inclusive.
 GC_LEAST, GC_MOST = 0.24, 0.68
@@ -63,11 +65,23 @@ def unity(windows: DataFrame, ratio: str, use: Column) -> DataFrame:
     return windows.crossJoin(F.broadcast(mean)).withColumn(ratio, F.when(F.col(ratio) > 0, F.col(ratio) / F.col("__m")).otherwise(F.col(ratio))).drop("__m")
 
 
-def rolling_median(windows: DataFrame, by: list[str], position: str, ratio: str, rows: int, least: int, expected: float = 1.0) -> DataFrame:
-    """The rows of positive ratio with ``rolled``: expected * ratio / the median over ``rows`` rows to both sides; unchanged under ``least`` rows in the frame."""
-    frame = Window.partitionBy(*by).orderBy(position).rowsBetween(-rows, rows)
+def rolling_median(windows: DataFrame, by: list[str], position: str, ratio: str, rows: int, least: int, expected: float = 1.0, bucket: int = 1 << 24) -> DataFrame:
+    """The rows of positive ratio with ``rolled``: expected * ratio / the median over ``rows`` rows to both sides; unchanged under ``least`` rows in the frame.
+
+    Rows are numbered over buckets of ``bucket`` positions, then dealt by number in blocks that carry ``rows`` rows of both neighbours along, so a key is many tasks. Of equal positions the lesser ratio comes first.
+    """
+    dealt = B.dealt(windows.filter(F.col(ratio) > 0), position, bucket)
+    counted = B.carried(dealt, by, {"__rows": (F.count("*"), "sum")})
+    nth = F.coalesce("__rows", F.lit(0)) + F.row_number().over(B.within(by).orderBy(position, ratio)) - 1
+    size = max(1000, 8 * rows)
+    numbered = counted.withColumn("__nth", nth).withColumn("__own", F.floor(F.col("__nth") / size).cast("long"))
+    place = F.col("__nth") % size
+    own = F.col("__own")
+    blocks = F.array_compact(F.array(own, F.when(place < rows, own - 1), F.when(place >= size - rows, own + 1)))
+    spread = numbered.withColumn(B.BUCKET, F.explode(blocks))
+    frame = B.within(by).orderBy("__nth").rowsBetween(-rows, rows)
     median, n = F.percentile(ratio, 0.5).over(frame), F.count("*").over(frame)
-    return windows.filter(F.col(ratio) > 0).withColumn("rolled", F.when(n >= least, expected * F.col(ratio) / median).otherwise(F.col(ratio)))
+    return spread.withColumns({"__median": median, "__count": n}).filter(own == F.col(B.BUCKET)).withColumn("rolled", F.when(F.col("__count") >= least, expected * F.col(ratio) / F.col("__median")).otherwise(F.col(ratio))).select(*windows.columns, "rolled")
 
 
 def consolidated(windows: DataFrame, by: list[str], position: str, ratio: str, gc: str, count: int, most: int) -> DataFrame:

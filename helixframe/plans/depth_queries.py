@@ -75,7 +75,7 @@ SELECT event_id, round(CASE WHEN count(*) OVER w >= 5 THEN value / quantile_cont
 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING)""")
 def rolling_median_norm(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return D.rolling_median(e, ["user_id"], "event_id", "value", 7, 5).select("event_id", F.round("rolled", 6).alias("rolled"))
+    return D.rolling_median(e, ["user_id"], "event_id", "value", 7, 5, bucket=1 << 16).select("event_id", F.round("rolled", 6).alias("rolled"))
 
 
 @query(RATIOS + " SELECT chromosome, round(coalesce(quantile_cont(ratio, 0.5) FILTER (ratio > 0), 0), 6) AS median, count(*) FILTER (ratio > 0) AS n FROM ratios GROUP BY 1")

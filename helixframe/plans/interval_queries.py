@@ -93,14 +93,14 @@ m AS (SELECT k, min(a) AS a, max(b) AS b, count(*) AS n FROM g GROUP BY k, g)"""
 
 @query(f"WITH {MERGE} SELECT k, a::BIGINT AS a, b::BIGINT AS b, n FROM m")
 def interval_merge(spark, sf_dir):
-    return I.merged(spans(spark, sf_dir), ["k"], "a", "b")
+    return I.merged(spans(spark, sf_dir), ["k"], "a", "b", bucket=512)
 
 
 @query(f"WITH {MERGE}, g2 AS (SELECT k, b + 1 AS a, lead(a) OVER (PARTITION BY k ORDER BY a) - 1 AS b FROM m) SELECT k, a::BIGINT AS a, b::BIGINT AS b FROM g2 WHERE b IS NOT NULL")
 def interval_subtract(spark, sf_dir):
     o = spans(spark, sf_dir)
     whole = o.groupBy("k").agg(F.min("a").alias("a"), F.max("b").alias("b")).withColumn("target", F.col("k"))
-    return I.subtracted(whole, o, ["k"], "a", "b", 128, "target").select("k", "a", "b")
+    return I.subtracted(whole, o, ["k"], "a", "b", 128, "target", bucket=512).select("k", "a", "b")
 
 
 COVER = f"""{ORDERS}, s AS (SELECT k, p, sum(d) AS d FROM (SELECT k, a AS p, 1 AS d FROM o UNION ALL SELECT k, b + 1, -1 FROM o) GROUP BY ALL HAVING sum(d) <> 0),
@@ -109,14 +109,14 @@ c AS (SELECT k, p AS a, lead(p) OVER (PARTITION BY k ORDER BY p) - 1 AS b, sum(d
 
 @query(f"WITH {COVER} SELECT k, a::BIGINT AS a, b::BIGINT AS b, depth::BIGINT AS depth FROM c WHERE depth > 0")
 def coverage_depth(spark, sf_dir):
-    return I.coverage(spans(spark, sf_dir), ["k"], "a", "b")
+    return I.coverage(spans(spark, sf_dir), ["k"], "a", "b", bucket=512)
 
 
 @query(f"""WITH {COVER}, h AS (SELECT * FROM c WHERE depth >= 2), f AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY k ORDER BY a) - 1 > 30 THEN 1 ELSE 0 END AS f FROM h),
 g AS (SELECT *, sum(f) OVER (PARTITION BY k ORDER BY a) AS g FROM f)
 SELECT k, min(a)::BIGINT AS a, max(b)::BIGINT AS b, arg_min(depth, a)::BIGINT AS first_depth, max(depth)::BIGINT AS max_depth FROM g GROUP BY k, g""")
 def high_depth_regions(spark, sf_dir):
-    return I.high_depth(spans(spark, sf_dir), ["k"], "a", "b", 2, 30)
+    return I.high_depth(spans(spark, sf_dir), ["k"], "a", "b", 2, 30, bucket=512)
 
 
 @query(f"WITH {ORDERS} SELECT o_orderkey, a::BIGINT AS start, coalesce(lead(a) OVER (PARTITION BY k ORDER BY a, o_orderkey) - 1, b)::BIGINT AS end_, lag(b) OVER (PARTITION BY k ORDER BY a, o_orderkey)::BIGINT AS support FROM o")
