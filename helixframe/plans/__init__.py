@@ -1,6 +1,6 @@
 """All queries over the driver's tables."""
 
-from . import cohort_queries, depth_queries, effect_queries, fit_queries, impact_queries, interval_queries, model_queries, probability_queries, quality_queries, rna_queries, sequence_queries, stream_queries, sv_queries, tumor_queries, variant_queries
+from . import cohort_queries, depth_queries, effect_queries, feature_queries, fit_queries, impact_queries, interval_queries, model_queries, probability_queries, quality_queries, receptor_queries, rna_queries, sequence_queries, stream_queries, sv_queries, tumor_queries, variant_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cohort_queries", "depth_queries", "effect_queries", "fit_queries", "impact_queries", "interval_queries", "model_queries", "probability_queries", "quality_queries", "rna_queries", "sequence_queries", "stream_queries", "sv_queries", "tumor_queries", "variant_queries"]
+__all__ = ["ORACLES", "QUERIES", "cohort_queries", "depth_queries", "effect_queries", "feature_queries", "fit_queries", "impact_queries", "interval_queries", "model_queries", "probability_queries", "quality_queries", "receptor_queries", "rna_queries", "sequence_queries", "stream_queries", "sv_queries", "tumor_queries", "variant_queries"]

@@ -14,7 +14,7 @@ BASES = ["A", "C", "G", "T"]
 #: Transcripts of three exons of 60 bases with introns of 40 from position 1000 on; coding from 1020 to 1240; every fifth has no protein. Sequences are made from the letters of the transcript's number.
 MODEL = """t AS (SELECT s_suppkey AS transcript, s_suppkey // 2 AS gene, s_suppkey % 3 AS chromosome, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE -1 END AS strand, 1000 + 2000 * (s_suppkey // 3) AS ts, 1259 + 2000 * (s_suppkey // 3) AS te, CASE WHEN s_suppkey % 5 <> 0 THEN 1020 + 2000 * (s_suppkey // 3) END AS cs, CASE WHEN s_suppkey % 5 <> 0 THEN 1240 + 2000 * (s_suppkey // 3) END AS ce FROM supplier),
 x AS (SELECT transcript, ts + 100 * i AS es, ts + 100 * i + 59 AS ee FROM t, unnest([0, 1, 2]) AS u(i)), q AS (SELECT transcript, 'ATG' || string_agg(substring('ACGTTGCAAG', 1 + CAST((transcript * 7 + i * i) % 10 AS INT), 1), '' ORDER BY i) AS bases FROM t, unnest(generate_series(1, 150)) AS u(i) GROUP BY 1),
-v AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey % 3 AS chromosome, 200 + 2000 * (l_suppkey // 3) + (l_orderkey * 13 + l_partkey * 31 + l_linenumber) % 1400 AS p, CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN 'AC' WHEN 3 THEN 'ACG' ELSE ['A', 'C', 'G', 'T'][1 + l_partkey % 4] END AS ref, CASE l_linenumber WHEN 1 THEN 'GG' WHEN 2 THEN '' WHEN 3 THEN '' ELSE ['A', 'C', 'G', 'T'][1 + (l_partkey + 1 + l_orderkey % 3) % 4] END AS alt, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey * 10 + l_orderkey % 2 END AS lps FROM lineitem)"""
+v AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_suppkey % 3 AS chromosome, 200 + 2000 * (l_suppkey // 3) + (l_orderkey * 13 + l_partkey * 31 + l_linenumber) % 1400 AS p, CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN 'AC' WHEN 3 THEN 'ACG' ELSE ['A', 'C', 'G', 'T'][1 + l_partkey % 4] END AS ref, CASE l_linenumber WHEN 1 THEN 'GG' WHEN 2 THEN '' WHEN 3 THEN '' ELSE ['A', 'C', 'G', 'T'][1 + (l_partkey + 1 + l_orderkey % 3) % 4] END AS alt, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey * 10 + l_orderkey % 2 END AS lps FROM lineitem)"""
 _TRANSLATE = "CASE {}" + "".join(f" WHEN '{c}' THEN '{a}'" for c, a in CODONS.items()) + " ELSE 'X' END"
 EFFECTS = f"""{MODEL}, n AS (SELECT v.*, t.* EXCLUDE (chromosome), x.es, x.ee FROM v JOIN t ON v.chromosome = t.chromosome AND p BETWEEN ts - CASE WHEN strand > 0 THEN 1000 ELSE 0 END AND te + CASE WHEN strand > 0 THEN 0 ELSE 1000 END JOIN x ON x.transcript = t.transcript),
 d AS (SELECT *, CASE WHEN ee <> te AND p - ee BETWEEN -2 AND 8 THEN p - ee END AS de, CASE WHEN es <> ts AND es - p BETWEEN -2 AND 8 THEN es - p END AS ds, CASE WHEN cs IS NULL THEN 0 WHEN strand > 0 THEN greatest(0, least(least(ee, ce), p - 1) - greatest(es, cs) + 1) ELSE greatest(0, least(ee, ce) - greatest(greatest(es, cs), p + 1) + 1) END AS o FROM n),
@@ -42,8 +42,8 @@ def model(spark, sf_dir):
     n = c("l_linenumber")
     ref = F.when(n == 1, "").when(n == 2, "AC").when(n == 3, "ACG").otherwise(pick(BASES, c("l_partkey") % 4))
     alt = F.when(n == 1, "GG").when(n == 2, "").when(n == 3, "").otherwise(pick(BASES, (c("l_partkey") + 1 + c("l_orderkey") % 3) % 4))
-    v = table(spark, sf_dir, "lineitem").select((c("l_orderkey") * 10 + n).alias("id"), (c("l_suppkey") % 3).alias("chromosome"), (200 + 2000 * F.floor(c("l_suppkey") / 3) + (c("l_orderkey") * 13 + c("l_partkey") * 31 + n) % 1400).alias("position"), ref.alias("ref"), alt.alias("alt"), F.when(n % 2 == 0, c("l_suppkey") * 10 + c("l_orderkey") % 2).alias("lps"))
-    return v, t, e, q
+    v = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", *[c(k).cast("string") for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"), (c("l_suppkey") % 3).alias("chromosome"), (200 + 2000 * F.floor(c("l_suppkey") / 3) + (c("l_orderkey") * 13 + c("l_partkey") * 31 + n) % 1400).alias("position"), ref.alias("ref"), alt.alias("alt"), F.when(n % 2 == 0, c("l_suppkey") * 10 + c("l_orderkey") % 2).alias("lps"))
+    return v.distinct(), t, e, q
 
 
 @query(f"WITH {EFFECTS} SELECT id, transcript, array_to_string(effects, ';') AS effects, {_CODING.format('effects')} AS coding_effect, donor IS NOT NULL OR acc IS NOT NULL AS splice_region, CASE WHEN inc AND single AND ex THEN codon END AS codon, CASE WHEN inc AND single AND ex THEN ac END AS alt_codon FROM z")
