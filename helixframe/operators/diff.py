@@ -49,55 +49,138 @@ def compared(old: DataFrame, new: DataFrame, keys: list[str], fields: list[Field
     return out if matches else out.filter("mismatch != 'MATCH'")
 
 
-#: For each category its keys, then its fields; a field without limits must be equal, else limits are absolute, relative (%) or both.
-SPECIFICATION = """
-purity | SampleId | qcStatus; gender; germlineAberration; fitMethod; msStatus; tmbStatus; tmlStatus; purity 0.04; ploidy 0.1; contamination 0.005; tmbPerMb 0.1 5%; msIndelsPerMb 0.1 5%; tml 1 5%; copyNumberSegments 5 20%; unsupportedCopyNumberSegments 5 20%; svTmb 5 5%
-somatic_variant | SampleId, Chromosome, Position, Ref, Alt, VariantType | reported; filter; gene; canonicalEffect; canonicalCodingEffect; canonicalHgvsCodingImpact; canonicalHgvsProteinImpact; otherTranscriptEffects; tier; hotspot; biallelic; qual 50 20%; subclonalLikelihood 0.6; hasLPS; variantCopyNumber 0.3 30%; tumorSupportingReadCount 1 20%; tumorTotalReadCount 1 20%; purityAdjustedVaf 0.2
-germline_variant | SampleId, Chromosome, Position, Ref, Alt, VariantType | reported; filter; gene; canonicalEffect; canonicalCodingEffect; canonicalHgvsCodingImpact; canonicalHgvsProteinImpact; otherTranscriptEffects; tier; hotspot; biallelic; qual 20 20%; variantCopyNumber 0.3 15%; tumorSupportingReadCount 1 20%; tumorTotalReadCount 1 20%; purityAdjustedVaf 0.2
-germline_amp_del | SampleId, Gene | reported; germlineStatus; tumorStatus; germlineCopyNumber 0.2 10%; tumorCopyNumber 0.2 10%; chromosome; chromosomeBand
-driver | SampleId, GeneId, TranscriptId, DriverType | likelihoodMethod; driverLikelihood 0.1; minCopyNumber 0.3 15%; maxCopyNumber 0.3 15%; chromosome; chromosomeBand
-fusion | SampleId, FusionName | reported; reportedType; phased; likelihood; fusedExonUp; fusedTranscriptUp; fusedExonDown; fusedTranscriptDown; chainLinks; chainTerminated; domainsKept; domainsLost; junctionCopyNumber 0.5 20%
-disruption | SampleId, Gene, Chromosome, Position, Orientation, TranscriptId | reported; regionType; codingType; nextSpliceExonRank
-germline_sv | SampleId, Gene, Chromosome, Position, Orientation, TranscriptId | reported; regionType; codingType; nextSpliceExonRank
-tissue_of_origin | SampleId, ClassifierName, DataType | topCancerType; probability 0.1
-hr_deficiency | SampleId | BRCA1 0.1; BRCA2 0.1; status; type; hrdScore 0.1
-hla | SampleId | status; alleles; somaticMissense 0.4 10%; somaticNonsenseOrFrameshift 0.4 10%; somaticSplice 0.4 10%; somaticInframeIndel 0.4 10%; somaticSynonymous 0.4 10%; refTotalFragments 10 1%; tumorTotalFragments 10 1%; tumorCopyNumber 0.5 15%; totalFragments 10 1%; fittedFragments 10 1%; discardedAlignmentFragments 10 1%; discardedIndels 10 1%; hlaYAllele
-pharmacogene | SampleId, Gene, HaplotypeName | alleleCount; function; drugs; prescriptionUrls
-virus | SampleId, Name | reported; integrations 20%; meanCoverage 15%; driverLikelihood
-flagstat | SampleId | mappedProportion 0.01
-tumor_bam_metrics | SampleId | duplicatePercentage 0.05; percentage30X 0.03; percentage60X 0.03
-germline_bam_metrics | SampleId | duplicatePercentage 0.05; percentage10X 0.03; percentage20X 0.03
-snp_genotype | SampleId, Chromosome, Position, Ref | alt; genotype
-cdr3_sequence | SampleId, Cdr3AA, Cdr3Seq | Filter; Locus
-cdr3_locus | SampleId, Locus | passSequences 5%
-telomere | SampleId, Type | telomereLength 5%
-hr_deficiency_image | SampleId | breastCancerHrdScore 0.1; ovarianCancerHrdScore 0.1; pancreaticCancerScore 0.1; prostateCancerScore 0.1; otherCancerScore 0.1
-signature | SampleId, Signature | percent 0.05
-rna_summary | SampleId | QcStatus; TotalFragments 10 1%; DuplicateFragments 10 1%; SplicedFragmentPerc 0.01 5%; UnsplicedFragmentPerc 0.01 5%; AltFragmentPerc 0.01 5%; ChimericFragmentPerc 0.01 5%; SplicedGeneCount 10 1%; ReadLength; FragLength5th 5%; FragLength50th 5%; FragLength95th 5%; EnrichedGenePercent 0.01; MedianGCRatio 0.01; ForwardStrandPercent 0.01
-gene_expression | SampleId, GeneName | SplicedFragments 10 5%; UnsplicedFragments 10 5%; AdjTPM 5%
-transcript_expression | SampleId, TranscriptName | GeneName; AdjTPM 5%
-splice_junction | SampleId, GeneName, Chromosome, JunctionStart, JunctionEnd | Type; FragCount 5 5%; RegionStart; RegionEnd
-rna_fusion | SampleId, FusionName, ChromosomeUp, PositionUp, ChromosomeDown, PositionDown | KnownFusionType; JuncTypeUp; JuncTypeDown; SplitFrags 5 5%; RealignedFrags 5 5%; DiscordantFrags 5 5%
-copy_number | SampleId, Chromosome, StartPosition, EndPosition | copyNumber 0.5 15%; majorAlleleCopyNumber 0.5 15%; method
-gene_copy_number | SampleId, Gene | minCopyNumber 0.5 15%; maxCopyNumber 0.5 15%
-"""
-
-
-def _categories(text: str) -> dict[str, tuple[list[str], list[Field]]]:
-    out = {}
-    for line in text.strip().splitlines():
-        name, keys, fields = (x.strip() for x in line.split("|"))
-        parsed = []
-        for f in fields.split(";"):
-            column, *limits = f.split()
-            absolute = [float(x) for x in limits if not x.endswith("%")]
-            relative = [float(x[:-1]) / 100 for x in limits if x.endswith("%")]
-            parsed.append(Field(column, *(absolute or [None]), *(relative or [None])))
-        out[name] = ([k.strip() for k in keys.split(",")], parsed)
-    return out
-
-
-CATEGORIES = _categories(SPECIFICATION)
+#: For each category its keys, and its fields as (name, absolute limit, relative limit); a field without limits must be equal.
+CATEGORIES: dict[str, tuple[list[str], list[Field]]] = {
+    "purity": (
+        ["SampleId"],
+        [Field("qcStatus"), Field("gender"), Field("germlineAberration"), Field("fitMethod"), Field("msStatus"), Field("tmbStatus"), Field("tmlStatus"), Field("purity", 0.04),
+         Field("ploidy", 0.1), Field("contamination", 0.005), Field("tmbPerMb", 0.1, 0.05), Field("msIndelsPerMb", 0.1, 0.05), Field("tml", 1, 0.05), Field("copyNumberSegments", 5, 0.2),
+         Field("unsupportedCopyNumberSegments", 5, 0.2), Field("svTmb", 5, 0.05)],
+    ),
+    "somatic_variant": (
+        ["SampleId", "Chromosome", "Position", "Ref", "Alt", "VariantType"],
+        [Field("reported"), Field("filter"), Field("gene"), Field("canonicalEffect"), Field("canonicalCodingEffect"), Field("canonicalHgvsCodingImpact"), Field("canonicalHgvsProteinImpact"),
+         Field("otherTranscriptEffects"), Field("tier"), Field("hotspot"), Field("biallelic"), Field("qual", 50, 0.2), Field("subclonalLikelihood", 0.6), Field("hasLPS"),
+         Field("variantCopyNumber", 0.3, 0.3), Field("tumorSupportingReadCount", 1, 0.2), Field("tumorTotalReadCount", 1, 0.2), Field("purityAdjustedVaf", 0.2)],
+    ),
+    "germline_variant": (
+        ["SampleId", "Chromosome", "Position", "Ref", "Alt", "VariantType"],
+        [Field("reported"), Field("filter"), Field("gene"), Field("canonicalEffect"), Field("canonicalCodingEffect"), Field("canonicalHgvsCodingImpact"), Field("canonicalHgvsProteinImpact"),
+         Field("otherTranscriptEffects"), Field("tier"), Field("hotspot"), Field("biallelic"), Field("qual", 20, 0.2), Field("variantCopyNumber", 0.3, 0.15),
+         Field("tumorSupportingReadCount", 1, 0.2), Field("tumorTotalReadCount", 1, 0.2), Field("purityAdjustedVaf", 0.2)],
+    ),
+    "germline_amp_del": (
+        ["SampleId", "Gene"],
+        [Field("reported"), Field("germlineStatus"), Field("tumorStatus"), Field("germlineCopyNumber", 0.2, 0.1), Field("tumorCopyNumber", 0.2, 0.1), Field("chromosome"),
+         Field("chromosomeBand")],
+    ),
+    "driver": (
+        ["SampleId", "GeneId", "TranscriptId", "DriverType"],
+        [Field("likelihoodMethod"), Field("driverLikelihood", 0.1), Field("minCopyNumber", 0.3, 0.15), Field("maxCopyNumber", 0.3, 0.15), Field("chromosome"), Field("chromosomeBand")],
+    ),
+    "fusion": (
+        ["SampleId", "FusionName"],
+        [Field("reported"), Field("reportedType"), Field("phased"), Field("likelihood"), Field("fusedExonUp"), Field("fusedTranscriptUp"), Field("fusedExonDown"),
+         Field("fusedTranscriptDown"), Field("chainLinks"), Field("chainTerminated"), Field("domainsKept"), Field("domainsLost"), Field("junctionCopyNumber", 0.5, 0.2)],
+    ),
+    "disruption": (
+        ["SampleId", "Gene", "Chromosome", "Position", "Orientation", "TranscriptId"],
+        [Field("reported"), Field("regionType"), Field("codingType"), Field("nextSpliceExonRank")],
+    ),
+    "germline_sv": (
+        ["SampleId", "Gene", "Chromosome", "Position", "Orientation", "TranscriptId"],
+        [Field("reported"), Field("regionType"), Field("codingType"), Field("nextSpliceExonRank")],
+    ),
+    "tissue_of_origin": (
+        ["SampleId", "ClassifierName", "DataType"],
+        [Field("topCancerType"), Field("probability", 0.1)],
+    ),
+    "hr_deficiency": (
+        ["SampleId"],
+        [Field("BRCA1", 0.1), Field("BRCA2", 0.1), Field("status"), Field("type"), Field("hrdScore", 0.1)],
+    ),
+    "hla": (
+        ["SampleId"],
+        [Field("status"), Field("alleles"), Field("somaticMissense", 0.4, 0.1), Field("somaticNonsenseOrFrameshift", 0.4, 0.1), Field("somaticSplice", 0.4, 0.1),
+         Field("somaticInframeIndel", 0.4, 0.1), Field("somaticSynonymous", 0.4, 0.1), Field("refTotalFragments", 10, 0.01), Field("tumorTotalFragments", 10, 0.01),
+         Field("tumorCopyNumber", 0.5, 0.15), Field("totalFragments", 10, 0.01), Field("fittedFragments", 10, 0.01), Field("discardedAlignmentFragments", 10, 0.01),
+         Field("discardedIndels", 10, 0.01), Field("hlaYAllele")],
+    ),
+    "pharmacogene": (
+        ["SampleId", "Gene", "HaplotypeName"],
+        [Field("alleleCount"), Field("function"), Field("drugs"), Field("prescriptionUrls")],
+    ),
+    "virus": (
+        ["SampleId", "Name"],
+        [Field("reported"), Field("integrations", None, 0.2), Field("meanCoverage", None, 0.15), Field("driverLikelihood")],
+    ),
+    "flagstat": (
+        ["SampleId"],
+        [Field("mappedProportion", 0.01)],
+    ),
+    "tumor_bam_metrics": (
+        ["SampleId"],
+        [Field("duplicatePercentage", 0.05), Field("percentage30X", 0.03), Field("percentage60X", 0.03)],
+    ),
+    "germline_bam_metrics": (
+        ["SampleId"],
+        [Field("duplicatePercentage", 0.05), Field("percentage10X", 0.03), Field("percentage20X", 0.03)],
+    ),
+    "snp_genotype": (
+        ["SampleId", "Chromosome", "Position", "Ref"],
+        [Field("alt"), Field("genotype")],
+    ),
+    "cdr3_sequence": (
+        ["SampleId", "Cdr3AA", "Cdr3Seq"],
+        [Field("Filter"), Field("Locus")],
+    ),
+    "cdr3_locus": (
+        ["SampleId", "Locus"],
+        [Field("passSequences", None, 0.05)],
+    ),
+    "telomere": (
+        ["SampleId", "Type"],
+        [Field("telomereLength", None, 0.05)],
+    ),
+    "hr_deficiency_image": (
+        ["SampleId"],
+        [Field("breastCancerHrdScore", 0.1), Field("ovarianCancerHrdScore", 0.1), Field("pancreaticCancerScore", 0.1), Field("prostateCancerScore", 0.1), Field("otherCancerScore", 0.1)],
+    ),
+    "signature": (
+        ["SampleId", "Signature"],
+        [Field("percent", 0.05)],
+    ),
+    "rna_summary": (
+        ["SampleId"],
+        [Field("QcStatus"), Field("TotalFragments", 10, 0.01), Field("DuplicateFragments", 10, 0.01), Field("SplicedFragmentPerc", 0.01, 0.05), Field("UnsplicedFragmentPerc", 0.01, 0.05),
+         Field("AltFragmentPerc", 0.01, 0.05), Field("ChimericFragmentPerc", 0.01, 0.05), Field("SplicedGeneCount", 10, 0.01), Field("ReadLength"), Field("FragLength5th", None, 0.05),
+         Field("FragLength50th", None, 0.05), Field("FragLength95th", None, 0.05), Field("EnrichedGenePercent", 0.01), Field("MedianGCRatio", 0.01), Field("ForwardStrandPercent", 0.01)],
+    ),
+    "gene_expression": (
+        ["SampleId", "GeneName"],
+        [Field("SplicedFragments", 10, 0.05), Field("UnsplicedFragments", 10, 0.05), Field("AdjTPM", None, 0.05)],
+    ),
+    "transcript_expression": (
+        ["SampleId", "TranscriptName"],
+        [Field("GeneName"), Field("AdjTPM", None, 0.05)],
+    ),
+    "splice_junction": (
+        ["SampleId", "GeneName", "Chromosome", "JunctionStart", "JunctionEnd"],
+        [Field("Type"), Field("FragCount", 5, 0.05), Field("RegionStart"), Field("RegionEnd")],
+    ),
+    "rna_fusion": (
+        ["SampleId", "FusionName", "ChromosomeUp", "PositionUp", "ChromosomeDown", "PositionDown"],
+        [Field("KnownFusionType"), Field("JuncTypeUp"), Field("JuncTypeDown"), Field("SplitFrags", 5, 0.05), Field("RealignedFrags", 5, 0.05), Field("DiscordantFrags", 5, 0.05)],
+    ),
+    "copy_number": (
+        ["SampleId", "Chromosome", "StartPosition", "EndPosition"],
+        [Field("copyNumber", 0.5, 0.15), Field("majorAlleleCopyNumber", 0.5, 0.15), Field("method")],
+    ),
+    "gene_copy_number": (
+        ["SampleId", "Gene"],
+        [Field("minCopyNumber", 0.5, 0.15), Field("maxCopyNumber", 0.5, 0.15)],
+    ),
+}
 
 
 def compare_category(category: str, old: DataFrame, new: DataFrame, matches: bool = False) -> DataFrame:
