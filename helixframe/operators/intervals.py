@@ -87,11 +87,16 @@ def _runs(rows: DataFrame, by: list[str], new: Column, *order: Column) -> DataFr
 
 def merged(spans: DataFrame, by: list[str], start: str, end: str, gap: int = 0, bucket: int = BUCKET) -> DataFrame:
     """(by, start, end, n): overlapping spans, adjacent ones, and those up to ``gap`` positions apart, as one. Spans are sorted by buckets of ``bucket`` positions of their starts."""
+    return chained(spans, by, start, end, gap, bucket).groupBy(*by, "__run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__run")
+
+
+def chained(spans: DataFrame, by: list[str], start: str, end: str, gap: int = 0, bucket: int = BUCKET) -> DataFrame:
+    """The spans with ``__run``, a number for each stretch that they cover without a gap of more than ``gap`` positions."""
     rows = B.carried(B.dealt(spans, start, bucket), by, {"__far": (F.max(end), "max")})
     order = B.within(by).orderBy(start, end)
     reach = F.greatest(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("__far"))
     island = _runs(rows.withColumn("__reach", reach), by, F.col("__reach").isNull() | (F.col(start) > F.col("__reach") + 1 + gap), F.col(start))
-    return island.groupBy(*by, "__run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__run")
+    return island.select(*spans.columns, "__run")
 
 
 def subtracted(targets: DataFrame, covered: DataFrame, by: list[str], start: str, end: str, bin_size: int, id_col: str, bucket: int = BUCKET) -> DataFrame:

@@ -59,7 +59,12 @@ def jitter_table(repeats: DataFrame, unit: str, count: str, jitter: str, widest:
 
 
 def greedy_dedup(rows: DataFrame, by: str, start: str, end: str, score: str, ident: str) -> DataFrame:
-    """The rows with ``kept``: within a phase set, from the best score on (ties by id), a variant that overlaps a kept one is dropped."""
+    """The rows with ``kept``: within a phase set, from the best score on (ties by id), a variant that overlaps a kept one is dropped.
+
+    Only variants that overlap, directly or over others, concern each other, so a task holds one such chain and not a phase set.
+    """
+    from . import intervals as I
+
     kind = rows.schema[by].dataType.simpleString()
     own = rows.schema[ident].dataType.simpleString()
 
@@ -74,7 +79,7 @@ def greedy_dedup(rows: DataFrame, by: str, start: str, end: str, score: str, ide
             out.append((getattr(r, by), getattr(r, ident), keep))
         return pd.DataFrame(out, columns=[by, ident, "kept"])
 
-    verdict = rows.select(by, start, end, score, ident).groupBy(by).applyInPandas(run, f"{by} {kind}, {ident} {own}, kept boolean")
+    verdict = I.chained(rows.select(by, start, end, score, ident), [by], start, end).groupBy(by, "__run").applyInPandas(run, f"{by} {kind}, {ident} {own}, kept boolean")
     return rows.join(verdict, [by, ident])
 
 
