@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import discarded, stored
+
 
 def running_median(values: np.ndarray, width: int = 51) -> np.ndarray:
     """Centred running median over ``width`` values, or the largest odd number of them; ends are smoothed.
@@ -65,33 +67,70 @@ def segments(values: np.ndarray, cost: float) -> list[tuple[int, int, float]]:
     return out[::-1]
 
 
-def segmented(rows: DataFrame, by: list[str], position: str, value: str, cost: float, window: int = 0) -> DataFrame:
-    """(by, start, end, n, mean): segments of each key's values in order of position; negative values are left out.
+#: Ratios below the floor count as the floor where segments are fitted to logarithms.
+FLOOR = 0.001
+BLOCK = 10_000
+
+
+def log_ratio(ratio: Column, floor: float = FLOOR) -> Column:
+    """The binary logarithm that segments of depth ratios are fitted to; null for a negative ratio, which has no part in them."""
+    return F.when(ratio >= 0, F.log2(F.greatest(ratio, F.lit(floor))))
+
+
+def segmented(rows: DataFrame, by: list[str], position: str, value: str, cost: float, window: int = 0, raw: str | None = None) -> DataFrame:
+    """(by, start, end, n, mean): segments of each key's values in order of position; null values are left out, and negative ones where no ``raw`` column is given.
 
-    end is the last position, plus ``window`` - 1 where rows are windows. A key (a chromosome's arm) is one task's group, bounded by the genome.
+    mean is that of ``raw`` where it is given. end is the last position, plus ``window`` - 1 where rows are windows. A key (a chromosome's arm) is one task's group, bounded by the genome.
     """
+    raw = raw or value
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(position)
-        at = group[position].to_numpy()
+        at, own = group[position].to_numpy(), np.concatenate([[0.0], np.cumsum(group["__raw"].to_numpy(float))])
         found = segments(group[value].to_numpy(float), cost)
-        out = pd.DataFrame([(at[i], at[j] + max(0, window - 1), j - i + 1, m) for i, j, m in found], columns=["start", "end", "n", "mean"])
+        out = pd.DataFrame([(at[i], at[j] + max(0, window - 1), j - i + 1, (own[j + 1] - own[i]) / (j - i + 1)) for i, j, _ in found], columns=["start", "end", "n", "mean"])
         for k in by:
             out[k] = group[k].iloc[0]
         return out[[*by, "start", "end", "n", "mean"]]
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in by)
-    return rows.filter(F.col(value) >= 0).select(*by, position, value).groupBy(*by).applyInPandas(run, f"{kinds}, start long, end long, n long, mean double")
+    used = rows.filter(F.col(value).isNotNull() & (F.col(raw) >= 0)).select(*by, position, value, F.col(raw).alias("__raw"))
+    return used.groupBy(*by).applyInPandas(run, f"{kinds}, start long, end long, n long, mean double")
 
 
-def penalty_of(rows: DataFrame, by: list[str], position: str, value: str, gamma: float = 100.0) -> float:
-    """One penalty for all keys: the median over keys of each key's own, which are computed apart; a number for each key reaches the driver."""
+def penalty_of(rows: DataFrame, by: list[str], position: str, value: str, gamma: float = 100.0, width: int = 51) -> float:
+    """One penalty for all keys: gamma times the squared spread of all values about the running median over them, keys one after another; 0.01 gamma without spread. Null values are left out.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"p": [penalty(group.sort_values(position)[value].to_numpy(float), gamma)], "n": [len(group)]})
-
-    found = rows.select(*by, position, value).groupBy(*by).applyInPandas(run, "p double, n long")
-    return float(found.agg(F.percentile("p", 0.5)).first()[0] or 0.01 * gamma)
+    Rows are ranked by a range partitioning, written once, and the counts of its parts; running medians come from blocks of ``BLOCK`` rows that carry half a width of both neighbours along, so no task holds all rows.
+    """
+    spark = rows.sparkSession
+    half = width // 2
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    used = rows.filter(F.col(value).isNotNull()).select(*by, position, F.col(value).cast("double").alias("__v"))
+    dealt = stored(used.repartitionByRange(parts, *by, position).sortWithinPartitions(*by, position, "__v").select("__v", F.monotonically_increasing_id().alias("__id")), "ranked")
+    counted = dealt.select("__v", F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__nth"))
+    before, run_ = [], 0
+    for r in sorted(counted.groupBy("__part").count().collect(), key=lambda r: r["__part"]):  # a row for each partition
+        before.append((r["__part"], run_))
+        run_ += r["count"]
+    if not run_:
+        return 0.01 * gamma
+    starts = spark.createDataFrame(before, "__part long, __before long")
+    ranked = counted.join(F.broadcast(starts), "__part").select("__v", (F.col("__before") + F.col("__nth")).alias("__nth"))
+    own, place = F.floor(F.col("__nth") / BLOCK).cast("long"), F.col("__nth") % BLOCK
+    spread = ranked.withColumn("__block", F.explode(F.array_compact(F.array(own, F.when((place < half) & (own > 0), own - 1), F.when(place >= BLOCK - half, own + 1)))))
+
+    def residuals(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("__nth")
+        v, mine = group["__v"].to_numpy(float), (group["__nth"] // BLOCK == group["__block"]).to_numpy()
+        return pd.DataFrame({"r": (v - running_median(v, width))[mine]})
+
+    rest = stored(spread.groupBy("__block").applyInPandas(residuals, "r double"), "residuals")
+    middle = rest.agg(F.percentile("r", 0.5)).first()[0]
+    size = 1.4826 * rest.agg(F.percentile(F.abs(F.col("r") - middle), 0.5)).first()[0]
+    discarded(dealt)
+    discarded(rest)
+    return gamma * size * size if size else 0.01 * gamma
 
 
 def union_of_breaks(first: DataFrame, second: DataFrame, by: list[str], position: str) -> DataFrame:

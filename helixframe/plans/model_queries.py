@@ -9,7 +9,7 @@ from ..operators import fits as M
 from ..operators import graph as G
 from ..operators import grids as R
 from ..operators import segmentation as S
-from ..storage import table
+from ..storage import stored, table
 from .depth_queries import LEAST, HOUR, reads
 from .interval_queries import spans
 from .registry import days, query, seconds
@@ -19,12 +19,13 @@ DAY = "datediff('day', DATE '1970-01-01', CAST({} AS DATE))"
 
 @query()
 def depth_segments(spark, sf_dir):
-    """Depth windows, GC normalisation, unity, then segments: the whole first path of a depth file."""
+    """Depth windows, GC normalisation, unity, then segments of the logarithms under one penalty: the whole first path of a depth file."""
     w = D.window_depth(reads(spark, sf_dir), ["chromosome"], "start", "len", "gcb", HOUR)
     r = D.gc_normalised(w, D.smoothed(D.gc_medians(w), LEAST))
     r = D.unity(D.mean_over_median(r, "ratio", "depth", F.col("ratio") > 0), "ratio", F.lit(True))
-    cost = S.penalty_of(r, ["chromosome"], "window", "ratio", 10.0)
-    return S.segmented(r, ["chromosome"], "window", "ratio", cost).withColumn("mean", F.round("mean", 6))
+    logs = stored(r.select("chromosome", "window", "ratio", S.log_ratio(F.col("ratio")).alias("log")), "ratios")
+    cost = S.penalty_of(logs, ["chromosome"], "window", "log", 10.0)
+    return S.segmented(logs, ["chromosome"], "window", "log", cost, raw="ratio").withColumn("mean", F.round("mean", 6))
 
 
 @query()

@@ -39,6 +39,22 @@ def test_running_median_and_penalty():
     assert segmentation.penalty(np.random.default_rng(0).normal(5, 1, 500), 100) == pytest.approx(100, rel=0.3)
 
 
+def test_one_penalty_over_blocks_is_that_of_the_whole(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, p, float(v) if p % 17 else None) for k in ("a", "b", "c") for p, v in enumerate(rng.normal(1, 0.2, 190))]
+    whole = np.array([v for _, _, v in rows if v is not None])
+    df = spark.createDataFrame(rows, "k string, p long, v double")
+    rest = whole - segmentation.running_median(whole)
+    want = 10 * (1.4826 * np.median(np.abs(rest - np.median(rest)))) ** 2
+    for size in (10_000, 60):
+        monkeypatch.setattr(segmentation, "BLOCK", size)
+        assert segmentation.penalty_of(df, ["k"], "p", "v", 10.0) == pytest.approx(want, rel=1e-12)
+    assert segmentation.penalty_of(df.filter("v < -9"), ["k"], "p", "v", 10.0) == 0.1
+    flat = spark.createDataFrame([("a", i, 0.0 if i < 30 else 4.0) for i in range(60)], "k string, p long, v double")
+    got = segmentation.segmented(flat.withColumn("l", segmentation.log_ratio(flat["v"])), ["k"], "p", "l", 1.0, window=10, raw="v").collect()
+    assert [(r.start, r.end, r.n, r["mean"]) for r in got] == [(0, 38, 30, 0.0), (30, 68, 30, 4.0)]
+
+
 def test_probabilities():
     assert S.poisson_cdf_one(3, 2.0) == pytest.approx(sum(math.exp(-2) * 2**k / math.factorial(k) for k in range(4)))
     assert S.poisson_cdf_one(1000, 1000) == pytest.approx(0.5, abs=0.02)
