@@ -6,7 +6,7 @@ a typed format give nulls, as Spark's readers do in permissive mode.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -133,21 +133,22 @@ def reads_of(spark: SparkSession, path: str, umi_length: int = 0) -> DataFrame:
     """(name, bases, qualities) of FASTQ files; ``umi_length`` bases move from the front of the read into its name.
 
     Records are told by the separator of a newline and the name's sign. A quality line that begins with that sign is cut off its record: such a piece
-    has no newline, and its record has no quality line. The piece is the next one of the same split, or the first of the split that follows in the file, and
-    is joined back by that place; whole records are not shuffled. A record whose quality line is missing altogether has null qualities.
+    has no newline, and its record has no quality line. The piece is the next one of the file, and is joined back by that place; whole records are not shuffled. A record whose quality line is missing altogether has null qualities.
     """
-    raw = spark.read.option("lineSep", "\n@").text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", "_metadata.file_block_length", F.monotonically_increasing_id().alias("at"))
+    raw = spark.read.option("lineSep", "\n@").text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    raw = raw.withColumn("value", F.regexp_replace("value", "\n$", ""))  # the file's end
     lines = F.split(F.regexp_replace("value", "^@", ""), "\n")
     raw = raw.withColumn("l", lines)
     read = lambda q: [F.get("l", F.lit(0)).alias("name"), F.get("l", F.lit(1)).alias("bases"), q.alias("qualities")]
     cut = (F.size("l") < 4) & F.get("l", F.lit(2)).startswith("+")
     whole = raw.filter((F.size("l") > 1) & ~F.coalesce(cut, F.lit(False))).select(*read(F.get("l", F.lit(3))))
-    broken, rest = raw.filter(cut), raw.filter(F.size("l") == 1)
-    near = rest.select((F.col("at") - 1).alias("__at"), F.col("value").alias("near"))
-    # The first piece of a split: nothing of the split stands before it.
-    begin = rest.filter(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) == 0).select(F.col("file_path").alias("__f"), F.col("file_block_start").alias("__s"), F.col("value").alias("far"))
-    joined = broken.join(near, F.col("at") == F.col("__at"), "left").join(begin, (F.col("file_path") == F.col("__f")) & (F.col("file_block_start") + F.col("file_block_length") == F.col("__s")), "left")
-    row = whole.union(joined.select(*read(F.concat(F.lit("@"), F.coalesce("near", "far")))))
+    # What follows a record that was cut: the next row of its split, or the first one of the next split of its file that has any. One row for each split is sorted.
+    blocks = raw.groupBy("file_path", "file_block_start").agg(F.min("at").alias("__first"), F.max("at").alias("__last"))
+    blocks = blocks.withColumn("__next", F.lead("__first").over(Window.partitionBy("file_path").orderBy("file_block_start")))
+    broken = raw.filter(cut).join(blocks, ["file_path", "file_block_start"]).withColumn("__at", F.when(F.col("at") < F.col("__last"), F.col("at") + 1).otherwise(F.col("__next")))
+    rest = raw.filter(F.size("l") == 1).select(F.col("at").alias("__at"), F.col("value").alias("__rest"))
+    joined = broken.join(rest, "__at", "left")
+    row = whole.union(joined.select(*read(F.concat(F.lit("@"), "__rest"))))
     if not umi_length:
         return row
     cut: dict[str, Column] = {c: F.substring(c, F.lit(umi_length + 1), F.length(c)) for c in ("bases", "qualities")}

@@ -94,3 +94,41 @@ def test_sinks(spark, tmp_path):
     assert R.segments(spark, str(tmp_path / "s")).first()["mean"] == 0.5
     out = {r.sampleId: json.loads(r.report) for r in W.report(rows, {"numbers": rows, "none": rows.filter("n = 2")}).collect()}
     assert out["a"] == {"numbers": [{"n": 1, "v": 2.0}], "none": []}
+
+
+def test_quality_lines_that_begin_with_the_sign_over_small_splits(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    want = []
+    folder = tmp_path / "fq"
+    folder.mkdir()
+    for f in range(3):
+        rows = []
+        for i in range(120):
+            n = rng.randrange(1, 9)
+            rows.append((f"q{f}.{i}", "".join(rng.choice("ACGT") for _ in range(n)), rng.choice("@@+I") + "".join(rng.choice("@F+") for _ in range(n - 1))))
+        rows[-1] = (f"q{f}.last", "ACG", "@@I")
+        (folder / f"{f}.fq").write_text("".join(f"@{a}\n{b}\n+\n{q}\n" for a, b, q in rows))
+        want += rows
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("134217728b", "200b", "61b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            assert sorted(tuple(r) for r in R.reads_of(spark, str(folder)).collect()) == sorted(want), size
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_a_long_contig_and_repeated_keys(spark, tmp_path):
+    import time
+
+    p = tmp_path / "long.fa"
+    p.write_text(">1 long\n" + "".join("ACGTTGCAAC" * 8 + "\n" for _ in range(100_000)))
+    began = time.time()
+    assert R.sequences(spark, str(p)).count() == 8000
+    assert time.time() - began < 60
+    gtf = R.features(spark, put(tmp_path / "b.gtf", '1\ts\texon\t5\t9\t.\t+\t.\tgene_id "G1"; tag "a"; tag "b";\n')).first()
+    assert gtf.attributes["tag"] == "a" and gtf.every == {"gene_id": ["G1"], "tag": ["a", "b"]}
