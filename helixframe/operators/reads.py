@@ -69,17 +69,21 @@ def greedy_dedup(rows: DataFrame, by: str, start: str, end: str, score: str, ide
     own = rows.schema[ident].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        spans: list[tuple[int, int]] = []
-        out = []
-        for r in group.sort_values([score, ident], ascending=[False, True]).itertuples(index=False):
-            a, b = getattr(r, start), getattr(r, end)
+        out, chain, spans = [], None, []
+        for r in group.sort_values([by, "__run", score, ident], ascending=[True, True, False, True]).itertuples(index=False, name=None):
+            key, a, b, _, name, number = r
+            if (key, number) != chain:
+                chain, spans = (key, number), []
             keep = all(b < x or a > y for x, y in spans)
             if keep:
                 spans.append((a, b))
-            out.append((getattr(r, by), getattr(r, ident), keep))
+            out.append((key, name, keep))
         return pd.DataFrame(out, columns=[by, ident, "kept"])
 
-    verdict = I.chained(rows.select(by, start, end, score, ident), [by], start, end).groupBy(by, "__run").applyInPandas(run, f"{by} {kind}, {ident} {own}, kept boolean")
+    # Chains are dealt to as many groups as there are shuffle partitions; a call for each of them would cost more than the work.
+    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    linked = I.chained(rows.select(by, start, end, score, ident), [by], start, end).withColumn("__g", F.pmod(F.xxhash64(by, "__run"), F.lit(many)))
+    verdict = linked.select(by, start, end, score, ident, "__run", "__g").groupBy("__g").applyInPandas(lambda group: run(group.drop(columns="__g")), f"{by} {kind}, {ident} {own}, kept boolean")
     return rows.join(verdict, [by, ident])
 
 

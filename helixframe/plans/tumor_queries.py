@@ -203,7 +203,7 @@ def local_phase_sets(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE o AS (SELECT o_orderkey, o_custkey % 100 AS s, {DAY.format('o_orderdate')} AS a, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders),
-g(s, r, k, kept, starts) AS (SELECT s, r, o_orderkey, true, [a] FROM o WHERE r = 1 UNION ALL SELECT o.s, o.r, o.o_orderkey, len(list_filter(g.starts, lambda x: abs(x - o.a) <= 3)) = 0, CASE WHEN len(list_filter(g.starts, lambda x: abs(x - o.a) <= 3)) = 0 THEN list_append(g.starts, o.a) ELSE g.starts END FROM g JOIN o ON o.s = g.s AND o.r = g.r + 1)
+g(s, r, k, kept, starts) AS (SELECT s, r, o_orderkey, true, [a] FROM o WHERE r = 1 UNION ALL SELECT s, r, k, ok, CASE WHEN ok THEN list_append(starts, a) ELSE starts END FROM (SELECT o.s, o.r, o.o_orderkey AS k, o.a, g.starts, NOT list_has_any(g.starts, [o.a - 3, o.a - 2, o.a - 1, o.a, o.a + 1, o.a + 2, o.a + 3]) AS ok FROM g JOIN o ON o.s = g.s AND o.r = g.r + 1))
 SELECT k AS o_orderkey, kept FROM g""")
 def overlap_dedup(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("set"), days("o_orderdate").alias("a"), (days("o_orderdate") + 3).alias("b"), "o_totalprice")
