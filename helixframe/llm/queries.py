@@ -8,6 +8,7 @@ from .license_scan import op1_license_scan
 from .packing import op8_packing
 from .quality_classifier import op10_quality
 from .quality_rules import op7_repetition
+from .repeats import op13_repeats
 from .simhash import op5_simhash
 from .toxicity import op3_toxicity
 from .url_filter import op9_url_filter
@@ -24,6 +25,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_repetition": op7_repetition,
     "op5_simhash": op5_simhash,
+    "op13_repeats": op13_repeats,
 }
 ORACLES: dict[str, str] = {
     "op2_chat": OP2_SQL,
