@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .chat import OP2_SQL, op2_chat
 from .decontaminate import op6_decontaminate
 from .license_scan import op1_license_scan
@@ -25,6 +26,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_repetition": op7_repetition,
     "op5_simhash": op5_simhash,
+    "op12_alignment": op12_alignment,
     "op13_repeats": op13_repeats,
 }
 ORACLES: dict[str, str] = {
