@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .alignment import op12_alignment
 from .chat import OP2_SQL, op2_chat
+from .collocations import op11_collocations
 from .decontaminate import op6_decontaminate
 from .license_scan import op1_license_scan
 from .packing import op8_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_repetition": op7_repetition,
     "op5_simhash": op5_simhash,
+    "op11_collocations": op11_collocations,
     "op12_alignment": op12_alignment,
     "op13_repeats": op13_repeats,
 }
