@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from . import words as W
-from .common import blocks, in_batches, stored, utf8
+from .common import blocks, fresh, in_batches, stored, utf8
 
 HOT = 256
 BITS = 2
@@ -151,12 +151,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = stored(with_fingerprint(docs, id_col, text_col), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    return named(marked, distinct, links(distinct.select("fp"), hot), id_col)
+    return named(marked, distinct, components(links(distinct.select("fp"), hot)), id_col)
 
 
-def named(marked: DataFrame, distinct: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
-    """(id_col, fp, component_id, group) of marked (id, fp), its distinct (fp, least id) and the edges (a, b) between fps."""
-    roots = components(edges)
+def named(marked: DataFrame, distinct: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, fp, component_id, group) of marked (id, fp), its distinct (fp, least id) and the components (node, root) of linked fps."""
     by_root = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
     # Over another spelling of the key: a large component's rows are then an exchange of their own, which adaptive execution can split.
@@ -177,22 +176,25 @@ def one_of_each(docs: DataFrame, marked: DataFrame, keyed: Callable[[DataFrame,
     texts; rows that share both are told apart by nothing, and one of them stays. Of components without any id, the row of the least
     fingerprint stays.
     """
-    marked = stored(marked, "components")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("__id"), F.col("fp").alias("__fp"))).alias("k")
-    kept = stored(marked.groupBy("group").agg(first).select("k.__id", "k.__fp"), "kept")
-    often = marked.groupBy(F.col(id_col).alias("__own")).agg(F.count("*").alias("__n")).filter("__n > 1 OR __own IS NULL").select("__own")
-    shared = F.col("__id").eqNullSafe(F.col("__own"))
-    out = docs.join(kept.join(often, shared, "left_anti").select(F.col("__id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
+    marked = stored(marked.select(F.col(id_col).alias("id"), "fp", "group"), "components")
+    none, least, key, own, own_key, row = fresh(docs, "__none", "__id", "__fp", "__own", "__key", "__row")
+    first = F.min(F.struct(F.col("id").isNull().alias(none), F.col("id").alias(least), F.col("fp").alias(key))).alias("k")
+    kept = stored(marked.groupBy("group").agg(first).select(f"k.{least}", f"k.{key}"), "kept")
+    often = marked.groupBy(F.col("id").alias(own)).agg(F.count("*").alias("n")).filter(f"n > 1 OR `{own}` IS NULL").select(own)
+    shared = F.col(least).eqNullSafe(F.col(own))
+    out = docs.join(kept.join(often, shared, "left_anti").select(F.col(least).alias(id_col)), id_col, "left_semi").select(*docs.columns)
     more = kept.join(often, shared, "left_semi")
     if not more.isEmpty():
-        own = docs.join(more.select("__id").distinct(), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-        rows = keyed(own.withColumn("__row", F.struct(*own.columns)), "__row")
+        some = docs.join(more.select(least).distinct(), F.col(id_col).eqNullSafe(F.col(least)), "left_semi")
+        rows = keyed(some.withColumn(row, F.struct(*[F.col(f"`{c}`") for c in some.columns])), row).select(F.col("id").alias(row), F.col("fp").alias(own_key))
         # A fingerprint is in one component, which keeps one row.
-        out = out.union(rows.join(more, (F.col("fp") == F.col("__fp")) & F.col(f"id.{id_col}").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["fp"]).select("id.*"))
+        found = rows.join(more, (F.col(own_key) == F.col(key)) & F.col(f"{row}.`{id_col}`").eqNullSafe(F.col(least)), "left_semi").dropDuplicates([own_key])
+        out = out.union(found.select(f"{row}.*"))
     return out
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document; null and wordless texts have fingerprint zero, equal fingerprints one component."""
     from .common import table
 
     out = near_duplicates(table(spark, sf_dir, "documents"))
