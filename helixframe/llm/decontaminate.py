@@ -331,14 +331,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that no benchmark window occurs in, with their own columns."""
-    clash = [c for c in docs.columns if c in RESULT]
-    if clash:  # carried under other names
-        renamed = docs.withColumnsRenamed({c: f"__own_{c}" for c in clash})
-        return overlaps(renamed, benchmark, **options).filter("NOT contaminated").drop(*RESULT).withColumnsRenamed({f"__own_{c}": c for c in clash}).select(*docs.columns)
-    return overlaps(docs, benchmark, **options).filter("NOT contaminated").select(*docs.columns)
+    clash = [c for c in docs.columns if c.lower() in RESULT]
+    names = dict(zip(clash, fresh(docs, *[f"__own_{c}" for c in clash])))  # carried under other names
+    found = overlaps(docs.withColumnsRenamed(names), benchmark, **options).filter("NOT contaminated").drop(*RESULT)
+    return found.withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """What ``overlaps`` finds in every document, without the item list; null texts have no words and are not contaminated."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = overlaps(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_at", "longest_item")

@@ -21,6 +21,27 @@ def texts(spark):
     return spark.createDataFrame([(*r, *[7] * len(CLASH)) for r in rows], ", ".join(["doc_id long", "text string", *[f"`{c}` int" for c in CLASH]])), [r[1] for r in rows]
 
 
+STAGE_CLASH = ["__score", "__own_items", "items", "__id", "__fp", "__own", "__none", "__key", "__row", "__text", "id", "fp", "contaminated", "component_id"]
+
+
+@pytest.mark.parametrize("labels", [[(i, 1 - i % 2, i % 2) for i in range(40)], [(i, 1, 1) for i in range(40)], [(i, 0, 0) for i in range(40)], []])
+def test_stages_keep_columns_that_clash_and_all_rows_without_both_labels(spark, tmp_path, labels):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words, "good" if i % 2 == 0 else "bad", str(i)] * 2)) for i in range(40)] + [(None, "odd one"), (7, "another"), (None, None)]
+    kinds = ", ".join(f"`{c}` string" for c in STAGE_CLASH)
+    docs = spark.createDataFrame([(*r, *["kept"] * len(STAGE_CLASH)) for r in rows], f"doc_id long, text string, {kinds}")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("1", "w3 w4 w5 nothing")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == "kept" for r in got for c in STAGE_CLASH)
+        if name in ("quality", "toxicity") and len({x[1] for x in labels}) < 2:
+            assert len(got) == len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
+
+
 MODEL = ftrl.Model(np.arange(50), np.full(50, 0.01, np.float32), -1.0)
 OPERATORS = {
     "license_scan": lambda d: license_scan.scan(d),
