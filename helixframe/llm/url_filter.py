@@ -28,7 +28,6 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 BUCKETS = 1 << 16
-LONGEST = 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,18 +60,30 @@ class Segmenter:
     def __init__(self, total: int):
         self.total = total or 1
         # An unknown word costs more than the rarest known one, and more with each letter.
-        self.unknown = [math.log(self.total) + 2 + 2.5 * n for n in range(LONGEST + 1)]
+        self.first, self.letter = math.log(self.total) + 2, 2.5
+
+    def unknown(self, n: int) -> float:
+        return self.first + self.letter * n
 
     def viterbi(self, text: str, counts: dict[str, int]) -> list[str]:
-        """counts: how often each substring that is a word occurs. Of equally likely splits, the one with the longest last word."""
+        """counts: how often each substring that is a word occurs. Of equally likely splits, the one with the longest last word.
+
+        Words have any length. Known ones are tried by the lengths that there are; an unknown one costs the same for each letter, so its best begin is carried along.
+        """
         n = len(text)
         best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
-        cost, unknown = {w: math.log(self.total / c) for w, c in counts.items()}, self.unknown
+        cost = {w: math.log(self.total / c) for w, c in counts.items()}
+        lengths = sorted({len(w) for w in cost}, reverse=True)
+        begin = 0  # of the cheapest unknown word that ends here, less what its letters cost
         for j in range(1, n + 1):
-            for i in range(max(0, j - LONGEST), j):
-                c = best[i] + cost.get(text[i:j], unknown[j - i])
-                if c < best[j]:
-                    best[j], back[j] = c, i
+            if best[j - 1] - self.letter * (j - 1) < best[begin] - self.letter * begin - 1e-9:
+                begin = j - 1
+            best[j], back[j] = best[begin] + self.unknown(j - begin), begin
+            for k in lengths:
+                if k <= j and (c := cost.get(text[j - k : j])) is not None:
+                    c += best[j - k]
+                    if c < best[j] or (c == best[j] and j - k < back[j]):
+                        best[j], back[j] = c, j - k
         out = []
         while n:
             out.append(text[back[n] : n])
@@ -94,18 +105,21 @@ def _pieces(text: Column) -> Column:
 def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """(host, words): each distinct host's labels split into words, in order; from (host) and the unigrams (w, n).
 
-    Every substring of up to ``LONGEST`` letters of a distinct run of letters is joined with the counts, so that all words count, however rare, and no vocabulary is held anywhere; a
+    Every substring of a distinct run of letters that has some unigram's length is joined with the counts, so that all words count, however rare or long, and no vocabulary is held anywhere; a
     task holds one run's own words. The joins are on substrings and on runs, and texts are not in them.
     """
     counts = stored(counts, "unigrams")
     total = counts.agg(F.sum("n")).first()[0] or 0
     at = stored(hosts.select("host", F.posexplode(_pieces(F.col("host"))).alias("at", "run")), "runs")
     runs = at.select("run").filter(F.col("run").rlike("^[a-z]")).distinct()
+    # Lengths that both a unigram and a run can have: at most as many as the longest host has letters.
+    longest = runs.agg(F.max(F.length("run"))).first()[0] or 0
+    sizes = sorted(r[0] for r in counts.filter(F.length("w") <= longest).select(F.length("w")).distinct().collect())
+    by_size = runs.select("run", F.explode(F.lit(sizes).cast("array<int>")).alias("k")).filter(F.col("k") <= F.length("run"))
     # Slices of the letters, which are split once: a substring would count its way from the run's start.
-    lengths = lambda i: F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(LONGEST), F.length("run") - i + 1)))
-    every = lambda letters: F.flatten(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.transform(lengths(i), lambda k: F.array_join(F.slice(letters, i, k), ""))))
+    every = lambda letters: F.transform(F.sequence(F.lit(1), F.length("run") - F.col("k") + 1), lambda i: F.array_join(F.slice(letters, i, F.col("k")), ""))
     subs = F.get(F.transform(F.array(F.split("run", "")), every), F.lit(0))
-    known = runs.select("run", F.explode(F.array_distinct(subs)).alias("w")).join(counts, "w").groupBy("run").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    known = by_size.select("run", F.explode(F.array_distinct(subs)).alias("w")).join(counts, "w").groupBy("run").agg(F.collect_list(F.struct("w", "n")).alias("known"))
     segmenter = Segmenter(total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +161,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col:
     """The rows of pages with host, path, rule (null: none fits), score (log odds of block by naive Bayes) and verdict.
 
     Unigrams come from ``text_col`` of ``texts`` (default: of pages itself). Without a fitting rule, block needs a score above zero. Null urls have an empty host and path, and so
-    the prior's score; null texts add no words; words of more than ``LONGEST`` letters are not looked for in hosts. Of equally long rules the first holds.
+    the prior's score; null texts add no words. Of equally long rules the first holds.
     Repeated rows get a row each, an empty table none; columns of pages with the result's names are replaced.
     """
     results = ["host", "path", "rule", "score", "verdict"]
@@ -176,5 +190,6 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col:
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
+    """(page_id, host, path, rule, verdict, score) of every page; null urls have an empty host and path."""
     pages = table(spark, sf_dir, "pages")
     return judged(pages.select("page_id", "url"), texts=pages.select("html")).select("page_id", "host", "path", "rule", "verdict", "score")

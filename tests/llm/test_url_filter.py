@@ -37,13 +37,19 @@ def test_rules_match_brute_force(spark):
 def test_viterbi_is_the_cheapest_split():
     counts = {"the": 50, "big": 9, "dog": 9, "thebig": 1, "do": 3, "gs": 1, "dogs": 4}
     s = U.Segmenter(sum(counts.values()))
-    cost = lambda p: math.log(s.total / counts[p]) if p in counts else s.unknown[len(p)]
-    for text in ("thebigdogs", "dogsdo", "xthe", "zz"):
+    cost = lambda p: math.log(s.total / counts[p]) if p in counts else s.unknown(len(p))
+    counts["donaudampfschiffahrtsgesellschaft"] = 1
+    for text in ("thebigdogs", "dogsdo", "xthe", "zz", "xxthexx"):
         got = s.viterbi(text, counts)
         assert "".join(got) == text
         assert math.isclose(sum(map(cost, got)), min(sum(map(cost, parts)) for parts in splits(text)))
 
 
+def test_long_words_are_found():
+    word = "donaudampfschiffahrtsgesellschaft"
+    assert U.Segmenter(100).viterbi("the" + word + "q" * 60, {"the": 9, word: 1}) == ["the", word, "q" * 60]
+
+
 def splits(text):
     for k in range(len(text)):
         for at in itertools.combinations(range(1, len(text)), k):
@@ -61,7 +67,7 @@ def brute_words(host, counts, total):
 def test_words_verdicts_and_scores_match_brute_force(spark):
     """Words of hosts, Bayes counts, scores and verdicts, all of them from plain Python; rare words count like frequent ones."""
     rng = random.Random(4)
-    vocab = ["big", "dog", "cat", "news", "shop", "rare", "best", "deal"]
+    vocab = ["big", "dog", "cat", "news", "shop", "rare", "best", "deal"]
     text = " ".join(rng.choice(vocab[:5]) for _ in range(300)) + " rare Best deal"
     rows = []
     for i in range(80):
