@@ -24,8 +24,9 @@ def whole(texts):
         if not t:
             out.append(([], []))
             continue
-        a = [(i, pair.a_bytes[i]) for i in pair.coder.tokenizer.encode(" " + t, add_special_tokens=False).ids]
-        b = [(i, pair.b_bytes[i]) for i in pair.b.encode(t)]
+        bytes_of = lambda v, i: v.data[v.first[i] : v.first[i + 1]].tobytes()
+        a = [(i, bytes_of(pair.of_a, i)) for i in pair.a.encode(" " + t, add_special_tokens=False).ids]
+        b = [(i, bytes_of(pair.of_b, i)) for i in pair.b.encode(t)]
         raw = (" " + t).encode()
         good = b"".join(x for _, x in a) == raw == b"".join(x for _, x in b)
         out.append((a, b) if good else ([], []))
@@ -80,20 +81,28 @@ def test_against_whole_texts_and_all_pairs(spark, file_pairs):
         assert got[i] == w, (texts[i], got[i][-1], w[-1])
 
 
-def test_generations_and_long_words_change_nothing(monkeypatch):
-    texts = [t or "" for t in TEXTS] + random_texts(200, 4)
-    want = [g[-1] for g in brute(texts)]
-    monkeypatch.setattr(A.Pair, "MOST", 5)
-    monkeypatch.setattr(A.Pair, "LONG", 4)
+def test_both_libraries_give_the_same_ids():
     pair = A.Pair(tokenizer_path(A.A_FILE), tokenizer_path(A.B_FILE))
-    assert pair.cuts
-    for k in range(0, len(texts), 3):
-        _, ok, numbers, parts = A._batch(pair, texts[k : k + 3])
-        assert [";".join(map(pair.kept.groups.__getitem__, n)) if good else "" for n, good in zip(numbers, ok)] == want[k : k + 3]
-        pair.forget_long(parts)
-    pair.cuts = False
-    _, ok, numbers, _ = A._batch(pair, texts)
-    assert [";".join(map(pair.kept.groups.__getitem__, n)) if good else "" for n, good in zip(numbers, ok)] == want
+    assert pair.fast is not None
+    texts = [" " + (t or "") for t in TEXTS + random_texts(200, 4)] + [" " * 5000 + "x", "ab" * 20_000, "1" * 10_000]
+    fast = pair.encode_a(texts)
+    pair.fast = None
+    assert fast == pair.encode_a(texts)
+
+
+def test_a_text_that_the_faster_library_fails_on(monkeypatch):
+    pair = A.Pair(tokenizer_path(A.A_FILE), tokenizer_path(A.B_FILE))
+    want = pair.encode(["some text", "more"])
+
+    class Panic(BaseException):
+        pass
+
+    class Fails:
+        def encode_ordinary(self, text):
+            raise Panic
+
+    monkeypatch.setattr(pair, "fast", Fails())
+    assert [[x.tolist() for x in own] for own in pair.encode(["some text", "more"])] == [[x.tolist() for x in own] for own in want]
 
 
 def test_laid_by_hand():
