@@ -4,7 +4,8 @@ Each task lays its texts end to end as word ids, a shard of ``SHARD`` bytes at a
 in that order that share k words or more form intervals; an interval's size is how often its k words stand in the shard. Counts are added up over
 shards by phrase.
 
-Phrases are counted by level, as no phrase is more frequent than a part of it: words; pairs of frequent words; longer phrases of frequent pairs. A level
+Phrases are counted by level, as no phrase is more frequent than a part of it: words; pairs of frequent words, by their hashes alone, as nearly all of them are rare; then phrases of two words and more
+whose pairs are all frequent, by their bytes. A level
 knows the one before by a bitmap of 2**``BITS`` hashed phrases, whose size is fixed: a phrase that is there by chance alone is counted for nothing, none is missed.
 
 All that follows (cuts into two parts, parts within longer candidates, ranks) is joins over the frequent phrases.
@@ -150,34 +151,13 @@ def ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(out)).cast(pa.string())
 
 
-def counted(docs: DataFrame, level: int, bitmap=None, longest: int = LONGEST, shard: int = SHARD) -> DataFrame:
-    """(lang, phrase, n) summed over docs (lang, text): level 1 words, and a null phrase for all of them together; 2 pairs of words in ``bitmap``; 3 longer phrases of pairs in it."""
-
-    def known(hashes: np.ndarray) -> np.ndarray:
-        bits = bitmap.value
-        slot = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-        return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
-
-    def shard_rows(texts: list[pa.Array], langs: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        lang = pa.concat_arrays(langs)
-        own = sequence(pa.concat_arrays(texts), lang)
-        joined = own.joined
-        if level == 1:
-            joined = np.zeros(len(joined), bool)
-            per = np.bincount(own.row, minlength=len(lang))
-            yield pa.RecordBatch.from_arrays([lang, pa.nulls(len(lang), pa.string()), pa.array(per)], ["lang", "phrase", "n"])
-        elif level == 2:
-            often = known(own.hashes)
-            joined = joined & often & np.append(often[1:], False)
-        else:
-            joined = joined.copy()
-            joined[:-1] &= known(pair_hashes(own.hashes)) if len(joined) else False
-        sizes = {1: (1, 1), 2: (2, 2)}.get(level, (3, longest))
-        for k, first, n in gram_counts(own, joined, *sizes):
-            for c in range(0, len(first), 1 << 18):
-                at = first[c : c + (1 << 18)]
-                phrase = ranges(own.data, own.starts[at], own.ends[at + k - 1])
-                yield pa.RecordBatch.from_arrays([lang.take(pa.array(own.row[at])), phrase, pa.array(n[c : c + (1 << 18)])], ["lang", "phrase", "n"])
+def _known(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    slot = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+    return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def _mapped(docs: DataFrame, of_shard, schema: str, shard: int) -> DataFrame:
+    """What ``of_shard`` (sequence, languages of its rows) yields for each task's texts, about ``shard`` bytes at a time; docs: (lang, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, langs, size = [], [], 0
@@ -186,43 +166,88 @@ def counted(docs: DataFrame, level: int, bitmap=None, longest: int = LONGEST, sh
             langs.append(batch["lang"])
             size += batch["text"].nbytes
             if size >= shard:
-                yield from shard_rows(texts, langs)
+                lang = pa.concat_arrays(langs)
+                yield from of_shard(sequence(pa.concat_arrays(texts), lang), lang)
                 texts, langs, size = [], [], 0
         if texts:
-            yield from shard_rows(texts, langs)
+            lang = pa.concat_arrays(langs)
+            yield from of_shard(sequence(pa.concat_arrays(texts), lang), lang)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _phrases(own: Sequence, lang: pa.Array, joined: np.ndarray, least: int, most: int, step: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    for k, first, n in gram_counts(own, joined, least, most):
+        for c in range(0, len(first), step):
+            at = first[c : c + step]
+            yield pa.RecordBatch.from_arrays([lang.take(pa.array(own.row[at])), ranges(own.data, own.starts[at], own.ends[at + k - 1]), pa.array(n[c : c + step])], ["lang", "phrase", "n"])
+
+
+def word_counts(docs: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(lang, phrase, n) of words, and with a null phrase how many words a language has."""
+
+    def of(own: Sequence, lang: pa.Array) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([lang, pa.nulls(len(lang), pa.string()), pa.array(np.bincount(own.row, minlength=len(lang)))], ["lang", "phrase", "n"])
+        yield from _phrases(own, lang, np.zeros(len(own.joined), bool), 1, 1)
+
+    return _mapped(docs, of, "lang string, phrase string, n long", shard).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
-    return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
+def pair_counts(docs: DataFrame, words, shard: int = SHARD) -> DataFrame:
+    """(key, n): how often pairs of words of the bitmap stand together, by the hash of language and words."""
 
-def bitmap_of(phrases: DataFrame, words: int):
-    """A broadcast bitmap of 2**BITS bits in which the hashes of phrases (lang, phrase) of one or two words are set; the driver gets a row for each 64 bits at most."""
+    def of(own: Sequence, lang: pa.Array) -> Iterator[pa.RecordBatch]:
+        often = _known(own.hashes, words.value)
+        keys = pair_hashes(own.hashes).view(np.int64)
+        for _, first, n in gram_counts(own, own.joined & often & np.append(often[1:], False), 2, 2):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(n)], ["key", "n"])
+
+    return _mapped(docs, of, "key long, n long", shard).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def phrase_counts(docs: DataFrame, pairs, longest: int = LONGEST, shard: int = SHARD) -> DataFrame:
+    """(lang, phrase, n) of phrases of two words and more whose pairs are all in the bitmap."""
+
+    def of(own: Sequence, lang: pa.Array) -> Iterator[pa.RecordBatch]:
+        joined = own.joined.copy()
+        if len(joined):
+            joined[:-1] &= _known(pair_hashes(own.hashes), pairs.value)
+        yield from _phrases(own, lang, joined, 2, longest)
+
+    return _mapped(docs, of, "lang string, phrase string, n long", shard).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
+
+def word_hashes(words: DataFrame) -> DataFrame:
+    """(key) of words (lang, phrase)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = sequence(batch["phrase"], batch["lang"])
-            hashes = own.hashes if words == 1 else pair_hashes(own.hashes)[::2]
-            slot = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(np.left_shift(np.int64(1), slot & 63))], ["lane", "bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(sequence(batch["phrase"], batch["lang"]).hashes.view(np.int64))], ["key"])
+
+    return in_batches(words).select("lang", "phrase").mapInArrow(run, "key long")
+
 
-    lanes = in_batches(phrases).select("lang", "phrase").mapInArrow(run, "lane long, bit long").groupBy("lane").agg(F.bit_or("bit").alias("bits")).toArrow()
+def bitmap_of(hashes: DataFrame):
+    """A broadcast bitmap of 2**BITS bits in which hashes (key) are set; the driver gets a row for each 64 bits at most."""
+    slot = F.shiftrightunsigned("key", 64 - BITS)
+    bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(key, {64 - BITS}) & 63 AS INT))")
+    lanes = hashes.groupBy(F.shiftrightunsigned(slot, 6).alias("lane")).agg(F.bit_or(bit).alias("bits")).toArrow()
     bits = np.zeros(1 << (BITS - 6), np.uint64)
     bits[lanes["lane"].to_numpy()] = lanes["bits"].to_numpy().view(np.uint64)
-    return phrases.sparkSession.sparkContext.broadcast(bits)
+    return hashes.sparkSession.sparkContext.broadcast(bits)
 
 
 def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, n) of the phrases of 1 to ``longest`` words that stand ``least`` times or more in a language; and (lang, total) of its words."""
     given = in_batches(docs).select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    often = lambda level, bits=None: stored(counted(given, level, bits, longest, shard).filter((F.col("n") >= least) | F.col("phrase").isNull()), f"phrases{level}")
-    words = often(1)
+    words = stored(word_counts(given, shard).filter((F.col("n") >= least) | F.col("phrase").isNull()), "words")
     totals = words.filter("phrase IS NULL").select("lang", F.col("n").alias("total"))
     words = words.filter("phrase IS NOT NULL")
     found = words.withColumn("words", F.lit(1))
     if longest > 1:
-        pairs = often(2, bitmap_of(words, 1))
-        found = found.union(pairs.withColumn("words", F.lit(2)))
-    if longest > 2:
-        found = found.union(often(3, bitmap_of(pairs, 2)).withColumn("words", F.size(F.split("phrase", " "))))
+        pairs = bitmap_of(pair_counts(given, bitmap_of(word_hashes(words)), shard).filter(F.col("n") >= least))
+        more = phrase_counts(given, pairs, longest, shard).filter(F.col("n") >= least)
+        found = found.union(more.withColumn("words", F.size(F.split("phrase", " "))))
     return found.select("lang", "phrase", "words", "n"), totals
 
 
