@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intervals as I
+from ..sources import bam as B
 from ..sources import readers as R
 from ..sources import writers as W
 from ..storage import scratch_path, table
@@ -84,6 +85,28 @@ def sam_sink(spark, sf_dir):
     return rows.groupBy("chromosome").agg(F.count("*").alias("n"), F.sum("position").alias("total"), F.sum(F.col("end") - F.col("position") - 6 + soft).alias("sizes"))
 
 
+CONTIGS = [(f"c{i}", 1 << 28) for i in range(5)]
+
+
+@query(f"WITH {READS} SELECT name, flags, chromosome, position, mapq, (position + m + d + 6)::BIGINT AS \"end\", position + 200 AS mate, CASE WHEN s > 0 THEN s || 'S' ELSE '' END || m || 'M' || CASE WHEN d > 0 THEN d || 'D' ELSE '' END || '7M' AS cigar, (m + 7 + s)::INT AS bases, (m - 5)::VARCHAR AS nm FROM r WHERE mapq >= 10 AND flags & 1024 = 0 AND EXISTS (SELECT 1 FROM unnest([100, 900]) AS u(a) WHERE chromosome <> 'c4' AND position <= a + 400 AND position + m + d + 6 >= a)")
+def bam_source(spark, sf_dir):
+    """The reads of ``sam_source`` as binary files with indexes, scanned by region; partitions are small, so that files are cut at offsets of their indexes."""
+    path = scratch_path(spark, "bam")
+    B.written(R.alignments(spark, read_lines(spark, sf_dir)), path, CONTIGS, 4)
+    rows = B.alignments(spark, path, [(f"c{i}", a, a + 400) for i in range(4) for a in (100, 900)], least_quality=10, duplicates=False, split=1 << 16)
+    return rows.select("name", "flags", "chromosome", "position", "mapq", "end", F.col("mate_position").alias("mate"), "cigar", F.length("bases").alias("bases"), F.col("tags")["NM"].alias("nm"))
+
+
+@query(f"WITH {READS} SELECT chromosome, count(*) AS n, sum(position)::BIGINT AS total, sum(m + d + s)::BIGINT AS sizes, count(DISTINCT name) AS names FROM r GROUP BY 1")
+def bam_sink(spark, sf_dir):
+    """All reads written as binary files and read again, whole."""
+    path = scratch_path(spark, "bam")
+    B.written(R.alignments(spark, read_lines(spark, sf_dir)), path, CONTIGS, 4)
+    rows = B.alignments(spark, path, split=1 << 16)
+    soft = F.coalesce(F.regexp_extract("cigar", "^([0-9]+)S", 1).try_cast("long"), F.lit(0))
+    return rows.groupBy("chromosome").agg(F.count("*").alias("n"), F.sum("position").alias("total"), F.sum(F.col("end") - F.col("position") - 6 + soft).alias("sizes"), F.countDistinct("name").alias("names"))
+
+
 @query("""WITH r AS (SELECT 'q' || l_orderkey || '_' || l_linenumber AS name, repeat('ACGT', 2 + l_linenumber) AS bases, (CASE WHEN l_partkey % 3 = 0 THEN '@' WHEN l_partkey % 3 = 1 THEN '+' ELSE 'I' END) || repeat('F', 4 * (2 + l_linenumber) - 1) AS quals FROM lineitem) SELECT name || '_' || substring(bases, 1, 3) AS name, substring(bases, 4) AS bases, substring(quals, 4) AS qualities FROM r""")
 def fastq_source(spark, sf_dir):
     """A third of the quality lines begin with the sign that names begin with. The first bases go into the name."""
