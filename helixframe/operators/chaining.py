@@ -9,9 +9,10 @@ Clusters are groups of one sample's variants that were built to be resolved toge
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -239,13 +240,14 @@ class Cluster:
         return [(self.ends[v][1 - s], self.ends[w][t], rule) for (v, s), (w, t), rule in zip(around, around[1:], chain.rules)]
 
 
-def _ends(rows: pd.DataFrame) -> dict[int, dict[int, End]]:
+def _ends(rows: list[dict]) -> dict[int, dict[int, End]]:
     out: dict[int, dict[int, End]] = {}
-    for r in rows.itertuples(index=False):
-        own = out.setdefault(int(r.variant), {})
-        for side, (c, p, o) in enumerate(((r.chromosome_start, r.position_start, r.orientation_start), (r.chromosome_end, r.position_end, r.orientation_end))):
-            if c is not None and not pd.isna(c) and not pd.isna(p):
-                own[side] = End(int(r.variant), side, str(c), int(p), int(o))
+    for r in rows:
+        own = out.setdefault(r["variant"], {})
+        for side, name in enumerate(("start", "end")):
+            c, p, o = (r[f"{x}_{name}"] for x in ("chromosome", "position", "orientation"))
+            if c is not None and p is not None:
+                own[side] = End(r["variant"], side, str(c), p, o)
     return out
 
 
@@ -253,10 +255,18 @@ CHAINS = "chain int, copies double, closed boolean, links int, variants int, pat
 LINKS = "chain int, at int, a_variant long, a_side int, b_variant long, b_side int, chromosome string, low long, high long, rule string, copies double"
 
 
-def _resolved(rows: pd.DataFrame, assembled: pd.DataFrame) -> tuple[Cluster, list[Chain]]:
-    rows = rows.drop_duplicates("variant")
-    cluster = Cluster(_ends(rows), {int(v): float(c) for v, c in zip(rows.variant, rows.copies.fillna(0.0))}, {int(v): float(s) for v, s in zip(rows.variant, rows.spread.fillna(0.0))})
-    return cluster, cluster.resolve([((int(r.a_variant), int(r.a_side)), (int(r.b_variant), int(r.b_side))) for r in assembled.itertuples(index=False)])
+def _distinct(rows: list[dict]) -> list[dict]:
+    """One row for each variant: the first in the order of its values."""
+    out: dict[int, dict] = {}
+    for r in sorted(rows, key=lambda r: [(v is not None, v) for v in r.values()]):
+        out.setdefault(r["variant"], r)
+    return list(out.values())
+
+
+def _resolved(rows: list[dict], assembled: list[dict]) -> tuple[Cluster, list[Chain]]:
+    rows = _distinct(rows)
+    cluster = Cluster(_ends(rows), {r["variant"]: r["copies"] or 0.0 for r in rows}, {r["variant"]: r["spread"] or 0.0 for r in rows})
+    return cluster, cluster.resolve([((r["a_variant"], r["a_side"]), (r["b_variant"], r["b_side"])) for r in assembled])
 
 
 def path_of(chain: Chain) -> str:
@@ -264,25 +274,41 @@ def path_of(chain: Chain) -> str:
     return ",".join(("-" if s else "") + str(v) for v, s in chain.steps)
 
 
-def _grouped(variants: DataFrame, assembled: DataFrame | None, by: list[str], make, schema: str) -> DataFrame:
-    spark = variants.sparkSession
+COLUMNS = ["variant", *[f"{x}_{y}" for y in ("start", "end") for x in ("chromosome", "position", "orientation")], "copies", "spread"]
+
+
+def _grouped(variants: DataFrame, assembled: DataFrame | None, by: list[str], make, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """What ``make`` gives for each cluster, which is one row of lists; a task takes many."""
     keys = ", ".join(f"`{k}` {variants.schema[k].dataType.simpleString()}" for k in by)
+    rows = variants.select(*by, F.struct(F.col("variant").cast("long").alias("variant"), *COLUMNS[1:], *more).alias("v")).groupBy(*by).agg(F.collect_list("v").alias("v"))
     if assembled is None:
-        assembled = spark.createDataFrame([], f"{keys}, a_variant long, a_side int, b_variant long, b_side int")
+        rows = rows.withColumn("l", F.array())
+    else:
+        links = assembled.select(*by, F.struct("a_variant", "a_side", "b_variant", "b_side").alias("l")).groupBy(*by).agg(F.collect_list("l").alias("l"))
+        rows = rows.join(links, by, "left")
     names = [c.split(" ")[0] for c in schema.split(", ")]
+    kinds = _arrow_kinds(f"{keys}, {schema}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(*[row[k] for k in by], *r) for row in batch.to_pylist() for r in make(row["v"], row["l"] or [])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], [*by, *names])
+
+    return rows.select(*by, "v", "l").mapInArrow(run, f"{keys}, {schema}")
+
 
-    def run(key, rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        out = make(rows, links) if len(rows) else []
-        return pd.DataFrame([(*key, *r) for r in out], columns=[*by, *names])
+def _arrow_kinds(schema: str) -> list[pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
 
-    return variants.groupBy(*by).cogroup(assembled.groupBy(*by)).applyInPandas(run, f"{keys}, {schema}")
+    return [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)]
 
 
 def chains(variants: DataFrame, by: list[str], assembled: DataFrame | None = None) -> DataFrame:
     """(by, chain, copies, closed, links, variants, path) of variants (by, variant, chromosome_start, position_start, orientation_start, the same of _end, copies, spread); single variants too.
 
     assembled: (by, a_variant, a_side, b_variant, b_side) with side 0 for starts. An end without chromosome is none. Null copies are zero, and such variants stay out; of repeated variants the first
-    counts. Links are chosen by the sum of their rules' weights, then by length, then by ids, so the result follows from the rows alone.
+    by its values counts. Links are chosen by the sum of their rules' weights, then by length, then by ids, so the result follows from the rows alone.
     """
 
     def make(rows, links):
@@ -312,10 +338,11 @@ def rings(variants: DataFrame, by: list[str]) -> DataFrame:
     able = variants.withColumn("__both", times("beside_start") & times("beside_end")).filter((F.col("copies") >= RING_ALL) & (times("beside_start") | (times("beside_end") & F.col("chromosome_end").isNotNull())))
 
     def make(rows, _):
-        rows = rows[rows.copies >= RING_SHARE * rows.copies.max()].drop_duplicates("variant")
-        if rows.copies.max() < RING_ONE:
+        top = max(r["copies"] for r in rows)
+        rows = _distinct([r for r in rows if r["copies"] >= RING_SHARE * top])
+        if top < RING_ONE:
             return []
-        own = {int(v): (float(c), bool(b)) for v, c, b in zip(rows.variant, rows.copies, rows["__both"])}
+        own = {r["variant"]: (r["copies"], r["__both"]) for r in rows}
         cluster = Cluster(_ends(rows), dict.fromkeys(own, 1.0))
         cluster.resolve()
         cluster.close()
@@ -328,4 +355,4 @@ def rings(variants: DataFrame, by: list[str]) -> DataFrame:
                 out.append((i, sum(own[v][0] for v, _ in c.steps) / len(c.steps), len(cluster.links(c)), len(c.steps), path_of(c), length))
         return out
 
-    return _grouped(able, None, by, make, "chain int, copies double, links int, variants int, path string, length long")
+    return _grouped(able, None, by, make, "chain int, copies double, links int, variants int, path string, length long", ("__both",))
