@@ -315,32 +315,56 @@ def indexed(cut: DataFrame, span: int, block: int = BLOCK) -> DataFrame:
     return in_batches(cut.repartition("mini").sortWithinPartitions("mini")).mapInArrow(run, SPANS)
 
 
-def _each_string(own: bytes, span: int) -> np.ndarray:
-    data = np.frombuffer(own, np.uint8)
-    total = _rolling(data)
-    return W.mix((total[span:] - total[:-span]) * W.powers(W._UNBASE, len(data) + 1)[: len(data) - span + 1]).view(np.int64)
-
+def _cores(own: bytes, mini: int, span: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, owners) of a stretch's strings: of each string its begin, its hash, and the hash of its core.
 
-def counted(cut: DataFrame, span: int) -> DataFrame:
-    """As ``indexed``, by counting the hash of every string of the stretches; rows follow the strings, for minimizers too large for one task."""
+    A core is what a string holds on both sides of its minimizer, cut down to multiples of an eighth of their length, so each string has one core, and neighbouring strings share it.
+    """
+    data = np.frombuffer(own, np.uint8)
+    n = len(data)
+    total, unbase = _rolling(data), W.powers(W._UNBASE, len(data) + 1)
+    of = lambda a, b: (total[b] - total[a]) * unbase[a]
+    first = max(0, n - span)  # the minimizer lies in every string
+    seeds = np.arange(first, min(n, span) - seed + 1)
+    at = int(seeds[np.flatnonzero(W.mix(of(seeds, seeds + seed)).view(np.int64) == mini)[0]])
+    step = max(1, (span - seed) // 8)
+    places = np.arange(n - span + 1)
+    left, right = (at - places) // step, (places + span - at - seed) // step
+    core = W.mix(of(at - left * step, at + seed + right * step) + (left * 64 + right).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return places, W.mix(of(places, places + span)).view(np.int64), core.view(np.int64)
+
+
+def counted(cut: DataFrame, span: int, seed: int) -> DataFrame:
+    """As ``indexed``, by counting the hashes of strings, for minimizers too large for one task.
+
+    Cores are counted first, a few for each stretch; strings whose core stands once are no repeats, and only the others are counted themselves.
+    """
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [_each_string(x, span) for x in batch["own"].to_pylist()]
-            mini = np.repeat(batch["mini"].to_numpy(), [len(k) for k in keys])
-            both, n = np.unique(np.stack([mini, np.concatenate(keys)]), axis=1, return_counts=True) if keys else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(n)], ["mini", "string", "n"])
+            found = [np.unique(_cores(x, m, span, seed)[2]) for m, x in zip(batch["mini"].to_pylist(), batch["own"].to_pylist())]
+            sizes = pa.array(np.repeat(np.arange(len(found)), [len(k) for k in found]))
+            yield pa.RecordBatch.from_arrays([batch["mini"].take(sizes), batch["whole"].take(sizes), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["mini", "whole", "core"])
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [_each_string(x, span) for x in batch["own"].to_pylist()]
-            sizes = [len(k) for k in keys]
-            at = np.concatenate([np.arange(n) for n in sizes]) if keys else np.zeros(0, np.int64)
-            columns = [np.repeat(batch["mini"].to_numpy(), sizes), np.repeat(batch["whole"].to_numpy(), sizes), np.concatenate(keys) if keys else at, at]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["mini", "whole", "string", "a"])
-
-    often = in_batches(cut).mapInArrow(strings, "mini long, string long, n long").groupBy("mini", "string").agg(F.sum("n").alias("n")).filter("n > 1").select("mini", "string")
-    return in_batches(cut).mapInArrow(placed, "mini long, whole long, string long, a long").join(often, ["mini", "string"], "left_semi").select("mini", "whole", "a", (F.col("a") + span).alias("b"))
+            places, keys, sizes = [], [], []
+            for m, x, some in zip(batch["mini"].to_pylist(), batch["own"].to_pylist(), batch["cores"].to_pylist()):
+                at, string, core = _cores(x, m, span, seed)
+                keep = np.isin(core, np.array(some, np.int64))
+                places.append(at[keep])
+                keys.append(string[keep])
+                sizes.append(int(keep.sum()))
+            rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            joined = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (keys, places)]
+            yield pa.RecordBatch.from_arrays([batch["mini"].take(rows), batch["whole"].take(rows), *joined], ["mini", "whole", "string", "a"])
+
+    own = stored(in_batches(cut).select("mini", "whole", "own").mapInArrow(cores, "mini long, whole long, core long"), "cores")
+    twice = own.groupBy("mini", "core").agg(F.count("*").alias("n")).filter("n > 1").select("mini", "core")
+    alive = own.join(twice, ["mini", "core"], "left_semi").groupBy("mini", "whole").agg(F.collect_list("core").alias("cores"))
+    every = stored(cut.join(alive, ["mini", "whole"]).select("mini", "whole", "own", "cores").mapInArrow(strings, "mini long, whole long, string long, a long"), "strings")
+    often = every.groupBy("mini", "string").agg(F.count("*").alias("n")).filter("n > 1").select("mini", "string")
+    return every.join(often, ["mini", "string"], "left_semi").select("mini", "whole", "a", (F.col("a") + span).alias("b"))
 
 
 def repeats(texts: DataFrame, span: int = SPAN, seed: int = SEED, hot: int = HOT) -> DataFrame:
@@ -358,7 +382,7 @@ def repeats(texts: DataFrame, span: int = SPAN, seed: int = SEED, hot: int = HOT
     crowds = stored(crowds, "crowds") if large else None
     spans = indexed(cut.join(crowds, "mini", "left_anti") if large else cut, span)
     if large:
-        spans = spans.union(counted(stored(cut.join(crowds, "mini", "left_semi"), "crowded"), span))
+        spans = spans.union(counted(stored(cut.join(crowds, "mini", "left_semi"), "crowded"), span, seed))
     # Whole stretches that occur several times need no spans of their own.
     several = distinct.filter("n > 1").select("mini", "whole", F.lit(0).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"))
     once = distinct.filter("n = 1").select("mini", "whole")
