@@ -87,9 +87,10 @@ def effects(variants: DataFrame, transcripts: DataFrame, exons: DataFrame, codin
 
 
 def phased(impacts: DataFrame) -> DataFrame:
-    """The impacts with ``phased`` (null where phase changes nothing): of frameshifts in one phase set and transcript whose shifts add up to whole codons, an inframe change; of single bases in one codon, the change of the codon with all of them.
+    """The impacts with ``phased``, effects joined by ``;`` (null where phase changes nothing): of frameshifts in one phase set and transcript whose shifts add up to whole codons, an inframe change; of single bases in one codon, the change of the codon with all of them.
 
-    impacts: as ``effects`` gives them. Rows without a phase set stay alone.
+    A codon changed by several bases is phased_synonymous where the residue stays; else start_lost in the first codon and stop_lost in a stop codon, or phased_missense, with stop_gained if a stop comes of it.
+    impacts: as ``effects`` gives them. Rows without a phase set stay alone. Unlike bases at one place can't stand on one molecule: such codons are not combined. Equal rows count once.
     """
     c = F.col
     own = Window.partitionBy("lps", "transcript")
@@ -97,10 +98,13 @@ def phased(impacts: DataFrame) -> DataFrame:
     many = F.count_if(c("shift") % 3 != 0).over(own)
     frame = F.when((c("shift") % 3 != 0) & (many > 1) & (shifts % 3 == 0), F.when(shifts > 0, "phased_inframe_insertion").when(shifts < 0, "phased_inframe_deletion").otherwise("phased_missense"))
     codon = Window.partitionBy("lps", "transcript", "codon")
-    differing = lambda i: F.max(F.when(F.substring("alt_codon", i, 1) != F.substring("ref_codon", i, 1), F.substring("alt_codon", i, 1))).over(codon)
-    whole = F.concat(*[F.coalesce(differing(i), F.substring("ref_codon", i, 1)) for i in (1, 2, 3)])
-    together = F.count("*").over(codon)
-    change = F.when(c("codon").isNotNull() & (together > 1), F.when(translated(whole) == translated(c("ref_codon")), "phased_synonymous").otherwise("phased_missense"))
+    differing = lambda i: F.when(F.substring("alt_codon", i, 1) != F.substring("ref_codon", i, 1), F.substring("alt_codon", i, 1))
+    whole = F.concat(*[F.coalesce(F.max(differing(i)).over(codon), F.substring("ref_codon", i, 1)) for i in (1, 2, 3)])
+    agree = [F.coalesce(F.min(differing(i)).over(codon) == F.max(differing(i)).over(codon), F.lit(True)) for i in (1, 2, 3)]
+    several = F.min("alt_codon").over(codon) != F.max("alt_codon").over(codon)
+    old, new = translated(c("ref_codon")), translated(whole)
+    change = F.when(old == new, "phased_synonymous").when(c("codon") == 0, "start_lost").when(old == "*", "stop_lost").when(new == "*", "phased_missense;stop_gained").otherwise("phased_missense")
+    change = F.when(c("codon").isNotNull() & several & agree[0] & agree[1] & agree[2], change)
     return impacts.withColumn("phased", F.when(c("lps").isNotNull(), F.coalesce(frame, change)))
 
 

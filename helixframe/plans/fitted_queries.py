@@ -36,6 +36,6 @@ def refined_signatures(spark, sf_dir):
 @query()
 def signature_discovery(spark, sf_dir):
     """Profiles that are found in the suppliers' counts, with how many suppliers and counts each explains."""
-    profiles, given = M.discovered(contexts(spark, sf_dir), "l_suppkey", "context", "n")
+    profiles, given = M.discovered(contexts(spark, sf_dir), "l_suppkey", "context", "n", rounds=6)
     use = given.groupBy("signature").agg(F.count("*").alias("samples"), F.round(F.sum("allocation"), 3).alias("explained"))
     return profiles.join(use, "signature").select("signature", "context", F.round("share", 8).alias("share"), "samples", "explained")

@@ -52,10 +52,13 @@ def variant_effects(spark, sf_dir):
 
 
 @query(f"""WITH {EFFECTS}, i AS (SELECT id, transcript, lps, CASE WHEN inc AND ex THEN shift END AS shift, CASE WHEN inc AND single AND ex THEN codon END AS codon, CASE WHEN inc AND single AND ex THEN rc END AS rc, CASE WHEN inc AND single AND ex THEN ac END AS ac FROM z),
-w AS (SELECT *, sum(shift) FILTER (shift % 3 <> 0) OVER (PARTITION BY lps, transcript) AS total, count(*) FILTER (shift % 3 <> 0) OVER (PARTITION BY lps, transcript) AS many, count(*) OVER (PARTITION BY lps, transcript, codon) AS together,
-coalesce(max(CASE WHEN substring(ac, 1, 1) <> substring(rc, 1, 1) THEN substring(ac, 1, 1) END) OVER (PARTITION BY lps, transcript, codon), substring(rc, 1, 1)) || coalesce(max(CASE WHEN substring(ac, 2, 1) <> substring(rc, 2, 1) THEN substring(ac, 2, 1) END) OVER (PARTITION BY lps, transcript, codon), substring(rc, 2, 1)) || coalesce(max(CASE WHEN substring(ac, 3, 1) <> substring(rc, 3, 1) THEN substring(ac, 3, 1) END) OVER (PARTITION BY lps, transcript, codon), substring(rc, 3, 1)) AS whole FROM i)
-SELECT id, transcript, CASE WHEN lps IS NULL THEN NULL WHEN shift % 3 <> 0 AND many > 1 AND total % 3 = 0 THEN CASE WHEN total > 0 THEN 'phased_inframe_insertion' WHEN total < 0 THEN 'phased_inframe_deletion' ELSE 'phased_missense' END
-WHEN codon IS NOT NULL AND together > 1 THEN CASE WHEN {_TRANSLATE.format('whole')} = {_TRANSLATE.format('rc')} THEN 'phased_synonymous' ELSE 'phased_missense' END END AS phased FROM w""")
+w AS (SELECT *, sum(shift) FILTER (shift % 3 <> 0) OVER (PARTITION BY lps, transcript) AS total, count(*) FILTER (shift % 3 <> 0) OVER (PARTITION BY lps, transcript) AS many FROM i),
+alts AS (SELECT DISTINCT lps, transcript, codon, k, substring(ac, CAST(k AS INT), 1) AS base FROM i, unnest([1, 2, 3]) AS u(k) WHERE lps IS NOT NULL AND codon IS NOT NULL AND substring(ac, CAST(k AS INT), 1) <> substring(rc, CAST(k AS INT), 1)),
+places AS (SELECT lps, transcript, codon, k, count(*) AS kinds, any_value(base) AS base FROM alts GROUP BY ALL), codons AS (SELECT lps, transcript, codon, any_value(rc) AS rc FROM i WHERE codon IS NOT NULL GROUP BY ALL HAVING count(DISTINCT ac) > 1),
+joint AS (SELECT c.lps, c.transcript, c.codon, c.rc, string_agg(coalesce(p.base, substring(c.rc, CAST(u.k AS INT), 1)), '' ORDER BY u.k) AS whole FROM codons c CROSS JOIN unnest([1, 2, 3]) AS u(k) LEFT JOIN places p ON p.lps = c.lps AND p.transcript = c.transcript AND p.codon = c.codon AND p.k = u.k GROUP BY ALL HAVING max(coalesce(p.kinds, 1)) = 1),
+read AS (SELECT lps, transcript, codon, {_TRANSLATE.format('rc')} AS old, {_TRANSLATE.format('whole')} AS new FROM joint)
+SELECT id, w.transcript, CASE WHEN w.lps IS NULL THEN NULL WHEN shift % 3 <> 0 AND many > 1 AND total % 3 = 0 THEN CASE WHEN total > 0 THEN 'phased_inframe_insertion' WHEN total < 0 THEN 'phased_inframe_deletion' ELSE 'phased_missense' END
+WHEN old = new THEN 'phased_synonymous' WHEN old IS NOT NULL AND w.codon = 0 THEN 'start_lost' WHEN old = '*' THEN 'stop_lost' WHEN new = '*' THEN 'phased_missense;stop_gained' WHEN old IS NOT NULL THEN 'phased_missense' END AS phased FROM w LEFT JOIN read ON read.lps = w.lps AND read.transcript = w.transcript AND read.codon = w.codon""")
 def phased_effects(spark, sf_dir):
     return E.phased(E.effects(*model(spark, sf_dir), 4096)).select("id", "transcript", "phased")
 
