@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import shared_dir
+from ..streaming import positions as P
 from ..streaming import windows as W
 from .registry import query
 
@@ -54,3 +55,11 @@ def stream_sessions(spark, sf_dir):
 def stream_last50_median(spark, sf_dir):
     out = drained(W.last_rows_median(stream(spark, sf_dir), "user_id", "ts", "value", 50, "2 hours"), "append")
     return out.select("user_id", F.unix_micros("ts").alias("t"), "value", F.round("median", 6).alias("median"))
+
+
+@query("""WITH p AS (SELECT event_type AS contig, epoch_us(ts) // 60000000 AS position, value FROM events), m AS (SELECT contig, max(position) AS furthest FROM p GROUP BY 1) SELECT contig, position, count(*) AS n, round(sum(coalesce(value, 0)), 4) AS total, false AS late FROM p JOIN m USING (contig) WHERE position <= furthest - 1001 GROUP BY ALL""")
+def stream_positions(spark, sf_dir):
+    """Minutes stand for positions; what lies within 1000 of the furthest is still held when the stream ends."""
+    own = P.with_map_state(spark)
+    rows = stream(own, sf_dir).select(F.col("event_type").alias("contig"), F.floor(F.unix_micros("ts") / 60_000_000).alias("position"), "value")
+    return drained(P.released(rows, "contig", "position", "value", 1000), "append").withColumn("total", F.round("total", 4))
