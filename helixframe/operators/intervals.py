@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from . import buckets as B
 
 #: Positions in a bucket of an ordered scan.
@@ -79,7 +80,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
 
 def _runs(rows: DataFrame, by: list[str], new: Column, *order: Column) -> DataFrame:
     """Dealt rows with ``__run``: how many rows up to each, itself included and equals too, begin something new."""
-    marked = rows.withColumn("__new", F.when(new, 1).otherwise(0))
+    # Written, as it is read for the counts and for the rows: a plan of several such steps would double with each.
+    marked = stored(rows.withColumn("__new", F.when(new, 1).otherwise(0)), "runs")
     both = B.carried(marked, by, {"__runs": (F.sum("__new"), "sum")})
     here = F.sum("__new").over(B.within(by).orderBy(*order).rangeBetween(Window.unboundedPreceding, 0))
     return both.withColumn("__run", F.coalesce("__runs", F.lit(0)) + here).drop("__new", "__runs")
@@ -99,12 +101,12 @@ def chained(spans: DataFrame, by: list[str], start: str, end: str, gap: int = 0,
     return island.select(*spans.columns, "__run")
 
 
-def subtracted(targets: DataFrame, covered: DataFrame, by: list[str], start: str, end: str, bin_size: int, id_col: str, bucket: int = BUCKET) -> DataFrame:
-    """(id_col, by, start, end): the parts of each target that no covered span holds. ``id_col`` names a target.
+def subtracted(targets: DataFrame, covered: DataFrame, by: list[str], start: str, end: str, bin_size: int, id_col: str, bucket: int = BUCKET, apart: bool = False) -> DataFrame:
+    """(id_col, by, start, end): the parts of each target that no covered span holds. ``id_col`` names a target. apart: the covered spans are merged already.
 
     The gaps between a key's merged spans meet the targets by bins; what lies before the first span or behind the last comes from one row for each key.
     """
-    cover = B.dealt(merged(covered, by, start, end, 0, bucket), start, bucket)
+    cover = B.dealt(covered if apart else stored(merged(covered, by, start, end, 0, bucket), "cover"), start, bucket)
     rows = B.carried(cover, by, {"__next": (F.min(start), "last")}, behind=True)
     follows = F.coalesce(F.lead(start).over(B.within(by).orderBy(start)), F.col("__next"))
     gaps = rows.select(*by, (F.col(end) + 1).alias("__c"), (follows - 1).alias("__d")).filter("__c <= __d")
@@ -127,7 +129,7 @@ def islands(rows: DataFrame, by: list[str], position: str, gap: int, bucket: int
 def coverage(spans: DataFrame, by: list[str], start: str, end: str, bucket: int = BUCKET) -> DataFrame:
     """(by, start, end, depth): stretches of equal depth, as sums of steps up at starts and down behind ends."""
     steps = spans.select(*by, F.explode(F.array(F.struct(F.col(start).alias("p"), F.lit(1).alias("d")), F.struct((F.col(end) + 1).alias("p"), F.lit(-1).alias("d")))).alias("s"))
-    at = steps.groupBy(*by, "s.p").agg(F.sum("s.d").alias("d")).filter("d != 0")
+    at = stored(steps.groupBy(*by, "s.p").agg(F.sum("s.d").alias("d")).filter("d != 0"), "steps")
     rows = B.carried(B.dealt(at, "p", bucket), by, {"__depth": (F.sum("d"), "sum")})
     rows = B.carried(rows, by, {"__next": (F.min("p"), "last")}, behind=True)
     order = B.within(by).orderBy("p")
@@ -138,7 +140,7 @@ def coverage(spans: DataFrame, by: list[str], start: str, end: str, bucket: int
 
 def high_depth(spans: DataFrame, by: list[str], start: str, end: str, least: int, gap: int, bucket: int = BUCKET) -> DataFrame:
     """(by, start, end, first_depth, max_depth): regions of at least ``least`` depth; a region closes after more than ``gap`` positions below it."""
-    deep = coverage(spans, by, start, end, bucket).filter(F.col("depth") >= least)
+    deep = stored(coverage(spans, by, start, end, bucket).filter(F.col("depth") >= least), "deep")
     rows = B.carried(B.dealt(deep, start, bucket), by, {"__before": (F.max(end), "max")})
     step = F.col(start) - F.coalesce(F.lag(end).over(B.within(by).orderBy(start)), F.col("__before")) - 1
     marked = _runs(rows.withColumn("__step", step), by, F.col("__step") > gap, F.col(start))

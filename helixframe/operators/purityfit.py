@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,17 @@ def expected_baf(depth: int, share: float = 0.8) -> float:
     return max(total / (depth * 3 // 2 - depth // 2), AMBIGUOUS)
 
 
+def with_expected_baf(rows: DataFrame, depth: str, name: str = "baf") -> DataFrame:
+    """The rows with ``expected_baf`` of their whole depth, each distinct depth computed once, in tasks; null for null and for depths without one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([expected_baf(d) if d and d > 1 else None for d in batch.column(0).to_pylist()], pa.float64())], ["__depth", name])
+
+    known = rows.select(F.col(depth).cast("long").alias("__depth")).distinct().mapInArrow(run, f"__depth long, `{name}` double")
+    return rows.join(known, F.col(depth).cast("long").eqNullSafe(F.col("__depth")), "left").drop("__depth")
+
+
 def collated(tumor: DataFrame | None, reference: DataFrame | None, keys: list[str], values: list[str]) -> DataFrame:
     """(keys, tumor_<value>, reference_<value>): both sides' windows by position. A side that is absent as a whole gives -1; positions of one side alone stop the query."""
     rename = lambda df, side: df.select(*keys, *[F.col(v).alias(f"{side}_{v}") for v in values], F.lit(True).alias(f"__{side}"))

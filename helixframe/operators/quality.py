@@ -54,8 +54,8 @@ def without_support(segments: DataFrame, breakends: DataFrame, keys: list[str],
 
 def split_at(segments: DataFrame, excluded: DataFrame, by: list[str], start: str, end: str, ident: str, bin_size: int) -> DataFrame:
     """(ident, by, start, end, excluded): segments cut at excluded spans, with the parts inside marked."""
-    cover = I.merged(excluded, by, start, end)
-    outside = I.subtracted(segments, cover, by, start, end, bin_size, ident).withColumn("excluded", F.lit(False))
+    cover = stored(I.merged(excluded, by, start, end), "cover")
+    outside = I.subtracted(segments, cover, by, start, end, bin_size, ident, apart=True).withColumn("excluded", F.lit(False))
     c = cover.select(*by, F.col(start).alias("__c"), F.col(end).alias("__d"))
     inside = I.range_join(segments.select(ident, *by, start, end), c, by, (start, end), ("__c", "__d"), bin_size)
     inside = inside.select(ident, *by, F.greatest(start, "__c").alias(start), F.least(end, "__d").alias(end), F.lit(True).alias("excluded"))

@@ -30,8 +30,7 @@ def baf_sites(spark, sf_dir):
 q AS (SELECT d, n, min(k) AS k FROM k WHERE c >= 0.8 GROUP BY ALL) SELECT d::BIGINT AS depth, round(greatest(avg(k / n::DOUBLE), 0.535), 8) AS baf FROM q GROUP BY 1""")
 def expected_baf(spark, sf_dir):
     depths = table(spark, sf_dir, "lineitem").select((10 + F.col("l_linenumber") * 9).cast("long").alias("depth")).distinct()
-    rows = [(r.depth, P.expected_baf(r.depth)) for r in depths.collect()]  # seven line numbers
-    return spark.createDataFrame(rows, "depth long, baf double").withColumn("baf", F.round("baf", 8))
+    return P.with_expected_baf(depths, "depth").withColumn("baf", F.round("baf", 8))
 
 
 @query(f"""WITH w AS (SELECT o_custkey AS c, {DAY.format('o_orderdate')} AS p, avg(o_totalprice) AS d, max(o_orderkey) AS r FROM orders GROUP BY ALL) SELECT c, p, round(d, 4) AS tumor_depth, (r % 7)::DOUBLE AS tumor_ratio, round(d / 2, 4) AS reference_depth, (r % 5)::DOUBLE AS reference_ratio FROM w""")

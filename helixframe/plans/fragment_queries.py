@@ -118,10 +118,11 @@ def repeat_frequencies(spark, sf_dir):
     return X.repeat_frequencies(sequences(spark, sf_dir).select(F.col("seq").alias("sequence")), 1, 3)
 
 
-@query(f"""WITH {SEQ}, w AS (SELECT doc_id, substring(seq, 1, 200) AS x FROM s), k AS (SELECT doc_id, CASE WHEN length(x) >= 4 THEN (SELECT count(DISTINCT substring(x, CAST(i AS INT), 4)) / count(*)::DOUBLE FROM unnest(generate_series(1, length(x) - 3)) AS u(i)) END AS d FROM w) SELECT doc_id, round(d, 8) AS "distinct", d < 0.4 AS low FROM k""")
+@query(f"""WITH {SEQ}, w AS (SELECT doc_id, k::INT AS k, substring(seq, CAST(200 * k + 1 AS INT), 200) AS x FROM s, unnest(generate_series(0, (length(seq) - 1) // 200)) AS u(k) WHERE length(seq) > 0), d AS (SELECT doc_id, k, CASE WHEN length(x) >= 4 THEN (SELECT count(DISTINCT substring(x, CAST(i AS INT), 4)) / count(*)::DOUBLE FROM unnest(generate_series(1, length(x) - 3)) AS u(i)) END AS d FROM w) SELECT doc_id, k, round(d, 8) AS "distinct", d < 0.4 AS low FROM d""")
 def low_complexity(spark, sf_dir):
-    w = sequences(spark, sf_dir).select("doc_id", F.substring("seq", 1, 200).alias("x"))
-    return X.low_complexity(w, "x", 4, 0.4).select("doc_id", F.round("distinct", 8).alias("distinct"), "low")
+    """Windows of 200 bases over whole sequences; the last one may be shorter."""
+    w = sequences(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("seq", F.lit(".{1,200}"), F.lit(0))).alias("k", "x"))
+    return X.low_complexity(w, "x", 4, 0.4).select("doc_id", "k", F.round("distinct", 8).alias("distinct"), "low")
 
 
 @query("""WITH a AS (SELECT p_type AS x, p_brand AS y, p_partkey AS id, p_size AS q FROM part), b AS (SELECT *, substring(x || '            ', 1, 8) AS l, substring(y || '            ', 1, 8) AS r FROM a) SELECT id, (SELECT sum(CASE WHEN substring(l, CAST(i AS INT), 1) <> substring(r, CAST(i AS INT), 1) THEN CASE WHEN (q + i - 1) % 40 >= 20 THEN 1.0 ELSE 0.5 END ELSE 0 END) FROM unnest(generate_series(1, 8)) AS u(i))::DOUBLE AS penalty FROM b""")

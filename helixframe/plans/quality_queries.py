@@ -104,12 +104,11 @@ def ontology_parents(spark, sf_dir):
     return K.ancestors(e, "term", "ancestor")
 
 
-@query("""WITH h AS (SELECT DISTINCT sha256(c_custkey::VARCHAR || 's') AS hash FROM customer), k AS (SELECT hash, row_number() OVER (ORDER BY hash DESC) AS id FROM (SELECT DISTINCT sha256(c_custkey::VARCHAR || 's') AS hash FROM customer WHERE c_custkey % 5 = 0))
+@query("""WITH h AS (SELECT DISTINCT sha256(c_custkey::VARCHAR || 's') AS hash FROM customer), k AS (SELECT hash, row_number() OVER (ORDER BY hash) AS id FROM (SELECT DISTINCT sha256(c_custkey::VARCHAR || 's') AS hash FROM customer WHERE c_custkey % 5 = 0))
 SELECT hash, id FROM k UNION ALL SELECT hash, (SELECT max(id) FROM k) + row_number() OVER (ORDER BY hash) FROM h WHERE hash NOT IN (SELECT hash FROM k)""")
 def sample_ids(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    hashes = c.filter("c_custkey % 5 = 0").select(F.sha2(F.concat(F.col("c_custkey").cast("string"), F.lit("s")), 256).alias("hash")).distinct()
-    known = hashes.withColumn("id", F.row_number().over(Window.orderBy(F.desc("hash"))).cast("long"))
+    known = K.new_ids(c.filter("c_custkey % 5 = 0"), spark.createDataFrame([], "hash string, id long"), "c_custkey", "s")
     return K.new_ids(c, known, "c_custkey", "s")
 
 

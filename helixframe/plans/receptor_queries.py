@@ -106,19 +106,19 @@ def hla_somatic(spark, sf_dir):
     return Z.somatic_alleles(f).withColumn("weight", F.round("weight", 8))
 
 
-@query("""WITH o AS (SELECT l_suppkey AS s, l_partkey % 3 AS gene, list_sort(list('A' || l_linenumber % 3)) AS a FROM lineitem WHERE l_quantity > 48 GROUP BY ALL), n AS (SELECT l_suppkey AS s, l_partkey % 3 AS gene, list_sort(list('A' || l_linenumber % 3)) AS a FROM lineitem WHERE l_quantity > 48 AND l_discount > 0.02 GROUP BY ALL)
+@query("""WITH o AS (SELECT l_suppkey AS s, l_partkey % 3 AS gene, list_sort(list('A' || l_linenumber % 3)) AS a FROM lineitem GROUP BY ALL), n AS (SELECT l_suppkey AS s, l_partkey % 3 AS gene, list_sort(list('A' || l_linenumber % 3)) AS a FROM lineitem WHERE l_discount > 0.02 GROUP BY ALL)
 SELECT coalesce(o.s, n.s) AS s, coalesce(o.gene, n.gene) AS gene, CASE WHEN coalesce(o.a, []) = coalesce(n.a, []) THEN 'MATCH' WHEN list_has_any(coalesce(o.a, []), coalesce(n.a, [])) THEN 'PARTIAL' ELSE 'DIFF' END AS status FROM o FULL JOIN n ON o.s = n.s AND o.gene = n.gene""")
 def hla_compare(spark, sf_dir):
     c = F.col
-    i = table(spark, sf_dir, "lineitem").filter("l_quantity > 48").select(c("l_suppkey").alias("s"), (c("l_partkey") % 3).alias("gene"), F.concat(F.lit("A"), c("l_linenumber") % 3).alias("allele"), "l_discount")
+    i = table(spark, sf_dir, "lineitem").select(c("l_suppkey").alias("s"), (c("l_partkey") % 3).alias("gene"), F.concat(F.lit("A"), c("l_linenumber") % 3).alias("allele"), "l_discount")
     return Z.compared_types(i, i.filter("l_discount > 0.02"), "s")
 
 
-@query("""WITH c AS (SELECT l_suppkey AS s, l_partkey % 5 AS gene, '*' || l_linenumber AS h, least(2, count(*)) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY ALL), f(gene, h, f, v) AS (SELECT g, '*' || k, ['Normal', 'Reduced', 'No function'][1 + (g + k) % 3], (g + k) % 3 FROM unnest([0, 1, 2, 3]) AS a(g), unnest([1, 2, 3, 4, 5]) AS b(k))
+@query("""WITH c AS (SELECT l_suppkey AS s, l_partkey % 5 AS gene, '*' || l_linenumber AS h, least(2, count(*)) AS n FROM lineitem GROUP BY ALL), f(gene, h, f, v) AS (SELECT g, '*' || k, ['Normal', 'Reduced', 'No function'][1 + (g + k) % 3], (g + k) % 3 FROM unnest([0, 1, 2, 3]) AS a(g), unnest([1, 2, 3, 4, 5]) AS b(k))
 SELECT s AS sample, c.gene, string_agg(c.h || '_x' || n, ';' ORDER BY c.h || '_x' || n) AS haplotypes, coalesce(arg_max(f, v), 'Unknown') AS function, CASE WHEN count(f) = 0 THEN 'UNKNOWN' WHEN sum(n) = 2 THEN 'PASS' ELSE 'WARN' END AS qc FROM c LEFT JOIN f ON c.gene = f.gene AND c.h = f.h GROUP BY ALL""")
 def haplotype_events(spark, sf_dir):
     c = F.col
-    calls = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").groupBy(c("l_suppkey").alias("sample"), (c("l_partkey") % 5).alias("gene"), F.concat(F.lit("*"), "l_linenumber").alias("haplotype")).agg(F.least(F.lit(2), F.count("*")).alias("copies"))
+    calls = table(spark, sf_dir, "lineitem").groupBy(c("l_suppkey").alias("sample"), (c("l_partkey") % 5).alias("gene"), F.concat(F.lit("*"), "l_linenumber").alias("haplotype")).agg(F.least(F.lit(2), F.count("*")).alias("copies"))
     names = ["Normal", "Reduced", "No function"]
     f = spark.createDataFrame([(g, f"*{k}", names[(g + k) % 3], (g + k) % 3) for g in range(4) for k in range(1, 6)], "gene long, haplotype string, function string, severity int")
     return Z.haplotype_events(calls, f)
