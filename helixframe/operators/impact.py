@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,22 +32,32 @@ def coding_effect(effects: Column) -> Column:
 def _exonic(variants: DataFrame, transcripts: DataFrame, exons: DataFrame, bin_size: int) -> DataFrame:
     """Variants by transcript in reach, with what the transcript's exons say: the one that holds the variant's position, the nearest ends, and the coding bases before it."""
     reach = transcripts.withColumns({"__a": F.col("trans_start") - F.when(F.col("strand") > 0, UPSTREAM).otherwise(0), "__b": F.col("trans_end") + F.when(F.col("strand") > 0, 0).otherwise(UPSTREAM)})
-    near = I.range_join(variants.withColumn("__p", F.col("position")), reach, ["chromosome"], ("position", "__p"), ("__a", "__b"), bin_size)
+    spans = variants.withColumn("__q", F.col("position") + F.greatest(F.length("ref"), F.lit(1)) - 1)
+    near = I.range_join(spans, reach, ["chromosome"], ("position", "__q"), ("__a", "__b"), bin_size)
     both = near.join(exons.select("transcript", "exon_start", "exon_end"), "transcript")
     c = F.col
-    p, plus = c("position"), c("strand") > 0
-    inside = (p >= c("exon_start")) & (p <= c("exon_end"))
-    # Coding bases of this exon before the position, in the transcript's direction.
+    p, q, plus = c("position"), c("__q"), c("strand") > 0
+    inserted, deleted = F.length("ref") == 0, F.length("ref") > F.length("alt")
+    inside = (p <= c("exon_end")) & (q >= c("exon_start"))
+    # Coding bases of this exon before the first changed one, in the transcript's direction, and those that the change takes.
     low, high = F.greatest("exon_start", "coding_start"), F.least("exon_end", "coding_end")
-    before = F.when(plus, F.least(high, p - 1) - low + 1).otherwise(high - F.greatest(low, p + 1) + 1)
+    before = F.when(plus, F.least(high, F.when(inserted, p).otherwise(p - 1)) - low + 1).otherwise(high - F.greatest(low, q + 1) + 1)
+    taken = F.when(inserted, 0).otherwise(F.least(high, q) - F.greatest(low, p) + 1)
     behind_end, before_start = p - c("exon_end"), c("exon_start") - p  # intronic distances, positive outside
     inner_end, inner_start = c("exon_end") != c("trans_end"), c("exon_start") != c("trans_start")
     distance = lambda d, inner: F.when(inner & (d >= -SPLICE_EXON + 1) & (d <= SPLICE_INTRON), d)
     end, start = distance(behind_end, inner_end), distance(before_start, inner_start)
+    # A deletion may take splice positions from either side.
+    takes = lambda places: deleted & reduce(or_, [(x >= p) & (x <= q) for x in places])
+    beyond = lambda places: [c("exon_end") + k for k in places]
+    ahead = lambda places: [c("exon_start") - k for k in places]
+    takes_donor = F.when(plus, inner_end & takes(beyond(DONOR))).otherwise(inner_start & takes(ahead(DONOR)))
+    takes_acceptor = F.when(plus, inner_start & takes(ahead(ACCEPTOR))).otherwise(inner_end & takes(beyond(ACCEPTOR)))
     keys = ["id", "transcript"]
-    first = [F.first(x).alias(x) for x in ("gene", "strand", "trans_start", "trans_end", "coding_start", "coding_end", "position", "ref", "alt", "lps")]
+    first = [F.first(x).alias(x) for x in ("gene", "strand", "trans_start", "trans_end", "coding_start", "coding_end", "position", "__q", "ref", "alt", "lps")]
+    sums = lambda x: F.coalesce(F.sum(F.when(F.col("coding_start").isNotNull(), F.greatest(F.lit(0), x))), F.lit(0))
     return both.groupBy(*keys).agg(
-        *first, F.bool_or(inside).alias("exonic"), F.coalesce(F.sum(F.when(F.col("coding_start").isNotNull(), F.greatest(F.lit(0), before))), F.lit(0)).alias("offset"),
+        *first, F.bool_or(inside).alias("exonic"), sums(before).alias("offset"), sums(taken).alias("taken"), F.bool_or(takes_donor).alias("takes_donor"), F.bool_or(takes_acceptor).alias("takes_acceptor"),
         F.min(F.when(plus, end).otherwise(start)).alias("donor"), F.min(F.when(plus, start).otherwise(end)).alias("acceptor"),
     )
 
@@ -54,33 +67,44 @@ def effects(variants: DataFrame, transcripts: DataFrame, exons: DataFrame, codin
 
     transcripts: (transcript, gene, chromosome, strand, trans_start, trans_end, coding_start, coding_end; the last two null without a protein); exons: (transcript, exon_start, exon_end); coding: (transcript, bases) in the transcript's direction. ref and alt have
     no common base; of an insertion ref is empty and position is the base before it. Codons are given for substitutions of one base. Effects stand in the order
-    found: upstream, splice site, coding effect or untranslated region, intronic.
+    found: upstream, splice site, coding effect or untranslated region, a start or stop that it changes, intronic. A deletion over an exon's end that takes splice positions has their effect, and its frame is that of the coding bases
+    that it takes.
     """
     c = F.col
     rows = _exonic(variants, transcripts, exons, bin_size).join(coding.select("transcript", F.col("bases").alias("__bases")), "transcript", "left")
-    plus, p = c("strand") > 0, c("position")
-    upstream = (plus & (p < c("trans_start"))) | (~plus & (p > c("trans_end")))
-    in_coding = c("coding_start").isNotNull() & (p >= c("coding_start")) & (p <= c("coding_end"))
-    left = c("coding_start").isNotNull() & (p < c("coding_start"))
-    right = c("coding_start").isNotNull() & (p > c("coding_end"))
-    shift = F.length("alt") - F.length("ref")
-    single = (F.length("ref") == 1) & (F.length("alt") == 1)
+    plus, p, q = c("strand") > 0, c("position"), c("__q")
+    upstream = (plus & (q < c("trans_start"))) | (~plus & (p > c("trans_end")))
+    has_coding = c("coding_start").isNotNull()
+    in_coding = has_coding & (q >= c("coding_start")) & (p <= c("coding_end"))
+    left = has_coding & (q < c("coding_start"))
+    right = has_coding & (p > c("coding_end"))
+    old_size, new_size = F.length("ref"), F.length("alt")
+    shift = new_size - F.when(old_size > new_size, F.least(c("taken"), old_size)).otherwise(old_size)
+    single = (old_size == 1) & (new_size == 1)
     codon = F.floor(c("offset") / 3).cast("int")
     ref_codon = F.substring("__bases", codon * 3 + 1, F.lit(3))
-    base = F.when(plus, c("alt")).otherwise(F.translate(c("alt"), "ACGT", "TGCA"))
+    base = F.when(plus, c("alt")).otherwise(F.translate(F.reverse("alt"), "ACGT", "TGCA"))
     place = (c("offset") % 3).cast("int")
     alt_codon = F.concat(F.substring(ref_codon, F.lit(1), place), base, F.substring(ref_codon, place + 2, F.lit(3)))
     old, new = translated(ref_codon), translated(alt_codon)
-    changed = F.when(old == new, "synonymous").when(codon == 0, "start_lost").when(new == "*", "stop_gained").when(old == "*", "stop_lost").otherwise("missense")
-    of_indel = F.when(shift % 3 != 0, "frameshift").when(shift > 0, "inframe_insertion").when(shift < 0, "inframe_deletion").otherwise("missense")
+    changed = F.when(old == new, "synonymous").when((codon == 0) & (old == "M"), "start_lost").when(new == "*", "stop_gained").when(old == "*", "stop_lost").otherwise("missense")
+    of_indel = F.when(shift % 3 != 0, "frameshift").when(shift > 0, "inframe_insertion").when(shift < 0, "inframe_deletion")
+    # Whole codons around a change that lies within one exon: their residues before and after.
+    size = (F.ceil((place + old_size) / 3) * 3).cast("int")
+    window = F.substring("__bases", codon * 3 + 1, size)
+    after = F.concat(F.substring(window, F.lit(1), place), base, F.substring(window, place + old_size + 1, size))
+    was, becomes = translated(window), translated(after)
+    whole = ~single & in_coding & c("exonic") & (shift % 3 == 0) & (c("taken") == old_size) & (F.length(window) == size)
+    edge = F.when(whole, F.when((codon == 0) & was.startswith("M") & ~becomes.startswith("M") & (becomes != ""), "start_lost").when(~was.endswith("*") & F.contains(becomes, F.lit("*")), "stop_gained").when(was.endswith("*") & ~F.contains(becomes, F.lit("*")) & (becomes != ""), "stop_lost"))
+    of_several = F.coalesce(of_indel, F.when(edge.isNotNull(), None).when(whole & (was == becomes), "synonymous").otherwise("missense"))
     exon_effect = (
-        F.when(~c("exonic"), None).when(c("coding_start").isNull(), "non_coding_transcript").when(left, F.when(plus, "five_prime_utr").otherwise("three_prime_utr")).when(right, F.when(plus, "three_prime_utr").otherwise("five_prime_utr"))
-        .when(in_coding & single, changed).when(in_coding, of_indel)
+        F.when(~c("exonic"), None).when(~has_coding, "non_coding_transcript").when(left, F.when(plus, "five_prime_utr").otherwise("three_prime_utr")).when(right, F.when(plus, "three_prime_utr").otherwise("five_prime_utr"))
+        .when(in_coding & single, changed).when(in_coding, of_several)
     )
-    donor = c("donor").isin(*DONOR) | ((c("donor") == 0) & single & c("exonic"))
-    acceptor = c("acceptor").isin(*ACCEPTOR) | ((c("acceptor") == 3) & (base == "G") & single)
+    donor = c("takes_donor") | c("donor").isin(*DONOR) | ((c("donor") == 0) & single & c("exonic"))
+    acceptor = c("takes_acceptor") | c("acceptor").isin(*ACCEPTOR) | ((c("acceptor") == 3) & (base == "G") & single)
     intronic = ~c("exonic") & ~upstream
-    found = F.array_compact(F.array(F.when(upstream, "upstream_gene"), F.when(F.coalesce(donor, F.lit(False)), "splice_donor"), F.when(F.coalesce(acceptor, F.lit(False)), "splice_acceptor"), exon_effect, F.when(intronic, "intronic")))
+    found = F.array_compact(F.array(F.when(upstream, "upstream_gene"), F.when(F.coalesce(donor, F.lit(False)), "splice_donor"), F.when(F.coalesce(acceptor, F.lit(False)), "splice_acceptor"), exon_effect, edge, F.when(intronic, "intronic")))
     known = in_coding & single & c("exonic")
     out = rows.withColumns({"effects": found, "splice_region": c("donor").isNotNull() | c("acceptor").isNotNull(), "codon": F.when(known, codon), "ref_codon": F.when(known, ref_codon), "alt_codon": F.when(known, alt_codon)})
     return out.select("id", "transcript", "gene", "lps", F.when(in_coding & c("exonic"), shift).alias("shift"), "effects", coding_effect(F.col("effects")).alias("coding_effect"), "splice_region", "codon", "ref_codon", "alt_codon")

@@ -16,15 +16,27 @@ MODEL = """t AS (SELECT s_suppkey AS transcript, s_suppkey // 2 AS gene, s_suppk
 x AS (SELECT transcript, ts + 100 * i AS es, ts + 100 * i + 59 AS ee FROM t, unnest([0, 1, 2]) AS u(i)), q AS (SELECT transcript, 'ATG' || string_agg(substring('ACGTTGCAAG', 1 + CAST((transcript * 7 + i * i) % 10 AS INT), 1), '' ORDER BY i) AS bases FROM t, unnest(generate_series(1, 150)) AS u(i) GROUP BY 1),
 v AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_suppkey % 3 AS chromosome, 200 + 2000 * (l_suppkey // 3) + (l_orderkey * 13 + l_partkey * 31 + l_linenumber) % 1400 AS p, CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN 'AC' WHEN 3 THEN 'ACG' ELSE ['A', 'C', 'G', 'T'][1 + l_partkey % 4] END AS ref, CASE l_linenumber WHEN 1 THEN 'GG' WHEN 2 THEN '' WHEN 3 THEN '' ELSE ['A', 'C', 'G', 'T'][1 + (l_partkey + 1 + l_orderkey % 3) % 4] END AS alt, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey * 10 + l_orderkey % 2 END AS lps FROM lineitem)"""
 _TRANSLATE = "CASE {}" + "".join(f" WHEN '{c}' THEN '{a}'" for c, a in CODONS.items()) + " ELSE 'X' END"
-EFFECTS = f"""{MODEL}, n AS (SELECT v.*, t.* EXCLUDE (chromosome), x.es, x.ee FROM v JOIN t ON v.chromosome = t.chromosome AND p BETWEEN ts - CASE WHEN strand > 0 THEN 1000 ELSE 0 END AND te + CASE WHEN strand > 0 THEN 0 ELSE 1000 END JOIN x ON x.transcript = t.transcript),
-d AS (SELECT *, CASE WHEN ee <> te AND p - ee BETWEEN -2 AND 8 THEN p - ee END AS de, CASE WHEN es <> ts AND es - p BETWEEN -2 AND 8 THEN es - p END AS ds, CASE WHEN cs IS NULL THEN 0 WHEN strand > 0 THEN greatest(0, least(least(ee, ce), p - 1) - greatest(es, cs) + 1) ELSE greatest(0, least(ee, ce) - greatest(greatest(es, cs), p + 1) + 1) END AS o FROM n),
-e AS (SELECT id, transcript, any_value(gene) AS gene, any_value(strand) AS strand, any_value(ts) AS ts, any_value(te) AS te, any_value(cs) AS cs, any_value(ce) AS ce, any_value(p) AS p, any_value(ref) AS ref, any_value(alt) AS alt, any_value(lps) AS lps, bool_or(p BETWEEN es AND ee) AS ex, sum(o) AS o, min(CASE WHEN strand > 0 THEN de ELSE ds END) AS donor, min(CASE WHEN strand > 0 THEN ds ELSE de END) AS acc FROM d GROUP BY ALL),
-b AS (SELECT e.*, (strand > 0 AND p < ts) OR (strand < 0 AND p > te) AS up, coalesce(p BETWEEN cs AND ce, false) AS inc, length(ref) = 1 AND length(alt) = 1 AS single, length(alt) - length(ref) AS shift, CAST(o // 3 AS INT) AS codon, CAST(o % 3 AS INT) AS place, substring(bases, CAST(o // 3 * 3 + 1 AS INT), 3) AS rc, CASE WHEN strand > 0 THEN alt ELSE translate(alt, 'ACGT', 'TGCA') END AS base FROM e LEFT JOIN q USING (transcript)),
-a AS (SELECT *, substring(rc, 1, place) || base || substring(rc, place + 2, 3) AS ac FROM b), y AS (SELECT *, CASE WHEN length(rc) < 3 THEN '' ELSE {_TRANSLATE.format('rc')} END AS old, CASE WHEN length(ac) < 3 THEN '' ELSE {_TRANSLATE.format('substring(ac, 1, 3)')} END AS new FROM a),
-z AS (SELECT *, list_filter([CASE WHEN up THEN 'upstream_gene' END, CASE WHEN donor IN (1, 2, 5) OR (donor = 0 AND single AND ex) THEN 'splice_donor' END, CASE WHEN acc IN (1, 2) OR (acc = 3 AND base = 'G' AND single) THEN 'splice_acceptor' END,
-CASE WHEN NOT ex THEN NULL WHEN cs IS NULL THEN 'non_coding_transcript' WHEN p < cs THEN CASE WHEN strand > 0 THEN 'five_prime_utr' ELSE 'three_prime_utr' END WHEN p > ce THEN CASE WHEN strand > 0 THEN 'three_prime_utr' ELSE 'five_prime_utr' END
-WHEN inc AND single THEN CASE WHEN old = new THEN 'synonymous' WHEN codon = 0 THEN 'start_lost' WHEN new = '*' THEN 'stop_gained' WHEN old = '*' THEN 'stop_lost' ELSE 'missense' END WHEN inc THEN CASE WHEN shift % 3 <> 0 THEN 'frameshift' WHEN shift > 0 THEN 'inframe_insertion' WHEN shift < 0 THEN 'inframe_deletion' ELSE 'missense' END END,
-CASE WHEN NOT ex AND NOT up THEN 'intronic' END], lambda s: s IS NOT NULL) AS effects FROM y)"""
+#: Residues of a text of whole codons.
+_RESIDUES = "coalesce((SELECT string_agg({}, '' ORDER BY i) FROM unnest(generate_series(0, length({}) // 3 - 1)) AS u(i)), '')"
+
+
+def _residues(x: str) -> str:
+    return _RESIDUES.format(_TRANSLATE.format(f"substring({x}, CAST(3 * i + 1 AS INT), 3)"), x)
+
+
+EFFECTS = f"""{MODEL}, m AS (SELECT *, p + greatest(length(ref), 1) - 1 AS q FROM v), n AS (SELECT m.*, t.* EXCLUDE (chromosome), x.es, x.ee FROM m JOIN t ON m.chromosome = t.chromosome AND p <= te + CASE WHEN strand > 0 THEN 0 ELSE 1000 END AND m.q >= ts - CASE WHEN strand > 0 THEN 1000 ELSE 0 END JOIN x ON x.transcript = t.transcript),
+d AS (SELECT *, CASE WHEN ee <> te AND p - ee BETWEEN -2 AND 8 THEN p - ee END AS de, CASE WHEN es <> ts AND es - p BETWEEN -2 AND 8 THEN es - p END AS ds, CASE WHEN cs IS NULL THEN 0 WHEN strand > 0 THEN greatest(0, least(least(ee, ce), CASE WHEN ref = '' THEN p ELSE p - 1 END) - greatest(es, cs) + 1) ELSE greatest(0, least(ee, ce) - greatest(greatest(es, cs), q + 1) + 1) END AS o,
+CASE WHEN cs IS NULL OR ref = '' THEN 0 ELSE greatest(0, least(least(ee, ce), q) - greatest(greatest(es, cs), p) + 1) END AS k, length(ref) > length(alt) AND CASE WHEN strand > 0 THEN ee <> te AND (ee + 1 BETWEEN p AND q OR ee + 2 BETWEEN p AND q OR ee + 5 BETWEEN p AND q) ELSE es <> ts AND (es - 1 BETWEEN p AND q OR es - 2 BETWEEN p AND q OR es - 5 BETWEEN p AND q) END AS td,
+length(ref) > length(alt) AND CASE WHEN strand > 0 THEN es <> ts AND (es - 1 BETWEEN p AND q OR es - 2 BETWEEN p AND q) ELSE ee <> te AND (ee + 1 BETWEEN p AND q OR ee + 2 BETWEEN p AND q) END AS ta FROM n),
+e AS (SELECT id, transcript, any_value(gene) AS gene, any_value(strand) AS strand, any_value(ts) AS ts, any_value(te) AS te, any_value(cs) AS cs, any_value(ce) AS ce, any_value(p) AS p, any_value(q) AS q, any_value(ref) AS ref, any_value(alt) AS alt, any_value(lps) AS lps, bool_or(p <= ee AND q >= es) AS ex, sum(o) AS o, sum(k) AS k, bool_or(td) AS td, bool_or(ta) AS ta, min(CASE WHEN strand > 0 THEN de ELSE ds END) AS donor, min(CASE WHEN strand > 0 THEN ds ELSE de END) AS acc FROM d GROUP BY ALL),
+b AS (SELECT e.*, bases, (strand > 0 AND q < ts) OR (strand < 0 AND p > te) AS up, coalesce(q >= cs AND p <= ce, false) AS inc, length(ref) = 1 AND length(alt) = 1 AS single, length(alt) - CASE WHEN length(ref) > length(alt) THEN least(k, length(ref)) ELSE length(ref) END AS shift, CAST(o // 3 AS INT) AS codon, CAST(o % 3 AS INT) AS place, substring(bases, CAST(o // 3 * 3 + 1 AS INT), 3) AS rc, CASE WHEN strand > 0 THEN alt ELSE translate(reverse(alt), 'ACGT', 'TGCA') END AS base, CAST(ceil((o % 3 + length(ref)) / 3.0) * 3 AS INT) AS size FROM e LEFT JOIN q USING (transcript)),
+a AS (SELECT *, substring(rc, 1, place) || base || substring(rc, place + 2, 3) AS ac, substring(bases, CAST(codon * 3 + 1 AS INT), size) AS win FROM b), g AS (SELECT *, NOT single AND inc AND ex AND shift % 3 = 0 AND k = length(ref) AND length(win) = size AS whole, substring(win, 1, place) || base || substring(win, CAST(place + length(ref) + 1 AS INT), size) AS aft FROM a),
+y AS (SELECT *, CASE WHEN length(rc) < 3 THEN '' ELSE {_TRANSLATE.format('rc')} END AS old, CASE WHEN length(ac) < 3 THEN '' ELSE {_TRANSLATE.format('substring(ac, 1, 3)')} END AS new, CASE WHEN whole THEN {_residues('win')} END AS was, CASE WHEN whole THEN {_residues('aft')} END AS becomes FROM g),
+h AS (SELECT *, CASE WHEN whole THEN CASE WHEN codon = 0 AND was LIKE 'M%' AND becomes NOT LIKE 'M%' AND becomes <> '' THEN 'start_lost' WHEN was NOT LIKE '%*' AND contains(becomes, '*') THEN 'stop_gained' WHEN was LIKE '%*' AND NOT contains(becomes, '*') AND becomes <> '' THEN 'stop_lost' END END AS edge FROM y),
+z AS (SELECT *, list_filter([CASE WHEN up THEN 'upstream_gene' END, CASE WHEN td OR donor IN (1, 2, 5) OR (donor = 0 AND single AND ex) THEN 'splice_donor' END, CASE WHEN ta OR acc IN (1, 2) OR (acc = 3 AND base = 'G' AND single) THEN 'splice_acceptor' END,
+CASE WHEN NOT ex THEN NULL WHEN cs IS NULL THEN 'non_coding_transcript' WHEN q < cs THEN CASE WHEN strand > 0 THEN 'five_prime_utr' ELSE 'three_prime_utr' END WHEN p > ce THEN CASE WHEN strand > 0 THEN 'three_prime_utr' ELSE 'five_prime_utr' END
+WHEN inc AND single THEN CASE WHEN old = new THEN 'synonymous' WHEN codon = 0 AND old = 'M' THEN 'start_lost' WHEN new = '*' THEN 'stop_gained' WHEN old = '*' THEN 'stop_lost' ELSE 'missense' END WHEN inc THEN CASE WHEN shift % 3 <> 0 THEN 'frameshift' WHEN shift > 0 THEN 'inframe_insertion' WHEN shift < 0 THEN 'inframe_deletion' WHEN edge IS NOT NULL THEN NULL WHEN whole AND was = becomes THEN 'synonymous' ELSE 'missense' END END,
+edge, CASE WHEN NOT ex AND NOT up THEN 'intronic' END], lambda s: s IS NOT NULL) AS effects FROM h)"""
 _CODING = "CASE " + " ".join(f"WHEN list_has_any({{0}}, {some!r}) THEN '{name}'" for name, some in E.CODING_EFFECTS.items()) + " ELSE 'NONE' END"
 
 
