@@ -33,7 +33,7 @@ from .common import blocks, in_batches, opened, scratch_path, stored, table, utf
 SPAN = 200
 SEED = 64
 BLOCK = 1 << 20
-HOT = 1024
+HOT = 4096
 #: Bytes of a text whose stretches are looked for at a time; positions within have 20 bits.
 PIECE = 1 << 17
 #: Rows of a part of the stored texts have so many bits in Spark's increasing ids.
