@@ -147,6 +147,7 @@ PLANTED = "\\### Assistant: </turn> ok"
 
 
 def op2_chat(spark, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back; null texts are empty, null roles the empty role, rows of equal turns in the order of role and text."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
     made = conversations_of(threads(rows.union(planted)))

@@ -310,5 +310,6 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
+    """What the scan finds in every document; null and wordless texts have no words, places or labels and score 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

@@ -373,4 +373,5 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places; null and empty texts are one piece of the end id."""
     return packed(table(spark, sf_dir, "documents"))

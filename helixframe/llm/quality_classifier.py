@@ -53,6 +53,7 @@ def quality(docs: DataFrame, model: ftrl.Model, text_col: str = "text", score: s
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document; null and empty texts get the bias's score. Without labels of both kinds the score is the same for all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality(docs, fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", ftrl.held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

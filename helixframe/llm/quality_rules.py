@@ -123,4 +123,5 @@ def repetition(docs: DataFrame, text_col: str = "text", shares: dict[int, float]
 
 
 def op7_repetition(spark, sf_dir: str) -> DataFrame:
+    """The rules' counts and verdict of every document; null and wordless texts have no words and fail."""
     return repetition(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")

@@ -250,6 +250,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Tru
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
+    """Every page written as a record and read back; null html is an empty payload."""
     pages = table(spark, sf_dir, "pages")
     folder = scratch_path(spark, "warc")
     manifest = write_archives(decided(pages), folder, dictionary_of(pages))
