@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .shipping import ship
 
-#: The open scopes of ``scratch``, innermost last: what each has to delete.
-_scopes: list[list[str]] = []
+#: The open scopes of ``scratch``, innermost last: what each has to delete. A thread has its own.
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, what: str, outlives: bool = False) -> str:
     """A new path in the shared folder, which the innermost ``scratch`` scope deletes at its end, or, if it outlives that, the next outer one; without one it stays."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    if len(_scopes) > outlives:
-        _scopes[-1 - outlives].append(path)
+    if len(open_scopes := _scopes.get()) > outlives:
+        open_scopes[-1 - outlives].append(path)
     return path
 
 
@@ -67,9 +68,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
     ``with scratch(spark): near_duplicates(docs).write.parquet(out)`` leaves only ``out``. Scopes nest; each has its own paths.
     """
-    _scopes.append([])
+    own: list[str] = []
+    before = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(before)
+        for path in own:
             removed(spark, path)

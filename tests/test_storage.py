@@ -15,3 +15,20 @@ def test_scopes_delete_what_was_stored_in_them(spark):
     with scratch(spark):
         e = stored(d, "e", outlives=True)
     assert not gone(d) and e.count() == 1
+
+
+def test_threads_have_their_own_scopes(spark):
+    import os
+    import threading
+
+    kept = []
+
+    def other():
+        kept.append(stored(spark.range(3), "thread").stored_at)
+
+    with scratch(spark):
+        thread = threading.Thread(target=other)
+        thread.start()
+        thread.join()
+        own = stored(spark.range(2), "own").stored_at
+    assert os.path.isdir(kept[0].removeprefix("file://")) and not os.path.isdir(own.removeprefix("file://"))
