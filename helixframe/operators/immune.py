@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,26 +19,20 @@ def ranked_complexes(complexes: DataFrame, sample: str, score: str, coverage: st
     return rows.filter((F.col(score) >= F.col("__best") - spread * F.col("__cover")) | (F.col("rank") <= 2)).drop("__most", "__best", "__cover")
 
 
-def complex_scores(fragments: DataFrame, frequencies: dict[str, float], genes: int = 3, weight: float = 0.018, floor: float = 0.0001) -> DataFrame:
-    """(gene, first, second, coverage, score): all allele pairs of each gene by the fragments (gene, fragment, alleles) that they explain.
+def complex_scores(fragments: DataFrame, frequencies: dict[str, float], genes: int = 3, weight: float = 0.018, floor: float = 0.0001, by: tuple[str, ...] = ("gene",)) -> DataFrame:
+    """(by, first, second, coverage, score): all allele pairs of each gene by the fragments (by, alleles) that they explain; by holds the gene, and the sample where there are several.
 
-    A homozygous pair counts its allele's frequency twice. Fragments are first counted by their allele set; pairs are of one gene's few candidate alleles.
+    A homozygous pair counts its allele's frequency twice. Fragments are first counted by their allele set, so pairs of a gene's few candidate alleles meet distinct sets.
     """
-    sets = fragments.select("gene", F.array_sort(F.array_distinct("alleles")).alias("alleles")).groupBy("gene", "alleles").agg(F.count("*").alias("n"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import math
-
-        names = sorted({a for s in rows["alleles"] for a in s})
-        own = [(set(s), int(n)) for s, n in zip(rows["alleles"], rows["n"])]
-        out = []
-        for a, b in combinations_with_replacement(names, 2):
-            cover = sum(n for s, n in own if a in s or b in s)
-            common = sum(math.log10(max(frequencies.get(x, 0.0), floor)) for x in (a, b))
-            out.append((rows["gene"].iloc[0], a, b, cover, cover + 3 / genes * common * weight * cover))
-        return pd.DataFrame(out, columns=["gene", "first", "second", "coverage", "score"])
-
-    return sets.groupBy("gene").applyInPandas(run, "gene string, first string, second string, coverage long, score double")
+    keys = list(by)
+    sets = fragments.select(*keys, F.array_sort(F.array_distinct("alleles")).alias("alleles")).groupBy(*keys, "alleles").agg(F.count("*").alias("n"))
+    names = sets.select(*keys, F.explode("alleles").alias("first")).distinct()
+    pairs = names.join(names.withColumnRenamed("first", "second"), keys).filter("first <= second")
+    holds = F.array_contains("alleles", F.col("first")) | F.array_contains("alleles", F.col("second"))
+    covered = pairs.join(sets, keys).groupBy(*keys, "first", "second").agg(F.sum(F.when(holds, F.col("n")).otherwise(0)).alias("coverage"))
+    table = F.create_map(*[F.lit(x) for k, v in (frequencies or {"": floor}).items() for x in (k, float(v))])
+    common = lambda c: F.log10(F.greatest(F.coalesce(F.try_element_at(table, F.col(c)), F.lit(0.0)), F.lit(floor)))
+    return covered.withColumn("score", F.col("coverage") + 3 / genes * (common("first") + common("second")) * weight * F.col("coverage"))
 
 
 def haplotypes(observed: dict[str, int | None], known: dict[str, dict[str, int]], default: str, copies: int = 2) -> dict[str, int]:

@@ -157,14 +157,15 @@ def flank_score(up: Column, down: Column, weights: dict[tuple[str, int, str], fl
 def nearest_known(peptides: DataFrame, known: DataFrame, matrix: dict[str, dict[str, int]], most: int = 2) -> DataFrame:
     """(peptide, known, differences, score): for each peptide the known one of its length that differs in at most ``most`` places with the highest substitution score, ties by differences and name.
 
-    With d differences one of ``most`` + 1 parts is equal, so peptides meet by length and part and are never all compared.
+    With d differences two of ``most`` + 2 parts at least are equal, so peptides meet by length and pairs of parts and are never all compared.
     """
     from ..functions.sequences import hamming_within
 
     def parts(name: str) -> Column:
-        n = F.length(name)
-        cut = [F.floor(n * i / (most + 1)).cast("int") for i in range(most + 2)]
-        return F.explode(F.array(*[F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring(F.col(name), cut[i] + 1, cut[i + 1] - cut[i]).alias("t")) for i in range(most + 1)]))
+        n, many = F.length(name), most + 2
+        cut = [F.floor(n * i / many).cast("int") for i in range(many + 1)]
+        part = [F.substring(F.col(name), cut[i] + 1, cut[i + 1] - cut[i]) for i in range(many)]
+        return F.explode(F.array(*[F.struct(n.alias("n"), F.lit(i * many + j).alias("i"), part[i].alias("t"), part[j].alias("u")) for i in range(many) for j in range(i + 1, many)]))
 
     a = peptides.select("peptide").distinct().select("peptide", parts("peptide").alias("k"))
     b = known.select("known").distinct().select("known", parts("known").alias("k"))

@@ -226,7 +226,9 @@ def complex_ranking(spark, sf_dir):
     return H.ranked_complexes(c, "l_suppkey", "score", "coverage", "name", 20.0).select("l_suppkey", "name", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query("""WITH s AS (SELECT (l_partkey % 30)::VARCHAR AS gene, list_sort(list_distinct(['A' || l_suppkey % 4, 'A' || l_linenumber % 3])) AS s, count(*) AS n FROM lineitem GROUP BY ALL), a AS (SELECT DISTINCT gene, unnest(s) AS a FROM s), f(a, f) AS (VALUES ('A0', 0.3), ('A1', 0.1)),
+p AS (SELECT x.gene, x.a AS first, y.a AS second, sum(CASE WHEN list_contains(s, x.a) OR list_contains(s, y.a) THEN n ELSE 0 END)::BIGINT AS coverage FROM a x JOIN a y ON x.gene = y.gene AND x.a <= y.a JOIN s ON s.gene = x.gene GROUP BY ALL)
+SELECT gene, first, second, coverage, round(coverage + (log10(coalesce(g.f, 0.0001)) + log10(coalesce(h.f, 0.0001))) * 0.018 * coverage, 6) AS score FROM p LEFT JOIN f g ON g.a = first LEFT JOIN f h ON h.a = second""")
 def hla_complexes(spark, sf_dir):
     i = table(spark, sf_dir, "lineitem")
     f = i.select((F.col("l_partkey") % 30).cast("string").alias("gene"), F.array(F.concat(F.lit("A"), (F.col("l_suppkey") % 4).cast("string")), F.concat(F.lit("A"), (F.col("l_linenumber") % 3).cast("string"))).alias("alleles"))
