@@ -55,7 +55,7 @@ CATEGORIES: dict[str, tuple[list[str], list[Field]]] = {
         ["SampleId"],
         [Field("qcStatus"), Field("gender"), Field("germlineAberration"), Field("fitMethod"), Field("msStatus"), Field("tmbStatus"), Field("tmlStatus"), Field("purity", 0.04),
          Field("ploidy", 0.1), Field("contamination", 0.005), Field("tmbPerMb", 0.1, 0.05), Field("msIndelsPerMb", 0.1, 0.05), Field("tml", 1, 0.05), Field("copyNumberSegments", 5, 0.2),
-         Field("unsupportedCopyNumberSegments", 5, 0.2), Field("svTmb", 5, 0.05)],
+         Field("unsupportedCopyNumberSegments", 5, 0.2), Field("svTmb", 5, 0.05), Field("tincLevel", 0.1)],
     ),
     "somatic_variant": (
         ["SampleId", "Chromosome", "Position", "Ref", "Alt", "VariantType"],
