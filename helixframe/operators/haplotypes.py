@@ -140,8 +140,9 @@ def agreeing_alleles(alleles: DataFrame, haplotypes: DataFrame, by: list[str], g
     """
     letters = haplotypes.select(*by, "first", "haplotype", F.posexplode("loci").alias("i", "locus")).withColumn("wanted", F.expr("substring(haplotype, i + 1, 1)"))
     names = alleles.select("allele", gene).distinct()
-    runs = letters.join(names, gene)
-    met = runs.join(alleles.select("allele", gene, "locus", "letter"), ["allele", gene, "locus"], "left")
+    # Sorted and never broadcast, as the places that ``explode`` makes are not in the planner's size of the alleles.
+    runs = letters.join(names.hint("merge"), gene)
+    met = runs.join(alleles.select("allele", gene, "locus", "letter").hint("merge"), ["allele", gene, "locus"], "left")
     wrong = F.coalesce((F.col("letter") != F.col("wanted")) & (F.col("letter") != "*"), F.lit(True))
     each = met.groupBy(*by, "allele", "first", "haplotype").agg(F.count_if(wrong).alias("wrong"))
     lost = each.groupBy(*by, "allele", "first").agg(F.min("wrong").alias("wrong")).filter("wrong > 0").select(*by, "allele").distinct()

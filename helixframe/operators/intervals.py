@@ -33,13 +33,13 @@ def range_join(left: DataFrame, right: DataFrame, by: list[str], left_span: tupl
     """Pairs that agree in ``by`` and whose spans overlap, or come within ``slack``.
 
     how: inner, or left (unmatched left rows with nulls). Column names must differ but for ``by``; the larger side should be left, whose
-    spans are usually points.
+    spans are usually points. The join is sorted and never broadcast: the planner sizes a side by its columns and not by the rows that ``explode`` makes of it, here or in the caller.
     """
     a, b, c, d = F.col(left_span[0]), F.col(left_span[1]), F.col(right_span[0]) - slack, F.col(right_span[1]) + slack
     binned = left.withColumn("__bin", F.explode(F.sequence(_bin(a, bin_size), _bin(b, bin_size))))
     others = right.withColumn("__bin", F.explode(F.sequence(_bin(c, bin_size), _bin(d, bin_size))))
     first = F.greatest(_bin(a, bin_size), _bin(c, bin_size)) == F.col("__bin")
-    found = binned.join(others, [*by, "__bin"]).filter(overlaps(a, b, c, d) & first).drop("__bin")
+    found = binned.join(others.hint("merge"), [*by, "__bin"]).filter(overlaps(a, b, c, d) & first).drop("__bin")
     if how == "inner":
         return found
     extra = [x for x in right.columns if x not in by]
