@@ -14,10 +14,12 @@ Writing: every task writes one file with its index under a temporary name; the d
 
 from __future__ import annotations
 
+import functools
 import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..shipping import ship
+from .writers import files_for
 
 SCHEMA = "name string, flags int, chromosome string, position long, mapq int, cigar string, mate_chromosome string, mate_position long, insert_size long, bases string, qualities string, tags map<string,string>, end long"
 NAMES = [c.split(" ")[0] for c in SCHEMA.split(", ")]
@@ -240,6 +243,11 @@ def _cigars(codes: np.ndarray, count: np.ndarray) -> pa.Array:
 _TAG = {b"c": "<b", b"C": "<B", b"s": "<h", b"S": "<H", b"i": "<i", b"I": "<I", b"f": "<f"}
 
 
+@functools.lru_cache(4096)
+def _tags(raw: bytes) -> list[tuple[str, str]]:
+    return list(tags_of(raw).items())
+
+
 def tags_of(raw: bytes) -> dict[str, str]:
     """Values as the text format writes them; arrays with their kind first."""
     out, at = {}, 0
@@ -284,12 +292,13 @@ def decoded(data: bytes, starts: np.ndarray, contigs: list[str], wanted: Wanted)
     k = np.flatnonzero(keep)
     of = lambda x: x[k]
     cigars = _cigars(codes[np.repeat(keep, count)], of(count))
-    tags = [tags_of(data[a:b]) for a, b in zip(of(tail).tolist(), (of(starts) + of(sizes)).tolist())] if wanted.tags else [{}] * len(k)
+    tags = [_tags(data[a:b]) for a, b in zip(of(tail).tolist(), (of(starts) + of(sizes)).tolist())] if wanted.tags else [[]] * len(k)
     ends = of(end).copy()
-    if wanted.tags and (some := [i for i, t in enumerate(tags) if long[k[i]] and "CG" in t]):
+    if wanted.tags and (some := [i for i, t in enumerate(tags) if long[k[i]] and "CG" in dict(t)]):
         text = cigars.to_pylist()
         for i in some:
-            own = np.array([int(x) for x in tags[i].pop("CG").split(",")[1:]], np.int64)
+            own = np.array([int(x) for x in dict(tags[i])["CG"].split(",")[1:]], np.int64)
+            tags[i] = [x for x in tags[i] if x[0] != "CG"]
             text[i] = _cigars(own, np.array([len(own)])).to_pylist()[0]
             ends[i] = f["pos"][k[i]] + int((own >> 4)[np.isin(own & 15, [OPS.index(x) for x in ALONG])].sum())
         cigars = pa.array(text, pa.string())
@@ -303,7 +312,7 @@ def decoded(data: bytes, starts: np.ndarray, contigs: list[str], wanted: Wanted)
     none = n == 0
     unknown = ~none & (np.append(marks, np.uint8(0))[np.where(none, len(marks), begin)] == 255)
     star = lambda values, gone: _texts(np.append(values, np.uint8(42)), np.where(gone, len(values), begin), np.where(gone, 1, n))
-    mapping = pa.array([list(t.items()) for t in tags], pa.map_(pa.string(), pa.string()))
+    mapping = pa.array(tags, pa.map_(pa.string(), pa.string()))
     columns = [
         _texts(raw, of(starts) + 32, of(f["l_name"]) - 1), pa.array(of(f["flags"]).astype(np.int32)), pa.array(names[of(f["ref"])], pa.string()), pa.array(of(f["pos"]) + 1), pa.array(of(f["mapq"]).astype(np.int32)),
         cigars, pa.array(names[of(f["mate_ref"])], pa.string()), pa.array(of(f["mate_pos"]) + 1), pa.array(of(f["size"])), star(letters, none), star((marks.astype(np.int64) + 33).astype(np.uint8), none | unknown), mapping, pa.array(ends),
@@ -442,14 +451,12 @@ class Reader(DataSourceReader):
             chunks: list[tuple[int, int | None]] = [(head.first, size << 16)]
         else:
             chunks = joined([c for ref, (starts, ends) in regions.items() for a, b in zip(starts, ends) for c in index.chunks(ref, a, b)])
-        # Large chunks are cut at begins of records, about ``split`` bytes apart; small ones share a partition.
+        # Large chunks are cut at the last begins of records within ``split`` bytes, or the next ones behind; small chunks share a partition.
         pieces = []
         for a, b in chunks:
             inside = begins[(begins > a) & (begins < b)]
             while (b >> 16) - (a >> 16) > self.split and len(inside):
-                k = int(np.searchsorted(inside, a + (self.split << 16)))
-                if k >= len(inside):
-                    break
+                k = max(0, int(np.searchsorted(inside, a + (self.split << 16), "right")) - 1)
                 cut = int(inside[k])
                 pieces.append((a, cut))
                 a, inside = cut, inside[k + 1 :]
@@ -496,38 +503,76 @@ class Written(WriterCommitMessage):
 
 def encoded(row: dict, number: dict[str, int]) -> tuple[bytes, int, int, int]:
     """A record with its size, its contig's number, and its positions from 0, end excluded."""
-    cigar = [] if row["cigar"] in (None, "*") else _operations(row["cigar"])
+    ops, along = _operations(row["cigar"]) if row["cigar"] not in (None, "*") else ((), 0)
     pos = (row["position"] or 0) - 1
-    end = pos + max(1, sum(n for n, op in cigar if OPS[op] in ALONG))
+    end = pos + max(1, along)
     bases = "" if row["bases"] in (None, "*") else row["bases"]
-    codes = [BASES.find(c) if c in BASES else 15 for c in bases.upper()] + [0] * (len(bases) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
-    marks = b"\xff" * len(bases) if row["qualities"] in (None, "*") else bytes(ord(c) - 33 for c in row["qualities"])
-    tags = dict(row["tags"] or {})
-    ops = [n << 4 | op for n, op in cigar]
-    extra = b"".join(_tag(k, v) for k, v in sorted(tags.items()))
+    size = len(bases)
+    packed = bytes.fromhex(bases.translate(_HEX) + "0" * (size % 2))
+    marks = b"\xff" * size if row["qualities"] in (None, "*") else row["qualities"].encode("latin-1").translate(_LESS)
+    extra = b"".join([_tag(k, v) for k, v in sorted(row["tags"])]) if row["tags"] else b""
     if len(ops) > 65_535:
         extra += b"CGBI" + struct.pack(f"<i{len(ops)}I", len(ops), *ops)
-        ops = [len(bases) << 4 | OPS.index("S"), end - pos << 4 | OPS.index("N")]
+        ops = (size << 4 | OPS.index("S"), end - pos << 4 | OPS.index("N"))
     name = (row["name"] or "*").encode() + b"\0"
     ref, mate = number.get(row["chromosome"], -1), number.get(row["mate_chromosome"], -1)
-    own = int(bin_of(np.array([max(pos, 0)]), np.array([max(end, 1)]))[0])
-    body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), row["mapq"] or 0, own, len(ops), row["flags"] or 0, len(bases), mate, (row["mate_position"] or 0) - 1, row["insert_size"] or 0)
-    body += name + struct.pack(f"<{len(ops)}I", *ops) + packed + marks + extra
-    return struct.pack("<i", len(body)) + body, ref, pos, end
+    tail = b"".join([name, struct.pack(f"<{len(ops)}I", *ops), packed, marks, extra])
+    head = struct.pack("<iiiBBHHHiiii", 32 + len(tail), ref, pos, len(name), row["mapq"] or 0, _bin(max(pos, 0), max(end, 1)), len(ops), row["flags"] or 0, size, mate, (row["mate_position"] or 0) - 1, row["insert_size"] or 0)
+    return head + tail, ref, pos, end
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows as ``encoded`` takes them: whole columns become lists at once, a missing number is 0, tags are pairs."""
+    columns = []
+    for field_, column in zip(batch.schema, batch.columns):
+        if pa.types.is_map(field_.type):
+            pairs = list(zip(column.keys.to_numpy(zero_copy_only=False).tolist(), column.items.to_numpy(zero_copy_only=False).tolist()))
+            edges = column.offsets.to_numpy(zero_copy_only=False).tolist()
+            some = column.is_valid().to_numpy(zero_copy_only=False).tolist()
+            columns.append([pairs[a:b] if ok else [] for a, b, ok in zip(edges, edges[1:], some)])
+        else:
+            whole = column.fill_null(0) if pa.types.is_integer(field_.type) else column
+            columns.append(whole.to_numpy(zero_copy_only=False).tolist())
+    for values in zip(*columns):
+        yield dict(zip(batch.schema.names, values))
+
+
+class _Codes(dict):
+    """Letters to the hexadecimal digits of their codes; unknown ones are N."""
+
+    def __missing__(self, letter: int) -> str:
+        found = BASES.find(chr(letter).upper())
+        return self.setdefault(letter, f"{found if found >= 0 else 15:x}")
+
 
+_HEX, _LESS = _Codes(), bytes((i - 33) % 256 for i in range(256))
 
-def _operations(cigar: str) -> list[tuple[int, int]]:
-    out, n = [], 0
+
+def _bin(start: int, end: int) -> int:
+    """``bin_of`` for one record."""
+    first = 4681
+    for shift in (14, 17, 20, 23, 26):
+        if start >> shift == end - 1 >> shift:
+            return first + (start >> shift)
+        first = (first - 1) >> 3
+    return 0
+
+
+@functools.lru_cache(4096)
+def _operations(cigar: str) -> tuple[tuple[int, ...], int]:
+    """The codes of a cigar, and how many positions it covers."""
+    out, n, along = [], 0, 0
     for c in cigar:
         if c.isdigit():
             n = n * 10 + int(c)
         else:
-            out.append((n, OPS.index(c)))
+            out.append(n << 4 | OPS.index(c))
+            along += n if c in ALONG else 0
             n = 0
-    return out
+    return tuple(out), along
 
 
+@functools.lru_cache(4096)
 def _tag(name: str, value: str) -> bytes:
     """A whole number is written as such, all else as text."""
     if value.lstrip("-").isdigit() and -(1 << 31) <= int(value) < 1 << 31 and str(int(value)) == value:
@@ -553,7 +598,7 @@ class Writer(DataSourceArrowWriter):
         head = b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(self.contigs))
         head += b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in self.contigs)
         places: list[tuple[int, int]] = []  # of each block: where it begins inflated, and in the file
-        spans: list[tuple[int, int, int, int, int]] = []  # contig, start, end, where the record begins and ends, inflated
+        spans = array("q")  # of each record: contig, start, end, where it begins and ends, inflated
         sizes = {"file": 0, "inflated": 0}
         with store.open_output_stream(temporary, compression=None) as out:
 
@@ -568,9 +613,9 @@ class Writer(DataSourceArrowWriter):
                 put(head[k : k + BLOCK])
             held, at = bytearray(), sizes["inflated"]
             for batch in iterator:
-                for row in batch.to_pylist():
+                for row in _rows(batch):
                     record, ref, start, end = encoded(row, number)
-                    spans.append((ref, start, end, at, at + len(record)))
+                    spans.extend((ref, start, end, at, at + len(record)))
                     at += len(record)
                     held += record
                     while len(held) >= BLOCK:
@@ -609,7 +654,7 @@ class Writer(DataSourceArrowWriter):
             store.delete_dir(f"{place}/_temporary-{self.run}")
 
 
-def made_index(spans: list[tuple[int, int, int, int, int]], places: list[tuple[int, int]], contigs: int) -> bytes | None:
+def made_index(spans: array | list[tuple[int, int, int, int, int]], places: list[tuple[int, int]], contigs: int) -> bytes | None:
     """The index of records in file order; none where they are not sorted by contig and position."""
     rows = np.array(spans, np.int64).reshape(-1, 5)
     ref = np.where(rows[:, 0] < 0, contigs, rows[:, 0])
@@ -679,11 +724,11 @@ def alignments(spark: SparkSession, path: str, regions: list[tuple[str, int, int
 
 
 def written(rows: DataFrame, path: str, contigs: list[tuple[str, int]], partitions: int = 32) -> None:
-    """Reads (as the readers give them) as files of binary alignments in the order of contigs and positions, each with an index; those of unknown contigs come last."""
+    """Reads (as the readers give them) as at least ``partitions`` files of binary alignments in the order of contigs and positions, each with an index; those of unknown contigs come last."""
     spark = rows.sparkSession
     ship(spark)
     spark.dataSource.register(BamSource)
     rank = F.coalesce(F.array_position(F.array(*[F.lit(n) for n, _ in contigs]), F.col("chromosome")), F.lit(0))
     keyed = rows.select(*[F.col(c) for c in NAMES]).withColumn("__rank", F.when(rank == 0, len(contigs) + 1).otherwise(rank))
-    ordered = keyed.repartitionByRange(partitions, "__rank", "position").sortWithinPartitions("__rank", "position").drop("__rank")
+    ordered = keyed.repartitionByRange(files_for(rows, partitions), "__rank", "position").sortWithinPartitions("__rank", "position").drop("__rank")
     ordered.write.format("bam").mode("append").option("contigs", json.dumps(contigs)).save(path)

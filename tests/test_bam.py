@@ -151,3 +151,48 @@ def test_overwrite_and_empty(spark, tmp_path, files):
     assert B.alignments(spark, path).count() == 5
     frame.limit(0).coalesce(1).write.format("bam").mode("overwrite").options(**options).save(path)
     assert B.alignments(spark, path).count() == 0 and B.alignments(spark, path, [("c1", 1, 10)]).count() == 0
+
+
+def test_files_grow_in_number_and_not_in_rows(spark, files, monkeypatch):
+    import glob
+
+    from helixframe.sources import readers, writers
+
+    rows, path = files
+    monkeypatch.setattr(writers, "FILE_ROWS", 2_000)
+    found = B.alignments(spark, path)
+    B.written(found, path + "-b", CONTIGS, 3)
+    writers.alignments(found, path + "-s", 3)
+    assert len(glob.glob(f"{path}-b/*.bam")) == len(glob.glob(f"{path}-s/part-*")) == 11
+    assert plain(B.alignments(spark, path + "-b").collect()) == plain(rows)
+    assert readers.alignments(spark, path + "-s").count() == len(rows)
+
+
+def test_encoded_fields_of_rare_rows():
+    """Lower-case and unknown bases, nulls, negative and huge tags, bins of all sizes, as many operations as fit no field."""
+    import pyarrow as pa
+
+    number = {"c1": 0}
+    kinds = pa.schema([("name", pa.string()), ("flags", pa.int32()), ("chromosome", pa.string()), ("position", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("mate_chromosome", pa.string()), ("mate_position", pa.int64()), ("insert_size", pa.int64()), ("bases", pa.string()), ("qualities", pa.string()), ("tags", pa.map_(pa.string(), pa.string())), ("end", pa.int64())])
+    values = [
+        ("a", 1, "c1", 5, 9, "3M", "*", 7, -4, "acx", "!~I", [("XA", "-7"), ("AB", "99999999999"), ("ZZ", "")], 7),
+        (None, None, None, None, None, None, None, None, None, None, None, None, None),
+        ("long", 0, "c1", 2, 0, "1M1D" * 40_000, "c1", 2, 0, "A" * 40_000, "*", [], None),
+    ]
+    batch = pa.RecordBatch.from_arrays([pa.array([v[i] for v in values], f.type) for i, f in enumerate(kinds)], schema=kinds)
+    for part in (batch, batch.slice(1), batch.slice(0, 1), batch.slice(2)):
+        for row, plain_row in zip(B._rows(part), part.to_pylist()):
+            assert row["tags"] == (plain_row["tags"] or [])
+    data, starts = b"", []
+    for row in B._rows(batch):
+        starts.append(len(data) + 4)
+        data += B.encoded(row, number)[0]
+    got = B.decoded(data, np.array(starts, np.int64), ["c1"], B.Wanted()).to_pylist()
+    assert (got[0]["bases"], got[0]["qualities"], dict(got[0]["tags"])) == ("ACN", "!~I", {"XA": "-7", "AB": "99999999999", "ZZ": ""})
+    assert (got[1]["name"], got[1]["chromosome"], got[1]["position"], got[1]["bases"], got[1]["tags"]) == ("*", "*", 0, "*", [])
+    assert (got[2]["cigar"], got[2]["end"], got[2]["tags"]) == ("1M1D" * 40_000, 80_001, [])
+    r = random.Random(2)
+    for _ in range(2000):
+        start = r.randrange(1 << 29)
+        end = min(1 << 29, start + 1 + r.randrange(1 << r.randrange(1, 29)))
+        assert B._bin(start, end) == B.bin_of(np.array([start]), np.array([end]))[0]
