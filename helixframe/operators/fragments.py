@@ -32,7 +32,8 @@ def unmapped(reads: DataFrame, regions: DataFrame, bin_size: int = 10_000) -> Da
 def merged_groups(groups: DataFrame, jitter: int = 10) -> DataFrame:
     """(id, merged) of duplicate groups (id, umi, five, three, mapped): those of one identifier with an equal end on one side and ends within ``jitter`` on the other, and, where the mate is unmapped and the identifier runs out into G, those of the same end whose identifiers agree before that run.
 
-    Groups meet by identifier and equal end, sorted by the other one, so links are as many as groups; unmapped ones meet at the identifier's part before the run.
+    Groups meet by identifier and equal end, sorted by the other one, so links are as many as groups; unmapped ones and those whose identifiers agree with theirs
+    are tied to the least unmapped one of their end and part before the run.
     """
     links = []
     for same, other in (("five", "three"), ("three", "five")):
@@ -41,9 +42,10 @@ def merged_groups(groups: DataFrame, jitter: int = 10) -> DataFrame:
         links.append(rows.filter(F.col("g") <= jitter).select(F.col("id").alias("a"), "b"))
     stem = F.regexp_replace("umi", "G+$", "")
     lost = groups.filter("NOT mapped").filter(F.col("umi").endswith("G")).select(F.col("id").alias("a"), "five", stem.alias("stem"), F.length("umi").alias("n"))
-    lengths = lost.select(F.length("stem").alias("k"), "n", "five").distinct()
+    hubs = lost.groupBy("five", "n", "stem").agg(F.min("a").alias("a")).withColumn("k", F.length("stem"))
+    lengths = hubs.select("five", "n", "k").distinct()
     whole = groups.select(F.col("id").alias("b"), "five", F.col("umi"), F.length("umi").alias("n")).join(lengths, ["five", "n"])
-    met = lost.join(whole.select("b", "five", "n", F.expr("substring(umi, 1, k)").alias("stem")), ["five", "n", "stem"]).filter("a != b").select("a", "b")
+    met = whole.select("b", "five", "n", F.expr("substring(umi, 1, k)").alias("stem")).join(hubs, ["five", "n", "stem"]).filter("a != b").select("a", "b")
     found = G.components(links[0].union(links[1]).union(met), "a", "b")
     return groups.select(F.col("id").cast("long").alias("id")).join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("merged"))
 
