@@ -10,8 +10,10 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
 
 
-def adjusted_copy_number(purity: Column, norm: Column, tumor_ratio: Column, normal_ratio: Column) -> Column:
-    return F.when(tumor_ratio == 0, 0.0).otherwise(2 * normal_ratio + 2 * (tumor_ratio - normal_ratio * norm) / purity / norm)
+def adjusted_copy_number(purity: Column, norm: Column, tumor_ratio: Column, normal_ratio: Column, none_at_zero: bool = True) -> Column:
+    """Copies from depth ratios; none_at_zero: a tumor ratio of 0 means no copies, whatever the normal's."""
+    copies = 2 * normal_ratio + 2 * (tumor_ratio - normal_ratio * norm) / purity / norm
+    return F.when(tumor_ratio == 0, 0.0).otherwise(copies) if none_at_zero else copies
 
 
 def adjusted_ploidy(purity: Column, frequency: Column, copy_number: Column, normal_copy_number: Column, normal_ploidy: Column) -> Column:
