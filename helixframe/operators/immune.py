@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..functions.sequences import hamming_within
+from ..shipping import ship
+from ..storage import discarded, stored
 
 
 def ranked_complexes(complexes: DataFrame, sample: str, score: str, coverage: str, name: str, spread: float = 0.01, cull: float = 0.25) -> DataFrame:
@@ -77,37 +82,145 @@ def called_haplotypes(events: DataFrame, known: dict[str, dict[str, dict[str, in
     return events.groupBy("sample", "gene").applyInPandas(run, f"sample {kind}, gene string, haplotype string, count long")
 
 
+#: Sizes of a bitmap of sequences, as powers of two; beyond the last, pieces that are there by chance alone cost rows and no result.
+FEWEST_BITS, MOST_BITS = 16, 28
+#: The reads from which a sequence is of class 1, 2 and 3; one is held by sequences of its own class or a higher one only.
+CLASSES = [2, 4, 16]
+_BASE, _MIX, _SECOND = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def _slots(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    for factor in (np.uint64(1), _SECOND):
+        yield (keys * factor) >> np.uint64(64 - bits)
+
+
+class _Texts:
+    """The UTF-8 bytes of a batch's sequences (s, own: a hash of the locus, n), with hashes of all their pieces at hand."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        text = batch["s"].to_pylist()
+        rows = [x.encode() for x in text]
+        self.data = np.frombuffer(b"".join(rows), np.uint8)
+        self.size = np.array([len(x) for x in rows], np.int64)
+        self.row = np.repeat(np.arange(len(rows)), self.size)
+        self.end = np.cumsum(self.size)
+        self.start = self.end - self.size
+        power = np.cumprod(np.full(len(self.data) + 1, _BASE, np.uint64))
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:-1])])
+        self.back = np.cumprod(np.full(len(self.data) + 1, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64))
+        # Where a character begins, or the texts end.
+        self.lead = np.append((self.data & 0xC0) != 0x80, True)
+        self.own = batch["own"].to_numpy().view(np.uint64)
+        self.rank = np.searchsorted(CLASSES, batch["n"].to_numpy(), "right")
+
+    def hashes(self, at: np.ndarray, size, row: np.ndarray) -> np.ndarray:
+        return _mixed((self.total[at + size] - self.total[at]) * self.back[at] ^ self.own[row])
+
+
+def _of_class(hashes: np.ndarray, rank) -> np.ndarray:
+    return _mixed(hashes + np.asarray(rank, np.uint64) * _SECOND)
+
+
+def sequence_bitmap(sequences: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, two of which are set for each of the sequences (s, own, n) and its class; the driver gets a row for each 64 bits at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _Texts(batch)
+            keys = _of_class(found.hashes(found.start, found.size, np.arange(len(found.size))), found.rank)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*_slots(keys, bits)]).view(np.int64))], ["slot"])
+
+    slots = sequences.select("s", "own", "n").mapInArrow(run, "slot long")
+    lanes = slots.groupBy(F.shiftright("slot", 6).alias("lane")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[lanes["lane"].to_numpy()] = lanes["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def held_pieces(sequences: DataFrame, bits: int) -> DataFrame:
+    """(l, s, to): the proper pieces s of each sequence (l, s, id, own, n) that may be sequences of no more reads, with its id; where a piece of another locus or none has the same hashes, there are more."""
+    known = sequences.sparkSession.sparkContext.broadcast(sequence_bitmap(sequences, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = known.value
+
+        def there(keys: np.ndarray) -> np.ndarray:
+            at = np.arange(len(keys))
+            for slot in _slots(keys, bits):
+                here = slot[at]
+                at = at[(table[here >> np.uint64(3)] >> (here & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+            return at
+
+        for batch in batches:
+            found = _Texts(batch)
+            at, left = np.arange(len(found.data)), found.end[found.row]
+            at = at[found.lead[:-1]]
+            for size in range(1, int(found.size.max(initial=0))):
+                at = at[at + size <= left[at]]
+                some = at[found.lead[at + size]]
+                row = found.row[some]
+                proper = found.size[row] > size
+                some, row = some[proper], row[proper]
+                hashes, rank = found.hashes(some, size, row), found.rank[row]
+                kept = []
+                for c in range(len(CLASSES) + 1):
+                    able = np.flatnonzero(rank >= c)
+                    kept.append(able[there(_of_class(hashes[able], c))])
+                kept = np.unique(np.concatenate(kept))
+                if len(kept):
+                    text = pa.Array.from_buffers(pa.string(), len(kept), [None, pa.py_buffer((np.arange(len(kept) + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(found.data[some[kept][:, None] + np.arange(size)]))])
+                    rows = pa.array(row[kept])
+                    yield pa.RecordBatch.from_arrays([batch["l"].take(rows), text, batch["id"].take(rows)], ["l", "s", "to"])
+
+    return sequences.mapInArrow(run, f"l {sequences.schema['l'].dataType.simpleString()}, s string, to long")
+
+
 def collapsed_sequences(reads: DataFrame, locus: str, sequence: str, rounds: int = 1000) -> DataFrame:
     """(locus, sequence, support): each sequence, in the order of more reads, greater length and text, adds to the first kept one that holds it or equals it but for one substitution; without any it is kept.
 
-    Sequences meet by their pieces and by what is left of them without one letter, so no task compares all of a locus. Which are kept is settled by
-    rounds of joins over those pairs: a sequence without an earlier undecided or kept partner is kept, and the partners after it are not.
+    Sequences are numbered in that order. They meet by those of their pieces that a bitmap of all sequences knows, and by hashes of what is left of them without one letter; both are then compared as texts. Which are kept is settled by
+    rounds of joins over those pairs of numbers: a sequence without an earlier undecided or kept partner is kept, and the partners after it are not.
     """
-    text = F.col("s")
+    spark, text = reads.sparkSession, F.col("s")
+    ship(spark)
     counted = stored(reads.groupBy(F.struct(F.col(locus).alias("own")).alias("l"), F.col(sequence).alias("s")).agg(F.count("*").alias("n")).filter("s IS NOT NULL"), "sequences")
-    place = F.struct((-F.col("n")).alias("n"), (-F.length("s")).alias("z"), "s").alias("at")
-    every = counted.select("l", "s", place)
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length(text) - i + 1), lambda n: F.substring(text, i, n))))
-    holds = every.select("l", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), pieces))).alias("p"), F.col("at").alias("to")).join(every.select("l", F.col("s").alias("p"), "at"), ["l", "p"]).select("l", "at", "to")
-    gaps = every.select("l", "at", F.posexplode(F.transform(starts, lambda i: F.struct(F.substring(text, F.lit(1), i - 1).alias("a"), F.substring(text, i + 1, F.length(text)).alias("b")))).alias("i", "g"))
-    alike = gaps.join(gaps.withColumnRenamed("at", "to"), ["l", "i", "g"]).select("l", "at", "to")
-    pairs = stored(holds.union(alike).filter("to < at").distinct(), "pairs")
-    kept, edges, open_ = None, pairs, every.select("l", "at")
+    order = [F.desc("n"), F.desc(F.length("s")), F.asc("s"), F.asc("l")]
+    dealt = counted.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    every = stored(dealt.select(F.monotonically_increasing_id().alias("id"), "l", "s", "n"), "ranked")
+    discarded(counted)
+    bits = min(MOST_BITS, max(FEWEST_BITS, (16 * every.count()).bit_length()))
+    holds = held_pieces(every.withColumn("own", F.xxhash64("l")), bits).join(every.select("l", "s", "id"), ["l", "s"]).filter("to < id").select("id", "to")
+    # Every sequence holds the empty one, and the first of a locus is always kept.
+    empty = every.filter("s = ''").select("l", "id").join(every.groupBy("l").agg(F.min("id").alias("to")), "l").filter("to < id").select("id", "to")
+    gaps = every.select("id", F.explode(F.transform(F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64("l", i, F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))).alias("h"))
+    near = gaps.join(gaps.withColumnRenamed("id", "to"), "h").filter("to < id").select("id", "to").distinct()
+    own, other = every.select("id", "l", "s"), every.select(F.col("id").alias("to"), F.col("l").alias("m"), F.col("s").alias("t"))
+    alike = near.join(own, "id").join(other, "to").filter((F.col("l") == F.col("m")) & hamming_within(F.col("s"), F.col("t"), 1)).select("id", "to")
+    pairs = stored(holds.union(empty).union(alike).distinct(), "pairs")
+    kept, edges, open_ = None, pairs, every.select("id")
     for _ in range(rounds):
-        first = stored(open_.join(edges, ["l", "at"], "left_anti"), "kept")
+        first = stored(open_.join(edges, "id", "left_anti"), "kept")
         kept = first if kept is None else kept.union(first)
         if edges.isEmpty():
             break
-        gone = stored(edges.join(first.withColumnRenamed("at", "to"), ["l", "to"], "left_semi").select("l", "at").distinct(), "gone")
-        open_ = stored(open_.join(first, ["l", "at"], "left_anti").join(gone, ["l", "at"], "left_anti"), "open")
-        edges = stored(edges.join(gone, ["l", "at"], "left_anti").join(gone.withColumnRenamed("at", "to"), ["l", "to"], "left_anti").select("l", "at", "to"), "pairs")
+        gone = stored(edges.join(first.withColumnRenamed("id", "to"), "to", "left_semi").select("id").distinct(), "gone")
+        before = open_, edges
+        open_ = stored(open_.join(first, "id", "left_anti").join(gone, "id", "left_anti"), "open")
+        edges = stored(edges.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "to"), "to", "left_anti").select("id", "to"), "edges")
+        discarded(gone)
+        discarded(before[0])
+        if before[1] is not pairs:
+            discarded(before[1])
     else:
         raise RuntimeError(f"sequences did not settle in {rounds} rounds")
-    own = kept.select("l", "at", F.col("at").alias("to"))
-    joined = pairs.join(kept.withColumnRenamed("at", "to"), ["l", "to"]).join(kept, ["l", "at"], "left_anti").groupBy("l", "at").agg(F.min("to").alias("to"))
-    out = own.unionByName(joined).groupBy("l", "to").agg(F.sum(-F.col("at.n")).alias("support"))
-    return out.select(F.col("l.own").alias(locus), F.col("to.s").alias(sequence), "support")
+    joined = pairs.join(kept.withColumnRenamed("id", "to"), "to").join(kept, "id", "left_anti").groupBy("id").agg(F.min("to").alias("to"))
+    support = kept.select("id", F.col("id").alias("to")).unionByName(joined).join(every.select("id", "n"), "id").groupBy("to").agg(F.sum("n").alias("support"))
+    return every.join(support, F.col("id") == F.col("to")).select(F.col("l.own").alias(locus), F.col("s").alias(sequence), "support")
 
 
 def peptides(proteins: DataFrame, ident: str, protein: str, lengths: list[int]) -> DataFrame:
