@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,14 +71,22 @@ def haplotypes(observed: dict[str, int | None], known: dict[str, dict[str, int]]
 def called_haplotypes(events: DataFrame, known: dict[str, dict[str, dict[str, int]]], default: dict[str, str]) -> DataFrame:
     """(sample, gene, haplotype, count) from events (sample, gene, event, count) for each gene of a panel; a gene without a call has one row, Unresolved."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        gene = rows["gene"].iloc[0]
-        seen = {e: (None if pd.isna(n) else int(n)) for e, n in zip(rows["event"], rows["count"])}
-        got = haplotypes(seen, known.get(gene, {}), default.get(gene, "*1")) or {"Unresolved": 0}
-        return pd.DataFrame({"sample": rows["sample"].iloc[0], "gene": gene, "haplotype": list(got), "count": list(got.values())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, names, counts = [], [], []
+            for i, (gene, own) in enumerate(zip(batch["gene"].to_pylist(), batch["__own"].to_pylist())):
+                seen = {x["event"]: (None if x["count"] is None or x["count"] != x["count"] else int(x["count"])) for x in own}
+                got = haplotypes(seen, known.get(gene, {}), default.get(gene, "*1")) or {"Unresolved": 0}
+                row += [i] * len(got)
+                names += got.keys()
+                counts += got.values()
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["sample"].take(at), batch["gene"].take(at), pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["sample", "gene", "haplotype", "count"])
 
     kind = events.schema["sample"].dataType.simpleString()
-    return events.groupBy("sample", "gene").applyInPandas(run, f"sample {kind}, gene string, haplotype string, count long")
+    ship(events.sparkSession)
+    # A row for each gene of a sample, many to a batch: a panel's events are few.
+    return events.groupBy("sample", "gene").agg(F.collect_list(F.struct("event", "count")).alias("__own")).mapInArrow(run, f"sample {kind}, gene string, haplotype string, count long")
 
 
 #: Sizes of a bitmap of sequences, as powers of two; beyond the last, pieces that are there by chance alone cost rows and no result.
