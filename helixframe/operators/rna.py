@@ -13,15 +13,16 @@ FUSION_TIERS = {"KNOWN": (2, 0.0, 0, None), "SPLICE_SPLICE": (2, 0.002, 20, 2),
 
 def fusion_tier(known_pair: Column, up: Column, down: Column) -> Column:
     """The tier from the junction types (KNOWN, CANONICAL or UNKNOWN) of both ends."""
-    both = F.array_sort(F.array(up, down))
-    pair = F.concat_ws("-", both)
-    return F.when(known_pair, "KNOWN").when(pair == "KNOWN-KNOWN", "SPLICE_SPLICE").when(pair == "CANONICAL-KNOWN", "SPLICE_CANONICAL").when(pair == "CANONICAL-CANONICAL", "CANONICAL").otherwise("OTHER")
+    are = lambda a, b: ((up == a) & (down == b)) | ((up == b) & (down == a))
+    return F.when(known_pair, "KNOWN").when(are("KNOWN", "KNOWN"), "SPLICE_SPLICE").when(are("CANONICAL", "KNOWN"), "SPLICE_CANONICAL").when(are("CANONICAL", "CANONICAL"), "CANONICAL").otherwise("OTHER")
 
 
 def fusion_filters(fusions: DataFrame) -> DataFrame:
     """The fusions (known_pair, known_gene, up_type, down_type, fragments, af_up, af_down, anchor_up, anchor_down, cohort) with tier and ``filters``: all limits that they miss, joined by ``;``, or PASS."""
     c = F.col
-    tier = fusion_tier(c("known_pair"), c("up_type"), c("down_type"))
+    # The tier and the tests that failed are columns of their own: written into each place that uses them, they would be evaluated dozens of times for a row.
+    rows = fusions.withColumn("tier", fusion_tier(c("known_pair"), c("up_type"), c("down_type")))
+    tier = c("tier")
     limit = lambda i: F.coalesce(*[F.when(tier == k, F.lit(v[i])) for k, v in FUSION_TIERS.items() if v[i] is not None])
     at_site = c("up_type").isin("KNOWN", "CANONICAL") & c("down_type").isin("KNOWN", "CANONICAL") & ((c("up_type") == "KNOWN") | (c("down_type") == "KNOWN"))
     fragments = F.when((tier == "KNOWN") & ~at_site, 4).otherwise(limit(0))
@@ -29,8 +30,8 @@ def fusion_filters(fusions: DataFrame) -> DataFrame:
     tests = {
         "min_fragment_support": c("fragments") < fragments, "min_af": F.least("af_up", "af_down") < limit(1), "min_anchor": F.least("anchor_up", "anchor_down") < limit(2), "max_cohort_frequency": F.coalesce(c("cohort") > cohort, F.lit(False)),
     }
-    found = F.array_compact(F.array(*[F.when(t, n) for n, t in tests.items()]))
-    return fusions.withColumns({"tier": tier, "filters": F.when(F.size(found) == 0, "PASS").otherwise(F.array_join(found, ";"))})
+    found = rows.withColumn("filters", F.concat_ws(";", *[F.when(t, n) for n, t in tests.items()]))
+    return found.withColumn("filters", F.when(c("filters") == "", "PASS").otherwise(c("filters")))
 
 
 def fusion_support(fragments: DataFrame, junction: list[str]) -> DataFrame:
