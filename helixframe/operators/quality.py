@@ -97,13 +97,25 @@ def confusion(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
     return s.withColumns({"recall": F.when(F.col("n") > 0, F.col("correct") / F.col("n")), "precision": F.when(F.col("predicted") > 0, F.col("correct") / F.col("predicted"))})
 
 
+#: Pairs of a task, so that a task's memory doesn't grow with the hierarchy.
+TASK_ROWS = 500_000
+
+
 def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
-    """(term, ancestor): all ancestors of every term of a hierarchy; each round doubles the covered distance and is written to the shared folder."""
-    known = stored(edges.select(F.col(child).alias("term"), F.col(parent).alias("ancestor")).distinct(), "ancestors")
+    """(term, ancestor): all ancestors of every term of a hierarchy, of cycles too; the covered distance doubles with each round, which is written to the shared folder.
+
+    Distances below a power of two are known; the next ones are those followed by a step of exactly that power. So a pair comes once for each path between its terms and not once for each place where a path can be cut.
+    """
+    known = step = stored(edges.select(F.col(child).alias("term"), F.col(parent).alias("ancestor")).distinct(), "ancestors")
+    default = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = known.count()
     while True:
-        far = known.join(known.select(F.col("term").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor").select("term", F.col("next").alias("ancestor"))
-        known = stored(known.union(far).distinct(), "ancestors")
+        tasks = max(default, -(-2 * n // TASK_ROWS))
+        then = step.select(F.col("term").alias("__at"), F.col("ancestor").alias("__next")).repartition(tasks, "__at")
+        follow = lambda rows: rows.repartition(tasks, "ancestor").join(then.hint("merge"), F.col("ancestor") == F.col("__at")).select("term", F.col("__next").alias("ancestor"))  # noqa: B023, E731
+        further = stored(known.union(follow(known)).repartition(tasks, "term", "ancestor").distinct(), "ancestors")
+        step = stored(follow(step).repartition(tasks, "term", "ancestor").distinct(), "steps")
+        known = further
         if (m := known.count()) == n:
             return known
         n = m
