@@ -49,11 +49,11 @@ def range_join(left: DataFrame, right: DataFrame, by: list[str], left_span: tupl
     return found.select(*keys, *extra).unionByName(alone.select(*keys, *[F.lit(None).cast(right.schema[x].dataType).alias(x) for x in extra]))
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], bucket: int | None = None, tolerance: int | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], bucket: int | None = None, tolerance: int | None = None, tasks: int | None = None) -> DataFrame:
     """The rows of left with ``values`` of the last row of right at or before it; null where there is none, or none within ``tolerance``. Of rows of right at one position, that of the largest values, compared in their order, holds.
 
     With ``bucket`` (a width in units of the positions), one key's rows are dealt over many tasks: the last row of every bucket is carried on to the next ones
-    by a window over buckets, and only rows of one bucket are sorted together.
+    by a window over buckets, and only rows of one bucket are sorted together. tasks: how many sort them; without it, as many as the session has for a shuffle, whose memory then grows with the rows.
     """
     item = F.struct(F.col(right_on).alias("__at"), *values)
     empty = F.lit(None).cast(right.select(item.alias("x")).schema["x"].dataType)
@@ -62,12 +62,13 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     both = marked.unionByName(keyed, allowMissingColumns=True)
     keys = list(by)
     if bucket:
-        both = both.withColumn("__bucket", _bin(F.col("__pos"), bucket))
-        last = keyed.withColumn("__bucket", _bin(F.col("__pos"), bucket)).groupBy(*by, "__bucket").agg(F.max("__item").alias("__last"))
+        dealt = lambda rows, *keys: rows.repartition(tasks, *keys) if tasks else rows
+        both = dealt(both.withColumn("__bucket", _bin(F.col("__pos"), bucket)), *by, "__bucket")
+        last = dealt(keyed.withColumn("__bucket", _bin(F.col("__pos"), bucket)), *by, "__bucket").groupBy(*by, "__bucket").agg(F.max("__item").alias("__last"))
         spans = both.select(*by, "__bucket").distinct().join(last, [*by, "__bucket"], "left")
         before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-        carried = spans.withColumn("__carried", F.last("__last", ignorenulls=True).over(before)).drop("__last")
-        both = both.join(carried, [*by, "__bucket"])
+        carried = dealt(spans, *by).withColumn("__carried", F.last("__last", ignorenulls=True).over(before)).drop("__last")
+        both = both.join(dealt(carried, *by, "__bucket"), [*by, "__bucket"])
         keys.append("__bucket")
     else:
         both = both.withColumn("__carried", empty)

@@ -19,9 +19,11 @@ def spans(spark, sf_dir):
     return o.select("o_orderkey", F.col("o_custkey").alias("k"), days("o_orderdate").alias("a"), (days("o_orderdate") + F.col("o_orderkey") % 60).alias("b"))
 
 
-def points(spark, sf_dir):
+def points(spark, sf_dir, tasks=None):
+    """tasks: how many join items and orders; else as many as the session has."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("k"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", days("l_shipdate").alias("p")).join(o, "l_orderkey")
+    i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", days("l_shipdate").alias("p"))
+    return (i.repartition(tasks, "l_orderkey") if tasks else i).join(o.repartition(tasks, "l_orderkey") if tasks else o, "l_orderkey")
 
 
 @query(f"WITH {ORDERS}, {ITEMS} SELECT o_orderkey, count(*) AS n, min(l_orderkey) AS least, sum(p)::BIGINT AS total FROM i JOIN o ON i.k = o.k AND p BETWEEN a AND b GROUP BY 1")
@@ -53,8 +55,10 @@ SELECT l_orderkey, l_linenumber, round(s.price, 2) AS price FROM (SELECT *, p -
 
 @query(ASOF)
 def asof_copy_number(spark, sf_dir):
-    price = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k"), days("o_orderdate").alias("t")).agg(F.max("o_totalprice").alias("price"))
-    found = I.asof_join(points(spark, sf_dir).withColumn("q", F.col("p") - 40), price, ["k"], "q", "t", ["price"], bucket=512)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "lineitem").count() // 250_000))  # counted in the files' footers
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), days("o_orderdate").alias("t"), "o_totalprice")
+    price = o.repartition(tasks, "k").groupBy("k", "t").agg(F.max("o_totalprice").alias("price"))
+    found = I.asof_join(points(spark, sf_dir, tasks).withColumn("q", F.col("p") - 40), price, ["k"], "q", "t", ["price"], bucket=512, tasks=tasks)
     return found.select("l_orderkey", "l_linenumber", F.round("price", 2).alias("price"))
 
 
