@@ -37,8 +37,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, similar by 0.8 or more in words by five: that of the least id.
 
-    Candidates come from bands of least hashes and not from multi-index hashing: texts of that similarity differ in about ten of 64 fingerprint bits, and
-    balls of that radius hold too many keys to enumerate. Components and survivors are those of the SimHash operator.
+    Candidates come from multi-index hashing of SimHash fingerprints, and beyond its two bits from bands of least hashes too: texts of that similarity differ in about ten
+    of 64 bits, and balls of that radius hold too many keys to enumerate. All are verified on whole sets. Components and survivors are those of the SimHash operator.
     """
     return near_copies.deduplicated(docs).select(*docs.columns)
 

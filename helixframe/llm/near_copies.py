@@ -1,8 +1,8 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, links followed transitively.
 
-Two texts of similarity 0.8 differ in about ten of 64 SimHash bits, and balls of that radius hold too many keys to enumerate. Candidates
-come from MinHash instead: 20 bands of 4 least hashes each, of which a pair at 0.8 shares one but for 3 in 100,000 cases. Every candidate's
-similarity is verified on the whole sets.
+Candidates come from the multi-index hashing of ``simhash``: sets whose fingerprints it links, directly or over others, are a band. Two texts of similarity 0.8 differ in about ten of 64 bits, and
+balls of that radius hold too many keys to enumerate; for what lies beyond two bits there are 20 bands more, of 4 least hashes each, of which a pair at 0.8 shares one but for 3 in 100,000 cases.
+Every candidate's similarity is verified on the whole sets.
 
 Texts of the same set are one node. A band of up to ``HOT`` nodes gives all its pairs. In a larger one (near copies of one text), where pairs
 would grow with the square, each member meets two hubs first, of which one is the band's most central member. What these verified links leave in several components is then searched
@@ -65,8 +65,19 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """The SimHash fingerprint of each of the sets, which are not empty: a bit is set if more than half of the hashes set it."""
+    out = np.zeros(len(sets), np.int64)
+    for i, own in enumerate(sets):
+        ones = np.zeros(64, np.int64)
+        for z in range(0, len(own), 1 << 18):  # a long text in pieces
+            ones += np.unpackbits(own[z : z + (1 << 18)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[i] = np.packbits(ones * 2 > len(own), bitorder="little").view(np.int64)[0]
+    return out
+
+
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, n, bands): fp stands for the set of shingles, n is its size; bands is empty without words."""
+    """(id, fp, n, sim, bands): fp stands for the set of shingles, n is its size, sim its SimHash fingerprint, zero without words; bands is empty without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,12 +85,14 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sizes = np.array([len(s) for s in sets], np.int64)
             some = np.flatnonzero(sizes)
             found = np.concatenate([bands([sets[i] for i in some[c : c + 64]]) for c in range(0, len(some), 64)]) if len(some) else np.zeros((0, BANDS), np.int64)
+            sims = np.zeros(len(sets), np.int64)
+            sims[some] = fingerprints([sets[i] for i in some])
             offsets = np.concatenate([[0], np.cumsum(sizes > 0) * BANDS]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([key(s) for s in sets], pa.int64()), pa.array(sizes), lists], ["id", "fp", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([key(s) for s in sets], pa.int64()), pa.array(sizes), pa.array(sims), lists], ["id", "fp", "n", "sim", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long, n long, bands array<long>")
+    return in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long, n long, sim long, bands array<long>")
 
 
 def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,6 +112,12 @@ def _alike(n: Column, m: Column) -> Column:
     return F.least(n, m) * SHARE[1] >= F.greatest(n, m) * SHARE[0]
 
 
+def hashed(distinct: DataFrame) -> DataFrame:
+    """(fp, n, band) of sets (fp, n, sim): a band holds the sets that multi-index hashing of their fingerprints ties together, at two bits or fewer from one to the next."""
+    roots = simhash.components(simhash.links(distinct.select(F.col("sim").alias("fp")).distinct()))
+    return distinct.join(roots, F.col("sim") == F.col("node"), "left").select("fp", "n", F.xxhash64(F.lit("simhash"), F.coalesce("root", "sim")).alias("band"))
+
+
 def candidates(members: DataFrame, sizes: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(a, b), a < b, distinct: members (band, fp, n) of bands up to ``hot`` that share one; and the members of larger bands."""
     few = members.join(sizes.filter(F.col("m") <= hot).select("band"), "band", "left_semi")
@@ -205,8 +224,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     two texts of equal similarity is verified first.
     """
     marked = stored(sketched(docs, id_col, text_col), "sketches")
-    distinct = stored(marked.groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct")
-    members = distinct.filter("n > 0").select("fp", "n", F.explode("bands").alias("band"))
+    distinct = stored(marked.groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("bands").alias("bands")), "distinct")
+    worded = distinct.filter("n > 0")
+    members = stored(worded.select("fp", "n", F.explode("bands").alias("band")).union(hashed(worded.select("fp", "n", "sim"))), "members")
     sizes = stored(members.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1"), "bands")
     wanted = stored(distinct.join(members.join(sizes, "band", "left_semi").select("fp").distinct(), "fp", "left_semi").select("fp", "least"), "wanted")
     # One text of each node: that of its least id, or any without an id.
