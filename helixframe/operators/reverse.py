@@ -24,29 +24,48 @@ def coding_exons(transcripts: DataFrame, exons: DataFrame) -> DataFrame:
     return part.withColumn("c_from", upto - size).withColumn("c_to", upto - 1)
 
 
-def parsed(text: Column) -> Column:
-    """A struct (kind, first, last, ref, alt) of a protein change like ``p.V600E``, ``p.Val600Glu``, ``p.K4=``, ``p.K4_L6del`` or ``p.K4dup``; kind is sub, del or dup, and null for others. ref is the first residue."""
-    short = text
+def _short(text: Column) -> Column:
     for name, letter in RESIDUES.items():
-        short = F.replace(short, F.lit(name), F.lit(letter))
-    sub = "^p\\.([A-Z*])([0-9]+)([A-Z*=])$"
-    block = "^p\\.([A-Z*])([0-9]+)(?:_[A-Z*]([0-9]+))?(del|dup)$"
-    number = lambda pattern, k: F.regexp_extract(short, pattern, k).try_cast("int")
-    is_sub, is_block = short.rlike(sub), short.rlike(block)
-    ref = F.when(is_sub, F.regexp_extract(short, sub, 1)).otherwise(F.regexp_extract(short, block, 1))
-    alt = F.regexp_extract(short, sub, 3)
+        text = F.replace(text, F.lit(name), F.lit(letter))
+    return text
+
+
+def _parts(short: Column) -> Column:
+    """The raw parts of a change, each empty where it has none."""
+    pattern = "^p\\.([A-Z*])([0-9]+)(?:([A-Z*=])|(?:_[A-Z*]([0-9]+))?(del|dup))$"
+    return F.struct(*[F.regexp_extract(short, pattern, i).alias(n) for i, n in enumerate(("ref", "first", "alt", "last", "block"), 1)])
+
+
+def _named(parts: Column) -> Column:
+    number = lambda n: F.when(parts[n] != "", parts[n].try_cast("int"))  # noqa: E731  # a cast of an empty text raises an error inside, which takes longer than all the rest
+    is_sub, is_block = parts["alt"] != "", parts["block"] != ""
     return F.struct(
-        F.when(is_sub, "sub").when(is_block, F.regexp_extract(short, block, 4)).alias("kind"), F.when(is_sub, number(sub, 2)).when(is_block, number(block, 2)).alias("first"),
-        F.when(is_sub, number(sub, 2)).when(is_block, F.coalesce(number(block, 3), number(block, 2))).alias("last"), ref.alias("ref"), F.when(is_sub, F.when(alt == "=", ref).otherwise(alt)).alias("alt"),
+        F.when(is_sub, "sub").when(is_block, parts["block"]).alias("kind"), number("first").alias("first"), F.coalesce(number("last"), number("first")).alias("last"),
+        parts["ref"].alias("ref"), F.when(is_sub, F.when(parts["alt"] == "=", parts["ref"]).otherwise(parts["alt"])).alias("alt"),
     )
 
 
+def parsed(text: Column) -> Column:
+    """A struct (kind, first, last, ref, alt) of a protein change like ``p.V600E``, ``p.Val600Glu``, ``p.K4=``, ``p.K4_L6del`` or ``p.K4dup``; kind is sub, del or dup, and null for others. ref is the first residue."""
+    return _named(_parts(_short(text)))
+
+
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """The rows with a column that is evaluated once for each: filters on it aren't moved through a generator, which would write it into every place that reads it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _residue(codon: Column) -> Column:
+    """The residue of one codon; X for other letters, and null where bases are missing."""
+    return F.when(F.length(codon) == 3, F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CODONS.items() for x in kv]), codon), F.lit("X")))
+
+
 def _substitutions(rows: DataFrame) -> DataFrame:
     """Of a codon, the bases to change for each other codon of the wanted residue: from the first to the last that differs."""
-    table = F.array(*[F.struct(F.lit(c).alias("codon"), F.lit(a).alias("residue")) for c, a in sorted(CODONS.items())])
-    own = F.substring("bases", (F.col("first") - 1) * 3 + 1, F.lit(3))
-    each = rows.filter("kind = 'sub'").withColumn("own", own).filter((F.length("own") == 3) & (translated(F.col("own")) == F.col("ref")))
-    each = each.withColumn("x", F.explode(F.filter(table, lambda x: x["residue"] == F.col("alt")))).withColumn("to", F.col("x.codon")).filter("to != own")
+    of = {a: F.array(*[F.lit(c) for c, x in sorted(CODONS.items()) if x == a]) for a in sorted(set(CODONS.values()))}
+    codons = F.try_element_at(F.create_map(*[x for a, own in of.items() for x in (F.lit(a), own)]), F.col("alt"))
+    each = _once(rows.filter("kind = 'sub'"), "own", F.substring("bases", (F.col("first") - 1) * 3 + 1, F.lit(3)))
+    each = each.filter((F.length("own") == 3) & (_residue(F.col("own")) == F.col("ref"))).withColumn("to", F.explode(codons)).filter("to != own")
     same = [F.substring("to", i, 1) == F.substring("own", i, 1) for i in (1, 2, 3)]
     lo = F.when(~same[0], 0).when(~same[1], 1).otherwise(2)
     hi = F.when(~same[2], 2).when(~same[1], 1).otherwise(0)
@@ -57,15 +76,13 @@ def _substitutions(rows: DataFrame) -> DataFrame:
 
 def _deletions(rows: DataFrame) -> DataFrame:
     """Bases of whole codons' number whose loss takes out the residues: begun at the first one's codon, or up to two bases beside it where the residues around stay what they are."""
-    each = rows.filter("kind = 'del'").withColumn("size", 3 * (F.col("last") - F.col("first") + 1)).withColumn("d", F.explode(F.array(*[F.lit(d) for d in (-2, -1, 0, 1, 2)])))
     lead = F.when(F.col("first") > 1, 3).otherwise(0)
-    near = F.substring("bases", (F.col("first") - 1) * 3 + 1 - lead, lead + F.col("size") + 3)
-    at = lead + F.col("d")
-    each = each.withColumn("near", near).withColumn("at", at).withColumn("lead", lead).filter("at >= 0 AND length(near) >= at + size")
-    left = F.concat(F.substring("near", F.lit(1), F.col("at")), F.substring("near", F.col("at") + F.col("size") + 1, F.length("near")))
-    wanted = F.concat(F.substring("near", F.lit(1), F.col("lead")), F.substring("near", F.col("lead") + F.col("size") + 1, F.length("near")))
-    named = translated(F.substring("near", F.col("lead") + 1, F.lit(3))) == F.col("ref")
-    each = each.filter(named & (translated(left) == translated(wanted)))
+    each = rows.filter("kind = 'del'").withColumn("size", 3 * (F.col("last") - F.col("first") + 1)).withColumn("lead", lead)
+    each = _once(each, "near", F.substring("bases", (F.col("first") - 1) * 3 + 1 - F.col("lead"), F.col("lead") + F.col("size") + 3))
+    without = lambda at: F.concat(F.substring("near", F.lit(1), at), F.substring("near", at + F.col("size") + 1, F.length("near")))
+    each = each.filter(_residue(F.substring("near", F.col("lead") + 1, F.lit(3))) == F.col("ref"))
+    each = _once(each, "wanted", translated(without(F.col("lead")))).withColumn("d", F.explode(F.array(*[F.lit(d) for d in (-2, -1, 0, 1, 2)])))
+    each = each.withColumn("at", F.col("lead") + F.col("d")).filter("at >= 0 AND length(near) >= at + size").filter(translated(without(F.col("at"))) == F.col("wanted"))
     c = (F.col("first") - 1) * 3 + F.col("d")
     return each.select("id", "transcript", c.alias("c"), F.substring("near", F.col("at") + 1, F.col("size")).alias("old"), F.lit("").alias("new"))
 
@@ -74,7 +91,7 @@ def _duplications(rows: DataFrame) -> DataFrame:
     """The bases of the residues once more, behind them."""
     size = 3 * (F.col("last") - F.col("first") + 1)
     more = F.substring("bases", (F.col("first") - 1) * 3 + 1, size)
-    each = rows.filter("kind = 'dup'").withColumn("more", more).filter((F.length("more") == size) & (translated(F.substring("more", 1, 3)) == F.col("ref")))
+    each = _once(rows.filter("kind = 'dup'"), "more", more).filter((F.length("more") == size) & (_residue(F.substring("more", 1, 3)) == F.col("ref")))
     return each.select("id", "transcript", (3 * F.col("last")).alias("c"), F.lit("").alias("old"), F.col("more").alias("new"))
 
 
@@ -85,8 +102,8 @@ def variants_behind(changes: DataFrame, transcripts: DataFrame, exons: DataFrame
     same residues; duplications the one insertion behind. Blocks over the end of an exon have no variant of one piece and are left out, like changes whose residue isn't the transcript's, of other kinds, and of transcripts without
     coding bases. Equal rows give equal rows.
     """
-    p = parsed(F.col("protein"))
-    rows = changes.select("id", "transcript", p.alias("p")).select("id", "transcript", "p.*").filter("kind IS NOT NULL AND first > 0 AND last >= first").join(coding.select("transcript", "bases"), "transcript")
+    read = _once(_once(changes.select("id", "transcript", "protein"), "short", _short(F.col("protein"))), "parts", _parts(F.col("short")))
+    rows = read.select("id", "transcript", _named(F.col("parts")).alias("p")).select("id", "transcript", "p.*").filter("kind IS NOT NULL AND first > 0 AND last >= first").join(coding.select("transcript", "bases"), "transcript")
     found = _substitutions(rows).union(_deletions(rows)).union(_duplications(rows))
     c, size = F.col("c"), F.length("old")
     last = F.when(size > 0, c + size - 1).otherwise(c - 1)  # of an insertion, the base before it
