@@ -9,8 +9,11 @@ Clusters are groups of one sample's variants that were built to be resolved toge
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +21,11 @@ from pyspark.sql import functions as F
 
 #: Weights of the rules, whose sum decides.
 RULES = {"ASSEMBLY": 0, "ONLY": 8, "FOLDBACK_SPLIT": 7, "COMP_DUP_SPLIT": 7, "FOLDBACK": 6, "JCN_MATCH": 5, "JCN_OVERLAP": 4, "ADJACENT": 3, "JCN_MAX": 2, "NEAREST": 1}
+#: What a rule adds to an option's weight, and the rule of each weight's highest bit among those of single links.
+WEIGHTS = {name: 2**k for name, k in RULES.items()}
+_HIGHEST = {k + 1: name for name, k in RULES.items() if name not in ("FOLDBACK_SPLIT", "COMP_DUP_SPLIT")} | {0: "NEAREST"}
+#: The largest weight of an option of two links; they aren't looked for where a single one has more.
+TWO_LINKS = WEIGHTS["FOLDBACK_SPLIT"] + WEIGHTS["JCN_MATCH"]
 #: The least length of a segment between two breakends that isn't assembled; copy numbers are equal within the larger of these.
 LEAST_LENGTH = 30
 ABSOLUTE, RELATIVE = 0.5, 0.15
@@ -25,8 +33,7 @@ ABSOLUTE, RELATIVE = 0.5, 0.15
 RING_ONE, RING_ALL, RING_TIMES, RING_SHARE, RING_LENGTH = 8.0, 5.0, 2.0, 0.25, 1500
 
 
-@dataclass(frozen=True)
-class End:
+class End(NamedTuple):
     variant: int
     side: int
     chromosome: str
@@ -58,7 +65,8 @@ def faces(a: End, b: End, least: int = LEAST_LENGTH) -> bool:
 
 
 def equal(a: float, b: float, spread: float = 0.0) -> bool:
-    return abs(a - b) <= max(ABSOLUTE, RELATIVE * max(a, b), spread)
+    gap = abs(a - b)
+    return gap <= ABSOLUTE or gap <= RELATIVE * (a if a > b else b) or gap <= spread
 
 
 class Cluster:
@@ -127,7 +135,15 @@ class Cluster:
     # Choosing.
 
     def free(self) -> list[tuple[Chain, bool, End]]:
-        return [(c, last, e) for c in self.chains for last in (False, True) if (e := self.open(c, last)) is not None]
+        out = []
+        for c in self.chains:
+            if not c.closed:
+                (v, entered), (w, at) = c.steps[0], c.steps[-1]
+                if (e := self.ends[v].get(entered)) is not None:
+                    out.append((c, False, e))
+                if (e := self.ends[w].get(1 - at)) is not None:
+                    out.append((c, True, e))
+        return out
 
     def assemble(self, links: list[tuple[tuple[int, int], tuple[int, int]]]) -> None:
         """Links that were read from assemblies come first, the shortest of them before others; a breakend that is tied to both ends of a foldback is tied to them at once."""
@@ -160,32 +176,68 @@ class Cluster:
     def step(self) -> bool:
         """The best link, or pair of links, if there is any."""
         free = self.free()
-        pairs = [(x, y) for i, x in enumerate(free) for y in free[i + 1 :] if x[0] is not y[0] and faces(x[2], y[2])]
+        pairs = []
+        for i, x in enumerate(free):
+            chain, _, (_, _, chromosome, position, orientation) = x
+            for y in free[i + 1 :]:
+                e = y[2]
+                # As faces has it.
+                if e.orientation * orientation == -1 and (e.position - position) * e.orientation >= LEAST_LENGTH and e.chromosome == chromosome and y[0] is not chain:
+                    pairs.append((x, y))
         if not pairs:
             return False
-        partners: dict[End, set[End]] = {}
-        for x, y in pairs:
-            partners.setdefault(x[2], set()).add(y[2])
-            partners.setdefault(y[2], set()).add(x[2])
-        most = max(max(x[0].copies, y[0].copies) for x, y in pairs)
-        spots = sorted({(e.chromosome, e.position) for _, _, e in free})
-        options = []
+        partners: dict[tuple[int, int], set[tuple[int, int]]] = {}
+        spots: dict[str, list[int]] = {}
+        most = float("-inf")
+        for (x, _, a), (y, _, b) in pairs:
+            partners.setdefault(a[:2], set()).add(b[:2])
+            partners.setdefault(b[:2], set()).add(a[:2])
+            most = max(most, x.copies, y.copies)
+        for _, _, e in free:
+            spots.setdefault(e.chromosome, []).append(e.position)
+        for own in spots.values():
+            own.sort()
+        best = None
+
+        def offered(weight: int, length: int, choice: tuple, rule: str | None, a: End, b: End) -> None:
+            """Keep the option of the largest weight, then the least length, then the least ids; the first of equal ones."""
+            nonlocal best
+            if best is None or weight > best[0] or (weight == best[0] and (length < best[1] or (length == best[1] and sorted((a[:2], b[:2])) < sorted(best[4])))):
+                best = (weight, length, choice, rule, (a[:2], b[:2]))
+
         for x, y in pairs:
             a, b = x[2], y[2]
-            rules = []
-            if len(partners[a]) == 1 or len(partners[b]) == 1:
-                rules.append("ONLY")
+            weight = 0
+            if len(partners[a[:2]]) == 1 or len(partners[b[:2]]) == 1:
+                weight += WEIGHTS["ONLY"]
             if equal(x[0].copies, y[0].copies):
-                rules.append("JCN_MATCH")
+                weight += WEIGHTS["JCN_MATCH"]
             elif equal(x[0].copies, y[0].copies, x[0].spread + y[0].spread):
-                rules.append("JCN_OVERLAP")
-            lo, hi = sorted((a.position, b.position))
-            if not any(c == a.chromosome and lo < p < hi for c, p in spots):
-                rules.append("ADJACENT")
-            if max(x[0].copies, y[0].copies) == most:
-                rules.append("JCN_MAX")
-            options.append((rules, hi - lo, ("join", x, y), sorted([(a.variant, a.side), (b.variant, b.side)])))
-        # Two links at once.
+                weight += WEIGHTS["JCN_OVERLAP"]
+            lo, hi = (a.position, b.position) if a.position < b.position else (b.position, a.position)
+            own = spots[a.chromosome]
+            if bisect_right(own, lo) >= bisect_left(own, hi):
+                weight += WEIGHTS["ADJACENT"]
+            if x[0].copies == most or y[0].copies == most:
+                weight += WEIGHTS["JCN_MAX"]
+            offered(weight, hi - lo, ("join", x, y), None, a, b)
+        if best[0] <= TWO_LINKS:
+            self._two_links(pairs, offered)
+        weight, _, choice, rule, _ = best
+        rule = rule or _HIGHEST[weight.bit_length()]
+        if choice[0] == "join":
+            _, x, y = choice
+            self.join(x[0], x[1], y[0], y[1], rule)
+        elif choice[0] == "fold":
+            _, y, x = choice
+            self.fold(y[0], y[1], x[0], rule)
+        else:
+            _, y, x, turned = choice
+            self.duplicate(y[0], x[0], turned, rule)
+        return True
+
+    def _two_links(self, pairs: list, offered) -> None:
+        """The options of two links at once."""
         by_chain: dict[int, list] = {}
         for x, y in pairs:
             by_chain.setdefault(id(x[0]), []).append((x, y))
@@ -197,32 +249,21 @@ class Cluster:
             for x, y in own:
                 other = y[0]
                 exact = equal(other.copies, 2 * chain.copies)
+                if not exact and not folds:
+                    continue
                 if folds and all(e is not None and faces(e, y[2]) for e in ends) and (exact or other.copies > 2 * chain.copies):
                     rule = "FOLDBACK_SPLIT" if exact else "FOLDBACK"
-                    rules = [rule, *(["JCN_MATCH"] if exact else [])]
-                    options.append((rules, min(abs(e.position - y[2].position) for e in ends), ("fold", y, x), sorted([(x[2].variant, x[2].side), (y[2].variant, y[2].side)])))
+                    offered(WEIGHTS[rule] + (WEIGHTS["JCN_MATCH"] if exact else 0), min(abs(e.position - y[2].position) for e in ends), ("fold", y, x), rule, x[2], y[2])
                 first, last = self.open(other, False), self.open(other, True)
                 if exact and not folds and None not in (first, last, *ends) and len({e.orientation for e in ends}) == 2:
                     for turned in (False, True):
                         enter, leave = ends[::-1] if turned else ends
                         if faces(last, enter) and faces(leave, first):
-                            options.append((["COMP_DUP_SPLIT", "JCN_MATCH"], abs(last.position - enter.position), ("duplicate", y, x, turned), sorted([(x[2].variant, x[2].side), (y[2].variant, y[2].side)])))
-        weight = lambda rules: sum(2 ** RULES[r] for r in rules)
-        rules, _, choice, _ = min(options, key=lambda o: (-weight(o[0]), o[1], o[3]))
-        rule = max(rules, key=RULES.__getitem__, default="NEAREST")
-        if choice[0] == "join":
-            _, x, y = choice
-            self.join(x[0], x[1], y[0], y[1], rule)
-        elif choice[0] == "fold":
-            _, y, x = choice
-            self.fold(y[0], y[1], x[0], rule)
-        else:
-            _, y, x, turned = choice
-            self.duplicate(y[0], x[0], turned, rule)
-        return True
+                            offered(WEIGHTS["COMP_DUP_SPLIT"] + WEIGHTS["JCN_MATCH"], abs(last.position - enter.position), ("duplicate", y, x, turned), "COMP_DUP_SPLIT", x[2], y[2])
 
     def resolve(self, assembled: list | None = None) -> list[Chain]:
-        self.assemble(assembled or [])
+        if assembled:
+            self.assemble(assembled)
         while self.step():
             pass
         return sorted(self.chains, key=lambda c: (-len(c.steps), c.steps))
@@ -244,8 +285,7 @@ def _ends(rows: list[dict]) -> dict[int, dict[int, End]]:
     out: dict[int, dict[int, End]] = {}
     for r in rows:
         own = out.setdefault(r["variant"], {})
-        for side, name in enumerate(("start", "end")):
-            c, p, o = (r[f"{x}_{name}"] for x in ("chromosome", "position", "orientation"))
+        for side, c, p, o in ((0, r["chromosome_start"], r["position_start"], r["orientation_start"]), (1, r["chromosome_end"], r["position_end"], r["orientation_end"])):
             if c is not None and p is not None:
                 own[side] = End(r["variant"], side, str(c), p, o)
     return out
@@ -257,6 +297,8 @@ LINKS = "chain int, at int, a_variant long, a_side int, b_variant long, b_side i
 
 def _distinct(rows: list[dict]) -> list[dict]:
     """One row for each variant: the first in the order of its values."""
+    if len({r["variant"] for r in rows}) == len(rows):
+        return rows
     out: dict[int, dict] = {}
     for r in sorted(rows, key=lambda r: [(v is not None, v) for v in r.values()]):
         out.setdefault(r["variant"], r)
@@ -288,10 +330,16 @@ def _grouped(variants: DataFrame, assembled: DataFrame | None, by: list[str], ma
         rows = rows.join(links, by, "left")
     names = [c.split(" ")[0] for c in schema.split(", ")]
     kinds = _arrow_kinds(f"{keys}, {schema}")
+    fields = [*COLUMNS, *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(*[row[k] for k in by], *r) for row in batch.to_pylist() for r in make(row["v"], row["l"] or [])]
+            # Columns become values at once, and rows from them; a struct turned into a value by itself takes longer than its cluster's work.
+            lists = batch.column("v")
+            flat = lists.flatten()
+            each = zip(*[flat.field(f).to_pylist() for f in fields])
+            own = zip(*[batch.column(k).to_pylist() for k in by])
+            out = [(*k, *r) for k, n, links in zip(own, lists.value_lengths().to_pylist(), batch.column("l").to_pylist()) for r in make([dict(zip(fields, v)) for v in islice(each, n)], links or [])]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], [*by, *names])
 
     return rows.select(*by, "v", "l").mapInArrow(run, f"{keys}, {schema}")
