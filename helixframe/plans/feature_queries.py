@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import features as X
-from ..storage import table
+from ..operators.ordered import aggregated
+from ..storage import placed, table
 from .registry import days, query
 from .sv_queries import pick
 
@@ -113,7 +114,8 @@ TREES = pd.DataFrame([(0, 0, "q", 25.0, 1, 2, 0.0), (0, 1, "", 0.0, 0, 0, 0.2),
 @query("""WITH f AS (SELECT l_orderkey, max(l_quantity) AS q, avg(l_discount) AS d, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT l_orderkey, (CASE WHEN q <= 25 THEN 0.2 WHEN d <= 0.05 THEN 0.6 ELSE 0.9 END + CASE WHEN n <= 3 THEN 0.1 ELSE 0.7 END) / 2 AS s FROM f)
 SELECT l_orderkey, round(s, 8) AS score, round(CASE WHEN s <= 0.2 THEN 0.05 WHEN s >= 0.8 THEN 0.95 WHEN s < 0.5 THEN 0.05 + (s - 0.2) * ((0.5 - 0.05) / 0.3) ELSE 0.5 + (s - 0.5) * ((0.95 - 0.5) / (0.8 - 0.5)) END, 6) AS calibrated FROM s""")
 def forest_classifier(spark, sf_dir):
-    f = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.count("*").alias("n"))
+    rows = placed(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "__file", "__row")
+    f = aggregated(rows, ["l_orderkey"], ["__file", "__row"], q=F.max("l_quantity"), d=F.avg("l_discount"), n=F.count("*"))
     out = X.forest_scores(f, ["q", "d", "n"], TREES)
     return out.select("l_orderkey", F.round("score", 8).alias("score"), F.round(X.isotonic(F.col("score"), [(0.2, 0.05), (0.5, 0.5), (0.8, 0.95)]), 6).alias("calibrated"))
 
