@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 from . import intervals as I
+from .ordered import aggregated
 
 
 def status(value: Column, warn: float | None, fail: float | None, high_is_bad: bool = True) -> Column:
@@ -33,9 +34,11 @@ def worst(rows: DataFrame, key: str, column: str = "status") -> DataFrame:
     return top.select(key, F.when(F.col("r") == 2, "FAIL").when(F.col("r") == 1, "WARN").otherwise("PASS").alias("status"))
 
 
-def whole_genome_duplication(segments: DataFrame, sample: str, chromosome: str, major: str, weight: str, least: int = 11, copies: float = 1.5) -> DataFrame:
-    """(sample, duplicated): whether enough chromosomes have a weighted mean major-allele copy number of ``copies`` or more."""
-    mean = segments.groupBy(sample, chromosome).agg((F.sum(F.col(major) * F.col(weight)) / F.sum(weight)).alias("m"))
+def whole_genome_duplication(segments: DataFrame, sample: str, chromosome: str, major: str, weight: str, least: int = 11, copies: float = 1.5, order: list[str] | None = None) -> DataFrame:
+    """(sample, duplicated): whether enough chromosomes have a weighted mean major-allele copy number of ``copies`` or more; with an order, the means' sums are added up in it."""
+    total, weights = F.sum(F.col(major) * F.col(weight)), F.sum(weight)
+    both = segments.groupBy(sample, chromosome).agg(total.alias("t"), weights.alias("u")) if order is None else aggregated(segments, [sample, chromosome], order, t=total, u=weights)
+    mean = both.withColumn("m", F.col("t") / F.col("u"))
     return mean.groupBy(sample).agg((F.count_if(F.col("m") >= copies) >= least).alias("duplicated"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import quality as K
-from ..storage import table
+from ..storage import placed, table
 from .interval_queries import spans
 from .registry import query
 from .tumor_queries import SEGMENTS, segments
@@ -37,8 +37,8 @@ def qc_worst(spark, sf_dir):
 
 @query("""WITH m AS (SELECT l_suppkey AS s, l_partkey % 22 AS c, sum(l_quantity / 17 * l_tax) / sum(l_tax) AS m FROM lineitem GROUP BY ALL) SELECT s, count(*) FILTER (m >= 1.5) >= 11 AS duplicated FROM m GROUP BY 1""")
 def genome_duplication(spark, sf_dir):
-    i = items(spark, sf_dir).select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 22).alias("c"), (F.col("l_quantity") / 17).alias("m"), F.col("l_tax").alias("w"))
-    return K.whole_genome_duplication(i, "s", "c", "m", "w")
+    i = placed(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 22).alias("c"), (F.col("l_quantity") / 17).alias("m"), F.col("l_tax").alias("w"), "__file", "__row")
+    return K.whole_genome_duplication(i, "s", "c", "m", "w", order=["__file", "__row"])
 
 
 @query(f"""WITH {SEGMENTS} SELECT chromosome % 100 AS sample, round(sum(CASE WHEN abs(cn - floor(cn + 0.5)) > 0.25 THEN "end" - start + 1 ELSE 0 END) / sum("end" - start + 1)::DOUBLE, 8) AS share FROM s GROUP BY 1""")
