@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import quality as K
+from ..operators.ordered import aggregated
 from ..storage import placed, table
 from .interval_queries import spans
 from .registry import query
@@ -21,7 +22,8 @@ t AS (SELECT s, 'q' AS feature, q AS value, CASE WHEN q > 26 THEN 'FAIL' WHEN q
 
 
 def _statuses(spark, sf_dir):
-    v = items(spark, sf_dir).groupBy(F.col("l_suppkey").alias("s")).agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.count("*").cast("double").alias("n"))
+    rows = placed(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), "l_quantity", "l_discount", "__file", "__row")
+    v = aggregated(rows, ["s"], ["__file", "__row"], q=F.avg("l_quantity"), d=F.avg("l_discount"), n=F.count("*"))
     return K.statuses(v, [("q", 25.5, 26.0, True), ("d", 0.051, None, True), ("n", 590.0, 550.0, False)], "s")
 
 
