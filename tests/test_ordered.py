@@ -28,7 +28,7 @@ def folder(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["forest_classifier", "genome_duplication", "qc_status"])
+@pytest.mark.parametrize("name", ["forest_classifier", "genome_duplication", "qc_status", "qc_worst"])
 def test_equals_sql_on_one_thread(spark, folder, name):
     con = duckdb.connect(config={"threads": 1})
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{folder}/lineitem.parquet/*.parquet')")
